@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES)
     if not batch.num_rows:
         return
     column = batch.column(batch.schema.get_field_index(text))
-    ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), dtype=np.int64))
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64))
     begin = 0
     while begin < batch.num_rows:
         base = ends[begin - 1] if begin else 0
