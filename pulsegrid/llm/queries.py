@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, toxicity
+from . import html_extraction, language_id, media, toxicity
 from .decontamination import find_contamination
 from .packing import pack_documents
 from .secrets import scan_secrets
 from .simhash import simhash_components
 from .substring_dedup import remove_repeats
+from .token_counts import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,11 +52,23 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", _held_out(4, 2), "score", "predicted")
 
 
+@_query
+def op4_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recordings = media.media_from_vectors(_table(spark, sf_dir, "embeddings"))
+    return media.align_recordings(recordings, F.col("media_id") % 20 == 0)
+
+
 @_query
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@_query
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return html_extraction.extract_text(pages, html_extraction.learn(pages))
+
+
 @_query
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents")).drop("found")
@@ -66,6 +79,11 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 @_query
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
