@@ -204,3 +204,21 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     for more in found[1:]:
         whole = whole.unionByName(more)
     return whole
+
+
+def _clean(index: Index):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                keep = np.ones(part.num_rows, bool)
+                keep[[m[0] for m in matches([normalised(t) for t in part.column("text").to_pylist()], index)]] = False
+                yield part.filter(pa.array(keep))
+
+    return run
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all columns, in which no piece of a benchmark item occurs (as ``find_contamination`` finds them)."""
+    for block in blocks(benchmark):
+        docs = docs.mapInArrow(_clean(build_index(block)), docs.schema)
+    return docs

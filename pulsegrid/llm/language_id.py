@@ -27,6 +27,8 @@ MAX_ROWS = 3000
 SIZES = (256, 2048, 4096)
 #: Least lead of the best codeword, as a share of probability, that is not flagged.
 CLEAR_LEAD = 0.2
+#: Below this score a document's language counts as unknown.
+LEAST_SCORE = 0.28
 #: Most classifiers in a code.
 MAX_BITS = 63
 _LETTER = re.compile(r"[^\W\d_]")
@@ -155,6 +157,25 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     return source.mapInArrow(_predict(model), "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
+def _kept(model: Model, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                texts = part.column("text").to_pylist()
+                keep = np.array([bool(t and _LETTER.search(t)) for t in texts])
+                if keep.any():
+                    keep[keep] = model.decide(features([t for t, k in zip(texts, keep) if k]))[1] >= least
+                yield part.filter(pa.array(keep))
+
+    return run
+
+
+def keep_identified(docs: DataFrame, model: Model | None, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose language can be told: those with a letter and a best score of at
+    least ``least``. Without a model no row is rejected."""
+    return docs if model is None else docs.mapInArrow(_kept(model, least), docs.schema)
+
+
 def remainder(id_col: str, n: int) -> Column:
     """crc32 of the id as text modulo ``n``; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n

@@ -127,31 +127,28 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", te
     return rows.join(added, "row_id", "left").withColumn("found", spans).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", text.alias("spans"), "found")
 
 
-def redacted(text: str | None) -> str | None:
-    """The text with every finding, weak ones that have their complements included, replaced by ``[kind]``."""
-    if not text:
-        return text
-    base = base_spans(text)
-    parts = weak_parts(text, base)
-    spans = sorted(base + _linked(base, parts)) if parts else base
-    if not spans:
-        return text
-    out, at = [], 0
-    for s, k, e in spans:
-        if s >= at:
-            out += [text[at:s], f"[{KINDS[k]}]"]
-        elif e > at and out:
-            pass
-        at = max(at, e)
-    return "".join([*out, text[at:]])
-
-
-def _linked(base: list[tuple[int, int, int]], parts: list[tuple[int, int, int]], scope: int = SCOPE) -> list[tuple[int, int, int]]:
-    """What ``link_parts`` keeps of one text's weak parts."""
-    kept = []
-    for s, k, e in parts:
-        near = {q for p, q, _ in base + parts if abs(p - s) <= scope}
-        named, secret = near & {IDENTIFIER, ACCESS}, near & {ASSIGN, HEX, OPAQUE}
-        if (k == IDENTIFIER and secret) or (k == OPAQUE and named) or (k == ENDPOINT and named and secret):
-            kept.append((s, k, e))
-    return kept
+def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        names = batch.schema.names
+        texts = []
+        for text, found in zip(batch.column("text").to_pylist(), batch.column("_found").to_pylist()):
+            out, at = [], 0
+            for span in found or ():
+                if span["start"] >= at:
+                    out += [text[at : span["start"]], f"[{KINDS[span['kind']]}]"]
+                at = max(at, span["end"])
+            texts.append("".join([*out, text[at:]]) if out else text)
+        cells = dict(zip(names, batch.columns))
+        cells["text"] = pa.array(texts, batch.schema.field("text").type)
+        if "n_chars" in cells:
+            cells["n_chars"] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field("n_chars").type)
+        yield pa.record_batch([cells[c] for c in names if c != "_found"], names=[c for c in names if c != "_found"])
+
+
+def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """``docs`` with every finding in ``text`` replaced by ``[kind]`` (``n_chars`` follows where there is such a column).
+
+    Documents are told apart by doc_id: findings are those of all rows with the id, so ids should be unique; rows with
+    a null id, null and empty texts stay as they are."""
+    found = scan_secrets(docs, scope).where("size(found) > 0 and doc_id is not null").groupBy("doc_id").agg(F.first("found").alias("_found"))
+    return docs.join(found, "doc_id", "left").select(*docs.columns, "_found").mapInArrow(_redacted, docs.schema)

@@ -232,3 +232,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     components = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     mapped = rooted.join(components, "root").select("fp", "component_id")
     return rows.join(mapped, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose doc_id names their component: one document of each group of near copies.
+
+    Repeated rows with one doc_id are reduced to one; rows with a null doc_id, which nothing could name, go."""
+    kept = simhash_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
