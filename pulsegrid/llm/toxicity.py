@@ -94,7 +94,7 @@ def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, ste
         g, gb = xp.T @ gp.astype(np.float32) + xu.T @ gu.astype(np.float32) + decay * w, float(gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w = np.maximum(w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8), 0)  # a feature of toxic texts never speaks against toxicity
         b = np.float32(b - rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8))
     return Model(place, w, float(b))
 
