@@ -150,52 +150,69 @@ def _suffix_entries(window: int, k: int, overfull: list[np.ndarray], buckets: in
 def _marked(found: pa.Array, words: Words) -> np.ndarray:
     """Words of a run of texts at the positions found for each text."""
     marks = np.zeros(len(words) + 1, bool)
-    for i, lists in enumerate(found.to_pylist()):
-        for x in lists or ():
-            marks[np.frombuffer(x, np.int32) + words.first[i]] = True
+    for i, places in enumerate(found.to_pylist()):
+        marks[np.frombuffer(places or b"", np.int32) + words.first[i]] = True
     return marks
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Build the subtree of each group of one partition and report the suffixes below its deep internal nodes, by document."""
-    keys, at, hashes, done = [], [], [], ([], [])
+def _repeats(parts: int):
+    """Build the subtree of each group of one partition and report the suffixes below its deep internal nodes, packed by
+    the partition of documents they go back to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, at, hashes, done = [], [], [], ([], [])
+        for batch in batches:
+            for k, n, p, h, sure in zip(*(batch.column(c).to_pylist() for c in ("keys", "counts", "at", "hashes", "sure"))):
+                own = np.repeat(np.frombuffer(k, np.int64), np.frombuffer(n, np.int32))
+                if sure:
+                    done[0].append(own)
+                    done[1].append(np.frombuffer(p, np.int32))
+                else:
+                    keys.append(own)
+                    at.append(np.frombuffer(p, np.int32))
+                    hashes.append(np.frombuffer(h, np.uint64))
+        if keys:
+            order = np.argsort(hashes := np.concatenate(hashes))
+            leaf = hashes[order]
+            same = leaf[1:] == leaf[:-1]  # neighbours below one deep node
+            rows = order[np.r_[False, same] | np.r_[same, False]]
+            done[0].append(np.concatenate(keys)[rows])
+            done[1].append(np.concatenate(at)[rows])
+        if done[0]:
+            keys, at = np.concatenate(done[0]), np.concatenate(done[1])
+            order = np.lexsort((at, keys))
+            keys, at = keys[order], at[order]
+            yield _packed(keys, at, np.zeros(len(keys), np.uint8), mixed(keys.view(np.uint64)) % np.uint64(parts), True)
+
+    return run
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document of a partition: its key and the positions that all subtrees reported."""
+    keys, at = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
     for batch in batches:
-        for k, n, p, h, sure in zip(*(batch.column(c).to_pylist() for c in ("keys", "counts", "at", "hashes", "sure"))):
-            own = np.repeat(np.frombuffer(k, np.int64), np.frombuffer(n, np.int32))
-            if sure:
-                done[0].append(own)
-                done[1].append(np.frombuffer(p, np.int32))
-            else:
-                keys.append(own)
-                at.append(np.frombuffer(p, np.int32))
-                hashes.append(np.frombuffer(h, np.uint64))
-    if keys:
-        order = np.argsort(hashes := np.concatenate(hashes))
-        leaf = hashes[order]
-        same = leaf[1:] == leaf[:-1]  # neighbours below one deep node
-        rows = order[np.r_[False, same] | np.r_[same, False]]
-        done[0].append(np.concatenate(keys)[rows])
-        done[1].append(np.concatenate(at)[rows])
-    if not done[0]:
-        return
-    keys, at = np.concatenate(done[0]), np.concatenate(done[1])
+        for k, n, p in zip(*(batch.column(c).to_pylist() for c in ("keys", "counts", "at"))):
+            keys.append(np.repeat(np.frombuffer(k, np.int64), np.frombuffer(n, np.int32)))
+            at.append(np.frombuffer(p, np.int32))
+    keys, at = np.concatenate(keys), np.concatenate(at)
     order = np.lexsort((at, keys))
     keys, at = keys[order], at[order]
     begin = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-    for lo in range(0, len(begin), 10_000):
-        ends = [*begin[lo + 1 : lo + 10_001], *([len(keys)] if lo + 10_000 >= len(begin) else [])]
-        yield pa.record_batch([pa.array(keys[begin[lo : lo + 10_000]]), pa.array([at[b:e].tobytes() for b, e in zip(begin[lo : lo + 10_000], ends)], pa.binary())], names=["key", "at"])
+    ends = [*begin[1:], len(keys)]
+    for lo in range(0, len(begin), 5_000):
+        cells = pa.array([at[b:e].tobytes() for b, e in zip(begin[lo : lo + 5_000], ends[lo : lo + 5_000])], pa.binary())
+        yield pa.record_batch([pa.array(keys[begin[lo : lo + 5_000]]), cells], names=["key", "found"])
 
 
 def _kept(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, removed, digest = [], [], []
-            for text, lists in zip(batch.column("text"), batch.column("found").to_pylist()):
+            for text, places in zip(batch.column("text"), batch.column("found").to_pylist()):
                 words = (text.as_py() or "").encode().split()
                 total.append(len(words))
-                if lists:
-                    starts = np.unique(np.concatenate([np.frombuffer(x, np.int32) for x in lists]))
+                if places:
+                    starts = np.frombuffer(places, np.int32)
                     change = np.zeros(len(words) + 1, np.int32)
                     change[starts] += 1
                     change[starts + window] -= 1
@@ -239,12 +256,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     keyed = source.withColumn("key", F.xxhash64("doc_id", "text")).repartition(parts, "key")
 
     def found(entries: DataFrame, n: int) -> DataFrame:
-        marks = entries.repartition(n, "bucket").mapInArrow(_repeats, "key long, at binary")
-        lists = marks.repartition(parts, "key").groupBy("key").agg(F.collect_list("at").alias("found"))
-        return keyed.join(lists.hint("shuffle_hash"), "key", "left")
+        marks = entries.repartition(n, "bucket").mapInArrow(_repeats(parts), PACKED)
+        places = marks.repartition(parts, "bucket").mapInArrow(_gathered, "key long, found binary")
+        return keyed.join(places.hint("shuffle_hash"), "key", "left")
 
     entries = keyed.mapInArrow(_anchor_entries(window, anchor, sets.get(-1, none), anchor_parts), PACKED)
-    suffixes = found(entries, anchor_parts).where("found is not null").select("key", "text", "found")
+    suffixes = found(entries, anchor_parts).where("found is not null")
     overfull = [sets.get(level, none) for level in range(len(_depths(window)))]
     entries = suffixes.mapInArrow(_suffix_entries(window, anchor, overfull, suffix_parts), PACKED)
     return found(entries, suffix_parts).select("doc_id", "text", "found").mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
