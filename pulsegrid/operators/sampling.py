@@ -29,10 +29,10 @@ def stratified_split(rows: DataFrame, label: str, key: str, train_share: float)
 def group_split(sizes: DataFrame, group: str, size: str, share: float) -> DataFrame:
     """Assign whole groups, in order of name, to ``train`` up to the position whose running size is nearest to the share
     (the first of equals; neither side empty), the rest to ``val``. Works on one row per group."""
-    order = Window.orderBy(group)
-    running = sizes.withColumns({"cum": F.sum(size).over(order), "pos": F.row_number().over(order), "total": F.sum(size).over(Window.partitionBy()), "n": F.count("*").over(Window.partitionBy())})
-    inner = running.where("pos < n").agg(F.min(F.struct(F.abs(F.col("cum") - F.col("total") * share), F.col("pos"))).alias("b"))
-    return running.crossJoin(F.broadcast(inner)).select(group, size, F.when(F.col("pos") <= F.col("b.pos"), "train").otherwise("val").alias("split"))
+    order, whole = Window.orderBy(group), Window.partitionBy()
+    running = sizes.select(group, size).withColumns({"_cum": F.sum(size).over(order), "_pos": F.row_number().over(order), "_total": F.sum(size).over(whole), "_groups": F.count("*").over(whole)})
+    inner = running.where("_pos < _groups").agg(F.min(F.struct(F.abs(F.col("_cum") - F.col("_total") * share), F.col("_pos"))).alias("_best"))
+    return running.crossJoin(F.broadcast(inner)).select(group, size, F.when(F.col("_pos") <= F.col("_best._pos"), "train").otherwise("val").alias("split"))
 
 
 def oversample(rows: DataFrame, repeats: Column) -> DataFrame:
