@@ -29,13 +29,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Size of the plan's input as the optimiser estimates it from file sizes; nothing runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def text_bytes(df: DataFrame, column: str) -> int:
+    """Bytes of all texts, counted (estimates of the optimiser don't exist for every kind of input)."""
+    return df.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0
 
 
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

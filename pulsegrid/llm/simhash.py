@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, input_bytes, shuffle_partitions
+from .common import checkpointed, connected_components, shuffle_partitions
 
 THRESHOLD = 3
 SHINGLE = 3

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_bytes, shuffle_partitions, slices
+from .common import checkpointed, shuffle_partitions, slices, text_bytes
 from .wordhash import Words, mixed, sliding_argmin
 
 WINDOW = 35
@@ -236,12 +236,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     """
     spark = docs.sparkSession
     base = shuffle_partitions(spark)
-    parts = max(base, 3 * input_bytes(docs.select(text_col)) // TASK_BYTES)
+    size = text_bytes(docs, text_col)
+    parts = max(base, size // TASK_BYTES)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     # Rough sizes and the overfull prefixes and anchors: at most a few for each group that a task can hold.
-    share = GROUP_SHARE / max(base, parts * TASK_BYTES // (WORD_BYTES * TASK_ENTRIES))
-    counted = source.select("text").mapInArrow(_overfull(window, anchor, share), "level int, value long, n long").groupBy("level", "value").agg(F.sum("n").alias("n"))
+    share = GROUP_SHARE / max(base, size // (WORD_BYTES * TASK_ENTRIES))
+    found_common = source.select("text").mapInArrow(_overfull(window, anchor, share), "level int, value long, n long")
+    counted = checkpointed(found_common.groupBy("level", "value").agg(F.sum("n").alias("n")))
     sizes = {r["level"]: r["n"] for r in counted.where("level < -1").collect()}
     n_suffixes, n_anchors = sizes.get(-2, 0), sizes.get(-3, 0)
     suffix_parts, anchor_parts = (max(base, n // TASK_ENTRIES) for n in (n_suffixes, n_anchors))
