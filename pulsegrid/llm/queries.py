@@ -40,6 +40,15 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", _held_out(5, 0), "lang_pred", "score", "ambiguous")
 
 
+ORACLES["op2_substring_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+w AS (SELECT r, i, array_to_string(list_slice(words, i, i + 34), ' ') AS k FROM (SELECT r, words, unnest(range(1, len(words) - 33)) AS i FROM d WHERE len(words) >= 35)),
+c AS (SELECT DISTINCT r, i + o AS j FROM w, range(35) x(o) WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+u AS (SELECT r, unnest(range(1, len(words) + 1)) AS j, unnest(words) AS word FROM d),
+t AS (SELECT u.r, string_agg(word, ' ' ORDER BY j) AS kept, count(*) AS n FROM u ANTI JOIN c ON u.r = c.r AND u.j = c.j GROUP BY u.r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN t USING (r)"""
+
+
 @_query
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, fresh
 
 #: Names of the span kinds, in the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "identifier", "opaque", "endpoint")
@@ -128,10 +128,11 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", te
 
 
 def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column has the findings."""
     for batch in batches:
-        names = batch.schema.names
+        names = batch.schema.names[:-1]
         texts = []
-        for text, found in zip(batch.column("text").to_pylist(), batch.column("_found").to_pylist()):
+        for text, found in zip(batch.column("text").to_pylist(), batch.column(len(names)).to_pylist()):
             out, at = [], 0
             for span in found or ():
                 if span["start"] >= at:
@@ -142,7 +143,7 @@ def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells["text"] = pa.array(texts, batch.schema.field("text").type)
         if "n_chars" in cells:
             cells["n_chars"] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field("n_chars").type)
-        yield pa.record_batch([cells[c] for c in names if c != "_found"], names=[c for c in names if c != "_found"])
+        yield pa.record_batch([cells[c] for c in names], names=names)
 
 
 def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -150,5 +151,6 @@ def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     Documents are told apart by doc_id: findings are those of all rows with the id, so ids should be unique; rows with
     a null id, null and empty texts stay as they are."""
-    found = scan_secrets(docs, scope).where("size(found) > 0 and doc_id is not null").groupBy("doc_id").agg(F.first("found").alias("_found"))
-    return docs.join(found, "doc_id", "left").select(*docs.columns, "_found").mapInArrow(_redacted, docs.schema)
+    name = fresh(docs, "found")
+    found = scan_secrets(docs, scope).where("size(found) > 0 and doc_id is not null").groupBy("doc_id").agg(F.first("found").alias(name))
+    return docs.join(found, "doc_id", "left").select(*docs.columns, name).mapInArrow(_redacted, docs.schema)
