@@ -117,10 +117,12 @@ def threshold_rollup(histogram: DataFrame, thresholds: list[float]) -> DataFrame
 def pr_curve(scored: DataFrame) -> DataFrame:
     """Precision-recall points of ``(id, conf, tp)`` by falling confidence (ties by id), with 1e-8 in the quotients.
 
-    The running sums are taken within ranges of confidence and joined to the ranges' offsets, so no task sorts all rows."""
-    spark = scored.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = scored.repartitionByRange(parts, F.desc("conf"), F.asc("id")).withColumn("part", F.spark_partition_id())
+    The running sums are taken within ranges of confidence, cut at approximate quantiles, and joined to the ranges'
+    offsets, so no task sorts all rows."""
+    parts = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = ",".join(f"{i / parts}D" for i in range(1, parts)) or "0.5D"
+    cuts = scored.agg(F.expr(f"percentile_approx(conf, array({shares}), {100 * parts})").alias("q")).first()["q"] or []  # fewer than the partitions
+    ranged = scored.withColumn("part", F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda q: q >= F.col("conf"))) if cuts else F.lit(0))
     own = Window.partitionBy("part").orderBy(F.desc("conf"), "id")
     inner = ranged.withColumns({"n_in": F.row_number().over(own), "tp_in": F.sum("tp").over(own.rowsBetween(Window.unboundedPreceding, 0))})
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
