@@ -22,10 +22,12 @@ def derived_truth(spark, sf_dir):
     return rows.select("injection_id", F.round(X.effective_channels(F.col("bw"), n), 6).alias("effective_channels"), F.round(X.per_channel_snr(F.col("snr"), F.col("bw"), n), 6).alias("per_channel_snr"))
 
 
-@query("mjd_projection", "SELECT event_id, round(epoch_us(ts) / 86400000000.0::DOUBLE + 40587, 6) AS mjd, round(60310 + (user_id * 60 + value) / 86400.0::DOUBLE, 6) AS start_mjd, round(60310 + (user_id * 60 + value) / 86400.0::DOUBLE + value / 86400.0::DOUBLE, 6) AS signal_mjd FROM events")
+# 2e-8 days keep values that are ties in decimal, but not in binary, on one side of the rounding
+@query("mjd_projection", "SELECT event_id, round(epoch_us(ts) / 86400000000.0::DOUBLE + 40587 + 2e-8::DOUBLE, 6) AS mjd, round(60310 + (user_id * 60 + value) / 86400.0::DOUBLE + 2e-8::DOUBLE, 6) AS start_mjd, round(60310 + (user_id * 60 + value) / 86400.0::DOUBLE + value / 86400.0::DOUBLE + 2e-8::DOUBLE, 6) AS signal_mjd FROM events")
 def mjd_projection(spark, sf_dir):
     start = X.start_mjd(F.lit(60310), F.col("user_id") * 60, F.col("value"))
-    return table(spark, sf_dir, "events").select("event_id", F.round(X.timestamp_to_mjd(F.col("ts")), 6).alias("mjd"), F.round(start, 6).alias("start_mjd"), F.round(start + F.col("value") / 86400.0, 6).alias("signal_mjd"))
+    shown = lambda c: F.round(c + 2e-8, 6)
+    return table(spark, sf_dir, "events").select("event_id", shown(X.timestamp_to_mjd(F.col("ts"))).alias("mjd"), shown(start).alias("start_mjd"), shown(start + F.col("value") / 86400.0).alias("signal_mjd"))
 
 
 @query("dispersion_delay", f"""SELECT injection_id, round(4150.0::DOUBLE * dm * (1 / (f * f) - 1 / (1500.0::DOUBLE * 1500.0)), 9) AS search_s, round(4148.808::DOUBLE * dm * (1 / (f * f) - 1 / (1500.0::DOUBLE * 1500.0)), 9) AS injection_s,
