@@ -104,7 +104,7 @@ def _words(text: str) -> list[str]:
     if not text:
         return []
     plain = text.replace("\n", " ")
-    if plain[0] == " " or plain[-1] == " " or "  " in plain or len(plain.split()) != plain.count(" ") + 1:
+    if " ".join(plain.split()) != plain:
         return [text]
     return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if "\0" not in text else [text]
 
