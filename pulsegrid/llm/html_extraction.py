@@ -320,7 +320,7 @@ def _disturbed(page: list[Block], strangers: list[str], random: np.random.Genera
     return out, labels
 
 
-def fit(pages: list[list[Block]], epochs: int = 14, batch: int = 32, rate: float = 0.01, seed: int = 5) -> Model:
+def fit(pages: list[list[Block]], epochs: int = 8, batch: int = 32, rate: float = 0.01, seed: int = 5) -> Model:
     """Train the labeller by Adam on the pages and two disturbed copies of each; long pages in runs of 64 blocks."""
     random = np.random.default_rng(seed)
     pages = [p for p in pages if p]
