@@ -9,7 +9,9 @@ places by rank within their length, which needs one small join and no global sor
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +27,14 @@ from .common import checkpointed
 CAPACITY = 2048
 END = (0).to_bytes(4, "little")
 #: Distinct words whose ids a Python worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 900_000
+
+
+def _bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 class WordCache:
@@ -42,19 +51,26 @@ class WordCache:
         self.tokenizer.encode_special_tokens = True
         self.words: dict[str, bytes] = {}
         self.line_break = self._encode("\n")
+        self.marks = {mark: self._encode(mark) for mark in ",.;:!?"}
 
     def _encode(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _learn(self, words: list[str]) -> None:
+        """Tokenise new words. A letter and a following mark are always different tokens, so a word that ends so is its stem and the mark."""
         if len(self.words) + len(words) > CACHE_WORDS:
             self.words.clear()
-        for word, coded in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            self.words[word] = np.asarray(coded.ids, "<u4").tobytes()
+        marked = [w for w in words if w[-1:] in self.marks and w[-2:-1].isalpha()]
+        stems = {w[:-1] for w in marked}.union(words).difference(marked)
+        new = [w for w in stems if w not in self.words]
+        for word, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            self.words[word] = _bytes(coded.ids)
+        for word in marked:
+            self.words[word] = self.words[word[:-1]] + self.marks[word[-1]]
 
     def encode(self, text: str) -> bytes:
         plain = text.replace("\n", " ")
-        if not plain or plain[0] == " " or plain[-1] == " " or "  " in plain or len(plain.split()) != plain.count(" ") + 1:
+        if not plain or " ".join(plain.split()) != plain:
             return self._encode(text)
         lines = [line.replace(" ", "\n ").split("\n") for line in text.split("\n")]
         for _ in range(2):
