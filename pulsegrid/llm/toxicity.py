@@ -110,14 +110,16 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, max_toxic: int = MA
         return None
     free = max(1, texts.count() - stats["n"])
 
-    def picked(rows: DataFrame, most: int, of: int, toxic: int) -> list[np.ndarray]:
-        order = F.xxhash64("doc_id")
-        few = rows.withColumn("order", order).withColumn("toxic", F.lit(toxic)).where(F.col("order") / F.lit(2.0**64) + 0.5 <= min(1.0, 1.2 * most / of))
-        found = few.select("order", "toxic", "text").mapInArrow(_featured, "order long, toxic int, x binary").orderBy("order").limit(most).collect()
+    order = F.xxhash64("doc_id")
+
+    def featured(rows: DataFrame, kind: int, most: int) -> list[np.ndarray]:
+        found = rows.select(order.alias("order"), F.lit(kind).alias("toxic"), "text").mapInArrow(_featured, "order long, toxic int, x binary").orderBy("order").limit(most).collect()
         return [np.frombuffer(r["x"], np.int32) for r in found]
 
-    toxic = picked(texts.join(known.where("toxic = 1"), "doc_id", "left_semi"), max_toxic, stats["toxic"], 1)
-    unlabelled = picked(texts.join(known, "doc_id", "left_anti"), max_unlabelled, free, 0)
+    chosen = known.where("toxic = 1").orderBy(order).limit(max_toxic).select("doc_id")  # a bounded number of ids
+    toxic = featured(texts.join(F.broadcast(chosen), "doc_id", "left_semi"), 1, max_toxic)
+    few = texts.where(order / F.lit(2.0**64) + 0.5 <= min(1.0, 1.2 * max_unlabelled / free))
+    unlabelled = featured(few.join(known, "doc_id", "left_anti"), 0, max_unlabelled)
     if not toxic or not unlabelled:
         return None
     return fit(toxic, unlabelled, stats["toxic"] / stats["n"])
