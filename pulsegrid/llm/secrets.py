@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh
+from .common import checkpointed
 
 #: Names of the span kinds, in the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "identifier", "opaque", "endpoint")
@@ -127,30 +128,43 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", te
     return rows.join(added, "row_id", "left").withColumn("found", spans).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", text.alias("spans"), "found")
 
 
-def _redacted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The last column has the findings."""
-    for batch in batches:
-        names = batch.schema.names[:-1]
-        texts = []
-        for text, found in zip(batch.column("text").to_pylist(), batch.column(len(names)).to_pylist()):
-            out, at = [], 0
-            for span in found or ():
-                if span["start"] >= at:
-                    out += [text[at : span["start"]], f"[{KINDS[span['kind']]}]"]
-                at = max(at, span["end"])
-            texts.append("".join([*out, text[at:]]) if out else text)
-        cells = dict(zip(names, batch.columns))
-        cells["text"] = pa.array(texts, batch.schema.field("text").type)
-        if "n_chars" in cells:
-            cells["n_chars"] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field("n_chars").type)
-        yield pa.record_batch([cells[c] for c in names], names=names)
+def linked(base: list[tuple[int, int, int]], weak: list[tuple[int, int, int]], scope: int = SCOPE) -> list[tuple[int, int, int]]:
+    """All findings of one text, in order: the strong ones and the weak parts that ``link_parts`` reports."""
+    named = sorted(s for s, k, _ in [*base, *weak] if k in (IDENTIFIER, ACCESS))
+    secret = sorted(s for s, k, _ in [*base, *weak] if k in (ASSIGN, HEX, OPAQUE))
+
+    def near(starts: list[int], s: int) -> bool:
+        i = bisect_left(starts, s - scope)
+        return i < len(starts) and starts[i] <= s + scope
+
+    kept = [(s, k, e) for s, k, e in weak if (k == IDENTIFIER or near(named, s)) and (k == OPAQUE or near(secret, s))]
+    return sorted(base + kept)
+
+
+def _redacted(scope: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, texts = batch.schema.names, []
+            for value in batch.column("text"):
+                text = value.as_py()
+                base = base_spans(text or "")
+                out, at = [], 0
+                for start, kind, end in linked(base, weak_parts(text or "", base), scope):
+                    if start >= at:
+                        out += [text[at:start], f"[{KINDS[kind]}]"]
+                    at = max(at, end)
+                texts.append("".join([*out, text[at:]]) if out else text)
+            cells = dict(zip(names, batch.columns))
+            cells["text"] = pa.array(texts, batch.schema.field("text").type)
+            if "n_chars" in cells:
+                cells["n_chars"] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field("n_chars").type)
+            yield pa.record_batch([cells[c] for c in names], names=names)
+
+    return run
 
 
 def redact(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """``docs`` with every finding in ``text`` replaced by ``[kind]`` (``n_chars`` follows where there is such a column).
 
-    Documents are told apart by doc_id: findings are those of all rows with the id, so ids should be unique; rows with
-    a null id, null and empty texts stay as they are."""
-    name = fresh(docs, "found")
-    found = scan_secrets(docs, scope).where("size(found) > 0 and doc_id is not null").groupBy("doc_id").agg(F.first("found").alias(name))
-    return docs.join(found, "doc_id", "left").select(*docs.columns, name).mapInArrow(_redacted, docs.schema)
+    Each row is scanned and cut in one task by its own findings, whatever its doc_id; null and empty texts stay as they are."""
+    return docs.mapInArrow(_redacted(scope), docs.schema)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, shuffle_partitions
+from .common import checkpointed, connected_components, fresh, shuffle_partitions
 
 THRESHOLD = 3
 SHINGLE = 3
@@ -59,8 +59,9 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), np.uint64, batch.num_rows)
-        yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+        found = np.fromiter((fingerprint(x.as_py()) for x in batch.column("text")), np.uint64, batch.num_rows)
+        kept = [i for i, name in enumerate(batch.schema.names) if name != "text"]
+        yield pa.record_batch([*(batch.column(i) for i in kept), pa.array(found.view(np.int64))], names=[*(batch.schema.names[i] for i in kept), "fp"])
 
 
 @lru_cache(maxsize=1)
@@ -208,6 +209,17 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
 
+def _rooted(rows: DataFrame) -> DataFrame:
+    """``(fp, least, root)`` for every distinct fingerprint of ``rows(doc_id, fp)``: its smallest doc_id, and the fingerprint that names its component."""
+    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = classes.count()
+    buckets = max(shuffle_partitions(rows.sparkSession), distinct * 61 // TASK_ENTRIES)
+    packed = classes.select("fp").mapInArrow(_replicas(buckets), "bucket int, anchors binary, fps binary")
+    found = packed.repartition(buckets, "bucket").mapInArrow(_linked, "a long, b long")
+    roots = checkpointed(connected_components(found))
+    return classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs``.
 
@@ -219,24 +231,25 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     in linking, but is never a component_id unless no other id is reachable (then null). Repeated rows give repeated
     result rows. Other columns are ignored. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = checkpointed(source.mapInArrow(_fingerprints, "doc_id long, fp long"))
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    distinct = classes.count()
-    buckets = max(shuffle_partitions(spark), distinct * 61 // TASK_ENTRIES)
-    packed = classes.select("fp").mapInArrow(_replicas(buckets), "bucket int, anchors binary, fps binary")
-    found = packed.repartition(buckets, "bucket").mapInArrow(_linked, "a long, b long")
-    roots = checkpointed(connected_components(found))
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(rows)
     components = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     mapped = rooted.join(components, "root").select("fp", "component_id")
     return rows.join(mapped, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all columns, whose doc_id names their component: one document of each group of near copies.
-
-    Repeated rows with one doc_id are reduced to one; rows with a null doc_id, which nothing could name, go."""
-    kept = simhash_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
+def keep_one_of_each(docs: DataFrame, unnamed: bool = False) -> DataFrame:
+    """One row of ``docs``, with all columns, of each group of near copies: the one with the smallest doc_id.
+
+    Rows are told apart by their doc_id and text together (96 bits of hashes), so rows with one doc_id and different
+    texts each stand for their own group. A group without any doc_id keeps one of its rows where ``unnamed`` is set;
+    else nothing could name it and it goes."""
+    id_, text = F.col("doc_id").cast("long"), F.col("text")
+    keys = [F.xxhash64(text, F.coalesce(id_, F.lit(0)), id_.isNull()), F.hash(text, F.coalesce(id_, F.lit(0)))]
+    one, two = fresh(docs, "one"), fresh(docs, "two")
+    source = docs.select(id_.alias("doc_id"), text, keys[0].alias("h1"), keys[1].alias("h2"))
+    rows = checkpointed(source.mapInArrow(_fingerprints, "doc_id long, h1 long, h2 int, fp long"))
+    first = rows.join(_rooted(rows).select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2")).alias("r"))
+    kept = first.where(F.lit(unnamed) | ~F.col("r.no_id")).select(F.col("r.h1").alias(one), F.col("r.h2").alias(two))
+    return docs.withColumns({one: keys[0], two: keys[1]}).join(kept, [one, two], "left_semi").dropDuplicates([one, two]).select(*docs.columns)

@@ -39,3 +39,21 @@ def test_odd_rows_go_through(spark, odd_docs, no_docs):
 def test_every_operator_has_its_query():
     names = [n for n in queries.QUERIES]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+
+
+def test_rows_without_own_ids_stay_and_are_redacted(spark):
+    first, second = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    third = " ".join(f"c{i}" for i in range(60))
+    rows = [(None, first), (None, first), (7, second), (7, third), (8, third), (9, ""), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, frame, SF).collect()]
+    assert sorted(kept, key=str) == sorted([(None, first), (7, second), (7, third), (9, "")], key=str)
+    texts = ["x password = hunter22 y", "login: carol key Ab1Cd2Ef3Gh4Ij5Kl6 end", "login: carol " + "x" * 300 + " Ab1Cd2Ef3Gh4Ij5Kl6"]
+    clean = ["x [assign] y", "[identifier] key [opaque] end", texts[2]]
+    for ids in ([None] * 3, [5] * 3):
+        out = corpus_pipeline.remove_secrets(spark, spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string"), SF)
+        assert sorted(r.text for r in out.collect()) == sorted(clean)
+    for text in texts:
+        frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        base = secrets.base_spans(text)
+        assert secrets.listed(secrets.linked(base, secrets.weak_parts(text, base))) == secrets.scan_secrets(frame).first().spans
