@@ -1,6 +1,8 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Each benchmark item is cut into pieces. A text region that aligns with a piece of m characters at e edits or fewer
+Each benchmark item is cut into pieces: long ones for passages with edits, and short ones, started so densely that every
+quote of ``LEAST`` characters holds a whole one; a short piece only counts where ``LEAST`` characters of its item align.
+A text region that aligns with a piece of m characters at e edits or fewer
 shares at least m + 1 - q (e + 1) of its q-grams, all near one diagonal (text position minus piece position). So shared
 q-grams are counted for each document and piece, then in overlapping bands of diagonals; bands that reach the bound are
 retained and verified by banded alignment. Documents are only scanned: the benchmark's q-gram index, of checked size,
@@ -24,6 +26,10 @@ Q = 8
 EDIT_SHARE = 0.08
 #: Characters of a piece; shorter items are one piece. Pieces of an item start half a piece apart, the last one at its end.
 PIECE = 120
+#: Characters of a short piece and between starts of two: a quote of SHORT + STEP - 1 characters or more holds a whole one.
+SHORT, STEP = 48, 12
+#: Least length of a partial quote, in characters of the item (shorter items count as a whole).
+LEAST = 60
 #: Benchmark characters in one block of the index: each block is broadcast and takes one scan of the documents.
 BLOCK_CHARS = 1_000_000
 _BITS = 22
@@ -59,6 +65,7 @@ class Index:
     begin: np.ndarray  # of each hash in `piece` and `at`
     piece: np.ndarray
     at: np.ndarray
+    places: list[tuple[str, int] | None]  # of each short piece: its item's text and its start in it
 
 
 def pieces(text: str, size: int = PIECE) -> list[str]:
@@ -70,8 +77,12 @@ def pieces(text: str, size: int = PIECE) -> list[str]:
 
 def build_index(items: list[tuple[int, str]]) -> Index:
     """Index of (item id, normalised text). Items shorter than Q characters hold no q-gram and are left out."""
-    held = [(i, p) for i, t in items for p in dict.fromkeys(pieces(t)) if len(p) >= Q]
-    texts = [p for _, p in held]
+    held: list[tuple[int, str, tuple[str, int] | None]] = []
+    for i, t in items:
+        held += [(i, p, None) for p in dict.fromkeys(pieces(t)) if len(p) >= Q]
+        if len(t) > LEAST:
+            held += [(i, t[s : s + SHORT], (t, s)) for s in [*range(0, len(t) - SHORT, STEP), len(t) - SHORT]]
+    texts = [p for _, p, _ in held]
     lengths = np.array([len(p) for p in texts], np.int64)
     edits = np.minimum((lengths * EDIT_SHARE).astype(np.int64), (lengths - Q) // Q)  # at least one shared q-gram
     hashes = [_grams(_codes(p)) for p in texts]
@@ -82,7 +93,7 @@ def build_index(items: list[tuple[int, str]]) -> Index:
     grams, begin = np.unique(flat[order], return_index=True)
     known = np.zeros(1 << _BITS, bool)
     known[grams >> np.uint64(64 - _BITS)] = True
-    return Index([i for i, _ in held], texts, edits, lengths + 1 - Q * (edits + 1), known, grams, np.r_[begin, len(flat)], piece[order], at[order])
+    return Index([i for i, _, _ in held], texts, edits, lengths + 1 - Q * (edits + 1), known, grams, np.r_[begin, len(flat)], piece[order], at[order], [x for _, _, x in held])
 
 
 def _codes(text: str) -> np.ndarray:
@@ -110,8 +121,8 @@ def align(piece: str, region: str, most: int) -> tuple[int, int, int] | None:
     return (int(cost[end]), int(origin[end]), end) if cost[end] <= most else None
 
 
-def matches(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int]]:
-    """(text number, item id, start, end, edits) of the pieces found in normalised texts."""
+def _piece_matches(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int]]:
+    """(text number, piece number, start, end, edits) of the pieces found in normalised texts."""
     if not index.texts:
         return []
     codes = _codes("".join(texts))
@@ -159,14 +170,53 @@ def matches(texts: list[str], index: Index) -> list[tuple[int, int, int, int, in
             region = text[begin : low + 2 * int(width[order[j]]) + len(index.texts[p[j]]) + e]
             if (a := align(index.texts[p[j]], region, e)) and (key not in found or a[0] < found[key][0]):
                 found[key] = (a[0], begin + a[1], begin + a[2])
-    return sorted({(o, index.items[p], s, t, e) for (o, p, _), (e, s, t) in found.items()})
+    return [(o, p, s, t, e) for (o, p, _), (e, s, t) in found.items()]
+
+
+def matches(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int]]:
+    """(text number, item id, start, end, edits) of the pieces found in normalised texts, short ones by themselves too."""
+    return sorted({(o, index.items[p], s, t, e) for o, p, s, t, e in _piece_matches(texts, index)})
+
+
+def extended(text: str, start: int, item: str, at: int) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the best ``LEAST`` characters of an item around its short piece at ``at``, which was found in the text at ``start``."""
+    most = int(LEAST * EDIT_SHARE)
+    windows = range(max(0, at + SHORT - LEAST), min(at, len(item) - LEAST) + 1)
+    slack = 2 * most
+    low = max(0, start - (at - windows[0]) - slack)
+    region = text[low : start + LEAST + slack]
+    best = None
+    for w in windows:
+        if (i := region.find(item[w : w + LEAST])) >= 0:
+            return 0, low + i, low + i + LEAST
+    for w in windows:
+        a = align(item[w : w + LEAST], region, most)
+        if a and (best is None or a[0] < best[0]):
+            best = a[0], low + a[1], low + a[2]
+    return best
+
+
+def passages(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int]]:
+    """(text number, item id, start, end, edits) of the long pieces found, and of quotes of ``LEAST`` characters apart from those."""
+    out, known = set(), {}
+    found = sorted(_piece_matches(texts, index), key=lambda m: (index.places[m[1]] is not None, m))
+    for o, p, s, t, e in found:
+        item, place = index.items[p], index.places[p]
+        spans = known.setdefault((o, item), [])
+        if place is not None:
+            if any(s < y and x < t for x, y in spans) or not (best := extended(texts[o], s, *place)):
+                continue
+            e, s, t = best
+        spans.append((s, t))
+        out.add((o, item, s, t, e))
+    return sorted(out)
 
 
 def _scanned(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                found = matches([normalised(t) for t in part.column("text").to_pylist()], index)
+                found = passages([normalised(t) for t in part.column("text").to_pylist()], index)
                 cells = list(zip(*found)) or [()] * 5
                 ids = part.column("doc_id").take(pa.array(cells[0], pa.int64()))
                 yield pa.record_batch([ids, *(pa.array(c, pa.int64()) for c in cells[1:])], names=["doc_id", "item_id", "start", "end", "edits"])
@@ -190,6 +240,9 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, item_id, start, end, edits)``: places where a piece of a benchmark item occurs in a document with few edits.
 
+    An exact quote of ``LEAST`` or more characters of an item is always found, wherever it starts; so is a passage of
+    ``PIECE`` characters on the grid of long pieces, or a whole item of up to ``PIECE`` characters, within the edits allowed.
+
     Positions are code points of the normalised text (lower case, white space runs as one space). A piece that occurs
     several times may be reported once for each stretch of text. Null and empty texts match nothing; items under
     8 characters are left out; null ids of documents stay null; repeated rows give repeated results; other columns are
@@ -211,7 +264,7 @@ def _clean(index: Index):
         for batch in batches:
             for part in slices(batch):
                 keep = np.ones(part.num_rows, bool)
-                keep[[m[0] for m in matches([normalised(t) for t in part.column("text").to_pylist()], index)]] = False
+                keep[[m[0] for m in passages([normalised(t) for t in part.column("text").to_pylist()], index)]] = False
                 yield part.filter(pa.array(keep))
 
     return run

@@ -121,6 +121,23 @@ def test_contamination_equals_brute_force():
     assert got == want and len(want) > 8
 
 
+def test_every_partial_quote_of_the_least_length_is_found():
+    random = np.random.default_rng(14)
+    word = lambda: "".join(random.choice(list("abcdefgh"), int(random.integers(2, 8))))
+    filler = lambda n: " ".join(word() for _ in range(n))
+    items = [(i, D.normalised(filler(n))) for i, n in enumerate((20, 45))]
+    index = D.build_index(items)
+    for length in (D.LEAST, 85, 110):
+        for i, item in items:
+            quotes = [item[s : s + length] for s in range(0, len(item) - length + 1, 5)]
+            texts = [D.normalised(f"{filler(4)} {q} {filler(4)}") for q in quotes]
+            found = {o for o, got, s, t, e in D.passages(texts, index) if got == i}
+            assert found == set(range(len(texts)))
+    short = [items[1][1][s : s + D.SHORT + 2] for s in range(0, 120, 20)]
+    assert not D.passages([f"zzzzzzzzzz{q}zzzzzzzzzz" for q in short], index)
+    assert not D.passages([filler(200) for _ in range(3)], index)
+
+
 def test_alignment_places():
     assert D.align("hello world", "say helo world now", 1) == (1, 4, 14)
     assert D.align("hello", "zzzzz", 2) is None and D.align("abc", "xxabcxx", 0) == (0, 2, 5)
