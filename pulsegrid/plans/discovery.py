@@ -117,4 +117,4 @@ def stream_manifest_append(spark, sf_dir):
 
 @query("stream_event_clusters")
 def stream_event_clusters(spark, sf_dir):
-    return streams.append_all(spark, f"{sf_dir}/events.parquet", lambda frame: streams.session_events(frame, "ts", ["event_type"], "5 minutes", "10 minutes"))
+    return streams.whole_sessions(spark, f"{sf_dir}/events.parquet", "ts", ["event_type"], "5 minutes")

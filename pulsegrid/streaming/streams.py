@@ -29,10 +29,17 @@ def append_all(spark: SparkSession, path: str, transform: Callable[[DataFrame],
     return spark.read.schema(flow.schema).parquet(out)
 
 
-def session_events(frame: DataFrame, time: str, keys: list[str], gap: str, late: str) -> DataFrame:
+def session_events(frame: DataFrame, time: str, keys: list[str], gap: str, late: str | None) -> DataFrame:
     """Events of a candidate stream: sessions of each key, closed when the watermark passes ``gap`` behind their last row.
 
-    ``late`` bounds how far out of order rows may come; it should be at least the gap."""
-    timed = frame.withColumn("_t", F.col(time).cast("timestamp")).withWatermark("_t", late)
+    ``late`` bounds how far out of order rows may come; it should be at least the gap. Without it (tables that
+    are there as a whole) no row is late and all sessions are closed."""
+    timed = frame.withColumn("_t", F.col(time).cast("timestamp"))
+    timed = timed if late is None else timed.withWatermark("_t", late)
     grouped = timed.groupBy(F.session_window("_t", gap).alias("w"), *keys).agg(F.count("*").alias("event_size"), F.max("value").alias("strongest"))
     return grouped.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_size", "strongest")
+
+
+def whole_sessions(spark: SparkSession, path: str, time: str, keys: list[str], gap: str) -> DataFrame:
+    """All sessions of the files at ``path``: the rows are streamed into an append-only table in any order, and sessions built over it as a whole."""
+    return session_events(append_all(spark, path, lambda frame: frame.select(time, *keys, "value")), time, keys, gap, None)

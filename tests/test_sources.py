@@ -91,6 +91,17 @@ def test_stream_appends_and_closes_sessions(spark, tmp_path):
     assert sorted((r.event_size, r.strongest) for r in out) == [(1, 20.0), (3, 2.0)]  # the last one is still open
 
 
+def test_clusters_of_many_files_lose_no_row(spark, tmp_path):
+    from pulsegrid.plans import discovery
+
+    rows = [(f"2024-01-01 {h:02d}:{m:02d}:00", "a", float(h)) for h in range(12) for m in (0, 1, 2, 30)]
+    for n, h in enumerate([11, *range(11)]):  # the latest hour is in the first file
+        part = [r for r in rows if r[2] == h]
+        spark.createDataFrame(part, "ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    out = discovery.stream_event_clusters(spark, str(tmp_path)).collect()
+    assert sorted((r.strongest, r.event_size) for r in out) == sorted((float(h), n) for h in range(12) for n in (1, 3))
+
+
 def test_scalars(spark):
     assert scalars.batches("0-3,7, 2") == [0, 1, 2, 3, 7]
     row = spark.range(1).select(scalars.mjd_to_timestamp(F.lit(60310.5)).cast("string").alias("t"), scalars.slug(F.lit(5.5)).alias("s"), scalars.slug(F.lit(5.0)).alias("u"), scalars.first_set(F.lit(0.0), F.lit(None).cast("double"), F.lit(3.0)).alias("f")).first()
