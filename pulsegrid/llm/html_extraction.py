@@ -32,11 +32,11 @@ HIDDEN = 24
 WIDTH = PATH_DIMS + WORD_DIMS + 8
 
 _TOKEN = re.compile(
-    r"""<(?P<raw>script|style|template|noscript|iframe|object|svg|math|textarea|select)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?/][^>]*>""", re.S | re.I
+    r"""<(?P<raw>script|style)(?=[\s/>])(?:(?:[^>]*["'\s])?/>|[^>]*>.*?(?:</(?P=raw)\s*>|\Z))|<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?/][^>]*>""", re.S | re.I
 )
 _NAMED = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "source", "track"}
-_INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img", "input"}
+_INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img", "input", "math", "mi", "mn", "mo", "mrow", "msup", "msub", "mfrac", "msqrt", "mtext", "svg", "g", "path", "rect", "circle", "use"}
 _ENDS_P = {"p", "div", "ul", "ol", "dl", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "aside", "header", "footer", "nav", "main", "form", "blockquote", "pre", "figure", "hr", "address", "fieldset"}
 _SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 

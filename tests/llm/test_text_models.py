@@ -136,3 +136,15 @@ def test_odd_pages(spark):
     assert len(rows) == 5 and {(r.text, r.n_chars) for r in rows if r.page_id in (1, None)} == {("", 0)}
     assert H.extract_text(odd.limit(0), model).count() == 0 and H.learn(odd.limit(0)) is None
     assert {r.text for r in H.extract_text(odd, None).collect()} == {""}
+
+
+def test_only_scripts_and_styles_are_skipped_as_raw_text():
+    from pulsegrid.llm import html_extraction
+
+    page = (
+        "<p>a <svg-icon name='x'></svg-icon>b</p><p>c <svg width='1'/> d</p><p>e <math><mi>x</mi></math> f</p><noscript><p>g</p></noscript><object><p>h</p></object>"
+        "<script src='s'/><p>i</p><script>if (1 < 2) no()</script><style>no</style><script-note>j</script-note><!-- no --><template-part>k</template-part><p>l</p>"
+    )
+    words = " ".join(b.text for b in html_extraction.blocks(page)).split()
+    assert words == list("abcdexfghijkl")
+    assert "e x f" in [b.text for b in html_extraction.blocks(page)]
