@@ -1,25 +1,24 @@
 """Removal of repeated word sequences with prefix-partitioned suffix trees.
 
-The suffixes of all documents are split by variable-length prefixes: one word, or 2, 4, 8, 16 or 35 words where the
-shorter prefix alone would hold more suffixes than a task should take. Each group of suffixes is sorted into its
-subtree, in which edges are 64-bit hashes of word runs; the internal nodes at depth ``window`` or deeper are the
-repeats, and the suffixes below them start a window that also starts elsewhere. Runs of such suffixes are the maximal
-repeats, whose words are removed.
-
-Two things keep the suffixes that move few. A suffix can lie below a deep node only if the anchor of its window (the
-least 12-word hash in it) occurs elsewhere too, so anchors, one in about twelve suffixes, are counted first and only
-suffixes with a repeated anchor go to the trees. And a prefix of full depth that is common enough to fill a group by
-itself is known to repeat, as are such anchors: their suffixes are marked where they are and never gathered.
+A window (``window`` words of one document) is the depth to which suffixes are compared. The suffixes of all documents
+are split into groups by a prefix of variable length: usually the 12 words at the suffix's anchor (the least 12-word
+hash of its window, so that neighbouring suffixes share a group and travel with one copy of their words), or the whole
+window where the anchor alone would hold more suffixes than a task should take. Equal windows have equal anchors, so
+they always meet in one group. Each group's suffixes are sorted by their words: runs that agree to the window's depth
+are the leaves below a deep internal node of the group's tree, and every one of them starts a window that also starts
+elsewhere. Neighbouring leaves of a document join to the maximal repeats that are removed.
+
+Hashes only choose groups and leave out suffixes that can't repeat; what is removed is decided by the words themselves.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,20 +27,23 @@ from .wordhash import Words, mixed, sliding_argmin
 
 WINDOW = 35
 ANCHOR = 12
-#: Entries (12 bytes and their documents' keys) that one task is meant to hold.
-TASK_ENTRIES = 3_000_000
+#: Windows whose anchors, and whose suffixes with their words (some 70 MB), one task is meant to hold.
+TASK_WINDOWS = 3_000_000
 #: Text bytes that one partition of documents is meant to hold.
 TASK_BYTES = 48 << 20
+#: Bytes of suffixes that are sorted together; larger groups are sorted as a whole.
+SORT_BYTES = 4 << 20
 #: Bytes of text to a word, for the first estimate of the number of suffixes.
 WORD_BYTES = 6
-#: A prefix or anchor is overfull if it has more than this share of a task's entries.
-GROUP_SHARE = 0.25
+#: An anchor is overfull if it occurs more often than both this and one in ``OVERFULL_LIST`` of all anchors.
+OVERFULL, OVERFULL_LIST = 50_000, 1 << 20
+#: Of the anchors that a partition holds once, one in this many is counted, with that weight, to find the overfull ones.
+COUNTED = 16
 
-PACKED = "bucket int, keys binary, counts binary, at binary, hashes binary, sure boolean"
-
-
-def _depths(window: int) -> list[int]:
-    return [*[n for n in (1, 2, 4, 8, 16) if n < window], window]
+#: A document's key: two hashes of its id and text.
+KEY = np.dtype([("one", "<i8"), ("two", "<i4")])
+MARKS = "bucket int, keys binary, counts binary, at binary"
+ENTRIES = f"{MARKS}, hashes binary, sizes binary, words binary"
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -50,6 +52,12 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield part, [x.encode() if x else b"" for x in part.column("text").to_pylist()]
 
 
+def _keys(part: pa.RecordBatch) -> np.ndarray:
+    keys = np.empty(part.num_rows, KEY)
+    keys["one"], keys["two"] = np.asarray(part.column("one")), np.asarray(part.column("two"))
+    return keys
+
+
 def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Which values are in a sorted table."""
     if not len(table):
@@ -66,87 +74,100 @@ def _anchors(words: Words, window: int, k: int) -> tuple[np.ndarray, np.ndarray]
     return starts, sliding_argmin(grams, window - k + 1)[starts]
 
 
-def _overfull(window: int, k: int, share: float):
-    """Local counts of prefixes (level 0, 1, ...) and anchors (level -1) that hold more than ``share`` / 2 of a run of
-    texts, and the numbers of suffixes (level -2) and anchors (level -3)."""
+def _counts(window: int, k: int):
+    """``(value, n)``: how often a partition has an anchor, all that it has twice or more and a weighted share of the others; the number of windows beside a null value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, windows = [np.empty(0, np.uint64)], 0
         for _, texts in _texts(batches):
             words = Words(texts)
             starts, anchor = _anchors(words, window, k)
-            anchor = np.unique(anchor)
-            levels, values, counts = [-2, -3], [0, 0], [len(starts), len(anchor)]
-
-            def common(level: int, hashes: np.ndarray, least: float) -> np.ndarray:
-                found, at, n = np.unique(hashes, return_inverse=True, return_counts=True)
-                many = n > max(least, 8)
-                levels.extend([level] * int(many.sum()))
-                values.extend(found[many].view(np.int64).tolist())
-                counts.extend(n[many].tolist())
-                return many[at]
-
-            common(-1, words.grams(anchor, k), len(anchor) * share / 2)
-            left, least = starts, len(starts) * share / 2
-            for level, depth in enumerate(_depths(window)):
-                left = left[common(level, words.grams(left, depth, second=True), least)]
-            yield pa.record_batch([pa.array(levels, pa.int32()), pa.array(values, pa.int64()), pa.array(counts, pa.int64())], names=["level", "value", "n"])
+            found.append(words.grams(np.unique(anchor), k))
+            windows += len(starts)
+        values, n = np.unique(np.concatenate(found), return_counts=True)
+        picked = mixed(values ^ np.uint64(TaskContext.get().partitionId())) % np.uint64(COUNTED) == 0
+        kept, n = (n > 1) | picked, np.where(n > 1, n, COUNTED)
+        values = [None, *values[kept].view(np.int64).tolist()]
+        yield pa.record_batch([pa.array(values, pa.int64()), pa.array([windows, *n[kept].tolist()], pa.int64())], names=["value", "n"])
 
     return run
 
 
-def _packed(keys: np.ndarray, at: np.ndarray, hashes: np.ndarray, bucket: np.ndarray, sure: bool) -> pa.RecordBatch:
-    """One row for each bucket: the keys of documents (in runs, with counts), positions in them, and hashes."""
+def _grouped(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, rows) of each bucket."""
     order = np.argsort(bucket, kind="stable")
     found, begin = np.unique(bucket[order], return_index=True)
-    cells: list[list[bytes]] = [[], [], [], []]
-    for b, e in zip(begin, [*begin[1:], len(order)]):
-        rows = order[b:e]
-        own = keys[rows]
-        change = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        for cell, x in zip(cells, (own[change], np.diff(np.r_[change, len(own)]).astype(np.int32), at[rows].astype(np.int32), hashes[rows])):
-            cell.append(x.tobytes())
-    return pa.record_batch([pa.array(found.astype(np.int32)), *[pa.array(c, pa.binary()) for c in cells], pa.array([sure] * len(found), pa.bool_())], names=["bucket", "keys", "counts", "at", "hashes", "sure"])
-
-
-def _emit(words: Words, keys: np.ndarray, at: np.ndarray, hashes: np.ndarray, route: np.ndarray, sure: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    doc = words.doc[at]
-    own, local = keys[doc], at - words.first[doc]
-    split = mixed(route) % np.uint64(buckets)
-    if (~sure).any():
-        yield _packed(own[~sure], local[~sure], hashes[~sure], split[~sure], False)
-    if sure.any():
-        yield _packed(own[sure], local[sure], np.zeros(int(sure.sum()), np.uint8), mixed(own[sure].view(np.uint64)) % np.uint64(buckets), True)
-
-
-def _anchor_entries(window: int, k: int, hot: np.ndarray, buckets: int):
+    for b, rows in zip(found.tolist(), np.split(order, begin[1:])):
+        yield b, rows
+
+
+def _packed(keys: np.ndarray, at: np.ndarray, bucket: np.ndarray, hashes: np.ndarray | None = None, leaves: list[bytes] | None = None) -> pa.RecordBatch:
+    """One row for each bucket: the keys of documents (in runs, with counts), positions in them, and for entries their hashes and words.
+
+    Entries without a hash are settled: their positions only go back to their documents."""
+    rows: list[tuple] = []
+    for b, own in _grouped(bucket):
+        k = keys[own]
+        change = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        cells = [k[change].tobytes(), np.diff(np.r_[change, len(k)]).astype(np.int32).tobytes(), at[own].astype(np.int32).tobytes(), None, None, None]
+        if hashes is not None:
+            cells[3] = hashes[own].tobytes()
+        if leaves is not None:
+            some = [leaves[i] for i in own.tolist()]
+            cells[4:] = np.fromiter(map(len, some), np.int32, len(some)).tobytes(), b"".join(some)
+        rows.append((b, *cells))
+    columns = list(zip(*rows)) or [()] * 7
+    return pa.record_batch([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "keys", "counts", "at", "hashes", "sizes", "words"])
+
+
+def _bucket(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return (mixed(hashes.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+
+
+def _anchor_entries(window: int, k: int, overfull: np.ndarray, buckets: int):
+    """Anchors with the places where they are. Overfull ones are known to occur elsewhere: they are settled, not gathered."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _texts(batches):
             words = Words(texts)
             at = np.unique(_anchors(words, window, k)[1])
-            hashes = words.grams(at, k)
-            yield from _emit(words, np.asarray(part.column("key")), at, hashes, hashes, _among(hashes, hot), buckets)
+            hashes, doc = words.grams(at, k), words.doc[at]
+            keys, local, settled = _keys(part)[doc], at - words.first[doc], _among(hashes, overfull)
+            yield _packed(keys[~settled], local[~settled], _bucket(hashes[~settled], buckets), hashes[~settled])
+            yield _packed(keys[settled], local[settled], _bucket(keys["one"][settled], buckets))
 
     return run
 
 
-def _suffix_entries(window: int, k: int, overfull: list[np.ndarray], buckets: int):
+def _repeated_anchors(parts: int):
+    """The places of anchors that occur more than once, packed by the partition of documents they go back to."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _texts(batches):
-            words = Words(texts)
-            again = _marked(part.column("found"), words)
-            starts, anchor = _anchors(words, window, k)
-            starts = starts[again[anchor]]
-            route, left = np.zeros(len(starts), np.uint64), np.arange(len(starts))
-            for depth, full in zip(_depths(window), overfull):  # the shortest prefix that is not overfull
-                route[left] = words.grams(starts[left], depth, second=True)
-                left = left[_among(route[left], full)]
-            sure = np.zeros(len(starts), bool)
-            sure[left] = True  # overfull at full depth
-            yield from _emit(words, np.asarray(part.column("key")), starts, words.grams(starts, window), route, sure, buckets)
+        keys, at, hashes = [np.empty(0, KEY)], [np.empty(0, np.int32)], [np.empty(0, np.uint64)]
+        for batch in batches:
+            for own, places, h, _, _ in _entries(batch):
+                if h is None:
+                    yield _packed(own, places, _bucket(own["one"], parts))
+                else:
+                    keys.append(own)
+                    at.append(places)
+                    hashes.append(h)
+        hashes = np.concatenate(hashes)
+        order = np.argsort(hashes)
+        same = hashes[order][1:] == hashes[order][:-1]
+        rows = order[np.r_[False, same] | np.r_[same, False]] if len(order) else order
+        yield _packed(own := np.concatenate(keys)[rows], np.concatenate(at)[rows], _bucket(own["one"], parts))
 
     return run
 
 
+def _entries(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """(keys, positions, hashes or None, sizes or None, words or None) of each row."""
+    for k, n, p, h, s, w in zip(*(batch.column(c).to_pylist() for c in ("keys", "counts", "at", "hashes", "sizes", "words"))):
+        own = np.repeat(np.frombuffer(k, KEY), np.frombuffer(n, np.int32))
+        yield own, np.frombuffer(p, np.int32), None if h is None else np.frombuffer(h, np.uint64), None if s is None else np.frombuffer(s, np.int32), w
+
+
 def _marked(found: pa.Array, words: Words) -> np.ndarray:
     """Words of a run of texts at the positions found for each text."""
     marks = np.zeros(len(words) + 1, bool)
@@ -155,115 +176,212 @@ def _marked(found: pa.Array, words: Words) -> np.ndarray:
     return marks
 
 
-def _repeats(parts: int):
-    """Build the subtree of each group of one partition and report the suffixes below its deep internal nodes, packed by
-    the partition of documents they go back to."""
+def _suffix_entries(window: int, k: int, overfull: np.ndarray, buckets: int):
+    """The suffixes whose anchors occur elsewhere, in leaves: neighbours of one group with one copy of their words.
+
+    A leaf whose words the partition has seen is settled, and so is the one seen first, which alone is gathered: so many
+    copies of a leaf cost no more than one for each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, at, hashes, done = [], [], [], ([], [])
-        for batch in batches:
-            for k, n, p, h, sure in zip(*(batch.column(c).to_pylist() for c in ("keys", "counts", "at", "hashes", "sure"))):
-                own = np.repeat(np.frombuffer(k, np.int64), np.frombuffer(n, np.int32))
-                if sure:
-                    done[0].append(own)
-                    done[1].append(np.frombuffer(p, np.int32))
+        seen: dict[bytes, tuple | None] = {}
+        for part, texts in _texts(batches):
+            words = Words(texts)
+            own = _keys(part)
+            starts, anchor = _anchors(words, window, k)
+            again = _marked(part.column("found"), words)[anchor]
+            starts, anchor = starts[again], anchor[again]
+            full = _among(words.grams(anchor, k), overfull)
+            # a leaf is a run of windows with one anchor, or a single window where that is overfull
+            head = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | full[1:]]) if len(starts) else np.empty(0, np.int64)
+            first, last = starts[head], starts[np.r_[head[1:], len(starts)] - 1] if len(starts) else starts
+            hashes = np.where(full[head], words.grams(first, window), words.grams(anchor[head], k))
+            doc = words.doc[first]
+            local = first - words.first[doc]
+            new, leaves, old = [], [], []
+            for i, (b, e) in enumerate(zip(words.begin[first].tolist(), words.end[last + window - 1].tolist())):
+                leaf = words.data[b:e]
+                if leaf not in seen:
+                    seen[leaf] = (own[doc[i]], local[i], last[i] - first[i] + 1)
+                    new.append(i)
+                    leaves.append(leaf)
                 else:
-                    keys.append(own)
-                    at.append(np.frombuffer(p, np.int32))
-                    hashes.append(np.frombuffer(h, np.uint64))
-        if keys:
-            order = np.argsort(hashes := np.concatenate(hashes))
-            leaf = hashes[order]
-            same = leaf[1:] == leaf[:-1]  # neighbours below one deep node
-            rows = order[np.r_[False, same] | np.r_[same, False]]
-            done[0].append(np.concatenate(keys)[rows])
-            done[1].append(np.concatenate(at)[rows])
-        if done[0]:
-            keys, at = np.concatenate(done[0]), np.concatenate(done[1])
-            order = np.lexsort((at, keys))
-            keys, at = keys[order], at[order]
-            yield _packed(keys, at, np.zeros(len(keys), np.uint8), mixed(keys.view(np.uint64)) % np.uint64(parts), True)
+                    old.append((own[doc[i]], local[i], last[i] - first[i] + 1))
+                    if seen[leaf] is not None:
+                        old.append(seen[leaf])
+                        seen[leaf] = None
+            new = np.array(new, np.int64)
+            yield _packed(own[doc[new]], local[new], _bucket(hashes[new], buckets), hashes[new], leaves)
+            if old:
+                n = np.array([x[2] for x in old])
+                keys = np.repeat(np.array([x[0] for x in old], KEY), n)
+                at = _runs(np.array([x[1] for x in old]), n)
+                yield _packed(keys, at, _bucket(keys["one"], buckets))
+
+    return run
+
+
+def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``n`` consecutive numbers from each first one."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def window_ranks(codes: np.ndarray, window: int) -> np.ndarray:
+    """The place of each run of ``window`` codes in their lexicographic order, equal for equal runs, by doubling the compared length."""
+    rank, have = codes.astype(np.int64), 1
+    while have < window:
+        step = min(have, window - have)
+        rank = np.unique(rank[:-step] * (int(rank.max()) + 1) + rank[step:], return_inverse=True)[1]
+        have += step
+    return rank
+
+
+def subtree(leaves: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The suffixes of some leaves in the order of their words: (leaf, place in it, deep node).
+
+    Suffixes with one node number lie below one internal node of the suffix tree at depth ``window`` or deeper; -1
+    marks those that branch off above. Words are compared as bytes, by their rank among the words of the leaves."""
+    split = [x.split() for x in leaves]
+    lengths = np.fromiter(map(len, split), np.int64, len(split))
+    flat = [w for x in split for w in x]
+    names = {w: i for i, w in enumerate(sorted(set(flat)))}
+    n = np.maximum(lengths - window + 1, 0)
+    leaf, place = np.repeat(np.arange(len(leaves)), n), _runs(np.zeros(len(leaves), np.int64), n)
+    if not len(leaf):
+        return leaf, place, leaf
+    rank = window_ranks(np.fromiter(map(names.__getitem__, flat), np.int64, len(flat)), window)
+    rank = rank[(np.cumsum(lengths) - lengths)[leaf] + place]
+    order = np.argsort(rank, kind="stable")
+    rank = rank[order]
+    same = rank[1:] == rank[:-1]
+    node = np.cumsum(np.r_[True, ~same]) - 1
+    return leaf[order], place[order], np.where(np.r_[False, same] | np.r_[same, False], node, -1)
+
+
+def _repeats(window: int, parts: int):
+    """Build the trees of one partition's groups and report the suffixes below their deep internal nodes, packed by the
+    partition of documents they go back to."""
+
+    def settle(keys: np.ndarray, at: np.ndarray, leaves: list[bytes]) -> pa.RecordBatch:
+        first = {x: i for i, x in enumerate(dict.fromkeys(leaves))}
+        kind = np.fromiter(map(first.__getitem__, leaves), np.int64, len(leaves))
+        leaf, place, node = subtree(list(first), window)
+        n = np.bincount(leaf, minlength=len(first))
+        begin = np.cumsum(n) - n
+        deep = np.zeros(len(leaf), bool)
+        deep[begin[leaf] + place] = node >= 0
+        deep |= np.repeat(np.bincount(kind, minlength=len(first)) > 1, n)  # the leaf as a whole is there more than once
+        mark = deep[_runs(begin[kind], n[kind])]
+        own, places = np.repeat(keys, n[kind])[mark], _runs(at.astype(np.int64), n[kind])[mark]
+        return _packed(own, places, _bucket(own["one"], parts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, at, hashes, leaves = [np.empty(0, KEY)], [np.empty(0, np.int32)], [np.empty(0, np.uint64)], []
+        for batch in batches:
+            for own, places, h, sizes, words in _entries(batch):
+                if h is None:
+                    yield _packed(own, places, _bucket(own["one"], parts))
+                    continue
+                keys.append(own)
+                at.append(places)
+                hashes.append(h)
+                ends = np.cumsum(sizes).tolist()
+                leaves += [words[b:e] for b, e in zip([0, *ends], ends)]
+        keys, at, hashes = np.concatenate(keys), np.concatenate(at), np.concatenate(hashes)
+        order = np.argsort(hashes, kind="stable")
+        begin = np.flatnonzero(np.r_[True, hashes[order][1:] != hashes[order][:-1]]) if len(order) else order
+        size = np.cumsum(np.fromiter((len(leaves[i]) for i in order.tolist()), np.int64, len(order)))
+        low = 0
+        while low < len(begin):  # whole groups together
+            base = size[begin[low] - 1] if begin[low] else 0
+            high = max(low + 1, int(np.searchsorted(size[np.r_[begin[1:], len(order)] - 1], base + SORT_BYTES, side="right")))
+            rows = order[begin[low] : begin[high] if high < len(begin) else len(order)]
+            yield settle(keys[rows], at[rows], [leaves[i] for i in rows.tolist()])
+            low = high
 
     return run
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each document of a partition: its key and the positions that all subtrees reported."""
-    keys, at = [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+    """One row for each document of a partition: its key and the positions that all groups reported."""
+    keys, at = [np.empty(0, KEY)], [np.empty(0, np.int32)]
     for batch in batches:
-        for k, n, p in zip(*(batch.column(c).to_pylist() for c in ("keys", "counts", "at"))):
-            keys.append(np.repeat(np.frombuffer(k, np.int64), np.frombuffer(n, np.int32)))
-            at.append(np.frombuffer(p, np.int32))
+        for own, places, *_ in _entries(batch):
+            keys.append(own)
+            at.append(places)
     keys, at = np.concatenate(keys), np.concatenate(at)
-    order = np.lexsort((at, keys))
+    order = np.lexsort((at, keys["two"], keys["one"]))
     keys, at = keys[order], at[order]
     begin = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
     ends = [*begin[1:], len(keys)]
     for lo in range(0, len(begin), 5_000):
-        cells = pa.array([at[b:e].tobytes() for b, e in zip(begin[lo : lo + 5_000], ends[lo : lo + 5_000])], pa.binary())
-        yield pa.record_batch([pa.array(keys[begin[lo : lo + 5_000]]), cells], names=["key", "found"])
+        some = begin[lo : lo + 5_000]
+        cells = pa.array([at[b:e].tobytes() for b, e in zip(some, ends[lo : lo + 5_000])], pa.binary())
+        yield pa.record_batch([pa.array(keys["one"][some]), pa.array(keys["two"][some]), cells], names=["one", "two", "found"])
+
+
+_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _kept(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total, removed, digest = [], [], []
+            total, removed, kept, spans = [], [], [], []
             for text, places in zip(batch.column("text"), batch.column("found").to_pylist()):
                 words = (text.as_py() or "").encode().split()
                 total.append(len(words))
+                own = []
                 if places:
                     starts = np.frombuffer(places, np.int32)
                     change = np.zeros(len(words) + 1, np.int32)
                     change[starts] += 1
                     change[starts + window] -= 1
-                    words = list(compress(words, (np.cumsum(change[:-1]) == 0).tolist()))
+                    gone = np.r_[False, np.cumsum(change[:-1]) > 0, False]
+                    edges = np.flatnonzero(gone[1:] != gone[:-1]).tolist()
+                    own = [{"start": s, "end": e} for s, e in zip(edges[::2], edges[1::2])]
+                    words = list(compress(words, (~gone[1:-1]).tolist()))
                 removed.append(total[-1] - len(words))
-                digest.append(hashlib.sha256(b" ".join(words)).hexdigest())
-            yield pa.record_batch([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+                kept.append(b" ".join(words).decode())
+                spans.append(own)
+            yield pa.record_batch([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept), pa.array(spans, _SPAN)], names=["doc_id", "n_words", "n_removed", "kept", "spans"])
 
     return run
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_words, n_removed, kept_sha256)``: each document without the words covered by a run of ``window``
-    words that also starts anywhere else in the input, in the same document or another one.
+    """``(doc_id, n_words, n_removed, kept, spans)``: each document without the words covered by a run of ``window``
+    words that also starts anywhere else in the input, in the same document or another one. ``kept`` is the words left,
+    joined by one space; ``spans`` lists the removed stretches (numbers of words, end exclusive).
 
     Words are runs of characters other than space and U+0009-U+000D, unchanged; all copies of a repeat go, as windows
-    are judged on the input. Null and empty texts have no words (the digest of an empty string). Null ids and repeated
-    rows are documents of their own, and repeated rows therefore lose all words in windows. Other columns are ignored.
-    An empty table gives an empty result. Word runs are compared by 64-bit hashes within groups that an independent
-    hash has formed.
+    are judged on the input. Null and empty texts have no words (``kept`` is empty). Null ids and repeated rows are
+    documents of their own, and repeated rows therefore lose all words in windows. Other columns are ignored. An empty
+    table gives an empty result.
+
+    A task holds the suffixes of some groups. A group has at most one leaf of each content for each partition of
+    documents, and groups of anchors that are overfull (found by a count over all documents; at most ``OVERFULL_LIST``
+    anchors, which is all that reaches the driver) are split by whole windows.
     """
     spark = docs.sparkSession
     base = shuffle_partitions(spark)
-    size = text_bytes(docs, text_col)
-    parts = max(base, size // TASK_BYTES)
+    parts = max(base, text_bytes(docs, text_col) // TASK_BYTES)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    # Rough sizes and the overfull prefixes and anchors: at most a few for each group that a task can hold.
-    share = GROUP_SHARE / max(base, size // (WORD_BYTES * TASK_ENTRIES))
-    found_common = source.select("text").mapInArrow(_overfull(window, anchor, share), "level int, value long, n long")
-    counted = checkpointed(found_common.groupBy("level", "value").agg(F.sum("n").alias("n")))
-    sizes = {r["level"]: r["n"] for r in counted.where("level < -1").collect()}
-    n_suffixes, n_anchors = sizes.get(-2, 0), sizes.get(-3, 0)
-    suffix_parts, anchor_parts = (max(base, n // TASK_ENTRIES) for n in (n_suffixes, n_anchors))
-    full = counted.where(((F.col("level") == -1) & (F.col("n") > GROUP_SHARE * n_anchors / anchor_parts)) | ((F.col("level") >= 0) & (F.col("n") > GROUP_SHARE * n_suffixes / suffix_parts)))
-    tables: dict[int, list[int]] = {}
-    for r in full.collect():  # at most partitions / GROUP_SHARE rows for each of a few levels
-        tables.setdefault(r["level"], []).append(r["value"])
-    sets = {level: np.sort(np.array(v, np.int64).view(np.uint64)) for level, v in tables.items()}
-    none = np.empty(0, np.uint64)
+    counted = checkpointed(source.select("text").mapInArrow(_counts(window, anchor), "value long, n long").groupBy("value").agg(F.sum("n").alias("n")))
+    windows = counted.where("value is null").agg(F.sum("n")).first()[0] or 0
+    least = max(OVERFULL, windows // (OVERFULL_LIST * 8))
+    overfull = [r["value"] for r in counted.where(F.col("value").isNotNull() & (F.col("n") > least)).orderBy(F.desc("n")).limit(OVERFULL_LIST).collect()]
+    overfull = np.sort(np.array(overfull, np.int64).view(np.uint64))
+    entry_parts = max(base, windows // TASK_WINDOWS)
 
     # One shuffle of the texts, which the three uses below share.
-    keyed = source.withColumn("key", F.xxhash64("doc_id", "text")).repartition(parts, "key")
-
-    def found(entries: DataFrame, n: int) -> DataFrame:
-        marks = entries.repartition(n, "bucket").mapInArrow(_repeats(parts), PACKED)
-        places = marks.repartition(parts, "bucket").mapInArrow(_gathered, "key long, found binary")
-        return keyed.join(places.hint("shuffle_hash"), "key", "left")
-
-    entries = keyed.mapInArrow(_anchor_entries(window, anchor, sets.get(-1, none), anchor_parts), PACKED)
-    suffixes = found(entries, anchor_parts).where("found is not null")
-    overfull = [sets.get(level, none) for level in range(len(_depths(window)))]
-    entries = suffixes.mapInArrow(_suffix_entries(window, anchor, overfull, suffix_parts), PACKED)
-    return found(entries, suffix_parts).select("doc_id", "text", "found").mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    keyed = source.withColumns({"one": F.xxhash64("doc_id", "text"), "two": F.hash("text", "doc_id")}).repartition(parts, "one", "two")
+
+    def found(entries: DataFrame, settle) -> DataFrame:
+        marks = entries.repartition(entry_parts, "bucket").mapInArrow(settle, ENTRIES)
+        places = marks.repartition(parts, "bucket").mapInArrow(_gathered, "one long, two int, found binary")
+        return keyed.join(places.hint("shuffle_hash"), ["one", "two"], "left")
+
+    entries = keyed.mapInArrow(_anchor_entries(window, anchor, overfull, entry_parts), ENTRIES)
+    suffixes = found(entries, _repeated_anchors(parts)).where("found is not null")
+    entries = suffixes.mapInArrow(_suffix_entries(window, anchor, overfull, entry_parts), ENTRIES)
+    return found(entries, _repeats(window, parts)).select("doc_id", "text", "found").mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:long,end:long>>")

@@ -43,11 +43,12 @@ _IN_WORD, _LONG, _SHORT = Rolling(0x9E3779B97F4A7C15), Rolling(0xC2B2AE3D27D4EB4
 class Words:
     """Hashes of all words of some texts, one after the other.
 
-    ``first[i]:first[i + 1]`` are the words of text i; words are runs of bytes outside ``space`` (by default the space
+    ``first[i]:first[i + 1]`` are the words of text i, ``data[begin[j]:end[j]]`` is word j; words are runs of bytes outside ``space`` (by default the space
     and 0x09-0x0D), which must hold the line feed and no part of a longer UTF-8 character."""
 
     def __init__(self, texts: list[bytes], space: np.ndarray = SPACE):
-        data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+        self.data = b"\n".join([*texts, b""])
+        data = np.frombuffer(self.data, np.uint8)
         inside = np.r_[False, ~space[data]]
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         self.begin, self.end = edges[::2], edges[1::2]

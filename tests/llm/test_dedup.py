@@ -121,19 +121,55 @@ def brute_kept(texts, window):
 def test_repeats_equal_brute_force(docs):
     rows = docs.collect()
     want = dict(zip([r.doc_id for r in rows], brute_kept([r.text for r in rows], 35)))
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(docs).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in substring_dedup.remove_repeats(docs).collect()}
     assert got == want and any(n for _, n, _ in got.values())
 
 
-@pytest.mark.parametrize("share", [0.25, 1e-9])
-def test_short_windows_and_overfull_prefixes(spark, monkeypatch, share):
-    """Self-overlapping repeats and runs of one word; with a tiny share every prefix and anchor seen often counts as overfull."""
-    monkeypatch.setattr(substring_dedup, "GROUP_SHARE", share)
+@pytest.mark.parametrize("overfull", [50_000, 0])
+def test_short_windows_and_overfull_anchors(spark, monkeypatch, overfull):
+    """Self-overlapping repeats and runs of one word; with a bound of zero every anchor counts as overfull that was counted."""
+    monkeypatch.setattr(substring_dedup, "OVERFULL", overfull)
     random = np.random.default_rng(2)
-    texts = [" ".join(random.choice(["a", "b", "c"], int(n))) for n in random.integers(0, 60, 40)] + ["a " * 50, "a " * 50, "x y z w " * 9, "", None, "é à " * 7, "a  b\t\na b"]
+    texts = [" ".join(random.choice(["a", "b", "c"], int(n))) for n in random.integers(0, 60, 40)] + ["a " * 50, "a " * 50, "x y z w " * 9, "", None, "é à " * 7, "a  b\t\na b"]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = [(r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(frame, window=6, anchor=3).orderBy("doc_id").collect()]
-    assert got == brute_kept(texts, 6)
+    rows = substring_dedup.remove_repeats(frame, window=6, anchor=3).orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in rows] == brute_kept(texts, 6)
+    for r, t in zip(rows, texts):
+        words = (t or "").encode().decode().split(" ") if t and "\t" not in t else None
+        if words:
+            words = [w for w in words if w]
+            gone = {i for s in r.spans for i in range(s.start, s.end)}
+            assert r.kept == " ".join(w for i, w in enumerate(words) if i not in gone)
+            assert all(a.end < b.start for a, b in zip(r.spans, r.spans[1:]))
+
+
+def thue_morse(n):
+    """Two words of n letters (a power of two, 1024 or more) that every polynomial hash modulo 2^64 takes for equal."""
+    bits = [i.bit_count() & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_equal_hashes_of_different_words_change_nothing(spark):
+    rest = " ".join(f"w{i}" for i in range(34))
+    one, two = thue_morse(4096)
+    words = Words([one.encode(), two.encode()])
+    assert words.hashes[0] == words.hashes[1]
+    frame = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, f"{one} {rest}x")], "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.remove_repeats(frame).collect()] == [0, 0, 0]
+
+
+def test_subtrees_order_suffixes_by_their_words():
+    """Suffixes below one deep node are those whose windows are equal."""
+    random = np.random.default_rng(3)
+    texts = [" ".join(random.choice(["aa", "bb", "cc"], int(n))).encode() for n in random.integers(5, 40, 30)]
+    leaf, place, node = substring_dedup.subtree(texts, 6)
+    assert len(leaf) == sum(max(0, len(t.split()) - 5) for t in texts)
+    runs = [tuple(texts[a].split()[b : b + 6]) for a, b in zip(leaf.tolist(), place.tolist())]
+    assert runs == sorted(runs)
+    seen = Counter(runs)
+    assert [n >= 0 for n in node.tolist()] == [seen[r] > 1 for r in runs]
+    for a, b, x, y in zip(node.tolist(), node.tolist()[1:], runs, runs[1:]):
+        assert (a == b and a >= 0) == (x == y)
 
 
 def test_odd_documents_lose_repeats(odd_docs, no_docs):
