@@ -1,6 +1,7 @@
 """Secret scan, decontamination, token counts, packing and media against brute force."""
 
 import hashlib
+import json
 import re
 import zlib
 
@@ -190,18 +191,42 @@ def test_token_counts_equal_brute_force(spark, odd_docs, no_docs, docs):
 TEXTS = ["", "a", "hello world, it's 1 day", "a  b", " lead", "trail ", "tab\tx", "line\nbreak\n\npara", "x\n y", "<|endoftext|> is text", "é è 漢字 😀😀", "don't stop", "a\x1fb c\x85d", "x" * 5000, "word " * 5000 + "end"]
 
 
-def test_words_tokenise_like_whole_texts():
-    cache, whole = packing.WordCache(BPE), Tokenizer.from_file(BPE)
+WHOLE = Tokenizer.from_file(BPE)
+WHOLE.encode_special_tokens = True
+
+
+def plain_ids(text):
+    whole = WHOLE
+    return np.asarray(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_texts_get_the_ids_of_the_file():
+    coder = packing.encoder(BPE)
+    assert coder.fast is not None
+    for text in [*TEXTS, " " * 300_000 + "x", "a" + "\n" * 999 + "b" + " " * 1000 + "c", "".join(f"a{chr(c)}b1{chr(c)}2 {chr(c)}." for c in range(0x3000))]:
+        assert coder.encode(text) == plain_ids(text)
+
+
+def test_all_documents_get_the_ids_of_the_file(docs):
+    coder, whole = packing.encoder(BPE), Tokenizer.from_file(BPE)
     whole.encode_special_tokens = True
-    for text in TEXTS:
-        assert cache.encode(text) == np.asarray(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    texts = [r.text or "" for r in docs.collect()]
+    for text, want in zip(texts, whole.encode_batch(texts, add_special_tokens=False)):
+        assert coder.encode(text) == np.asarray(want.ids, "<u4").tobytes()
+
+
+def test_other_files_go_through_their_own_library(tmp_path):
+    spec = json.loads(open(BPE, encoding="utf-8").read())
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(spec), encoding="utf-8")
+    coder, whole = packing.Encoder(str(tmp_path / "t.json")), Tokenizer.from_file(str(tmp_path / "t.json"))
+    assert coder.fast is None and coder.encode("ab cd") == np.asarray(whole.encode("ab cd", add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="ab1 \n\t.,'s é\x85\x1c", max_size=30))
-def test_any_text_tokenises_like_the_whole(text):
-    cache, whole = packing.word_cache(BPE), Tokenizer.from_file(BPE)
-    assert cache.encode(text) == np.asarray(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+@given(st.text(alphabet="ab1 \n\t.,'s é\x85\x1c", max_size=30))
+def test_any_text_gets_the_ids_of_the_file(text):
+    assert packing.encoder(BPE).encode(text) == plain_ids(text)
 
 
 def test_packing_round_trip(spark):
