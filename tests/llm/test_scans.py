@@ -116,9 +116,10 @@ def test_contamination_equals_brute_force():
         got[o, item] = min(e, got.get((o, item), e))
     want = {}
     for o, text in enumerate(texts):
-        for item, piece, most in zip(index.items, index.texts, index.edits):
+        for owners, piece, most in zip(index.owners, index.texts, index.edits):
             if (d := edit_distance(piece, text)) <= most:
-                want[o, item] = min(d, want.get((o, item), d))
+                for owner in owners:
+                    want[o, owner[0]] = min(d, want.get((o, owner[0]), d))
     assert got == want and len(want) > 8
 
 
@@ -139,9 +140,49 @@ def test_every_partial_quote_of_the_least_length_is_found():
     assert not D.passages([filler(200) for _ in range(3)], index)
 
 
+def placed(piece, text, most):
+    """Best place of a piece in a text, by the band that holds all of it."""
+    codes, first = D._joined([text])
+    n = np.array([len(text)])
+    edits, start, end = D.align([D._codes(piece)], codes, np.array([-len(piece)]), n + 1, np.zeros(1, np.int64), n, np.array([most]))
+    return (int(edits[0]), int(start[0]), int(end[0])) if edits[0] < D._FAR else None
+
+
 def test_alignment_places():
-    assert D.align("hello world", "say helo world now", 1) == (1, 4, 14)
-    assert D.align("hello", "zzzzz", 2) is None and D.align("abc", "xxabcxx", 0) == (0, 2, 5)
+    assert placed("hello world", "say helo world now", 1) == (1, 4, 14)
+    assert placed("hello", "zzzzz", 2) is None and placed("abc", "xxabcxx", 0) == (0, 2, 5)
+    random = np.random.default_rng(12)
+    for _ in range(200):
+        text, piece = ("".join(random.choice(list("abc"), int(n))) for n in (random.integers(1, 30), random.integers(1, 12)))
+        got, want = placed(piece, text, 12), edit_distance(piece, text)
+        assert got[0] == want and edit_distance(piece, text[got[1] : got[2]]) == want
+
+
+def test_all_repeats_and_short_items_are_found():
+    item = "the quick brown foxes 7"
+    index = D.build_index([(1, item), (2, "abc"), (3, "kept")])
+    text = f"{item} {item}, and {item}{'-' * 130}{item} abcd abc (kept)"
+    found = D.passages([text], index)
+    at = [i for i in range(len(text)) if text.startswith(item, i)]
+    assert [(s, t, e) for _, i, s, t, e in found if i == 1] == [(i, i + len(item), 0) for i in at] and len(at) == 4
+    assert [text[s:t] for _, i, s, t, _ in found if i in (2, 3)] == ["abc", "kept"]
+
+
+def test_frequent_grams_take_bounded_memory():
+    """A phrase in every benchmark item and all over a long text: hundreds of millions of pairs of places, nearly all of one q-gram."""
+    import tracemalloc
+
+    random = np.random.default_rng(6)
+    word = lambda: "".join(random.choice(list("abcdefghij"), 5))
+    filler = lambda n: " of the ".join(" ".join(word() for _ in range(10)) for _ in range(n))
+    items = [(i, filler(6)) for i in range(2000)]
+    index = D.build_index(items)
+    text = filler(15_000) + " " + items[7][1]
+    tracemalloc.start()
+    found = {i for _, i, *_ in D.passages([D.normalised(text)], index)}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 7 in found and peak < 1 << 30
 
 
 def test_odd_documents_and_benchmarks(spark, odd_docs, no_docs):
