@@ -13,13 +13,18 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step inside a Python worker handles at a time (one row may be longer).
 CHUNK_BYTES = 2 << 20
+#: Rows that such a step handles at most, however short they are.
+CHUNK_ROWS = 8192
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in ``spark.checkpoint.dir``; only where it is unset (tests), take a new local one."""
+    """Use the shared folder the cluster names in ``spark.checkpoint.dir``. Only a local session (tests) may leave it unset
+    and gets a new folder of its own; on a cluster a folder of one machine would not do, so that is an error."""
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 
@@ -46,8 +51,8 @@ def text_bytes(df: DataFrame, column: str) -> int:
     return df.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows with at most ``limit`` bytes of text each (one row at least)."""
+def slices(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of at most ``rows`` rows with at most ``limit`` bytes of text each (one row at least)."""
     if not batch.num_rows:
         return
     column = batch.column(batch.schema.get_field_index(text))
@@ -55,12 +60,12 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES)
     begin = 0
     while begin < batch.num_rows:
         base = ends[begin - 1] if begin else 0
-        end = max(begin + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        end = min(begin + rows, max(begin + 1, int(np.searchsorted(ends, base + limit, side="right"))))
         yield batch.slice(begin, end - begin)
         begin = end
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Label every node of ``edges(a, b)`` with the smallest node of its component: ``(node, root)``.
 
     Alternating large-star and small-star steps, each a min-aggregate and an equi-join, until no edge changes;
@@ -77,10 +82,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges, before = checkpointed(edges), None
-    for _ in range(max_rounds):
-        now = told(edges)
-        if now == before or not now[0]:
-            break
+    while (now := told(edges)) != before and now[0]:
         before = now
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = star(both, "v > u").where("a <> b").distinct()

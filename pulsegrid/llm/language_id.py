@@ -8,13 +8,13 @@ next one flags the document as ambiguous.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +31,9 @@ CLEAR_LEAD = 0.2
 LEAST_SCORE = 0.28
 #: Most classifiers in a code.
 MAX_BITS = 63
-_LETTER = re.compile(r"[^\W\d_]")
+#: Rows whose features are held at a time (25 kB each).
+ROWS = 1024
+_LETTER = regex.compile(r"\p{L}")
 
 
 def features(texts: list[str]) -> np.ndarray:
@@ -76,7 +78,7 @@ class Model:
     bias: np.ndarray
 
     def decide(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(class, probability, lead over the next class) for each row."""
+        """(class, probability, lead over the next class) for each row; of codewords equally near the first language by name."""
         margin = np.clip(x @ self.linear + self.bias, -8, 8)
         loss = np.stack([np.log1p(np.exp(-margin * c)) @ w for c, w in zip(self.code, self.weight)], axis=1)
         likely = np.exp(-4 * (loss - loss.min(axis=1, keepdims=True)))
@@ -107,25 +109,32 @@ def fit(x: np.ndarray, languages: list[str], steps: int = 250, rate: float = 0.5
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, rows=ROWS):
             x = features([t or "" for t in part.column("text").to_pylist()]).astype(np.float16)
             yield pa.record_batch([part.column("lang"), part.column("order"), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "order", "x"])
 
 
 def learn(docs: DataFrame, train: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> Model | None:
-    """Fit on at most ``max_rows`` rows with a language and a letter that ``train`` selects, as many of each language, picked by a hash.
-
-    None if there is no such row."""
+    """Fit on at most ``max_rows`` rows with a language and a letter that ``train`` selects, as many of each language,
+    picked by a hash of id and text; repeated rows count once. A language of which the hash picks too few is picked from
+    with a wider range of hashes, up to all its rows. None if there is no such row."""
     labelled = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     labelled = labelled.where(F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count")).limit(max_rows).collect()}
     if not counts:
         return None
     each = max(1, max_rows // len(counts))
-    rates = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, 1.2 * each / n))])
-    picked = labelled.withColumn("order", F.xxhash64("doc_id", "text")).where((F.col("order") / F.lit(2.0**64) + 0.5) <= rates[F.col("lang")])
+    ordered = labelled.withColumn("order", F.xxhash64("doc_id", "text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
-    rows = picked.mapInArrow(_featured, "lang string, order long, x binary").withColumn("rank", rank).where(F.col("rank") <= each).orderBy("lang", "order").collect()
+    rates, found = {lang: min(1.0, 1.2 * each / n) for lang, n in counts.items()}, {}
+    while rates:
+        bound = F.create_map(*[F.lit(v) for pair in rates.items() for v in pair])[F.col("lang")]
+        picked = ordered.where(F.col("order") / F.lit(2.0**64) + 0.5 <= bound).dropDuplicates(["lang", "order"])
+        picked = picked.withColumn("rank", rank).where(F.col("rank") <= each).drop("rank").mapInArrow(_featured, "lang string, order long, x binary")
+        for r in picked.collect():  # at most max_rows
+            found.setdefault(r["lang"], {})[r["order"]] = r
+        rates = {lang: min(1.0, 8 * rate) for lang, rate in rates.items() if rate < 1 and len(found.get(lang, ())) < each // 4}
+    rows = [found[lang][o] for lang in sorted(found) for o in sorted(found[lang])]
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32)
     return fit(x, [r["lang"] for r in rows])
 
@@ -133,7 +142,7 @@ def learn(docs: DataFrame, train: Column, lang_col: str = "lang", id_col: str =
 def _predict(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, rows=ROWS):
                 texts = part.column("text").to_pylist()
                 known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if model else []
                 names, score, ambiguous = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
@@ -150,7 +159,7 @@ def _predict(model: Model | None):
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, lang_pred, score, ambiguous)`` for every row: the language of each whole text.
 
-    Null texts, texts without a letter and all texts where nothing could be learned give ``und`` with score 0. Null ids
+    Null texts, texts without a letter (Unicode L) and all texts where nothing could be learned give ``und`` with score 0. Null ids
     and repeated rows are kept as they are; other columns are ignored; an empty table gives an empty result.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -160,7 +169,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 def _kept(model: Model, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, rows=ROWS):
                 texts = part.column("text").to_pylist()
                 keep = np.array([bool(t and _LETTER.search(t)) for t in texts])
                 if keep.any():

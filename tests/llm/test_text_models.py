@@ -43,6 +43,31 @@ def test_language_of_odd_documents(odd_docs, no_docs, docs):
     assert language_id.learn(odd_docs, F.lit(True)).languages == ["de", "en"]
 
 
+def test_repeated_rows_and_letters(spark):
+    rows = [(1, "one and the same text", "en")] * 3000 + [(2, "un texto", "es"), (3, "½ ² ٣ 12", "xx"), (4, "ʰ", None), (5, "漢字", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(frame, F.lit(True))
+    assert model.languages == ["en", "es"]
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(frame, model).collect()}
+    assert got[1] == "en" and got[2] == "es" and got[3] == "und" and got[4] != "und" and got[5] != "und"
+
+
+def test_decoding_equals_a_plain_one():
+    random = np.random.default_rng(3)
+    texts = ["".join(random.choice(list(letters), 60)) for letters in ("abc ", "cde ", "efg ", "gha ", "bdf ") for _ in range(20)]
+    names = [x for x in "pqrst" for _ in range(20)]
+    x = language_id.features(texts)
+    model = language_id.fit(x, names, steps=60)
+    found, score, lead = model.decide(x)
+    for row, k, p, d in zip(x, found, score, lead):
+        margin = [min(8.0, max(-8.0, float(row @ model.linear[:, b] + model.bias[b]))) for b in range(model.code.shape[1])]
+        loss = [sum(float(w) * np.log1p(np.exp(-m * c)) for m, c, w in zip(margin, code, weight)) for code, weight in zip(model.code, model.weight)]
+        likely = np.exp(-4 * (np.array(loss) - min(loss)))
+        likely /= likely.sum()
+        assert k == int(np.argmin(loss)) and abs(p - likely[k]) < 1e-3 and abs(d - (likely[k] - sorted(likely)[-2])) < 1e-3
+    assert np.mean([names[i] == model.languages[k] for i, k in enumerate(found)]) > 0.95
+
+
 def test_toxicity_of_held_out_documents(spark):
     labels = spark.read.parquet(f"{MIDDLE}/labels.parquet")
     rows = QUERIES["op3_toxicity"](spark, MIDDLE).where("held_out").join(labels, "doc_id").collect()
