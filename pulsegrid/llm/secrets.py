@@ -2,15 +2,16 @@
 
 Strong findings (assigned passwords and tokens, access key ids, long hex strings) stand by themselves. Weak parts
 (account identifiers, opaque strings, endpoints) are credentials only together: an interval join of the parts of a
-document, as a sweep of range windows over their positions, reports a weak part when its complements lie in its scope.
+document, as one sweep over their starts and ends, reports a weak part when its complements lie in its scope.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -22,7 +23,7 @@ from .common import checkpointed
 #: Names of the span kinds, in the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "identifier", "opaque", "endpoint")
 ASSIGN, ACCESS, HEX, IDENTIFIER, OPAQUE, ENDPOINT = range(len(KINDS))
-#: Parts whose starts are at most so many code points apart share a scope.
+#: A part's scope reaches so many code points beyond its start and its end.
 SCOPE = 200
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -30,7 +31,7 @@ _ASSIGN_HINTS = ("passw", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run that is too short holds no long enough one either
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _IDENTIFIER = re.compile(
-    r"""\b(?:user(?:_?name|_?id)?|login|account(?:_?id|_?name)?|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}|[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+""", re.I | re.A
+    r"""\b(?:user(?:_?name|_?id)?|login|account(?:_?id|_?name)?|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+""", re.I | re.A
 )
 _IDENTIFIER_HINTS = ("@", "user", "login", "account", "client", "access")
 _OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[0-9])(?=[A-Za-z0-9+/_=-]*[a-z])(?=[A-Za-z0-9+/_=-]*[A-Z])[A-Za-z0-9+/_=-]{16,}")
@@ -99,12 +100,18 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def link_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """The weak parts of ``parts(row_id, start, kind, end)`` whose complements start within ``scope`` code points:
-    an identifier or opaque string beside its opposite (a strong secret or access key id counts), and an endpoint
-    beside both. One pass over the positions of each document; no pairs are formed."""
-    near = Window.partitionBy("row_id").orderBy("start").rangeBetween(-scope, scope)
-    has = lambda *kinds: F.max(F.col("kind").isin(*kinds).cast("int")).over(near) == 1
-    seen = parts.withColumns({"named": has(IDENTIFIER, ACCESS), "secret": has(ASSIGN, HEX, OPAQUE)})
+    """The weak parts of ``parts(row_id, start, kind, end)`` in whose scope (``scope`` code points before their start
+    to as many behind their end) a complement lies in part or in whole: an identifier or opaque string beside its
+    opposite (a strong secret or access key id counts), and an endpoint beside both.
+
+    The interval join is one sweep over each document: of the parts that begin up to the end of a scope, one lies in
+    it if the furthest end among them reaches the scope's begin. No pairs are formed."""
+    opened = parts.withColumns({"at": F.col("start"), "asks": F.lit(0)})
+    asked = parts.where(F.col("kind").isin(IDENTIFIER, OPAQUE, ENDPOINT)).withColumns({"at": F.col("end") + scope, "asks": F.lit(1)})
+    sweep = Window.partitionBy("row_id").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = lambda *kinds: F.max(F.when((F.col("asks") == 0) & F.col("kind").isin(*kinds), F.col("end"))).over(sweep)
+    seen = opened.unionByName(asked).withColumns({"named": reach(IDENTIFIER, ACCESS), "secret": reach(ASSIGN, HEX, OPAQUE)}).where("asks = 1")
+    seen = seen.withColumns({c: F.coalesce(F.col(c) >= F.col("start") - scope, F.lit(False)) for c in ("named", "secret")})
     kind = F.col("kind")
     kept = ((kind == IDENTIFIER) & F.col("secret")) | ((kind == OPAQUE) & F.col("named")) | ((kind == ENDPOINT) & F.col("named") & F.col("secret"))
     return seen.where(kept).select("row_id", "start", "kind", "end")
@@ -130,14 +137,17 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", te
 
 def linked(base: list[tuple[int, int, int]], weak: list[tuple[int, int, int]], scope: int = SCOPE) -> list[tuple[int, int, int]]:
     """All findings of one text, in order: the strong ones and the weak parts that ``link_parts`` reports."""
-    named = sorted(s for s, k, _ in [*base, *weak] if k in (IDENTIFIER, ACCESS))
-    secret = sorted(s for s, k, _ in [*base, *weak] if k in (ASSIGN, HEX, OPAQUE))
 
-    def near(starts: list[int], s: int) -> bool:
-        i = bisect_left(starts, s - scope)
-        return i < len(starts) and starts[i] <= s + scope
+    def sweep(*kinds: int) -> tuple[list[int], list[int]]:
+        spans = sorted((s, e) for s, k, e in [*base, *weak] if k in kinds)
+        return [s for s, _ in spans], list(accumulate((e for _, e in spans), max))
 
-    kept = [(s, k, e) for s, k, e in weak if (k == IDENTIFIER or near(named, s)) and (k == OPAQUE or near(secret, s))]
+    def near(of: tuple[list[int], list[int]], s: int, e: int) -> bool:
+        i = bisect_right(of[0], e + scope)
+        return i > 0 and of[1][i - 1] >= s - scope
+
+    named, secret = sweep(IDENTIFIER, ACCESS), sweep(ASSIGN, HEX, OPAQUE)
+    kept = [(s, k, e) for s, k, e in weak if (k == IDENTIFIER or near(named, s, e)) and (k == OPAQUE or near(secret, s, e))]
     return sorted(base + kept)
 
 

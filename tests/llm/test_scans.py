@@ -51,7 +51,7 @@ def plain_spans(text, scope=200):
     parts = secrets.weak_parts(text, base)
     kept = []
     for s, k, e in parts:
-        near = {q for p, q, _ in [*base, *parts] if abs(p - s) <= scope}
+        near = {q for p, q, t in [*base, *parts] if p <= e + scope and t >= s - scope and (p, q, t) != (s, k, e)}
         named, secret = bool(near & {1, 3}), bool(near & {0, 2, 4})
         if (k == 3 and secret) or (k == 4 and named) or (k == 5 and named and secret):
             kept.append((s, k, e))
@@ -74,6 +74,25 @@ def test_scan_equals_brute_force(spark):
     assert secrets.scan_secrets(frame.limit(0)).count() == 0
 
 
+def test_scopes_are_intervals():
+    """A long part that begins before a scope but reaches into it counts, and so does one that begins close behind a long part."""
+    long = "https://h.example/" + "p" * 400
+    for text in (f"Ab1Cd2Ef3Gh4Ij5Kl6{'Zz9' * 100} login: carol", f"login: carol {long} Ab1Cd2Ef3Gh4Ij5Kl6", f"{long}{' ' * 150}secret=hunter22 login: carol"):
+        base = secrets.base_spans(text)
+        found = secrets.listed(secrets.linked(base, secrets.weak_parts(text, base)))
+        assert found == plain_spans(text)
+    assert "opaque" in plain_spans(f"Ab1Cd2Ef3Gh4Ij5Kl6{'Zz9' * 100} login: carol") and "endpoint" in found
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    for text in ("user " + "a" * 1_000_000, "login: x " + "aB1" * 400_000, "user " + "a@" * 300_000, "password" + " " * 1_000_000, "user " + "jdbc:" * 200_000):
+        secrets.weak_parts(text, secrets.base_spans(text))
+    assert time.perf_counter() - began < 20
+
+
 def test_redaction_leaves_no_finding(spark):
     frame = spark.createDataFrame([(i, t, 5, len(t)) for i, t in enumerate(CASES)] + [(99, None, 5, None)], "doc_id long, text string, found int, n_chars long")
     out = {r.doc_id: r for r in secrets.redact(frame).collect()}
