@@ -32,8 +32,10 @@ SEED = 42
 GOLAY = 0b101011100011
 #: Extra distance, beyond the covering radius, up to which a fingerprint is replicated.
 REACH = 2
-#: Groups of one anchor with more fingerprints than this are linked by expanding from pivots, not by comparing all pairs.
+#: Groups with more fingerprints than this are linked by expanding from pivots, not by comparing all pairs.
 PAIRWISE = 64
+#: (first bit, bits) of four parts of the bits that no anchor tells apart: two linked fingerprints agree in one of them.
+PARTS = ((46, 4), (50, 4), (54, 5), (59, 5))
 #: Replicas that one reducing task is meant to hold (12 bytes each).
 TASK_ENTRIES = 4_000_000
 
@@ -160,9 +162,13 @@ def links(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.diff(np.r_[starts, len(keys)])
     a, b = [], []
     for s, n in zip(starts[sizes > PAIRWISE], sizes[sizes > PAIRWISE]):
-        x, y = _expand(fps[s : s + n])
-        a.append(x)
-        b.append(y)
+        for first, bits in PARTS:  # large groups fall apart by the bits that the anchor leaves open
+            value = fps[s : s + n] >> np.uint64(first) & np.uint64((1 << bits) - 1)
+            order = np.argsort(value, kind="stable")
+            for own in np.split(fps[s : s + n][order], np.flatnonzero(np.diff(value[order].astype(np.int64))) + 1):
+                x, y = _expand(own)
+                a.append(x)
+                b.append(y)
     small = np.repeat((sizes > 1) & (sizes <= PAIRWISE), sizes)
     keys, fps = keys[small], fps[small]
     for step in range(1, PAIRWISE):

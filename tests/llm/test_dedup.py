@@ -76,8 +76,9 @@ def test_pairs_in_threshold_share_an_anchor(x, flips):
 def test_dense_groups_link_like_brute_force():
     random = np.random.default_rng(5)
     base = random.integers(0, 2**63, 4, np.uint64)
-    fps = np.unique(np.concatenate([b ^ (np.uint64(1) << random.integers(0, 12, 60).astype(np.uint64)) ^ (np.uint64(1) << random.integers(0, 12, 60).astype(np.uint64)) for b in base]))
+    fps = np.unique(np.concatenate([b ^ (np.uint64(1) << random.integers(0, 12, 60).astype(np.uint64)) ^ (np.uint64(1) << random.integers(40, 64, 60).astype(np.uint64)) for b in base]))
     a, b = simhash.links(np.zeros(len(fps), np.int32), fps)
+    assert len(fps) > simhash.PAIRWISE
     rows = [(i, int(f)) for i, f in enumerate(fps)]
     parent = {int(f): int(f) for f in fps}
 
