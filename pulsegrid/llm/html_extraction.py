@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,10 +30,12 @@ TRAIN_CHARS = 100_000
 PATH_DIMS = 96
 WORD_DIMS = 32
 HIDDEN = 24
+#: Open elements, from the innermost on, that make a block's path.
+DEPTH = 48
 WIDTH = PATH_DIMS + WORD_DIMS + 8
 
 _TOKEN = re.compile(
-    r"""<(?P<raw>script|style)(?=[\s/>])(?:(?:[^>]*["'\s])?/>|[^>]*>.*?(?:</(?P=raw)\s*>|\Z))|<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?/][^>]*>""", re.S | re.I
+    r"""<(?P<raw>script|style)(?=[\s/>])(?:(?:[^<>]*["'\s])?/>|[^<>]*+>.*?(?:</(?P=raw)\s*+>|\Z))|<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<attrs>(?:"[^"]*+"|'[^']*+'|[^'"<>]++)*+)>|<[!?/][^<>]*+>""", re.S | re.I
 )
 _NAMED = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "source", "track"}
@@ -63,6 +66,7 @@ def blocks(page: str | None) -> list[Block]:
     found: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     buffer: list[str] = []
+    opened: Counter[str] = Counter()
     linked, at = 0, 0
 
     def flush() -> None:
@@ -70,7 +74,7 @@ def blocks(page: str | None) -> list[Block]:
         if buffer:
             text = " ".join(html.unescape("".join(buffer)).split())
             if text:
-                path = tuple(x for tag, own in stack if tag not in _INLINE for x in own)
+                path = tuple(x for tag, own in stack[-DEPTH:] if tag not in _INLINE for x in own)
                 found.append(Block(path, text, min(1.0, linked / max(1, len(text)))))
             buffer.clear()
         linked = 0
@@ -79,12 +83,15 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal linked
         if text:
             buffer.append(text)
-            if any(tag == "a" for tag, _ in stack):
+            if opened["a"]:
                 linked += len(text)
 
     def pop_to(tags: set[str], stop: set[str]) -> None:
+        if not any(opened[tag] for tag in tags):
+            return
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in tags:
+                opened.subtract(tag for tag, _ in stack[i:])
                 del stack[i:]
                 return
             if stack[i][0] in stop:
@@ -113,6 +120,7 @@ def blocks(page: str | None) -> list[Block]:
             if tag not in _VOID and not m["attrs"].endswith("/"):
                 own = [tag, *(f"{tag}.{x}" for x in _names(m["attrs"])), *(f".{x}" for x in _names(m["attrs"]))] if "=" in m["attrs"] else [tag]
                 stack.append((tag, tuple(own)))
+                opened[tag] += 1
     add(page[at:])
     flush()
     return found
@@ -320,7 +328,7 @@ def _disturbed(page: list[Block], strangers: list[str], random: np.random.Genera
     return out, labels
 
 
-def fit(pages: list[list[Block]], epochs: int = 8, batch: int = 32, rate: float = 0.01, seed: int = 5) -> Model:
+def fit(pages: list[list[Block]], epochs: int = 14, batch: int = 32, rate: float = 0.01, seed: int = 5) -> Model:
     """Train the labeller by Adam on the pages and two disturbed copies of each; long pages in runs of 64 blocks."""
     random = np.random.default_rng(seed)
     pages = [p for p in pages if p]
