@@ -248,6 +248,24 @@ def test_token_counts_equal_brute_force(spark, odd_docs, no_docs, docs):
     assert token_counts.count_tokens(no_docs, RANKS).count() == 0
 
 
+def test_tries_score_like_plain_dynamic_programs():
+    random = np.random.default_rng(9)
+    scores = token_counts.load_scores(RANKS)
+    words = ["".join(random.choice(list("etaoinshr' é1"), int(n))).encode() for n in random.integers(1, 70, 600)]
+    words += [b"a", b"aa", b"aab", b"the", b"there", b"x" * 47, b"x" * 48, b"x" * 49, " 漢字かな".encode(), b" " * 40, b"-" * 64]
+    found = token_counts.Unigram(scores).forward(words + words)
+    assert len(found) == len(set(words))
+    for w, (n, s) in found.items():
+        want = viterbi(w, scores)
+        assert n == want[1] and s == pytest.approx(want[0], abs=1e-9)
+
+
+def test_texts_are_not_kept():
+    count = token_counts.Counter(RANKS)
+    count.totals([f"some  words with\tother  space {i}" * 50 for i in range(200)])
+    assert len(count.place) < 300 and max(map(len, count.place)) < 20
+
+
 TEXTS = ["", "a", "hello world, it's 1 day", "a  b", " lead", "trail ", "tab\tx", "line\nbreak\n\npara", "x\n y", "<|endoftext|> is text", "é è 漢字 😀😀", "don't stop", "a\x1fb c\x85d", "x" * 5000, "word " * 5000 + "end"]
 
 
