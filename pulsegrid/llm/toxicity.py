@@ -56,11 +56,16 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
             doc, at = _present(_lowered(part))
-            sets = [np.unique(at[doc == i]).astype(np.int32).tobytes() for i in range(part.num_rows)]
+            order = np.lexsort((at, doc))
+            doc, at = doc[order], at[order]
+            first = np.r_[True, (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])] if len(doc) else np.zeros(0, bool)
+            doc, at = doc[first], at[first].astype(np.int32)
+            cuts = np.searchsorted(doc, np.arange(part.num_rows + 1)).tolist()
+            sets = [at[b:e].tobytes() for b, e in zip(cuts, cuts[1:])]
             yield pa.record_batch([part.column("order"), part.column("toxic"), pa.array(sets, pa.binary())], names=["order", "toxic", "x"])
 
 
-def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> Model:
+def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 1000, rate: float = 0.05, decay: float = 1e-4) -> Model:
     """Non-negative PU risk, by full-batch gradient steps (Adam)."""
     size = 1 << SPACE_BITS
     p, u = (np.bincount(np.concatenate(x), minlength=size) / len(x) for x in (toxic, unlabelled))
@@ -102,7 +107,8 @@ def fit(toxic: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, ste
 def learn(docs: DataFrame, labels: DataFrame, train: Column, max_toxic: int = MAX_TOXIC, max_unlabelled: int = MAX_UNLABELLED) -> Model | None:
     """Fit on at most ``max_toxic`` confirmed and ``max_unlabelled`` unlabelled texts that ``train`` (on doc_id) selects, picked by a hash.
 
-    The class prior is the share of toxic rows among the labels of ``train``. None if no confirmed or no unlabelled text exists."""
+    The class prior is the share of toxic rows among the labels of ``train``. A doc_id with several labels is toxic if
+    one of them is. None if no confirmed or no unlabelled text exists."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where(train & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     stats = known.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
     texts = docs.select(F.col("doc_id").cast("long"), "text").where(train & F.col("text").isNotNull())
@@ -118,8 +124,13 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, max_toxic: int = MA
 
     chosen = known.where("toxic = 1").orderBy(order).limit(max_toxic).select("doc_id")  # a bounded number of ids
     toxic = featured(texts.join(F.broadcast(chosen), "doc_id", "left_semi"), 1, max_toxic)
-    few = texts.where(order / F.lit(2.0**64) + 0.5 <= min(1.0, 1.2 * max_unlabelled / free))
-    unlabelled = featured(few.join(known, "doc_id", "left_anti"), 0, max_unlabelled)
+    rate, unlabelled = min(1.0, 1.2 * max_unlabelled / free), []
+    while True:
+        few = texts.where(order / F.lit(2.0**64) + 0.5 <= rate)
+        unlabelled = featured(few.join(known, "doc_id", "left_anti"), 0, max_unlabelled)
+        if rate == 1 or len(unlabelled) >= min(max_unlabelled, free) // 4:
+            break
+        rate = min(1.0, 8 * rate)  # the hash picked too few, as repeated ids share it
     if not toxic or not unlabelled:
         return None
     return fit(toxic, unlabelled, stats["toxic"] / stats["n"])
@@ -144,6 +155,7 @@ def _scored(model: Model | None, threshold: float):
 def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, score, predicted)`` for every row of ``docs``: how likely the whole text is toxic.
 
+    A score depends on the text alone, so repeated rows and ties get equal ones; ``predicted`` is 1 from the threshold on.
     Null and empty texts get the score of a text without features; without a model every score is 0. Null ids and
     repeated rows are kept as they are; other columns are ignored; an empty table gives an empty result.
     """
