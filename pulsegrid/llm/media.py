@@ -2,8 +2,10 @@
 
 A recording becomes a sequence of pitch-class frames (12 energies each); sixteen filters, each the balance between two
 parts of a rectangle of frames read from an integral image, are quantised to two bits and packed into one 32-bit
-integer per frame. Two recordings are aligned by the histogram of offsets at which keys of their fingerprints agree,
-and compared by the share of differing bits where they then overlap.
+integer per frame. Two recordings are aligned by the histogram of offsets at which their integers agree, where those of
+the asked recording are also looked up with their least certain bits turned, and compared by the share of differing bits
+where they then overlap. Integers that last over frames, as in silence or a steady tone, tell nothing of an offset; only
+those that differ from the frame before are looked up.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import io
 import wave
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +25,11 @@ from .common import checkpointed
 RATE = 8000
 FRAME, HOP = 1024, 256
 LOW_HZ, HIGH_HZ = 60.0, 3500.0
-#: Frames that the widest filter spans, and distance of the two frames whose integers make one key.
-SPAN, KEY_STEP = 16, 8
-#: Keys that must agree at the best offset, and the largest share of differing bits of an aligned pair.
+#: Frames that the widest filter spans.
+SPAN = 16
+#: Least certain filters of a frame whose bits are turned in the look-up, in every combination.
+DOUBTS = 3
+#: Integers that must agree at the best offset, and the largest share of differing bits of an aligned pair.
 MIN_VOTES, MAX_BIT_ERROR = 3, 0.25
 #: Filters by a rule: kind of balance, first pitch class, pitch classes, frames.
 FILTERS = [(k % 4, 3 * k % 12, 2 + 5 * k % 7, (4, 8, 12, 16)[k // 4]) for k in range(16)]
@@ -34,23 +39,34 @@ _GRAY = np.array([0, 1, 3, 2], np.uint32)
 
 
 def samples(media: bytes | None) -> np.ndarray:
-    """Mono samples in -1..1 of a 16-bit PCM WAV file; none if it is null or can't be read."""
+    """Mono samples in -1..1 of a PCM WAV file of 8 to 32 bits; none if it is null or can't be read. Of a file that was cut
+    off, the whole frames that are left."""
     try:
         with wave.open(io.BytesIO(media or b"")) as file:
-            if file.getsampwidth() != 2:
-                return np.empty(0)
-            raw = np.frombuffer(file.readframes(file.getnframes()), "<i2").astype(np.float64) / 32768
-            return raw.reshape(-1, file.getnchannels()).mean(axis=1)
+            size, channels = file.getsampwidth(), file.getnchannels()
+            raw = file.readframes(file.getnframes())
     except (wave.Error, EOFError):
         return np.empty(0)
-
-
-def _classes() -> np.ndarray:
+    if not 1 <= size <= 4 or not channels:
+        return np.empty(0)
+    cells = np.frombuffer(raw[: len(raw) // (size * channels) * size * channels], np.uint8).reshape(-1, size)
+    if size == 1:  # the only unsigned width
+        values = cells[:, 0].astype(np.float64) / 128 - 1
+    else:
+        wide = np.zeros((len(cells), 4), np.uint8)
+        wide[:, 4 - size :] = cells
+        values = wide.view("<i4")[:, 0] / 2.0**31
+    return values.reshape(-1, channels).mean(axis=1)
+
+
+@lru_cache(maxsize=1)
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """The used bins of a spectrum in the order of their pitch classes, and where each class begins."""
     hz = np.fft.rfftfreq(FRAME, 1 / RATE)
-    into = np.zeros((len(hz), 12))
     used = np.flatnonzero((hz >= LOW_HZ) & (hz <= HIGH_HZ))
-    into[used, np.round(12 * np.log2(hz[used] / 440)).astype(int) % 12] = 1
-    return into
+    pitch = np.round(12 * np.log2(hz[used] / 440)).astype(int) % 12
+    order = np.argsort(pitch, kind="stable")
+    return used[order], np.searchsorted(pitch[order], np.arange(12))
 
 
 def chroma(signal: np.ndarray) -> np.ndarray:
@@ -59,16 +75,19 @@ def chroma(signal: np.ndarray) -> np.ndarray:
     if n < 5:
         return np.empty((0, 12))
     frames = np.lib.stride_tricks.sliding_window_view(signal, FRAME)[::HOP] * np.hanning(FRAME)
-    energy = (np.abs(np.fft.rfft(frames, axis=1)) ** 2) @ _classes()
+    bins, begin = _classes()
+    spectrum = np.fft.rfft(frames, axis=1)
+    energy = np.add.reduceat((spectrum.real**2 + spectrum.imag**2)[:, bins], begin, axis=1)
     smooth = sum(w * energy[i : n - 4 + i] for i, w in enumerate((0.25, 0.75, 1.0, 0.75, 0.25)))
     return smooth / np.maximum(np.sqrt((smooth**2).sum(axis=1, keepdims=True)), 1e-9)
 
 
-def fingerprint(frames: np.ndarray) -> np.ndarray:
-    """One uint32 for each frame that has ``SPAN`` frames from it on."""
+def fingerprint(frames: np.ndarray, doubts: int = 0) -> np.ndarray:
+    """One uint32 for each frame that has ``SPAN`` frames from it on. With ``doubts``, a table of further columns: the
+    bits that change if each of so many least certain filters falls on the other side of its nearest level."""
     n = len(frames) - SPAN + 1
     if n <= 0:
-        return np.empty(0, np.uint32)
+        return np.empty((0, 1 + doubts) if doubts else 0, np.uint32)
     wide = np.concatenate([frames, frames], axis=1)  # pitch classes go round
     image = np.zeros((len(frames) + 1, 25))
     image[1:, 1:] = wide.cumsum(axis=0).cumsum(axis=1)
@@ -77,8 +96,8 @@ def fingerprint(frames: np.ndarray) -> np.ndarray:
     def area(t0: int, t1: int, p0: int, p1: int) -> np.ndarray:
         return image[t + t1, p1] - image[t + t0, p1] - image[t + t1, p0] + image[t + t0, p0]
 
-    out = np.zeros(n, np.uint32)
-    for kind, low, high, width in FILTERS:
+    out, margins, turns = np.zeros(n, np.uint32), [], []
+    for place, (kind, low, high, width) in enumerate(FILTERS):
         up, half = low + high, width // 2
         middle = low + max(1, high // 2)
         whole = area(0, width, low, up)
@@ -90,9 +109,18 @@ def fingerprint(frames: np.ndarray) -> np.ndarray:
             a = area(0, half, low, middle) + area(half, width, middle, up)
         else:  # the middle frames against the outer ones
             a = area(width // 4, width - width // 4, low, up)
-        level = np.digitize(np.log((a + 1e-3) / (whole - a + 1e-3)), LEVELS)
+        balance = np.round(np.log((a + 1e-3) / (whole - a + 1e-3)), 6)  # steady sounds stay on one side of a level
+        level = np.digitize(balance, LEVELS)
         out = out << np.uint32(2) | _GRAY[level]
-    return out
+        if doubts:
+            apart = np.abs(balance[:, None] - LEVELS)
+            nearest = apart.argmin(axis=1)
+            margins.append(apart[t, nearest])
+            turns.append((_GRAY[nearest] ^ _GRAY[nearest + 1]) << np.uint32(2 * (len(FILTERS) - 1 - place)))
+    if not doubts:
+        return out
+    least = np.argsort(np.stack(margins, axis=1), axis=1, kind="stable")[:, :doubts]
+    return np.concatenate([out[:, None], np.take_along_axis(np.stack(turns, axis=1), least, 1)], axis=1)
 
 
 def tone_wav(vector: list[float] | None) -> bytes | None:
@@ -128,30 +156,44 @@ def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            prints = [fingerprint(chroma(samples(m))).astype("<u4").tobytes() for m in part.column("media").to_pylist()]
-            yield pa.record_batch([part.column("media_id"), pa.array(prints, pa.binary())], names=["media_id", "print"])
+            prints, doubts = [], []
+            for m, asked in zip(part.column("media").to_pylist(), part.column("asked").to_pylist()):
+                table = fingerprint(chroma(samples(m)), DOUBTS if asked else 0).astype("<u4")
+                prints.append((table[:, 0] if asked else table).tobytes())
+                doubts.append(table[:, 1:].tobytes() if asked else None)
+            yield pa.record_batch([part.column("media_id"), part.column("asked"), pa.array(prints, pa.binary()), pa.array(doubts, pa.binary())], names=["media_id", "asked", "print", "doubts"])
 
 
-def fingerprints(media: DataFrame) -> DataFrame:
-    """``(media_id, print)``: little-endian uint32 integers of each recording of ``media(media_id, media)``.
+def fingerprints(media: DataFrame, asked=None) -> DataFrame:
+    """``(media_id, asked, print, doubts)``: little-endian uint32 integers of each recording of ``media(media_id, media)``,
+    and for those that the condition ``asked`` selects the least certain bits of each.
 
     Null, unreadable and too short media have an empty print."""
-    return media.select("media_id", "media").mapInArrow(_printed, "media_id long, print binary")
+    flag = F.lit(False) if asked is None else F.coalesce(asked, F.lit(False))
+    return media.select("media_id", flag.alias("asked"), "media").mapInArrow(_printed, "media_id long, asked boolean, print binary, doubts binary")
+
+
+def told(print_: np.ndarray) -> np.ndarray:
+    """The places of a print whose integer differs from the one before."""
+    return np.flatnonzero(print_[1:] != print_[:-1]) + 1
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The integers of each print; with ``doubts``, also each with every combination of its least certain bits turned."""
     for batch in batches:
-        ids, keys, places = [], [], []
-        for i, value in enumerate(batch.column("print").to_pylist()):
-            x = np.frombuffer(value, "<u4").astype(np.uint64)
-            if len(x) > KEY_STEP:
-                key, at = np.unique(x[:-KEY_STEP] << np.uint64(32) | x[KEY_STEP:], return_index=True)  # a key's first place: still sound has one
-                ids.append(np.full(len(key), i))
-                keys.append(key.view(np.int64))
-                places.append(at)
-        none = np.empty(0, np.int64)
-        rows, key, at = (np.concatenate([none, *x]) for x in (ids, keys, places))
-        yield pa.record_batch([batch.column("class_id").take(pa.array(rows)), batch.column("asked").take(pa.array(rows)), pa.array(key), pa.array(at.astype(np.int32))], names=["class_id", "asked", "key", "at"])
+        ids, keys, places = [np.empty(0, np.int64)], [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for i, (value, doubts) in enumerate(zip(batch.column("print").to_pylist(), batch.column("doubts").to_pylist())):
+            x = np.frombuffer(value, "<u4")
+            at = told(x)
+            own = x[at][:, None]
+            if doubts is not None:
+                for turn in np.frombuffer(doubts, "<u4").reshape(-1, DOUBTS)[at].T:
+                    own = np.concatenate([own, own ^ turn[:, None]], axis=1)
+            ids.append(np.full(own.size, i))
+            keys.append(own.ravel())
+            places.append(np.repeat(at, own.shape[1]))
+        rows, key, at = np.concatenate(ids), np.concatenate(keys), np.concatenate(places)
+        yield pa.record_batch([batch.column("class_id").take(pa.array(rows)), pa.array(key.view(np.int32)), pa.array(at.astype(np.int32))], names=["class_id", "key", "at"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,14 +214,15 @@ def align_recordings(media: DataFrame, asked, min_votes: int = MIN_VOTES, max_bi
     The result has one row for each recording (``media_id, class_id``, the rest null) and one for each aligned pair of
     an asked class (``media_id`` = ``class_id``) with another class: ``match_class, offset`` (frames by which the
     match's sound lies later), ``votes, bit_error``. Of equal offsets the smallest in size, then the negative one,
-    is taken. Recordings without a print are a class of their own, by themselves. Null ids and repeated rows are kept;
+    is taken. A steady or silent stretch has no integers to look up, so recordings that share only such a stretch do not
+    align. Recordings without a print are a class of their own, by themselves. Null ids and repeated rows are kept;
     extra columns are ignored; an empty table gives an empty result.
     """
-    prints = checkpointed(fingerprints(media).withColumn("asked", F.coalesce(asked, F.lit(False))).withColumn("digest", F.sha2("print", 256)))
+    prints = checkpointed(fingerprints(media, asked).withColumn("digest", F.sha2("print", 256)))
     voiced = prints.where(F.length("print") > 0)
-    classes = checkpointed(voiced.groupBy("digest").agg(F.min("media_id").alias("class_id"), F.max("asked").alias("asked"), F.first("print").alias("print")).where("class_id is not null"))
-    keys = classes.select("class_id", "asked", "print").mapInArrow(_keyed, "class_id long, asked boolean, key long, at int")
-    left = keys.where("asked").select("class_id", "key", F.col("at").alias("begin"))
+    classes = checkpointed(voiced.groupBy("digest").agg(F.min("media_id").alias("class_id"), F.max("asked").alias("asked"), F.first("print").alias("print"), F.max("doubts").alias("doubts")).where("class_id is not null"))
+    left = classes.where("asked").select("class_id", "print", "doubts").mapInArrow(_keyed, "class_id long, key int, at int").withColumnRenamed("at", "begin")
+    keys = classes.select("class_id", "print", F.lit(None).cast("binary").alias("doubts")).mapInArrow(_keyed, "class_id long, key int, at int")
     right = keys.select(F.col("class_id").alias("match_class"), "key", F.col("at").alias("end"))
     votes = left.join(right, "key").where("class_id <> match_class").groupBy("class_id", "match_class", (F.col("end") - F.col("begin")).alias("offset")).agg(F.count("*").alias("votes"))
     best = Window.partitionBy("class_id", "match_class").orderBy(F.desc("votes"), F.abs("offset"), "offset")
