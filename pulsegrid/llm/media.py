@@ -5,7 +5,8 @@ parts of a rectangle of frames read from an integral image, are quantised to two
 integer per frame. Two recordings are aligned by the histogram of offsets at which their integers agree, where those of
 the asked recording are also looked up with their least certain bits turned, and compared by the share of differing bits
 where they then overlap. Integers that last over frames, as in silence or a steady tone, tell nothing of an offset; only
-those that differ from the frame before are looked up.
+those that differ from the frame before are looked up, each together with the upper half of the one ``STEP`` frames later, as
+one integer alone would meet strangers by chance in a large collection.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ FRAME, HOP = 1024, 256
 LOW_HZ, HIGH_HZ = 60.0, 3500.0
 #: Frames that the widest filter spans.
 SPAN = 16
-#: Least certain filters of a frame whose bits are turned in the look-up, in every combination.
-DOUBTS = 3
+#: Frames between the two integers of a key.
+STEP = 8
+#: Least certain filters of a key's first integer, and of the upper half of its second one, whose bits are turned in the look-up, in every combination.
+DOUBTS, LATER_DOUBTS = 3, 2
 #: Integers that must agree at the best offset, and the largest share of differing bits of an aligned pair.
 MIN_VOTES, MAX_BIT_ERROR = 3, 0.25
 #: Filters by a rule: kind of balance, first pitch class, pitch classes, frames.
@@ -82,12 +85,13 @@ def chroma(signal: np.ndarray) -> np.ndarray:
     return smooth / np.maximum(np.sqrt((smooth**2).sum(axis=1, keepdims=True)), 1e-9)
 
 
-def fingerprint(frames: np.ndarray, doubts: int = 0) -> np.ndarray:
+def fingerprint(frames: np.ndarray, doubts: bool = False) -> np.ndarray:
     """One uint32 for each frame that has ``SPAN`` frames from it on. With ``doubts``, a table of further columns: the
-    bits that change if each of so many least certain filters falls on the other side of its nearest level."""
+    bits that change if each of the ``DOUBTS`` least certain filters, then of the ``LATER_DOUBTS`` ones of the upper half,
+    falls on the other side of its nearest level."""
     n = len(frames) - SPAN + 1
     if n <= 0:
-        return np.empty((0, 1 + doubts) if doubts else 0, np.uint32)
+        return np.empty((0, 1 + DOUBTS + LATER_DOUBTS) if doubts else 0, np.uint32)
     wide = np.concatenate([frames, frames], axis=1)  # pitch classes go round
     image = np.zeros((len(frames) + 1, 25))
     image[1:, 1:] = wide.cumsum(axis=0).cumsum(axis=1)
@@ -119,8 +123,10 @@ def fingerprint(frames: np.ndarray, doubts: int = 0) -> np.ndarray:
             turns.append((_GRAY[nearest] ^ _GRAY[nearest + 1]) << np.uint32(2 * (len(FILTERS) - 1 - place)))
     if not doubts:
         return out
-    least = np.argsort(np.stack(margins, axis=1), axis=1, kind="stable")[:, :doubts]
-    return np.concatenate([out[:, None], np.take_along_axis(np.stack(turns, axis=1), least, 1)], axis=1)
+    margin, turn = np.stack(margins, axis=1), np.stack(turns, axis=1)
+    least = np.argsort(margin, axis=1, kind="stable")[:, :DOUBTS]
+    upper = np.argsort(margin[:, : len(FILTERS) // 2], axis=1, kind="stable")[:, :LATER_DOUBTS]
+    return np.concatenate([out[:, None], np.take_along_axis(turn, least, 1), np.take_along_axis(turn, upper, 1)], axis=1)
 
 
 def tone_wav(vector: list[float] | None) -> bytes | None:
@@ -158,7 +164,7 @@ def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 256)
             prints, doubts = [], []
             for m, asked in zip(part.column("media").to_pylist(), part.column("asked").to_pylist()):
-                table = fingerprint(chroma(samples(m)), DOUBTS if asked else 0).astype("<u4")
+                table = fingerprint(chroma(samples(m)), bool(asked)).astype("<u4")
                 prints.append((table[:, 0] if asked else table).tobytes())
                 doubts.append(table[:, 1:].tobytes() if asked else None)
             yield pa.record_batch([part.column("media_id"), part.column("asked"), pa.array(prints, pa.binary()), pa.array(doubts, pa.binary())], names=["media_id", "asked", "print", "doubts"])
@@ -174,26 +180,34 @@ def fingerprints(media: DataFrame, asked=None) -> DataFrame:
 
 
 def told(print_: np.ndarray) -> np.ndarray:
-    """The places of a print whose integer differs from the one before."""
-    return np.flatnonzero(print_[1:] != print_[:-1]) + 1
+    """The places of a print whose integer differs from the one before and that have one ``STEP`` later."""
+    at = np.flatnonzero(print_[1:] != print_[:-1]) + 1
+    return at[at + STEP < len(print_)]
+
+
+def keys(print_: np.ndarray, doubts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(places, keys with a row for each place): 48 bits, and with ``doubts`` every combination of the least certain ones turned."""
+    at = told(print_)
+    own = (print_[at].astype(np.int64) << 16 | print_[at + STEP] >> 16)[:, None]
+    if doubts is not None:
+        turns = [x.astype(np.int64) << 16 for x in doubts[at, :DOUBTS].T] + [x.astype(np.int64) >> 16 for x in doubts[at + STEP, DOUBTS:].T]
+        for turn in turns:
+            own = np.concatenate([own, own ^ turn[:, None]], axis=1)
+    return at, own
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The integers of each print; with ``doubts``, also each with every combination of its least certain bits turned."""
     for batch in batches:
-        ids, keys, places = [np.empty(0, np.int64)], [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        ids, found, places = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for i, (value, doubts) in enumerate(zip(batch.column("print").to_pylist(), batch.column("doubts").to_pylist())):
             x = np.frombuffer(value, "<u4")
-            at = told(x)
-            own = x[at][:, None]
-            if doubts is not None:
-                for turn in np.frombuffer(doubts, "<u4").reshape(-1, DOUBTS)[at].T:
-                    own = np.concatenate([own, own ^ turn[:, None]], axis=1)
+            at, own = keys(x, None if doubts is None else np.frombuffer(doubts, "<u4").reshape(-1, DOUBTS + LATER_DOUBTS))
             ids.append(np.full(own.size, i))
-            keys.append(own.ravel())
+            found.append(own.ravel())
             places.append(np.repeat(at, own.shape[1]))
-        rows, key, at = np.concatenate(ids), np.concatenate(keys), np.concatenate(places)
-        yield pa.record_batch([batch.column("class_id").take(pa.array(rows)), pa.array(key.view(np.int32)), pa.array(at.astype(np.int32))], names=["class_id", "key", "at"])
+        rows, key, at = np.concatenate(ids), np.concatenate(found), np.concatenate(places)
+        yield pa.record_batch([batch.column("class_id").take(pa.array(rows)), pa.array(key), pa.array(at.astype(np.int32))], names=["class_id", "key", "at"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,9 +235,9 @@ def align_recordings(media: DataFrame, asked, min_votes: int = MIN_VOTES, max_bi
     prints = checkpointed(fingerprints(media, asked).withColumn("digest", F.sha2("print", 256)))
     voiced = prints.where(F.length("print") > 0)
     classes = checkpointed(voiced.groupBy("digest").agg(F.min("media_id").alias("class_id"), F.max("asked").alias("asked"), F.first("print").alias("print"), F.max("doubts").alias("doubts")).where("class_id is not null"))
-    left = classes.where("asked").select("class_id", "print", "doubts").mapInArrow(_keyed, "class_id long, key int, at int").withColumnRenamed("at", "begin")
-    keys = classes.select("class_id", "print", F.lit(None).cast("binary").alias("doubts")).mapInArrow(_keyed, "class_id long, key int, at int")
-    right = keys.select(F.col("class_id").alias("match_class"), "key", F.col("at").alias("end"))
+    left = classes.where("asked").select("class_id", "print", "doubts").mapInArrow(_keyed, "class_id long, key long, at int").withColumnRenamed("at", "begin")
+    every = classes.select("class_id", "print", F.lit(None).cast("binary").alias("doubts")).mapInArrow(_keyed, "class_id long, key long, at int")
+    right = every.select(F.col("class_id").alias("match_class"), "key", F.col("at").alias("end"))
     votes = left.join(right, "key").where("class_id <> match_class").groupBy("class_id", "match_class", (F.col("end") - F.col("begin")).alias("offset")).agg(F.count("*").alias("votes"))
     best = Window.partitionBy("class_id", "match_class").orderBy(F.desc("votes"), F.abs("offset"), "offset")
     aligned = votes.where(F.col("votes") >= min_votes).withColumn("rank", F.row_number().over(best)).where("rank = 1").drop("rank")

@@ -364,7 +364,7 @@ def test_recordings_align(spark):
     assert pairs[60, 7].offset == -16 * 512 // media.HOP
     assert all(a % 20 == 0 for a, _ in pairs) and (0, 20) not in pairs
     # brute force over all classes
-    tables = {i: media.fingerprint(media.chroma(media.samples(media.tone_wav(v))), media.DOUBTS) for i, v in rows if i is not None and v}
+    tables = {i: media.fingerprint(media.chroma(media.samples(media.tone_wav(v))), True) for i, v in rows if i is not None and v}
     reps = {c: tables[c] for c in set(members.values()) if c in tables and len(tables[c])}
     want = set()
     for a in reps:
@@ -374,10 +374,12 @@ def test_recordings_align(spark):
             p, q = reps[a][:, 0], reps[b][:, 0]
             offsets = []
             for i in media.told(p).tolist() if a != b else ():
-                looked = {int(p[i])}
-                for turn in reps[a][i, 1:]:
-                    looked |= {k ^ int(turn) for k in looked}
-                offsets += [j - i for j in media.told(q).tolist() if int(q[j]) in looked]
+                first, second = {int(p[i])}, {int(p[i + media.STEP]) >> 16}
+                for turn in reps[a][i, 1 : 1 + media.DOUBTS]:
+                    first |= {k ^ int(turn) for k in first}
+                for turn in reps[a][i + media.STEP, 1 + media.DOUBTS :]:
+                    second |= {k ^ (int(turn) >> 16) for k in second}
+                offsets += [j - i for j in media.told(q).tolist() if int(q[j]) in first and int(q[j + media.STEP]) >> 16 in second]
             if offsets:
                 best = min(set(offsets), key=lambda o: (-offsets.count(o), abs(o), o))
                 x, y = p[max(0, -best) :], q[max(0, best) :]
