@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
+from .lineage import checkpointed
+
 KEY = ["quant", "stem"]
 
 
@@ -57,28 +62,88 @@ def unexplained_events(members: DataFrame, truth: DataFrame, time_tol: int, dm_t
     return members.join(near, "event", "left_anti").groupBy("event").agg(F.count("*").alias("n_members"))
 
 
-def nearest_truth(rows: DataFrame, truth: DataFrame, time_unit: float, dm_unit: float) -> DataFrame:
-    """The truth with equal key that has the least ``|dt| / time_unit + |ddm| / dm_unit`` for each row; ties by injection_id.
+#: Factor by which the reach of a nearest search grows from one round to the next.
+WIDEN = 8
 
-    A file holds a bounded number of injections, so a row meets few truths."""
-    other = truth.select(*KEY, F.col("injection_id"), F.col("sample").alias("t_sample"), F.col("dm").alias("t_dm"), F.col("snr").alias("assigned_snr"))
-    rank = F.abs(F.col("t_sample") - F.col("sample")) / time_unit + F.abs(F.col("t_dm") - F.col("dm")) / dm_unit
-    best = rows.join(other, KEY).groupBy("cand_id").agg(F.min(F.struct(rank.alias("distance"), "injection_id", "assigned_snr")).alias("m"))
-    return best.select("cand_id", "m.injection_id", "m.assigned_snr", "m.distance")
 
+def nearest_truth(rows: DataFrame, truth: DataFrame, time_unit: float, dm_unit: float) -> DataFrame:
+    """The truth with equal key that has the least ``|dt| / time_unit + |ddm| / dm_unit`` for each row; ties by injection_id.
 
-def time_islands(rows: DataFrame, keys: list[str], tol: int, together: int = 64) -> DataFrame:
+    A search in rounds: a row meets the truths within a reach of distance on a grid of time and DM buckets as wide as the
+    reach, and is done if it finds one, as every truth outside lies further. Only the others go on with a wider reach, so
+    rows meet few truths however many a file holds. Rows of files without a truth are left out."""
+    t, d = F.col("sample") / float(time_unit), F.col("dm") / float(dm_unit)
+    other = truth.where("sample is not null and dm is not null").select(*KEY, "injection_id", F.col("sample").alias("_ts"), F.col("dm").alias("_td"), t.alias("_t"), d.alias("_d"), F.col("snr").alias("assigned_snr"))
+    extent = other.agg(F.count("*").alias("n"), (F.max("_t") - F.min("_t") + F.max("_d") - F.min("_d")).alias("wide"), F.min("_t"), F.max("_t"), F.min("_d"), F.max("_d")).first()
+    held = truth.select(*KEY).distinct()
+    left = rows.where("sample is not null and dm is not null").join(held, KEY, "left_semi").select("cand_id", *KEY, "sample", "dm", t.alias("_x"), d.alias("_y"))
+    schema = "cand_id, m.injection_id, m.assigned_snr, m.distance"
+    if not extent["n"]:
+        return left.crossJoin(other.limit(0).drop(*KEY)).select("cand_id", "injection_id", "assigned_snr", F.lit(0.0).alias("distance"))
+    span = left.agg(F.max(F.greatest(F.col("_x") - extent[2], extent[3] - F.col("_x")) + F.greatest(F.col("_y") - extent[4], extent[5] - F.col("_y")))).first()[0] or 0.0
+    groups = held.count()
+    # the first reach meets about one truth where they lie evenly over time and DM
+    reach = max(1e-9, float(np.sqrt(max(1e-9, extent[3] - extent[2]) * max(1e-9, extent[5] - extent[4]) * groups / extent["n"])))
+    found = None
+    while True:
+        last = reach > 1.01 * span  # every truth of the file is in reach
+        near = left.withColumn("_b", F.explode(F.array(*[F.floor(F.col("_x") / reach) + k for k in (-1, 0, 1)])))
+        near = near.withColumn("_c", F.explode(F.array(*[F.floor(F.col("_y") / reach) + k for k in (-1, 0, 1)])))
+        place = other.withColumns({"_b": F.floor(F.col("_t") / reach), "_c": F.floor(F.col("_d") / reach)})
+        distance = F.abs(F.col("_ts") - F.col("sample")) / float(time_unit) + F.abs(F.col("_td") - F.col("dm")) / float(dm_unit)
+        pairs = near.join(place, [*KEY, "_b", "_c"]).withColumn("distance", distance).where(F.col("distance") <= reach * (1 - 1e-9))
+        best = pairs.groupBy("cand_id").agg(F.min(F.struct("distance", "injection_id", "assigned_snr")).alias("m")).selectExpr(*schema.split(", "))
+        if last:
+            return best if found is None else found.unionByName(best)
+        best = checkpointed(best)
+        found = best if found is None else found.unionByName(best)
+        left = checkpointed(left.join(best, "cand_id", "left_anti"))
+        if left.isEmpty():
+            return found
+        reach *= WIDEN
+
+
+def time_islands(rows: DataFrame, keys: list[str], tol: int, together: int = 1000) -> DataFrame:
     """Add ``island``: rows of different islands (of equal keys) are more than ``tol`` samples apart.
 
-    Islands are runs of occupied buckets as wide as ``tol``, found on the distinct buckets alone; ``together`` islands
-    in a row share a number, as very small groups would cost more than their work."""
-    bucketed = rows.withColumn("_b", F.floor(F.col("sample") / tol))
+    Islands are runs of occupied buckets of a sixteenth of ``tol``, found on the distinct buckets alone; islands in a row
+    share a number while they hold up to ``together`` rows, as very small groups would cost more than their work."""
+    width = max(1, tol // 16)
+    bucketed = rows.withColumn("_b", F.floor(F.col("sample") / width))
     order = Window.partitionBy(*keys).orderBy("_b")
-    starts = bucketed.select(*keys, "_b").distinct().withColumn("_s", (F.col("_b") - F.lag("_b").over(order) > 1).cast("int"))
-    named = starts.withColumn("island", F.floor(F.coalesce(F.sum("_s").over(order), F.lit(0)) / together)).drop("_s")
+    held = bucketed.groupBy(*keys, "_b").agg(F.count("*").alias("_n")).withColumns({
+        "_s": ((F.col("_b") - F.lag("_b").over(order) - 1) * width >= tol).cast("int"), "_before": F.sum("_n").over(order) - F.col("_n"),
+    })
+    runs = held.withColumn("_i", F.coalesce(F.sum("_s").over(order), F.lit(0)))
+    named = runs.withColumn("island", F.floor(F.min("_before").over(Window.partitionBy(*keys, "_i")) / together)).select(*keys, "_b", "island")
     return bucketed.join(named, [*keys, "_b"]).drop("_b")
 
 
+def components(pairs: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
+    """``pairs`` with ``component``: the least left vertex that a pair's vertices are joined to over pairs, within ``keys``.
+
+    Rounds of smallest labels over both sides, with pointers followed, until none changes. Lineage ends in the checkpoint
+    folder at each round."""
+    labelled = checkpointed(pairs.withColumn("component", F.col(left)))
+    while True:
+        by_right = labelled.groupBy(*keys, right).agg(F.min("component").alias("_r"))
+        met = labelled.join(by_right, [*keys, right])
+        by_left = met.groupBy(*keys, left).agg(F.min("_r").alias("_l"))
+        hop = by_left.select(*keys, F.col(left).alias("component"), F.col("_l").alias("_to"))  # the label's own label
+        moved = met.drop("_r").join(by_left, [*keys, left]).join(hop.withColumnRenamed("component", "_l"), [*keys, "_l"], "left")
+        new = F.least(F.col("_l"), F.coalesce("_to", "_l"))
+        moved = checkpointed(moved.withColumn("_changed", new < F.col("component")).withColumn("component", new).drop("_l", "_to"))
+        if moved.where("_changed").isEmpty():
+            return moved.drop("_changed")
+        labelled = moved.drop("_changed")
+
+
+def whole_components(labelled: DataFrame, keys: list[str], together: int = 20_000) -> GroupedData:
+    """Groups of whole components, about ``together`` pairs each, as a component by itself is too little work for a group."""
+    groups = max(1, labelled.count() // together)
+    return labelled.groupBy(F.pmod(F.xxhash64(*keys, "component"), F.lit(groups)))
+
+
 def cluster_bounded(rows: pd.DataFrame, time_tol: float, dm_tol: float) -> np.ndarray:
     """Event number of each row: rows in order of falling cls, det, then candidate_index and cand_id join the event all of
     whose members are in tolerance and whose first member is nearest, else open one."""
@@ -139,26 +204,32 @@ def cluster_grid(rows: pd.DataFrame, time_tol: float, dm_tol: float) -> pd.DataF
                 break
         if taken is None:
             cells.setdefault((a, b), []).append(len(events))
-            events.append({"t0": r.sample, "t1": r.sample, "d0": r.dm, "d1": r.dm, "sigma": r.sigma, "cand_id": r.cand_id, "n": 1})
+            events.append({"opened_by": r.cand_id, "t0": r.sample, "t1": r.sample, "d0": r.dm, "d1": r.dm, "sigma": r.sigma, "cand_id": r.cand_id, "n": 1})
         else:
             v = events[taken]
             v.update(t0=min(v["t0"], r.sample), t1=max(v["t1"], r.sample), d0=min(v["d0"], r.dm), d1=max(v["d1"], r.dm), n=v["n"] + 1)
             if r.sigma > v["sigma"]:
                 v.update(sigma=r.sigma, cand_id=r.cand_id)
-    return pd.DataFrame([(i, v["cand_id"], v["sigma"], v["n"], v["d0"], v["d1"], v["t0"], v["t1"]) for i, v in enumerate(events)], columns=["event_number", "cand_id", "sigma", "event_size", "dm_min", "dm_max", "sample_min", "sample_max"])
+    return pd.DataFrame([(i, v["opened_by"], v["cand_id"], v["sigma"], v["n"], v["d0"], v["d1"], v["t0"], v["t1"]) for i, v in enumerate(events)], columns=["event_number", "opened_by", "cand_id", "sigma", "event_size", "dm_min", "dm_max", "sample_min", "sample_max"])
 
 
 def grid_events(candidates: DataFrame, time_tol: int, dm_tol: float) -> DataFrame:
-    """Events of each (quant, stem) by ``cluster_grid``, with bounds, size and representative."""
+    """Events of each (quant, stem) by ``cluster_grid``, with bounds, size and representative; ``event_number`` counts a
+    file's events in the order in which they open.
+
+    Rows of different time islands share no event, so islands are worked out apart and their events numbered by the row
+    that opened them."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         found = cluster_grid(pdf, time_tol, dm_tol)
         found.insert(0, "stem", key[1])
         found.insert(0, "quant", key[0])
-        return found
+        return found.drop(columns="event_number")
 
-    schema = "quant string, stem string, event_number long, cand_id long, sigma double, event_size long, dm_min double, dm_max double, sample_min long, sample_max long"
-    return candidates.groupBy(*KEY).applyInPandas(run, schema)
+    schema = "quant string, stem string, opened_by long, cand_id long, sigma double, event_size long, dm_min double, dm_max double, sample_min long, sample_max long"
+    found = time_islands(candidates, KEY, time_tol).groupBy(*KEY, "island").applyInPandas(run, schema)
+    number = F.row_number().over(Window.partitionBy(*KEY).orderBy("opened_by")) - 1
+    return found.withColumn("event_number", number.cast("long")).select("quant", "stem", "event_number", *found.columns[3:])
 
 
 def suppress(rows: pd.DataFrame, time_tol: float, dm_tol: float) -> np.ndarray:
@@ -202,6 +273,7 @@ def assign(edges: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
     for (a, b), c in sorted(cost.items()):
         ways.setdefault(a, []).append((b, c - shift))
     owner: dict[int, int] = {}
+    taken: dict[int, int] = {}  # right vertex of each left one
     pay: dict[int, float] = {}
 
     def augment(free: list[int]) -> bool:
@@ -209,9 +281,9 @@ def assign(edges: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
         reach = {a: 0.0 for a in free}
         into: dict[int, tuple[int, float]] = {}
         best: dict[int, float] = {}
-        queue = list(free)
+        queue = deque(free)
         while queue:
-            a = queue.pop(0)
+            a = queue.popleft()
             for b, c in ways.get(a, ()):
                 if owner.get(b) == a:
                     continue
@@ -229,25 +301,27 @@ def assign(edges: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
         b = min(ends, key=lambda x: (best[x], x))
         while True:
             a, c = into[b]
-            held = next((x for x, o in owner.items() if o == a), None)
-            owner[b], pay[b] = a, c
+            held = taken.get(a)
+            owner[b], pay[b], taken[a] = a, c, b
             if held is None:
                 return True
             del owner[held], pay[held]
             b = held
 
-    while augment([a for a in ways if a not in owner.values()]):
+    while augment([a for a in ways if a not in taken]):
         pass
     return sorted((a, b, pay[b] + shift) for b, a in owner.items())
 
 
 def optimal_assignment(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Assignment of ``pairs(left_id, right_id, cost)`` within each group of ``keys`` (components must not cross groups)."""
+    """Assignment of ``pairs(left_id, right_id, cost)`` within each group of ``keys``, worked out for each connected component by itself."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(assign(list(zip(pdf["left_id"].tolist(), pdf["right_id"].tolist(), pdf["cost"].tolist()))), columns=["left_id", "right_id", "cost"])
+        edges = sorted(pdf[["component", "left_id", "right_id", "cost"]].itertuples(index=False, name=None))
+        found = [x for _, own in groupby(edges, itemgetter(0)) for x in assign([e[1:] for e in own])]
+        return pd.DataFrame(found, columns=["left_id", "right_id", "cost"])
 
-    return pairs.groupBy(*keys).applyInPandas(run, "left_id long, right_id long, cost double")
+    return whole_components(components(pairs, keys, "left_id", "right_id"), keys).applyInPandas(run, "left_id long, right_id long, cost double")
 
 
 def grouped_greedy(rows: DataFrame, keys: list[str], pick: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -258,16 +332,28 @@ def grouped_greedy(rows: DataFrame, keys: list[str], pick: Callable[[pd.DataFram
 def greedy_in_truth_order(edges: pd.DataFrame) -> pd.DataFrame:
     """One-to-one in order of injection_id: each takes the unused candidate with the least cost (ties by cand_id)."""
     used: set[int] = set()
-    out = []
-    for injection, own in edges.groupby("injection_id", sort=True):
-        for r in own.sort_values(["cost", "cand_id"]).itertuples():
-            if r.cand_id not in used:
-                used.add(r.cand_id)
-                out.append((injection, r.cand_id, r.cost))
-                break
+    out, last = [], None
+    for injection, cand, cost in edges.sort_values(["injection_id", "cost", "cand_id"])[["injection_id", "cand_id", "cost"]].itertuples(index=False):
+        if injection != last and cand not in used:
+            used.add(cand)
+            out.append((injection, cand, cost))
+            last = injection
     return pd.DataFrame(out, columns=["injection_id", "cand_id", "cost"])
 
 
+def sweep_thresholds(pairs: DataFrame, keys: list[str], thresholds: list[float]) -> DataFrame:
+    """``(threshold, injection_id, cand_id, cost)``: the greedy matching in truth order of ``pairs(injection_id, cand_id,
+    cost, sigma)`` among candidates of at least each threshold. Each connected component goes to a task once and is swept there."""
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        ordered = pdf.sort_values(["injection_id", "cost", "cand_id"])
+        rows = [(t, *r) for t in thresholds for r in greedy_in_truth_order(ordered[ordered["sigma"] >= t]).itertuples(index=False, name=None)]
+        return pd.DataFrame(rows, columns=["threshold", "injection_id", "cand_id", "cost"])
+
+    found = whole_components(components(pairs, keys, "injection_id", "cand_id"), keys)  # components share no candidate, so some can be swept together
+    return found.applyInPandas(pick, "threshold double, injection_id long, cand_id long, cost double")
+
+
 def greedy_centres(found: np.ndarray, truth: np.ndarray, reach: float) -> list[tuple[int, float]]:
     """For each found centre in order the nearest truth not taken yet and its distance; beyond ``reach`` it stays free (-1)."""
     free, out = np.ones(len(truth), bool), []

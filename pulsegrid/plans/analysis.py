@@ -217,17 +217,11 @@ def threshold_rollup(spark, sf_dir):
 
 @query("threshold_sweep")
 def threshold_sweep(spark, sf_dir):
-    thresholds = spark.createDataFrame([(t,) for t in (1.0, 3.0, 5.0, 8.0)], "threshold double")
+    levels = [1.0, 3.0, 5.0, 8.0]
+    thresholds = spark.createDataFrame([(t,) for t in levels], "threshold double")
     pairs = M.band_join(truth(spark, sf_dir), candidates(spark, sf_dir), M.KEY, TIME_TOL, DM_TOL)
     cost = F.abs("dt") / float(TIME_TOL) + F.abs("ddm") / DM_TOL - F.col("r_sigma") * 0.001
-    kept = pairs.crossJoin(F.broadcast(thresholds)).where("r_sigma >= threshold").select("threshold", *M.KEY, "injection_id", F.col("r_cand_id").alias("cand_id"), cost.alias("cost"))
-
-    def pick(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = M.greedy_in_truth_order(pdf)
-        out.insert(0, "threshold", key[0])
-        return out
-
-    found = kept.groupBy("threshold", *M.KEY).applyInPandas(pick, "threshold double, injection_id long, cand_id long, cost double")
+    found = M.sweep_thresholds(pairs.select(*M.KEY, "injection_id", F.col("r_cand_id").alias("cand_id"), cost.alias("cost"), F.col("r_sigma").alias("sigma")), M.KEY, levels)
     total = truth(spark, sf_dir).agg(F.count("*").alias("n_total"))
     return thresholds.join(found.groupBy("threshold").agg(F.count("*").alias("n_detected")), "threshold", "left").fillna(0).crossJoin(total)
 

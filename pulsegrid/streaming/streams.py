@@ -2,27 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import shared_root
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder the cluster names in ``spark.checkpoint.dir``; only where it is unset (tests) a local one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(named or tempfile.mkdtemp(prefix='spark-', dir='/tmp')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def append_all(spark: SparkSession, path: str, transform: Callable[[DataFrame], DataFrame], files_per_trigger: int = 8) -> DataFrame:
     """Stream the Parquet files at ``path`` that are there now through ``transform`` into an append-only Parquet table, and read that.
 
     The stream's progress and the table are in the shared folder, so a restarted query goes on where it stopped."""
+    path = path.rstrip("/")
     schema = spark.read.parquet(path).schema
-    # a glob lets the file source take a single file as well as a directory of files
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path}*")
+    # a glob that only the path itself fits lets the file source take a single file as well as a directory of files
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
     out = shared_folder(spark, "manifest")
     flow = transform(source)
     flow.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}-progress").option("path", out).trigger(availableNow=True).start().awaitTermination()

@@ -106,3 +106,11 @@ def test_scalars(spark):
     assert scalars.batches("0-3,7, 2") == [0, 1, 2, 3, 7]
     row = spark.range(1).select(scalars.mjd_to_timestamp(F.lit(60310.5)).cast("string").alias("t"), scalars.slug(F.lit(5.5)).alias("s"), scalars.slug(F.lit(5.0)).alias("u"), scalars.first_set(F.lit(0.0), F.lit(None).cast("double"), F.lit(3.0)).alias("f")).first()
     assert (row.t, row.s, row.u, row.f) == ("2024-01-01 12:00:00", "5p5", "5", 3.0)
+
+
+def test_a_stream_takes_only_its_own_path(spark, tmp_path):
+    from pulsegrid.streaming import streams
+
+    for name, n in (("events.parquet", 5), ("events.parquet.bak", 7), ("events.parquet_old", 9)):
+        spark.range(n).write.parquet(str(tmp_path / name))
+    assert streams.append_all(spark, str(tmp_path / "events.parquet"), lambda frame: frame).count() == 5
