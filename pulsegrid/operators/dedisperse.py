@@ -154,10 +154,10 @@ def cut_out(candidates: DataFrame, spec: DataFrame, shifts: DataFrame, width: in
     return found.groupBy("cand_id", "i", F.expr(f"chan div {pool}").cast("int").alias("band")).agg(F.coalesce(F.sum("v"), F.lit(0)).alias("total"))
 
 
-def multiscale_pool(series: DataFrame, spark: SparkSession, rates: list[int]) -> DataFrame:
-    """Sums of a de-dispersed series ``(y, v)`` at several pooling rates: ``(rate, slot, total, n)``."""
+def multiscale_pool(series: DataFrame, spark: SparkSession, rates: list[int], keys: list[str]) -> DataFrame:
+    """Sums of the de-dispersed series ``(y, v)`` of each trial (``keys``) at several pooling rates: ``(keys, rate, slot, total, n)``."""
     dims = spark.createDataFrame([(r,) for r in rates], "rate int")
-    return series.crossJoin(F.broadcast(dims)).groupBy("rate", F.expr("y div rate").alias("slot")).agg(F.sum("v").alias("total"), F.count("*").alias("n"))
+    return series.crossJoin(F.broadcast(dims)).groupBy(*keys, "rate", F.expr("y div rate").alias("slot")).agg(F.sum("v").alias("total"), F.count("*").alias("n"))
 
 
 def boxcar_search(cells: DataFrame, widths: list[int]) -> DataFrame:

@@ -116,12 +116,13 @@ def inject_scattered(base: DataFrame, truths: DataFrame, sigma_t: float, block:
     Each pulse goes to the one or two blocks of samples that it can touch; blocks are independent groups."""
 
     def run(key: tuple, samples: pd.DataFrame, pulses: pd.DataFrame) -> pd.DataFrame:
-        t = samples["t"].to_numpy(float)
+        times, own = np.unique(samples["t"].to_numpy(), return_inverse=True)
+        t = times.astype(float)
         add = np.zeros(len(t))
         for p in pulses.sort_values("t0").itertuples():
             x = t - p.t0
             add += np.where((x >= -reach) & (x <= reach), p.amplitude * scattered_pulse(x, sigma_t, p.tau), 0)
-        return pd.DataFrame({"t": samples["t"], "chan": samples["chan"], "v": samples["v"] + add})
+        return pd.DataFrame({"t": samples["t"], "chan": samples["chan"], "v": samples["v"] + add[own]})
 
     blocks = F.sequence(F.floor((F.col("t0") - reach) / block), F.floor((F.col("t0") + reach) / block))
     near = truths.withColumn("block", F.explode(blocks))

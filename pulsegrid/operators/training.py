@@ -104,13 +104,14 @@ def fold_clipped(base: DataFrame, pulses: DataFrame) -> DataFrame:
     return base.join(held, "t", "left").select("t", F.aggregate(F.coalesce("p", none), F.col("v").cast("double"), step).alias("v"))
 
 
-def ragged_pool(series: DataFrame, rate: int, n: int) -> DataFrame:
-    """Means of ``rate`` samples of ``series(t, v)`` with t < n, the tail filled up with the mean plus seeded noise of the series' spread."""
-    stats = series.agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
-    tail = series.sparkSession.range(n, -(-n // rate) * rate).crossJoin(F.broadcast(stats))
+def ragged_pool(series: DataFrame, rate: int, keys: list[str]) -> DataFrame:
+    """Means of ``rate`` samples of each series of ``keys`` (``t`` from 0, ``v``), whose ragged tail is filled up with its
+    mean plus seeded noise of its spread."""
+    stats = series.groupBy(*keys).agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), (F.max("t") + 1).alias("n"))
+    padded = stats.withColumn("id", F.explode(F.expr(f"filter(sequence(0L, {rate - 1}L), i -> i < pmod(-n, {rate}))"))).withColumn("id", F.col("id") + F.col("n"))
     u = F.pmod(F.xxhash64("id"), F.lit(1 << 24)) / float(1 << 24)
-    filled = series.select("t", F.col("v").cast("double")).union(tail.select("id", u * F.col("s") + F.col("m")))
-    return filled.groupBy(F.expr(f"t div {rate}").alias("y")).agg(F.avg("v").alias("v"))
+    filled = series.select(*keys, "t", F.col("v").cast("double")).union(padded.select(*keys, "id", u * F.col("s") + F.col("m")))
+    return filled.groupBy(*keys, F.expr(f"t div {rate}").alias("y")).agg(F.avg("v").alias("v"))
 
 
 def column_normalise(images: DataFrame) -> DataFrame:

@@ -48,12 +48,12 @@ def unpack_2bit(spark, sf_dir):
     return S.unpack_2bit(S.pack_2bit(_levels(spark, sf_dir)))
 
 
-_PULSES = f"(SELECT injection_id, injection_id % 487 AS t0, dm / 2 AS dm, injection_id % 64 AS centre, snr / 2 AS amplitude FROM {TRUTH} WHERE injection_id % 20 = 7)"
+_PULSES = f"(SELECT injection_id, injection_id % 1999 AS t0, dm / 2 AS dm, injection_id % 64 AS centre, snr / 2 AS amplitude FROM {TRUTH})"
 
 
 def _pulses(spark, sf_dir):
-    rows = truth(spark, sf_dir).where("injection_id % 20 = 7")
-    return rows.select("injection_id", (F.col("injection_id") % 487).alias("t0"), (F.col("dm") / 2).alias("dm"), (F.col("injection_id") % 64).alias("centre"), (F.col("snr") / 2).alias("amplitude"))
+    rows = truth(spark, sf_dir)
+    return rows.select("injection_id", (F.col("injection_id") % 1999).alias("t0"), (F.col("dm") / 2).alias("dm"), (F.col("injection_id") % 64).alias("centre"), (F.col("snr") / 2).alias("amplitude"))
 
 
 @query("inject_gaussian", f"""WITH a AS (SELECT t0 + CAST(trunc({INJECTION_CONSTANT}::DOUBLE * dm * (inv2 - {_LAST}) / 0.01::DOUBLE) AS BIGINT) + d AS t, chan, sum(amplitude * exp(-0.5 * pow((chan - centre) / 8.0::DOUBLE, 2)) * exp(-0.5 * pow(d / 2.0::DOUBLE, 2))) AS x

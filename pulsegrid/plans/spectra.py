@@ -77,18 +77,18 @@ def dm_window_pool_overlap(spark, sf_dir):
     return D.dm_window_pool(cells(spark, sf_dir), spark, 32, 16, 6, 2, 16)
 
 
-@query("cutout_gather", f"""WITH c AS (SELECT vec_id AS cand_id, CAST(vec_id % 32 AS INT) AS dm, greatest(0, vec_id - 16) AS start FROM embeddings WHERE label = 3),
+@query("cutout_gather", f"""WITH c AS (SELECT vec_id AS cand_id, CAST(vec_id % 32 AS INT) AS dm, greatest(0, vec_id - 16) AS start FROM embeddings),
 w AS (SELECT cand_id, i, sh.chan, start + shift + i AS t FROM c JOIN {SHIFTS} sh USING (dm), (SELECT unnest(range(32)) AS i))
 SELECT cand_id, CAST(i AS INT) AS i, CAST(w.chan // 8 AS INT) AS band, CAST(coalesce(sum(v), 0) AS BIGINT) AS total FROM w LEFT JOIN {SPEC} s ON s.chan = w.chan AND s.t = w.t GROUP BY ALL""")
 def cutout_gather(spark, sf_dir):
-    found = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("label = 3").select(F.col("vec_id").alias("cand_id"), (F.col("vec_id") % 32).cast("int").alias("dm"), F.col("vec_id").alias("toa"))
+    found = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("cand_id"), (F.col("vec_id") % 32).cast("int").alias("dm"), F.col("vec_id").alias("toa"))
     return D.cut_out(found, spec(spark, sf_dir), OBS.shifts(spark), 32, 8)
 
 
-@query("multiscale_pool", f"SELECT CAST(rate AS INT) AS rate, y // rate AS slot, CAST(sum(v_full) AS BIGINT) AS total, count(*) AS n FROM {CELLS}, (VALUES (2), (8), (32)) r(rate) WHERE dm = 5 GROUP BY ALL")
+@query("multiscale_pool", f"SELECT dm, CAST(rate AS INT) AS rate, y // rate AS slot, CAST(sum(v_full) AS BIGINT) AS total, count(*) AS n FROM {CELLS}, (VALUES (2), (8), (32)) r(rate) GROUP BY ALL")
 def multiscale_pool(spark, sf_dir):
-    one = cells(spark, sf_dir).where("dm = 5").select("y", F.col("v_full").alias("v"))
-    return D.multiscale_pool(one, spark, [2, 8, 32])
+    trials = cells(spark, sf_dir).select("dm", "y", F.col("v_full").alias("v"))
+    return D.multiscale_pool(trials, spark, [2, 8, 32], ["dm"])
 
 
 @query("matched_filter_search", f"SELECT dm, y, CAST(w AS INT) AS width, total FROM (SELECT dm, y, w, CASE w WHEN 1 THEN v_full WHEN 4 THEN CAST(sum(v_full) OVER f4 AS BIGINT) ELSE CAST(sum(v_full) OVER f16 AS BIGINT) END AS total, CASE w WHEN 1 THEN 1 WHEN 4 THEN count(*) OVER f4 ELSE count(*) OVER f16 END AS n FROM {CELLS}, (VALUES (1), (4), (16)) x(w) WINDOW f4 AS (PARTITION BY dm, w ORDER BY y RANGE BETWEEN CURRENT ROW AND 3 FOLLOWING), f16 AS (PARTITION BY dm, w ORDER BY y RANGE BETWEEN CURRENT ROW AND 15 FOLLOWING)) WHERE n = w")

@@ -76,12 +76,12 @@ def envelope_channels(spark, sf_dir):
     return R.envelope_channels(rows, OBS.channels(spark))
 
 
-@query("fold_clipped", """WITH RECURSIVE p AS (SELECT user_id AS t, event_id, value - 60 AS add, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE event_id < 900), f AS (SELECT DISTINCT user_id AS t, 0::BIGINT AS k, CAST(user_id % 200 AS DOUBLE) AS v FROM events
+@query("fold_clipped", """WITH RECURSIVE p AS (SELECT user_id AS t, event_id, value - 60 AS add, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), f AS (SELECT DISTINCT user_id AS t, 0::BIGINT AS k, CAST(user_id % 200 AS DOUBLE) AS v FROM events
 UNION ALL SELECT f.t, p.k, least(greatest(f.v + p.add, 0.0), 255.0) FROM f JOIN p ON p.t = f.t AND p.k = f.k + 1) SELECT t, round(arg_max(v, k), 6) AS v FROM f GROUP BY t""")
 def fold_clipped(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     base = e.select(F.col("user_id").alias("t"), (F.col("user_id") % 200).cast("double").alias("v")).distinct()
-    pulses = e.where("event_id < 900").select(F.col("user_id").alias("t"), F.col("event_id").alias("ord"), (F.col("value") - 60).alias("add"))
+    pulses = e.select(F.col("user_id").alias("t"), F.col("event_id").alias("ord"), (F.col("value") - 60).alias("add"))
     return R.fold_clipped(base, pulses).withColumn("v", F.round("v", 6))
 
 
@@ -166,9 +166,7 @@ def classifier_scores(spark, sf_dir):
 
 @query("ragged_pool")
 def ragged_pool(spark, sf_dir):
-    one = spec(spark, sf_dir).where("chan = 5").select("t", "v")
-    n = one.agg(F.max("t") + 1).first()[0] or 0
-    return R.ragged_pool(one, 7, n)
+    return R.ragged_pool(spec(spark, sf_dir), 7, ["chan"])
 
 
 @query("union_roots", "SELECT 'a_' || o_orderstatus AS root, count(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT 'b_' || l_linestatus AS root, count(*) AS n FROM lineitem GROUP BY 1")

@@ -37,7 +37,9 @@ def _cards(data: bytes, at: int) -> tuple[dict[str, object], int]:
 
 def _width(form: str) -> int:
     """Bytes of a table column by its TFORM: a repeat count and a type letter."""
-    count, kind = re.match(r"\s*(\d*)([A-Z])", form).groups()
+    if not (found := re.match(r"\s*(\d*)([A-Z])", form)):
+        raise ValueError(f"column form {form!r}")
+    count, kind = found.groups()
     n = int(count or 1)
     return (n + 7) // 8 if kind == "X" else n * {"I": 2, "J": 4, "E": 4, "K": 8, "D": 8, "C": 8, "M": 16, "P": 8, "Q": 16}.get(kind, 1)
 

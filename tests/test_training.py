@@ -18,9 +18,10 @@ def test_clipping_after_each_pulse_differs_from_clipping_once(spark):
 
 
 def test_tail_is_filled(spark):
-    series = spark.createDataFrame([(t, float(t % 3)) for t in range(10)], "t long, v double")
-    out = {r.y: r.v for r in R.ragged_pool(series, 4, 10).collect()}
-    assert out[0] == 0.75 and set(out) == {0, 1, 2} and 0 <= out[2] <= 2.5
+    series = spark.createDataFrame([(c, t, float(t % 3 + 10 * c)) for c in (0, 1) for t in range(10 + 2 * c)], "chan int, t long, v double")
+    out = {(r.chan, r.y): r.v for r in R.ragged_pool(series, 4, ["chan"]).collect()}
+    assert out[0, 0] == 0.75 and set(out) == {(c, y) for c in (0, 1) for y in (0, 1, 2)} and 0 <= out[0, 2] <= 2.5
+    assert [out[1, y] for y in (0, 1, 2)] == [10.75, 11.0, 11.25]  # a whole number of means is left as it is
 
 
 def test_interference_is_seeded_and_scores_are_shares(spark):
