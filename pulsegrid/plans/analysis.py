@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..operators import images as I
 from ..operators import matching as M
 from ..operators import metrics as A
-from .proxies import CANDIDATES, FALSE_POSITIVES, MATCHES, TRUTH, candidates, false_positives, images, matches, table, truth
+from .proxies import CANDIDATES, FALSE_POSITIVES, IMAGES, MATCHES, TRUTH, candidates, false_positives, images, matches, table, truth
+from . import sequential as Q
 from .registry import query
+from .spectra import _TOP
 
 TIME_TOL, DM_TOL = 120, 60.0
 _FILES = f"(SELECT DISTINCT stem, CAST(regexp_extract(stem, '_([0-9]+)$', 1) AS INT) - 1 AS file_index FROM {TRUTH} WHERE CAST(regexp_extract(stem, '_([0-9]+)$', 1) AS INT) % 3 = 0)"
@@ -72,17 +74,17 @@ def nearest_truth_baseline(spark, sf_dir):
     return M.nearest_truth(candidates(spark, sf_dir), truth(spark, sf_dir), 1.0, 2.0).withColumn("distance", F.round("distance", 6))
 
 
-@query("cluster_bounded_events")
+@query("cluster_bounded_events", Q.bounded_events(600, DM_TOL))
 def cluster_bounded_events(spark, sf_dir):
     return M.bounded_events(candidates(spark, sf_dir), 600, DM_TOL)
 
 
-@query("cluster_grid_events")
+@query("cluster_grid_events", Q.grid_events(600, DM_TOL))
 def cluster_grid_events(spark, sf_dir):
     return M.grid_events(candidates(spark, sf_dir), 600, DM_TOL)
 
 
-@query("physical_dedup")
+@query("physical_dedup", f"{Q.greedy_kept(CANDIDATES, 600, DM_TOL)} SELECT * FROM {CANDIDATES} JOIN kept USING (cand_id)")
 def physical_dedup(spark, sf_dir):
     return M.physical_dedup(candidates(spark, sf_dir), 600, DM_TOL)
 
@@ -95,8 +97,11 @@ def optimal_assignment(spark, sf_dir):
     return truth(spark, sf_dir).select("injection_id", "snr", "dm").join(found, "injection_id", "left").withColumn("detected", F.col("cand_id").isNotNull())
 
 
-@query("greedy_center_match")
-def greedy_center_match(spark, sf_dir):
+_REAL = f"(SELECT * FROM (SELECT image, py, px, row_number() OVER (PARTITION BY image ORDER BY v % 1009 DESC, py, px) AS \"rank\" FROM {IMAGES} WHERE v > 0) WHERE \"rank\" <= 3)"
+CENTRE_MATCHES = Q.centre_matches(_TOP, _REAL, 2.0)
+
+
+def _centre_matches(spark, sf_dir):
     pixels = images(spark, sf_dir)
     found = I.top_pixels(I.peaks(pixels, 100000), 4).select("image", F.lit(0).alias("side"), "rank", "px", "py")
     real = I.top_pixels(pixels.where("v > 0").withColumn("v", F.pmod("v", F.lit(1009))), 3).select("image", F.lit(1).alias("side"), "rank", "px", "py")
@@ -109,7 +114,12 @@ def greedy_center_match(spark, sf_dir):
     return M.grouped_greedy(found.union(real), ["image"], pick, "image long, rank int, truth int, distance double")
 
 
-@query("tolerant_block_match")
+@query("greedy_center_match", f'SELECT image, "rank", truth, round(distance, 6) AS distance FROM {CENTRE_MATCHES}')
+def greedy_center_match(spark, sf_dir):
+    return _rounded(_centre_matches(spark, sf_dir), "distance")
+
+
+@query("tolerant_block_match", Q.TOLERANT_BLOCKS)
 def tolerant_block_match(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("file"), F.expr("l_orderkey div 64").alias("block"), F.when(F.col("l_linestatus") == "F", 0).otherwise(1).alias("side")).distinct()
 
@@ -215,13 +225,15 @@ def threshold_rollup(spark, sf_dir):
     return A.threshold_rollup(A.fp_histogram(false_positives(spark, sf_dir)), [3.0, 5.5, 7.0, 50.0])
 
 
-@query("threshold_sweep")
+SWEPT = [1.0, 3.0, 5.0, 8.0]
+
+
+@query("threshold_sweep", Q.threshold_sweep(SWEPT, TIME_TOL, DM_TOL))
 def threshold_sweep(spark, sf_dir):
-    levels = [1.0, 3.0, 5.0, 8.0]
-    thresholds = spark.createDataFrame([(t,) for t in levels], "threshold double")
+    thresholds = spark.createDataFrame([(t,) for t in SWEPT], "threshold double")
     pairs = M.band_join(truth(spark, sf_dir), candidates(spark, sf_dir), M.KEY, TIME_TOL, DM_TOL)
     cost = F.abs("dt") / float(TIME_TOL) + F.abs("ddm") / DM_TOL - F.col("r_sigma") * 0.001
-    found = M.sweep_thresholds(pairs.select(*M.KEY, "injection_id", F.col("r_cand_id").alias("cand_id"), cost.alias("cost"), F.col("r_sigma").alias("sigma")), M.KEY, levels)
+    found = M.sweep_thresholds(pairs.select(*M.KEY, "injection_id", F.col("r_cand_id").alias("cand_id"), cost.alias("cost"), F.col("r_sigma").alias("sigma")), M.KEY, SWEPT)
     total = truth(spark, sf_dir).agg(F.count("*").alias("n_total"))
     return thresholds.join(found.groupBy("threshold").agg(F.count("*").alias("n_detected")), "threshold", "left").fillna(0).crossJoin(total)
 

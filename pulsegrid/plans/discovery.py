@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import catalog as C
 from ..streaming import streams
 from .proxies import CANDIDATES, candidates, table
+from . import sequential as Q
 from .registry import query
 
 
@@ -115,6 +116,7 @@ def stream_manifest_append(spark, sf_dir):
     return streams.append_all(spark, f"{sf_dir}/events.parquet", strong)
 
 
-@query("stream_event_clusters")
+@query("stream_event_clusters", Q.SESSIONS)
 def stream_event_clusters(spark, sf_dir):
-    return streams.whole_sessions(spark, f"{sf_dir}/events.parquet", "ts", ["event_type"], "5 minutes")
+    found = streams.whole_sessions(spark, f"{sf_dir}/events.parquet", "ts", ["event_type"], "5 minutes")
+    return found.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in ("start", "end")})

@@ -8,6 +8,7 @@ from ..operators import sampling as P
 from ..operators import signals as S
 from ..operators.dedisperse import INJECTION_CONSTANT
 from .proxies import IMAGES, SPEC, TRUTH, images, spec, table, truth
+from . import sequential as Q
 from .registry import query
 from .spectra import _CHANNELS, _LAST, OBS
 
@@ -77,7 +78,7 @@ def interval_merge(spark, sf_dir):
     return S.merge_intervals(rows, ["quant", "stem"])
 
 
-@query("morphology_boxes")
+@query("morphology_boxes", Q.MORPHOLOGY)
 def morphology_boxes(spark, sf_dir):
     return S.morphology_boxes(images(spark, sf_dir), 8)
 

@@ -9,10 +9,10 @@ from ..functions import scalars as X
 from ..operators import images as I
 from ..operators import metrics as A
 from ..operators import signals as S
-from .analysis import CUBE, _cube
+from .analysis import _F1, CENTRE_MATCHES, CUBE, _centre_matches, _cube, _rounded
 from .proxies import CANDIDATES, IMAGES, MATCHES, SPEC, TRUTH, candidates, images, matches, spec, table, truth
 from .registry import query
-from .spectra import _PEAKS
+from .spectra import _PEAKS, _TOP
 
 
 @query("derived_truth", f"""SELECT injection_id, round(greatest(1.0, bw / (500.0::DOUBLE / 4096)), 6) AS effective_channels, round(snr / sqrt(greatest(1.0, bw / (500.0::DOUBLE / 4096))), 6) AS per_channel_snr FROM (SELECT injection_id, snr, dm * 1.5 AS bw FROM {TRUTH})""")
@@ -139,13 +139,15 @@ def dm_plan(spark, sf_dir):
     return S.merge_intervals(truth(spark, sf_dir).select("stem", (even - 4).alias("lo"), (even + 4).alias("hi")), ["stem"], slack=1)
 
 
-@query("detector_evaluation")
+@query("detector_evaluation", f"""WITH m AS (SELECT image * 8 + "rank" AS id, v AS conf, (truth >= 0)::INT AS tp FROM {CENTRE_MATCHES} JOIN {_TOP} USING (image, "rank")),
+c AS (SELECT id, conf, row_number() OVER w AS n, CAST(sum(tp) OVER (ORDER BY conf DESC, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS tps, CAST(sum(tp) OVER () AS BIGINT) AS p FROM m WINDOW w AS (ORDER BY conf DESC, id)),
+q AS (SELECT id, conf, n AS "rank", tps AS cum_tp, tps / (n + 1e-8::DOUBLE) AS "precision", tps / (p + 1e-8::DOUBLE) AS recall FROM c)
+SELECT id, conf, "rank", cum_tp, round("precision", 6) AS "precision", round(recall, 6) AS recall, round({_F1}, 6) AS f1 FROM q""")
 def detector_evaluation(spark, sf_dir):
-    from .analysis import greedy_center_match
-
-    pairs = greedy_center_match(spark, sf_dir)
+    pairs = _centre_matches(spark, sf_dir)
     scored = pairs.join(I.top_pixels(I.peaks(images(spark, sf_dir), 100000), 4).select("image", "rank", "v"), ["image", "rank"])
-    return A.pr_curve(scored.select((F.col("image") * 8 + F.col("rank")).alias("id"), F.col("v").alias("conf"), (F.col("truth") >= 0).cast("int").alias("tp")))
+    curve = A.pr_curve(scored.select((F.col("image") * 8 + F.col("rank")).alias("id"), F.col("v").alias("conf"), (F.col("truth") >= 0).cast("int").alias("tp")))
+    return _rounded(curve, "precision", "recall", "f1")
 
 
 @query("display_range", f"SELECT t // 50 AS block, 2 AS vmin, round(avg(v) * 1.2, 6) + 0.0 AS vmax FROM {SPEC} GROUP BY 1")

@@ -11,6 +11,7 @@ from ..operators import metrics as A
 from ..operators import training as R
 from ..operators.sampling import ranked_by_hash
 from .proxies import CANDIDATES, FALSE_POSITIVES, IMAGES, MATCHES, SPEC, TRUTH, candidates, false_positives, images, matches, spec, table, truth
+from . import sequential as Q
 from .registry import query
 from .spectra import OBS
 
@@ -92,7 +93,8 @@ def classifier_normalise(spark, sf_dir):
     return R.column_normalise(images(spark, sf_dir).withColumn("v", F.abs("v") % 1000)).withColumn("scaled", F.round("scaled", 6) + 0.0)
 
 
-@query("proposal_flags")
+@query("proposal_flags", f"""{Q.greedy_kept(f"(SELECT * FROM {CANDIDATES} WHERE cls > 0.5)", 600, 60.0)} SELECT c.*, cls > 0.5 AS passed_classifier_threshold, kept.cand_id IS NOT NULL AS kept_after_dedup,
+CASE WHEN kept.cand_id IS NOT NULL THEN 'candidate' ELSE 'proposal' END AS candidate_stage FROM {CANDIDATES} c LEFT JOIN kept USING (cand_id)""")
 def proposal_flags(spark, sf_dir):
     rows = candidates(spark, sf_dir).withColumn("passed_classifier_threshold", F.col("cls") > 0.5)
     kept = M.physical_dedup(rows.where("passed_classifier_threshold").drop("passed_classifier_threshold"), 600, 60.0).select("cand_id").withColumn("kept_after_dedup", F.lit(True))
