@@ -87,3 +87,18 @@ SELECT image, CAST(row_number() OVER (PARTITION BY image ORDER BY region) - 1 AS
 SESSIONS = """WITH o AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 5 MINUTE THEN 1 ELSE 0 END AS opens FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
 p AS (SELECT *, sum(opens) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS part FROM o)
 SELECT event_type, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS "start", strftime(max(ts) + INTERVAL 5 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS "end", count(*) AS event_size, max(value) AS strongest FROM p GROUP BY event_type, part"""
+
+
+def assignment(time_tol: int, dm_tol: float) -> str:
+    """The most pairs and, of those, the least cost in each connected component, from all of its one-to-one matchings."""
+    cost = f"abs(c.sample - t.sample) / {time_tol}::DOUBLE + abs(c.dm - t.dm) / {dm_tol}::DOUBLE - c.cls * 0.05::DOUBLE"
+    return f"""WITH RECURSIVE e AS MATERIALIZED (SELECT t.injection_id, c.cand_id, {cost} AS cost FROM {TRUTH} t JOIN {CANDIDATES} c USING (quant, stem) WHERE abs(c.sample - t.sample) <= {time_tol} AND abs(c.dm - t.dm) <= {dm_tol}),
+n AS MATERIALIZED (SELECT DISTINCT a.injection_id AS own, b.injection_id AS other FROM e a JOIN e b USING (cand_id)),
+r AS (SELECT own, other FROM n UNION SELECT r.own, n.other FROM r JOIN n ON n.own = r.other),
+w AS MATERIALIZED (SELECT injection_id, component, near, row_number() OVER (PARTITION BY component ORDER BY injection_id) AS i, count(*) OVER (PARTITION BY component) AS size
+ FROM (SELECT own AS injection_id, min(other) AS component FROM r GROUP BY own) JOIN (SELECT injection_id, list({{'cand_id': cand_id, 'cost': cost}}) AS near FROM e GROUP BY injection_id) USING (injection_id)),
+s AS (SELECT DISTINCT component, 0::BIGINT AS i, size, []::BIGINT[] AS used, 0.0::DOUBLE AS cost, []::STRUCT(injection_id BIGINT, cand_id BIGINT, cost DOUBLE)[] AS pairs FROM w
+UNION ALL SELECT component, i, size, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick.cand_id) END AS used, cost + coalesce(pick.cost, 0) AS cost, CASE WHEN pick IS NULL THEN pairs ELSE list_append(pairs, {{'injection_id': injection_id, 'cand_id': pick.cand_id, 'cost': pick.cost}}) END AS pairs FROM (
+ SELECT w.component, w.i, w.size, w.injection_id, s.used, s.cost, s.pairs, unnest(list_append(list_filter(w.near, lambda c: NOT list_contains(s.used, c.cand_id)), NULL)) AS pick FROM s JOIN w ON w.component = s.component AND w.i = s.i + 1)),
+b AS (SELECT p.injection_id, p.cand_id, p.cost FROM (SELECT unnest(pairs) AS p FROM (SELECT pairs, row_number() OVER (PARTITION BY component ORDER BY len(pairs) DESC, cost) AS k FROM s WHERE i = size) WHERE k = 1))
+SELECT injection_id, snr, dm, cand_id, round(cost, 6) AS cost, cand_id IS NOT NULL AS detected FROM {TRUTH} LEFT JOIN b USING (injection_id)"""

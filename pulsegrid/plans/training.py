@@ -160,10 +160,13 @@ def interference(spark, sf_dir):
     return R.with_interference(images(spark, sf_dir), 8)
 
 
-@query("classifier_scores")
+_CORRELATION = f"""(SELECT image, corr(CAST(v AS DOUBLE), exp(-0.5::DOUBLE * (pow(py - 3.5::DOUBLE, 2) + pow(px - 3.5::DOUBLE, 2)) / 4)) AS r FROM {IMAGES} GROUP BY image)"""
+
+
+@query("classifier_scores", f"SELECT image, round(1 / (1 + exp(-8 * r)), 6) AS score FROM {_CORRELATION}")
 def classifier_scores(spark, sf_dir):
     template = np.exp(-0.5 * ((np.arange(8)[:, None] - 3.5) ** 2 + (np.arange(8)[None] - 3.5) ** 2) / 4)
-    return R.score_images(R.gather_images(images(spark, sf_dir), 8), R.matched_filter_model(template), 8)
+    return R.score_images(R.gather_images(images(spark, sf_dir), 8), R.matched_filter_model(template), 8).withColumn("score", F.round("score", 6))
 
 
 @query("ragged_pool")
