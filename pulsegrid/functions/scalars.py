@@ -48,6 +48,22 @@ def span_files(delay_samples: Column, file_length: int) -> Column:
     return F.ceil(delay_samples.cast("int") / file_length)
 
 
+def scene_length(dm_max: Column, low_mhz: float, high_mhz: float, dt_s: float, output: int, guard: int) -> Column:
+    """Samples to read for a scene of ``output`` samples: with the largest dispersion shift, rounded up, and a guard."""
+    shift = F.ceil(F.lit(SEARCH_CONSTANT) * dm_max * (1 / (low_mhz * low_mhz) - 1 / (high_mhz * high_mhz)) / dt_s)
+    return F.lit(output) + shift + guard
+
+
+def decoded(data: Column) -> Column:
+    """Text of bytes; what is not UTF-8 (and U+FFFD itself) is left out."""
+    return F.replace(F.make_valid_utf8(data.cast("string")), F.lit("\ufffd"), F.lit(""))
+
+
+def file_token(source: Column, quant: Column, number: Column, threshold: Column) -> Column:
+    """Name of a result file: source, quantization, number of four digits and threshold."""
+    return F.concat_ws("_", source, quant, F.lpad(number.cast("string"), 4, "0"), F.concat(F.lit("ge"), slug(threshold)))
+
+
 def first_set(*values: Column) -> Column:
     """The first value that is neither null nor zero."""
     return F.coalesce(*[F.nullif(v, F.lit(0)) if i < len(values) - 1 else v for i, v in enumerate(values)])

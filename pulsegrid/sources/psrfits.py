@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK = 2880
@@ -44,73 +46,160 @@ def _width(form: str) -> int:
     return (n + 7) // 8 if kind == "X" else n * {"I": 2, "J": 4, "E": 4, "K": 8, "D": 8, "C": 8, "M": 16, "P": 8, "Q": 16}.get(kind, 1)
 
 
-def parse(data: bytes) -> tuple[dict[str, object], dict[str, object], np.ndarray]:
-    """(primary cards, table cards, bytes of the DATA column by row) of a file."""
-    primary, at = _cards(data, 0)
-    while at < len(data):
-        table, at = _cards(data, at)
-        size = int(table["NAXIS1"]) * int(table["NAXIS2"])
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark names it, and the path there."""
+    scheme, colon, rest = path.partition(":")
+    if not colon:
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + "://" + (rest if rest.startswith("//") else "//" + rest).removeprefix("//"))
+
+
+def layout(read: Callable[[int, int], bytes], size: int) -> tuple[dict[str, object], dict[str, object], int, int, int]:
+    """(primary cards, table cards, where the table's rows begin, first byte of DATA in a row, its bytes) of a file, of
+    which only header units are read: ``read(at, n)`` gives ``n`` bytes from ``at``."""
+
+    def unit(at: int) -> tuple[dict[str, object], int]:
+        data = b""
+        while at + len(data) < size:
+            data += read(at + len(data), BLOCK)
+            if any(data[i : i + 8].rstrip() == b"END" for i in range(max(0, len(data) - BLOCK), len(data), 80)):
+                break
+        cards, length = _cards(data, 0)
+        return cards, at + length
+
+    primary, at = unit(0)
+    while at < size:
+        table, at = unit(at)
+        held = int(table["NAXIS1"]) * int(table["NAXIS2"])
         if table.get("XTENSION") == "BINTABLE" and table.get("EXTNAME") == "SUBINT":
-            if at + size > len(data):
+            if at + held > size:
                 raise ValueError("file is cut short")
-            rows = np.frombuffer(data, np.uint8, size, at).reshape(int(table["NAXIS2"]), int(table["NAXIS1"]))
             begin = 0
             for i in range(1, int(table["TFIELDS"]) + 1):
                 width = _width(str(table[f"TFORM{i}"]))
                 if table.get(f"TTYPE{i}") == "DATA":
-                    return primary, table, rows[:, begin : begin + width]
+                    return primary, table, at, begin, width
                 begin += width
             raise ValueError("no DATA column")
-        at += -(-size // BLOCK) * BLOCK
+        at += -(-held // BLOCK) * BLOCK
     raise ValueError("no SUBINT table")
 
 
 def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "length")
+
+
+def _layout_of(path: str, length: int) -> tuple:
+    system, name = opened(path)
+    with system.open_input_file(name) as f:
+
+        def read(at: int, n: int) -> bytes:
+            f.seek(at)
+            return f.read(n)
+
+        return layout(read, length)
 
 
 def _read_headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = {"string": pa.string(), "double": pa.float64(), "int": pa.int32()}
+    cast = {"double": float, "int": int, "string": str}
+    fields = [f.split() for f in HEADER_SCHEMA.split(", ")]
     for batch in batches:
         out = []
-        for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+        for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist()):
             row = {"path": path, "error": None}
             try:
-                primary, table, _ = parse(content.as_py())
-                row |= {name: table.get(key) for key, name in _HEADER.items()}
-                row |= {"obsfreq_mhz": primary.get("OBSFREQ"), "obsbw_mhz": primary.get("OBSBW"), "stt_imjd": primary.get("STT_IMJD"), "stt_smjd": primary.get("STT_SMJD"), "stt_offs": primary.get("STT_OFFS")}
-            except (ValueError, KeyError) as e:
+                primary, table, *_ = _layout_of(path, length)
+                found = {name: table.get(key) for key, name in _HEADER.items()}
+                found |= {"obsfreq_mhz": primary.get("OBSFREQ"), "obsbw_mhz": primary.get("OBSBW"), "stt_imjd": primary.get("STT_IMJD"), "stt_smjd": primary.get("STT_SMJD"), "stt_offs": primary.get("STT_OFFS")}
+                row |= {n: cast[k](found[n]) for n, k in fields if found.get(n) is not None}
+            except (ValueError, KeyError, TypeError) as e:
                 row["error"] = str(e)
             out.append(row)
-        kinds = {"string": pa.string(), "double": pa.float64(), "int": pa.int32()}
-        fields = [f.split() for f in HEADER_SCHEMA.split(", ")]
-        cast = {"double": float, "int": int, "string": str}
-        columns = [pa.array([None if r.get(n) is None else cast[k](r[n]) for r in out], kinds[k]) for n, k in fields]
-        yield pa.record_batch(columns, names=[n for n, _ in fields])
+        yield pa.record_batch([pa.array([r.get(n) for r in out], kinds[k]) for n, k in fields], names=[n for n, _ in fields])
 
 
 def read_headers(spark: SparkSession, path: str, glob: str = "*.fits") -> DataFrame:
-    """One row per file; a file that can't be parsed has only its path and the error."""
+    """One row per file, of which only the header units are read; a file that can't be parsed has only its path and the error."""
     return _files(spark, path, glob).mapInArrow(_read_headers, HEADER_SCHEMA)
 
 
+def frequency(channel: Column) -> Column:
+    """Frequency in MHz of a channel number, from a header row's centre and bandwidth."""
+    return F.col("obsfreq_mhz") - F.col("obsbw_mhz") / 2 + channel * (F.col("obsbw_mhz") / F.col("nchan"))
+
+
+_RANGE = "path string, at long, width long, stride long, row int, n int, nsblk int, npol int, nchan int, nbits int, error string"
+
+
+def _ranges(range_bytes: int):
+    """Stretches of rows of each file, of about ``range_bytes``."""
+    fields = [f.split() for f in _RANGE.split(", ")]
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist()):
+                try:
+                    _, table, at, begin, width = _layout_of(path, length)
+                    shape = [int(table[k]) for k in ("NSBLK", "NPOL", "NCHAN", "NBITS")]
+                    stride, total = int(table["NAXIS1"]), int(table["NAXIS2"])
+                    step = max(1, range_bytes // max(1, stride))
+                    rows += [(path, at + i * stride + begin, width, stride, i, min(step, total - i), *shape, None) for i in range(0, total, step)]
+                except (ValueError, KeyError, TypeError) as e:
+                    rows.append((path, *[None] * 9, str(e)))
+            columns = list(zip(*rows)) or [()] * len(fields)
+            yield pa.record_batch([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
+
+    return run
+
+
 def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["path", "row", "nsblk", "npol", "nchan", "nbits", "data", "error"]
     kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
     for batch in batches:
+        for r in batch.to_pylist():
+            if r["error"] is not None:
+                yield pa.record_batch([pa.array([c], k) for c, k in zip((r["path"], *[None] * 6, r["error"]), kinds)], names=names)
+                continue
+            system, name = opened(r["path"])
+            shape = [r[k] for k in ("nsblk", "npol", "nchan", "nbits")]
+            with system.open_input_file(name) as f:
+                for i in range(r["n"]):
+                    f.seek(r["at"] + i * r["stride"])
+                    cell = (r["path"], r["row"] + i, *shape, f.read(r["width"]), None)
+                    yield pa.record_batch([pa.array([c], k) for c, k in zip(cell, kinds)], names=names)
+
+
+def read_blocks(spark: SparkSession, path: str, glob: str = "*.fits", range_bytes: int = 64 << 20) -> DataFrame:
+    """One row per table row of each file with its raw samples; a bad file gives one row with the error.
+
+    A task reads the headers of its files, then stretches of rows of about ``range_bytes`` are spread over tasks, each of
+    which reads its bytes row by row: a file of any size is read by many tasks and never held as a whole."""
+    ranges = _files(spark, path, glob).mapInArrow(_ranges(range_bytes), _RANGE)
+    return ranges.repartition(F.col("path"), F.coalesce("row", F.lit(-1))).mapInArrow(_read_blocks, BLOCK_SCHEMA)
+
+
+def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        done: list[tuple[str, int]] = []
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-            try:
-                _, table, rows = parse(content.as_py())
-                shape = [int(table[k]) for k in ("NSBLK", "NPOL", "NCHAN", "NBITS")]
-                cells = [(path, i, *shape, row.tobytes(), None) for i, row in enumerate(rows)]
-            except (ValueError, KeyError) as e:
-                cells = [(path, None, None, None, None, None, None, str(e))]
-            for at in range(0, len(cells), 16):
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*cells[at : at + 16]), kinds)], names=names)
-
-
-def read_blocks(spark: SparkSession, path: str, glob: str = "*.fits") -> DataFrame:
-    """One row per table row of each file with its raw samples; a bad file gives one row with the error."""
-    return _files(spark, path, glob).mapInArrow(_read_blocks, BLOCK_SCHEMA)
+            system, name = opened(path)
+            folder, _, last = name.rpartition("/")
+            system.create_dir(folder, recursive=True)
+            hidden = f"{folder}/_{last}-{uuid.uuid4().hex}"
+            with system.open_output_stream(hidden) as f:
+                f.write(content.as_buffer())
+            system.move(hidden, name)
+            done.append((path, len(content.as_buffer())))
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(list(zip(*done)) or [(), ()], (pa.string(), pa.int64()))], names=["path", "bytes"])
+
+
+def write_files(files: DataFrame) -> DataFrame:
+    """Write ``files(path, content)``, each under a hidden name and then moved, so that readers and repeated tasks meet whole
+    files only: ``(path, bytes)``, when the result is asked for."""
+    return files.mapInArrow(_write, "path string, bytes long")
 
 
 def samples(data: bytes, nsblk: int, npol: int, nchan: int, nbits: int) -> np.ndarray:

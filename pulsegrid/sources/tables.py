@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,6 +99,33 @@ def write_csv(rows: DataFrame, path: str, fields: list[str], mode: str = "errori
     rows.select(*known).write.mode(mode).option("header", "true").option("nullValue", "").option("emptyValue", "").csv(path)
 
 
+def publish(rows: DataFrame, folder: str, stem: str, suffix: str = ".jsonl") -> None:
+    """Files ``<stem>-<number><suffix>`` of a folder: JSON lines, or by the suffix CSV (``.csv``, ``.csv.gz``) or text (``.json``,
+    ``.txt``, a row with its one column being a line). They are written under a hidden name and moved when whole; an
+    existing file is an error."""
+    spark = rows.sparkSession
+    hidden = f"{folder}/_{stem}-{uuid.uuid4().hex}"
+    if suffix.startswith(".csv"):
+        rows.write.option("header", "true").option("compression", "gzip" if suffix.endswith(".gz") else "none").csv(hidden)
+    elif suffix in (".json", ".txt"):
+        rows.write.text(hidden)
+    else:
+        rows.select(*sorted(rows.columns)).write.json(hidden)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(hidden).getFileSystem(spark._jsc.hadoopConfiguration())
+    for i, name in enumerate(sorted(x.getPath().getName() for x in files.listStatus(path(hidden)) if x.getPath().getName().startswith("part-"))):
+        target = path(folder, f"{stem}-{i:05d}{suffix}")
+        if files.exists(target) or not files.rename(path(hidden, name), target):
+            raise FileExistsError(target.toString())
+    files.delete(path(hidden), True)
+
+
+def write_task_manifests(tasks: DataFrame, path: str, *by: str) -> None:
+    """One manifest document ``{"tasks": [...]}`` for each value of some columns; ``tasks`` has ``identifier``, ``files`` and ``info`` (a struct)."""
+    document = F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("identifier", "files", "info"))).alias("tasks")))
+    tasks.groupBy(*by).agg(document.alias("value")).write.partitionBy(*by).text(path)
+
+
 def write_partitioned(rows: DataFrame, path: str, *by: str, mode: str = "errorifexists") -> None:
     """Parquet by the values of some columns (source, date and beam, or a threshold), rows of a folder brought together first."""
     rows.repartition(*[F.col(c) for c in by]).write.mode(mode).partitionBy(*by).parquet(path)

@@ -114,3 +114,30 @@ def test_a_stream_takes_only_its_own_path(spark, tmp_path):
     for name, n in (("events.parquet", 5), ("events.parquet.bak", 7), ("events.parquet_old", 9)):
         spark.range(n).write.parquet(str(tmp_path / name))
     assert streams.append_all(spark, str(tmp_path / "events.parquet"), lambda frame: frame).count() == 5
+
+
+def test_files_are_read_by_stretches_of_rows(spark, tmp_path):
+    x = np.random.default_rng(5).integers(0, 256, (64, 2, 8))
+    files = spark.createDataFrame([(f"{tmp_path}/in/a.fits", bytearray(psrfits.encode(x, nsblk=4))), (f"{tmp_path}/in/b.fits", bytearray(b"SIMPLE  =                    T")), (f"{tmp_path}/in/c.fits", bytearray(b""))], "path string, content binary")
+    assert sorted(r.path[-6:] for r in psrfits.write_files(files).collect()) == ["a.fits", "b.fits", "c.fits"]
+    assert sorted(p.name for p in (tmp_path / "in").iterdir() if not p.name.startswith(".")) == ["a.fits", "b.fits", "c.fits"]
+    whole, parts = (psrfits.read_blocks(spark, str(tmp_path / "in"), range_bytes=n) for n in (1 << 26, 100))
+    assert sorted(map(str, whole.collect())) == sorted(map(str, parts.collect())) and parts.where("error is null").count() == 16
+    assert sorted(r.path[-6:] for r in psrfits.bad_files(parts).collect()) == ["b.fits", "c.fits"]
+    got = {(r.t, r.chan): r.v for r in psrfits.spectrum(parts).collect()}
+    assert all(got[t, c] == x[t, :, c].mean() for t in range(64) for c in range(8))
+    found = {r.path[-6:]: (r.nchan, r.f, r.error is None) for r in psrfits.read_headers(spark, str(tmp_path / "in")).withColumn("f", psrfits.frequency(F.lit(4))).collect()}
+    assert found["a.fits"] == (8, 1250.0, True) and not found["b.fits"][2] and not found["c.fits"][2]
+
+
+def test_published_files_have_their_names(spark, tmp_path):
+    rows = spark.createDataFrame([(2, "x"), (1, "y")], "b int, a string")
+    tables.publish(rows, str(tmp_path / "p"), "run_candidates")
+    assert {p.suffix for p in (tmp_path / "p").iterdir() if not p.name.startswith(".")} == {".jsonl"}
+    assert sorted((r.a, r.b) for r in tables.read_candidates(spark, str(tmp_path / "p"), "a string, b int").collect()) == [("x", 2), ("y", 1)]
+    with pytest.raises(FileExistsError):
+        tables.publish(rows, str(tmp_path / "p"), "run_candidates")
+    tables.publish(rows.select("a"), str(tmp_path / "p"), "lines", ".txt")
+    tables.publish(rows, str(tmp_path / "p"), "table", ".csv.gz")
+    assert sorted(r.a for r in tables.read_csv(spark, str(tmp_path / "p"), "table*").collect()) == ["x", "y"]
+    assert spark.range(1).select(scalars.decoded(F.lit(b"a\xffb\xc3"))).first()[0] == "ab"
