@@ -173,7 +173,8 @@ def _read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_blocks(spark: SparkSession, path: str, glob: str = "*.fits", range_bytes: int = 64 << 20) -> DataFrame:
-    """One row per table row of each file with its raw samples; a bad file gives one row with the error.
+    """One row per table row of each file with its raw samples; a bad file gives one row with the error
+    (Spark doesn't list empty files, which are missing ones here).
 
     A task reads the headers of its files, then stretches of rows of about ``range_bytes`` are spread over tasks, each of
     which reads its bytes row by row: a file of any size is read by many tasks and never held as a whole."""
