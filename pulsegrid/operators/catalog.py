@@ -78,10 +78,10 @@ def truthy(text: Column) -> Column:
 def parse_singlepulse(lines: DataFrame, low: int, high: int, text: str = "line") -> DataFrame:
     """Candidates of text lines ``dm sigma time sample downfact``: comments, lines with fewer tokens and unparsable ones go,
     as do samples outside [low, high); ``center_sample`` counts from ``low``."""
-    part = F.split(F.trim(text), r"\s+")
-    kept = lines.where(~F.trim(text).startswith("#")).withColumn("_p", part).where(F.size("_p") >= 5)
+    # generators, so that filters on the parts don't take the text apart again
+    split = lines.withColumn("_p", F.explode(F.array(F.split(F.trim(text), r"\s+")))).where(~F.col("_p")[0].startswith("#") & (F.size("_p") >= 5))
     cast = [finite_double(F.col("_p")[i]).alias(n) for i, n in enumerate(("dm", "sigma", "time_s"))] + [F.col("_p")[i].try_cast("long").alias(n) for i, n in ((3, "sample"), (4, "downfact"))]
-    parsed = kept.select(*[c for c in lines.columns if c != text], *cast).dropna(subset=["dm", "sigma", "time_s", "sample", "downfact"])
+    parsed = split.select(*[c for c in lines.columns if c != text], F.inline(F.array(F.struct(*cast)))).dropna(subset=["dm", "sigma", "time_s", "sample", "downfact"])
     return parsed.where((F.col("sample") >= low) & (F.col("sample") < high)).withColumn("center_sample", F.col("sample") - low)
 
 

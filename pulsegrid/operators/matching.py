@@ -144,16 +144,25 @@ def whole_components(labelled: DataFrame, keys: list[str], together: int = 20_00
     return labelled.groupBy(F.pmod(F.xxhash64(*keys, "component"), F.lit(groups)))
 
 
+def _cells(values: np.ndarray, tol: float) -> list[int]:
+    """Numbers of cells so wide that values in tolerance of each other are in the same or neighbouring ones."""
+    return np.floor(values / (tol * (1 + 1e-9) or 1.0)).astype(np.int64).tolist()
+
+
 def cluster_bounded(rows: pd.DataFrame, time_tol: float, dm_tol: float) -> np.ndarray:
     """Event number of each row: rows in order of falling cls, det, then candidate_index and cand_id join the event all of
     whose members are in tolerance and whose first member is nearest, else open one."""
     order = np.lexsort((rows["cand_id"], rows["candidate_index"], -rows["det"], -rows["cls"]))
     t, dm = rows["sample"].to_numpy(float), rows["dm"].to_numpy(float)
+    x, y = _cells(t, time_tol), _cells(dm, dm_tol)
+    t, dm = t.tolist(), dm.tolist()
     out = np.empty(len(rows), np.int64)
     spans: list[list[float]] = []  # of each event: least and largest time and DM, time and DM of its first member
-    for i in order:
+    held: dict[tuple[int, int], list[int]] = {}  # events by the cell of their first member, which all members are near to
+    for i in order.tolist():
         best, at = np.inf, -1
-        for e, (t0, t1, d0, d1, rt, rd) in enumerate(spans):
+        for e in sorted(e for a in (-1, 0, 1) for b in (-1, 0, 1) for e in held.get((x[i] + a, y[i] + b), ())):
+            t0, t1, d0, d1, rt, rd = spans[e]
             if t[i] - t0 <= time_tol and t1 - t[i] <= time_tol and dm[i] - d0 <= dm_tol and d1 - dm[i] <= dm_tol:
                 distance = abs(t[i] - rt) / max(time_tol, 1) + abs(dm[i] - rd) / max(dm_tol, 1e-6)
                 if distance < best:
@@ -161,6 +170,7 @@ def cluster_bounded(rows: pd.DataFrame, time_tol: float, dm_tol: float) -> np.nd
         if at < 0:
             at = len(spans)
             spans.append([t[i], t[i], dm[i], dm[i], t[i], dm[i]])
+            held.setdefault((x[i], y[i]), []).append(at)
         s = spans[at]
         s[0], s[1], s[2], s[3] = min(s[0], t[i]), max(s[1], t[i]), min(s[2], dm[i]), max(s[3], dm[i])
         out[i] = at
@@ -238,12 +248,15 @@ def suppress(rows: pd.DataFrame, time_tol: float, dm_tol: float) -> np.ndarray:
     if time_tol <= 0 or dm_tol <= 0:
         return keep
     t, dm = rows["sample"].to_numpy(float), rows["dm"].to_numpy(float)
-    kept_t, kept_d = [], []
-    for i in np.lexsort((rows["cand_id"], -rows["cls"], -rows["det"])):
-        keep[i] = not any(abs(t[i] - a) <= time_tol and abs(dm[i] - b) <= dm_tol for a, b in zip(kept_t, kept_d))
-        if keep[i]:
-            kept_t.append(t[i])
-            kept_d.append(dm[i])
+    x, y = _cells(t, time_tol), _cells(dm, dm_tol)
+    t, dm = t.tolist(), dm.tolist()
+    kept: dict[tuple[int, int], list[int]] = {}
+    for i in np.lexsort((rows["cand_id"], -rows["cls"], -rows["det"])).tolist():
+        near = (k for a in (-1, 0, 1) for b in (-1, 0, 1) for k in kept.get((x[i] + a, y[i] + b), ()))
+        if any(abs(t[i] - t[k]) <= time_tol and abs(dm[i] - dm[k]) <= dm_tol for k in near):
+            keep[i] = False
+        else:
+            kept.setdefault((x[i], y[i]), []).append(i)
     return keep
 
 
