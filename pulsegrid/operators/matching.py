@@ -144,6 +144,12 @@ def whole_components(labelled: DataFrame, keys: list[str], together: int = 20_00
     return labelled.groupBy(F.pmod(F.xxhash64(*keys, "component"), F.lit(groups)))
 
 
+def spread(rows: DataFrame, *keys: str) -> GroupedData:
+    """Groups of ``keys`` over as many tasks as shuffles have. Adaptive execution would put small rows into few tasks, but a
+    sequential matcher's time goes by its comparisons, not by bytes."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).groupBy(*keys)
+
+
 def _cells(values: np.ndarray, tol: float) -> list[int]:
     """Numbers of cells so wide that values in tolerance of each other are in the same or neighbouring ones."""
     return np.floor(values / (tol * (1 + 1e-9) or 1.0)).astype(np.int64).tolist()
@@ -189,7 +195,7 @@ def bounded_events(candidates: DataFrame, time_tol: int, dm_tol: float) -> DataF
         size = np.bincount(number)
         return pd.DataFrame({"cand_id": pdf["cand_id"].to_numpy(), "event": [first[e] for e in number], "event_size": size[number]})
 
-    return time_islands(candidates, KEY, time_tol).groupBy(*KEY, "island").applyInPandas(run, "cand_id long, event long, event_size long")
+    return spread(time_islands(candidates, KEY, time_tol), *KEY, "island").applyInPandas(run, "cand_id long, event long, event_size long")
 
 
 def cluster_grid(rows: pd.DataFrame, time_tol: float, dm_tol: float) -> pd.DataFrame:
@@ -237,7 +243,7 @@ def grid_events(candidates: DataFrame, time_tol: int, dm_tol: float) -> DataFram
         return found.drop(columns="event_number")
 
     schema = "quant string, stem string, opened_by long, cand_id long, sigma double, event_size long, dm_min double, dm_max double, sample_min long, sample_max long"
-    found = time_islands(candidates, KEY, time_tol).groupBy(*KEY, "island").applyInPandas(run, schema)
+    found = spread(time_islands(candidates, KEY, time_tol), *KEY, "island").applyInPandas(run, schema)
     number = F.row_number().over(Window.partitionBy(*KEY).orderBy("opened_by")) - 1
     return found.withColumn("event_number", number.cast("long")).select("quant", "stem", "event_number", *found.columns[3:])
 
@@ -267,7 +273,7 @@ def physical_dedup(candidates: DataFrame, time_tol: int, dm_tol: float) -> DataF
         return pdf[suppress(pdf, time_tol, dm_tol)]
 
     islands = time_islands(candidates, KEY, max(time_tol, 1))
-    return islands.groupBy(*KEY, "island").applyInPandas(run, islands.schema).drop("island")
+    return spread(islands, *KEY, "island").applyInPandas(run, islands.schema).drop("island")
 
 
 def assign(edges: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
@@ -339,7 +345,7 @@ def optimal_assignment(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 def grouped_greedy(rows: DataFrame, keys: list[str], pick: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """A sequential matcher over each group of ``keys``."""
-    return rows.groupBy(*keys).applyInPandas(pick, schema)
+    return spread(rows, *keys).applyInPandas(pick, schema)
 
 
 def greedy_in_truth_order(edges: pd.DataFrame) -> pd.DataFrame:
