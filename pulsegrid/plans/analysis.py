@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -106,12 +109,18 @@ def _centre_matches(spark, sf_dir):
     found = I.top_pixels(I.peaks(pixels, 100000), 4).select("image", F.lit(0).alias("side"), "rank", "px", "py")
     real = I.top_pixels(pixels.where("v > 0").withColumn("v", F.pmod("v", F.lit(1009))), 3).select("image", F.lit(1).alias("side"), "rank", "px", "py")
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, gt = (pdf[pdf.side == s].sort_values("rank") for s in (0, 1))
-        pairs = M.greedy_centres(own[["px", "py"]].to_numpy(float), gt[["px", "py"]].to_numpy(float), 2.0)
-        return pd.DataFrame({"image": own["image"], "rank": own["rank"], "truth": [j for j, _ in pairs], "distance": [d for _, d in pairs]})
+    side = lambda n: F.sort_array(F.collect_list(F.when(F.col("side") == n, F.struct("rank", "px", "py"))))
+    lists = found.union(real).groupBy("image").agg(side(0).alias("own"), side(1).alias("gt"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for image, own, gt in zip(pdf["image"], pdf["own"], pdf["gt"]):
+                centres = [np.array([(r["px"], r["py"]) for r in x], float).reshape(-1, 2) for x in (own, gt)]
+                rows += [(image, r["rank"], j, d) for r, (j, d) in zip(own, M.greedy_centres(*centres, 2.0))]
+            yield pd.DataFrame(rows, columns=["image", "rank", "truth", "distance"])
 
-    return M.grouped_greedy(found.union(real), ["image"], pick, "image long, rank int, truth int, distance double")
+    return lists.mapInPandas(run, "image long, rank int, truth int, distance double")  # one row for each image, as images are small
 
 
 @query("greedy_center_match", f'SELECT image, "rank", truth, round(distance, 6) AS distance FROM {CENTRE_MATCHES}')
