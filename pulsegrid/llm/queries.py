@@ -1,4 +1,4 @@
-"""The ten training-data operators as driver queries over the whole of their tables."""
+"""The training-data operators as driver queries over the whole of their tables."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import html_extraction, language_id, media, toxicity
+from .compression_bands import measure
 from .decontamination import find_contamination
 from .packing import pack_documents
 from .secrets import scan_secrets
@@ -96,3 +97,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op12_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measure(_table(spark, sf_dir, "documents"))
