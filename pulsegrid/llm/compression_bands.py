@@ -25,8 +25,8 @@ CHUNK = 2048
 BANDS = (
     (128, 0.0, 3.0),
     (256, 0.95, 3.25),
-    (512, 1.1, 3.5),
-    (1024, 1.2, 3.5),
+    (512, 1.15, 3.5),
+    (1024, 1.3, 3.5),
     (4096, 1.36, 3.75),
     (16384, 1.4, 4.0),
     (65536, 1.4, 4.5),
