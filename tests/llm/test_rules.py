@@ -1,6 +1,7 @@
 """Compression bands, filter audit and dataset manifest against brute force."""
 
 import base64
+import itertools
 import random
 import re
 
@@ -9,8 +10,10 @@ import pytest
 import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pulsegrid.llm import compression_bands as B
+from pulsegrid.llm import filter_audit as A
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -81,3 +84,65 @@ def test_bands_with_odd_rows(spark, odd_docs, no_docs):
     kept = B.keep_compressible(odd_docs)
     assert kept.columns == odd_docs.columns and kept.count() == sum(r.kept for r in rows)
     assert B.keep_compressible(no_docs).count() == 0
+
+
+def plain_masks(docs):
+    """(part, failed letters) of each (doc_id, text, lang), by definition."""
+    out = []
+    for d, text, lang in docs:
+        text = text or ""
+        words = WORD.findall(text)
+        failed = "A" * (len(words) < 200) + "B" * (100 * len(set(words)) < 50 * len(words)) + "C" * (100 * len(re.findall("[A-Z]", text)) > 3 * len(text)) + "D" * bool(re.search("[#$%&*|]", text))
+        failed += "E" * (d is not None and any(e is not None and e < d and (t or "") == text for e, t, _ in docs))
+        out.append((lang or "", failed))
+    return out
+
+
+def plain_audit(docs, good, toxic):
+    """Every order is applied filter by filter to the documents that are left."""
+    masks, out = plain_masks(docs), {}
+    for part in {p for p, _ in masks}:
+        mine = [(f, d in good, d in toxic) for (p, f), (d, _, _) in zip(masks, docs) if p == part]
+        shapley = dict.fromkeys("ABCDE", 0)
+        for order in map("".join, itertools.permutations("ABCDE")):
+            left = mine
+            for step, x in enumerate(order, 1):
+                gone = [m for m in left if x in m[0]]
+                left = [m for m in left if x not in m[0]]
+                fails = sum(x in m[0] for m in mine)
+                out[part, order, step] = [len(left), len(gone), fails - len(gone), sum(m[0] == x for m in mine), sum(m[1] for m in gone), sum(m[2] for m in gone)]
+                shapley[x] += len(gone)
+        for (p, order, step), row in out.items():
+            if p == part:
+                row.append(shapley[order[step - 1]])
+    return out
+
+
+def test_audit_with_odd_rows(spark):
+    rnd = random.Random(11)
+    texts = [" ".join(rnd.choices(["alpha", "Beta", "GAMMA", "d#lta", "eps", "zeta"], k=rnd.choice([0, 3, 230]))) for _ in range(12)] + [" ".join(f"w{i}" for i in range(300)), None, "", " \n"]
+    docs = [(rnd.choice([None, *range(30)]), rnd.choice(texts), rnd.choice(["en", None, "", "de"])) for _ in range(150)]
+    docs += docs[:20]
+    labels = [(d, q, t) for d, q, t in ((rnd.randrange(30), rnd.choice([0, 1, None]), rnd.choice([0, 1])) for _ in range(25))] + [(None, 1, 1)]
+    table = spark.createDataFrame([(d, t, x, 1, b"x", 2) for d, t, x in docs], "doc_id long, text string, lang string, mask int, digest binary, n int")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {(r.part, r.filter_order, r.step): list(r)[3:] for r in A.audit_filters(table, known).collect()}
+    named = [x for x in labels if x[0] is not None]
+    assert got == plain_audit(docs, {d for d, q, _ in named if q == 1}, {d for d, _, t in named if t == 1})
+    assert A.audit_filters(table.limit(0), known).count() == 0
+    assert A.audit_filters(table, known.limit(0)).agg({"good_lost": "sum"}).first()[0] == 0
+
+
+def test_potentials_are_the_recursion(spark):
+    worth = [0, 5, 3, 7, 2, 6, 5, 9]
+    want = [0.0] * 8
+    for s in range(1, 8):
+        inside = [1 << i for i in range(3) if s >> i & 1]
+        want[s] = (worth[s] + sum(want[s - b] for b in inside)) / len(inside)
+    got = spark.range(1).select(A.potentials(F.array(*(F.lit(x).cast("long") for x in worth)), 3)).first()[0]
+    assert got == [round(6 * x) for x in want]
+
+
+def test_filters_need_letters(spark):
+    with pytest.raises(ValueError):
+        A.audit_filters(spark.range(1), spark.range(1), {"AB": "true"})
