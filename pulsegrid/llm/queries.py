@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extraction, language_id, media, toxicity
+from . import html_extraction, language_id, media, merkle, toxicity
 from .compression_bands import measure
 from .decontamination import find_contamination
 from .filter_audit import audit_filters
@@ -126,3 +126,33 @@ SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS ke
 @_query
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+#: Nodes of both trees by recursion over levels; CRC-32 by its table, which is worked out from the polynomial.
+ORACLES["op13_merkle_manifest"] = r"""
+WITH RECURSIVE tab AS (SELECT list(list_reduce(list_concat([i], range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS c FROM range(256) r(i)),
+e AS (SELECT row_number() OVER () AS r, doc_id, lang, text, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+ translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+ xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, b: xor(a >> 8, c[CAST(xor(a, b) & 255 AS BIGINT) + 1]))) % 3 = 0 AS tampered FROM documents, tab),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM (SELECT r, doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+ sha256(head || coalesce(CASE WHEN tampered THEN strlen(low) || ':' || low ELSE strlen(text) || ':' || text END, '-')) AS claim FROM e)),
+n AS (SELECT lang, 0 AS lev, i, leaf AS h, n AS c FROM p UNION ALL SELECT lang, lev + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (c + 7) // 8 FROM n WHERE c > 1 GROUP BY lang, lev, i // 8, c),
+s AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS j, count(*) OVER () AS m FROM n WHERE c = 1),
+t AS (SELECT 0 AS lev, j AS i, subroot AS h, m AS c FROM s UNION ALL SELECT lev + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (c + 7) // 8 FROM t WHERE c > 1 GROUP BY lev, i // 8, c),
+b AS (SELECT r, n.lev AS lev, n.i AS i, n.h AS h, p.i // CAST(power(8, n.lev) AS BIGINT) AS own FROM p JOIN n ON p.lang IS NOT DISTINCT FROM n.lang AND n.c > 1 AND n.i // 8 = p.i // CAST(power(8, n.lev + 1) AS BIGINT)
+ UNION ALL SELECT r, 100 + t.lev, t.i, t.h, s.j // CAST(power(8, t.lev) AS BIGINT) FROM p JOIN s ON p.lang IS NOT DISTINCT FROM s.lang JOIN t ON t.c > 1 AND t.i // 8 = s.j // CAST(power(8, t.lev + 1) AS BIGINT)),
+q AS (SELECT r, lev, row_number() OVER (PARTITION BY r ORDER BY lev) AS k, coalesce(string_agg(h, '' ORDER BY i) FILTER (i < own), '') AS a, coalesce(string_agg(h, '' ORDER BY i) FILTER (i > own), '') AS z FROM b GROUP BY r, lev),
+f AS (SELECT r, 0 AS k, claim AS h FROM p UNION ALL SELECT f.r, f.k + 1, sha256(a || h || z) FROM f JOIN q ON q.r = f.r AND q.k = f.k + 1),
+g AS (SELECT r, arg_max(h, k) AS folded_root FROM f GROUP BY r),
+y AS (SELECT r, sha256(string_agg(a || z, '' ORDER BY k)) AS proof_sha256 FROM q GROUP BY r)
+SELECT doc_id, leaf, subroot, t.h AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = t.h AS verified FROM p JOIN s ON p.lang IS NOT DISTINCT FROM s.lang JOIN t ON t.c = 1 JOIN g USING (r) LEFT JOIN y USING (r)"""
+
+
+@_query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = merkle.leaf_digest(merkle.lowered(F.col(c)) if c == "text" else F.col(c) for c in merkle.FIELDS)
+    claim = F.when(language_id.remainder("doc_id", 3) == 0, tampered)
+    rows = merkle.build_manifest(_table(spark, sf_dir, "documents"), claim=claim)
+    folded = merkle.fold(F.coalesce("claim", "leaf"), F.col("proof"))
+    rows = rows.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))

@@ -1,10 +1,12 @@
 """Compression bands, filter audit and dataset manifest against brute force."""
 
 import base64
+import hashlib
 import itertools
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 import zstandard
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm import compression_bands as B
 from pulsegrid.llm import filter_audit as A
+from pulsegrid.llm import merkle as M
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -146,3 +149,76 @@ def test_potentials_are_the_recursion(spark):
 def test_filters_need_letters(spark):
     with pytest.raises(ValueError):
         A.audit_filters(spark.range(1), spark.range(1), {"AB": "true"})
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def plain_leaf(row):
+    return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+
+def plain_tree(leaves, fanout):
+    levels = [leaves]
+    while len(levels[-1]) > 1:
+        levels.append([sha("".join(levels[-1][i : i + fanout])) for i in range(0, len(levels[-1]), fanout)])
+    return levels
+
+
+def plain_proof(levels, i, fanout):
+    out = []
+    for level in levels[:-1]:
+        start = i - i % fanout
+        out.append((level[start:i], level[i + 1 : start + fanout]))
+        i //= fanout
+    return out
+
+
+def plain_manifest(docs, fanout):
+    """Sorted (doc_id, leaf, subroot, root, proof) of rows (doc_id, source, lang, n_chars, text)."""
+    groups = {}
+    for row in docs:
+        groups.setdefault(row[2], []).append((row[0] is not None, row[0] or 0, plain_leaf(row)))
+    order = sorted(groups, key=lambda x: (x is not None, (x or "").encode()))
+    trees = {g: plain_tree([x[2] for x in sorted(groups[g])], fanout) for g in order}
+    top = plain_tree([trees[g][-1][0] for g in order], fanout)
+    out = []
+    for j, g in enumerate(order):
+        for i, (named, key, leaf) in enumerate(sorted(groups[g])):
+            out.append((key if named else None, leaf, trees[g][-1][0], top[-1][0], plain_proof(trees[g], i, fanout) + plain_proof(top, j, fanout)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("fanout, block_levels, sizes", [(2, 1, [1, 2, 3, 13, 33, 7, 64, 5, 9]), (3, 1, [40, 1, 28, 3]), (8, 3, [5, 600, 1]), (2, 2, [9])])
+def test_manifest_equals_plain_trees(spark, fanout, block_levels, sizes):
+    rnd = random.Random(3)
+    langs = [None, "", "en", "é", "Z", "zh", "aa", "b", "c"][: len(sizes)] if len(sizes) > 1 else ["en"]
+    docs = [(rnd.choice([None, rnd.randrange(1000), rnd.randrange(10)]), rnd.choice(["s1", None, "ß"]), lang, rnd.choice([None, 5]), rnd.choice([None, "", "Text é", "x" * 50, "a\nb"])) for lang, n in zip(langs, sizes) for _ in range(n)]
+    rnd.shuffle(docs)
+    table = spark.createDataFrame([(*d, 1, "z", 2) for d in docs], "doc_id long, source string, lang string, n_chars long, text string, block int, leaf string, number int")
+    rows = M.build_manifest(table, fanout=fanout, block_levels=block_levels).collect()
+    got = [(r.key, r.leaf, r.subroot, r.root, [(s.before, s.after) for s in r.proof]) for r in rows]
+    assert sorted(got, key=repr) == plain_manifest(docs, fanout)
+
+
+def test_manifest_detects_changes(spark, odd_docs):
+    docs = odd_docs.withColumn("source", F.lit("s")).withColumn("n_chars", F.lit(1))
+    rows = M.build_manifest(docs, claim=F.when(F.col("doc_id") == 4, "0" * 64))
+    checked = rows.withColumn("good", M.fold(F.coalesce("claim", "leaf"), F.col("proof")) == F.col("root")).collect()
+    assert {r.key: r.good for r in checked} == {None: True, 1: True, 2: True, 3: True, 4: False, 5: True, 6: True} and len(checked) == odd_docs.count()
+    assert M.build_manifest(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        M.build_manifest(docs, fanout=1)
+
+
+@pytest.mark.parametrize("name", ["op11_filter_audit", "op13_merkle_manifest"])
+def test_query_equals_its_sql(spark, name):
+    from pulsegrid.llm.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    want, got = con.sql(ORACLES[name]), QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
