@@ -35,7 +35,7 @@ DEPTH = 48
 WIDTH = PATH_DIMS + WORD_DIMS + 8
 
 _TOKEN = re.compile(
-    r"""<(?P<raw>script|style)(?=[\s/>])(?:(?:[^<>]*["'\s])?/>|[^<>]*+>.*?(?:</(?P=raw)\s*+>|\Z))|<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<attrs>(?:"[^"]*+"|'[^']*+'|[^'"<>]++)*+)>|<[!?/][^<>]*+>""", re.S | re.I
+    r"""<(?P<raw>script|style)(?=[\s/>])[^<>]*+>.*?(?:</(?P=raw)\s*+>|\Z)|<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*+)(?P<attrs>(?:"[^"]*+"|'[^']*+'|[^'"<>]++)*+)>|<[!?/][^<>]*+>""", re.S | re.I
 )
 _NAMED = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "source", "track"}
@@ -49,6 +49,9 @@ CONTENT = ("article", "content", "main", "post", "entry", "entry-content", "post
 _PLAIN_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "head", "title", "header"}
 
 
+_BLOCKS = pa.list_(pa.struct([("path", pa.list_(pa.string())), ("text", pa.string()), ("linked", pa.float64())]))
+
+
 @dataclass
 class Block:
     path: tuple[str, ...]
@@ -61,7 +64,9 @@ def _names(attrs: str) -> list[str]:
 
 
 def blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of a page in order: runs of text without a block-level tag inside, references decoded, white space as single spaces."""
+    """The leaf blocks of a page in order: runs of text without a block-level tag inside, references decoded, white space as
+    single spaces. A block's path holds its innermost ``DEPTH`` open elements. A script or style is open up to its closing
+    tag, or else to the end of the page, whether it ends in ``/>`` or not."""
     page = page or ""
     found: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
@@ -287,9 +292,8 @@ def weak_label(path: tuple[str, ...], semantic: bool) -> bool:
     return inside or not semantic
 
 
-def _disturbed(page: list[Block], strangers: list[str], random: np.random.Generator) -> tuple[list[Block], list[bool]]:
+def _disturbed(page: list[Block], semantic: bool, strangers: list[str], random: np.random.Generator) -> tuple[list[Block], list[bool]]:
     """A copy of a page in another main container and with boilerplate of other kinds put before, into and behind its main text."""
-    semantic = any(weak_label(b.path, True) for b in page)
     out, labels = [], []
     box = str(random.choice(CONTENT))
     tag = str(random.choice(["article", "main", "div", "section"]))
@@ -328,16 +332,21 @@ def _disturbed(page: list[Block], strangers: list[str], random: np.random.Genera
     return out, labels
 
 
-def fit(pages: list[list[Block]], epochs: int = 14, batch: int = 32, rate: float = 0.01, seed: int = 5) -> Model:
-    """Train the labeller by Adam on the pages and two disturbed copies of each; long pages in runs of 64 blocks."""
+def fit(pages: list[list[Block]], semantic: list[bool] | None = None, epochs: int = 14, batch: int = 32, rate: float = 0.01, seed: int = 5) -> Model:
+    """Train the labeller by Adam on the pages and two disturbed copies of each; long pages in runs of 64 blocks.
+
+    ``semantic`` says of each page whether it has an article-like container; without it the blocks given tell. There is no
+    model of no blocks: that is an error."""
     random = np.random.default_rng(seed)
-    pages = [p for p in pages if p]
+    known = semantic or [any(weak_label(b.path, True) for b in p) for p in pages]
+    pages, known = [p for p in pages if p], [k for p, k in zip(pages, known) if p]
+    if not pages:
+        raise ValueError("there are no blocks to train on")
     strangers = [b.text for p in pages for b in p]
     samples = []
-    for page in pages:
-        semantic = any(weak_label(b.path, True) for b in page)
-        samples.append((page, [weak_label(b.path, semantic) for b in page]))
-        samples += [_disturbed(page, strangers, random) for _ in range(2)]
+    for page, contained in zip(pages, known):
+        samples.append((page, [weak_label(b.path, contained) for b in page]))
+        samples += [_disturbed(page, contained, strangers, random) for _ in range(2)]
     runs = [(p[i : i + 64], y[i : i + 64]) for p, y in samples for i in range(0, len(p), 64)]
     x, lengths = Vectors()([p for p, _ in runs]), np.array([len(p) for p, _ in runs])
     first = np.cumsum(lengths) - lengths
@@ -366,15 +375,58 @@ def fit(pages: list[list[Block]], epochs: int = 14, batch: int = 32, rate: float
     return model
 
 
+def _run(found: list[Block], begin: int, end: int, most: int) -> list[Block]:
+    """Blocks of ``found[begin:end]`` from the first on with ``most`` characters at most; the last of them may be cut."""
+    out = []
+    for b in found[begin:end]:
+        if most <= 0:
+            break
+        out.append(b if len(b.text) <= most else Block(b.path, b.text[:most], b.linked))
+        most -= len(b.text)
+    return out
+
+
+def training_run(page: str, max_chars: int, seed: int) -> tuple[list[Block], bool]:
+    """Blocks of a page to train on, ``max_chars`` characters at most, and whether the page has an article-like container.
+
+    A longer page is parsed as a whole, too, and gives a third of the bound from its begin, from its end and from a place
+    between that ``seed`` picks."""
+    found = blocks(page)
+    semantic = any(weak_label(b.path, True) for b in found)
+    ends = np.cumsum([len(b.text) for b in found])
+    if not found or ends[-1] <= max_chars:
+        return found, semantic
+    third = max(1, max_chars // 3)
+    low = int(np.searchsorted(ends, third, side="right")) + 1
+    high = max(low, int(np.searchsorted(ends, int(ends[-1]) - third, side="right")) + 1)
+    place = int(np.searchsorted(ends, third + seed % max(1, int(ends[-1]) - 2 * third), side="right"))
+    middle = min(max(low, place), high)
+    return _run(found, 0, low, third) + _run(found, middle, high, third) + _run(found, high, len(found), third), semantic
+
+
 def learn(pages: DataFrame, max_pages: int = TRAIN_PAGES, max_chars: int = TRAIN_CHARS, html_col: str = "html") -> Model | None:
-    """Train on at most ``max_pages`` pages of at most ``max_chars`` characters, picked by a hash. None if there is none."""
-    usable = pages.where((F.length(html_col) > 0) & (F.length(html_col) <= max_chars)).select(F.col(html_col).alias("html"))
-    n = usable.count()
-    if not n:
-        return None
-    order = F.xxhash64("html")
-    few = usable.withColumn("order", order).where(F.col("order") / F.lit(2.0**64) + 0.5 <= min(1.0, 1.5 * max_pages / n))
-    return fit([blocks(r["html"]) for r in few.orderBy("order").limit(max_pages).collect()])
+    """Train on at most ``max_pages`` different pages, picked by a hash, and at most ``max_chars`` characters of each.
+
+    The share of hashes that is looked at widens until there are enough different pages with text, so repeated and empty
+    pages don't thin the sample. None only if no page has any text at all."""
+    usable = pages.where(F.length(html_col) > 0).select(F.xxhash64(html_col).alias("order"), F.col(html_col).alias("html"))
+    n, share = usable.count(), 1.5 * max_pages
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "html"):
+                runs = [training_run(x.as_py(), max_chars, o.as_py() & 0x7FFFFFFF) for o, x in zip(part.column("order"), part.column("html"))]
+                rows = [[{"path": list(b.path), "text": b.text, "linked": b.linked} for b in run] for run, _ in runs]
+                yield pa.record_batch([part.column("order"), pa.array(rows, _BLOCKS), pa.array([s for _, s in runs])], names=["order", "blocks", "semantic"])
+
+    while n:
+        picked = usable.where(F.col("order") / F.lit(2.0**64) + 0.5 <= min(1.0, share / n)).dropDuplicates(["order"])
+        runs = picked.mapInArrow(parsed, "order long, blocks array<struct<path:array<string>,text:string,linked:double>>, semantic boolean").where(F.size("blocks") > 0)
+        rows = runs.orderBy("order").limit(max_pages).collect()
+        if len(rows) >= max_pages or share >= n:
+            return fit([[Block(tuple(b["path"]), b["text"], b["linked"]) for b in r["blocks"]] for r in rows], [r["semantic"] for r in rows]) if rows else None
+        share *= 8
+    return None
 
 
 def _extracted(model: Model | None):
@@ -394,7 +446,7 @@ def extract_text(pages: DataFrame, model: Model | None) -> DataFrame:
     """``(page_id, url, text, n_chars)``: the main text of every page, blocks joined by an empty line.
 
     Null and empty pages, and pages whose blocks are all boilerplate, give an empty text; so do all pages without a
-    model. Null ids and urls and repeated rows are kept as they are; other columns are ignored; an empty table gives an
+    model, which ``learn`` fails to give only where no page has text. Null ids and urls and repeated rows are kept as they are; other columns are ignored; an empty table gives an
     empty result.
     """
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")

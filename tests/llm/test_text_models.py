@@ -4,6 +4,7 @@ import html
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import html_extraction as H
@@ -188,7 +189,7 @@ def test_articles_are_extracted_and_boilerplate_of_other_kinds_left_out(spark):
     strangers = [b.text for p in held for b in H.blocks(p.html)]
     right = total = 0
     for p in held[:60]:
-        blocks, labels = H._disturbed(H.blocks(p.html), strangers, random)
+        blocks, labels = H._disturbed(H.blocks(p.html), True, strangers, random)
         got = model.label([blocks], H.Vectors())[0]
         right, total = right + int((got == np.array(labels)).sum()), total + len(labels)
     assert right / total > 0.97
@@ -208,8 +209,55 @@ def test_only_scripts_and_styles_are_skipped_as_raw_text():
 
     page = (
         "<p>a <svg-icon name='x'></svg-icon>b</p><p>c <svg width='1'/> d</p><p>e <math><mi>x</mi></math> f</p><noscript><p>g</p></noscript><object><p>h</p></object>"
-        "<script src='s'/><p>i</p><script>if (1 < 2) no()</script><style>no</style><script-note>j</script-note><!-- no --><template-part>k</template-part><p>l</p>"
+        "<script src='s'></script><p>i</p><script>if (1 < 2) no()</script><style>no</style><script-note>j</script-note><!-- no --><template-part>k</template-part><p>l</p>"
     )
     words = " ".join(b.text for b in html_extraction.blocks(page)).split()
     assert words == list("abcdexfghijkl")
     assert "e x f" in [b.text for b in html_extraction.blocks(page)]
+    assert [b.text for b in html_extraction.blocks("<p>a</p><script src='s'/>alert(1)</script><p>b</p>")] == ["a", "b"]  # as browsers read it
+
+
+def simple_page(i, body):
+    words = f"{i} one two three four five six seven eight nine ten."
+    return f"<html><body><nav><ul><li><a href='x'>Menu {i}</a></li></ul></nav><div class='sidebar'><p>Side {i} notes here.</p></div><article><h1>Head {i}</h1>{body(words)}</article><footer><p>Foot {i} rights.</p></footer></body></html>"
+
+
+def expected(i, n):
+    return "\n\n".join([f"Head {i}", *[f"{i} one two three four five six seven eight nine ten."] * n])
+
+
+def trained(model):
+    return any(not np.array_equal(w, H.Model.fresh().weights[k]) for k, w in model.weights.items())
+
+
+def test_many_copies_of_a_page_do_not_thin_the_training(spark):
+    body = lambda w: f"<p>{w}</p>" * 4
+    rows = [(i, "u", simple_page(0 if i < 2000 else i, body)) for i in range(2006)] + [(9000 + i, "u", "<p></p>") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    model = H.learn(pages)
+    assert trained(model)
+    texts = {r.page_id: r.text for r in H.extract_text(pages, model).collect()}
+    assert all(texts[i] == expected(0 if i < 2000 else i, 4) for i in range(2006))
+
+
+def test_long_pages_are_learned_from_and_extracted_whole(spark):
+    n = 2500  # some 150,000 characters
+    pages = spark.createDataFrame([(i, "u", simple_page(i, lambda w: f"<p>{w}</p>" * n)) for i in range(12)], "page_id long, url string, html string")
+    model = H.learn(pages)
+    assert trained(model)
+    assert {r.page_id: r.text for r in H.extract_text(pages, model).collect()} == {i: expected(i, n) for i in range(12)}
+
+
+def test_training_runs():
+    page = simple_page(1, lambda w: f"<p>{w}</p>" * 100)
+    whole, semantic = H.training_run(page, 10**6, 5)
+    assert whole == H.blocks(page) and semantic
+    for seed in range(0, 9000, 700):
+        run, semantic = H.training_run(page, 1000, seed)
+        assert semantic and 900 <= sum(len(b.text) for b in run) <= 1000
+        assert run[:3] == whole[:3] and run[-1] == whole[-1]
+        kept = [b.path for b in run]
+        assert all(p in [b.path for b in whole] for p in kept)
+    assert sum(len(b.text) for b in H.training_run("<article><p>" + "x" * 5000 + "</p></article>", 1000, 3)[0]) <= 1000
+    with pytest.raises(ValueError):
+        H.fit([[]])
