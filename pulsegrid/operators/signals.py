@@ -26,16 +26,18 @@ def global_channel_std(spec: DataFrame, file_length: int) -> DataFrame:
     return per_file.groupBy("chan").agg(F.expr("percentile(std, 0.5D)").alias("std"), F.count("*").alias("n_files"))
 
 
-def quantise_2bit(sums: DataFrame) -> DataFrame:
+def quantise_2bit(sums: DataFrame, *keys: str) -> DataFrame:
     """Levels 0-3 of ``(t, chan, v)``: how many of the channel's quartile values (first value whose running count exceeds a
-    quarter, half, three quarters) a value exceeds. Quartiles come from the channel's histogram of distinct values."""
-    counts = sums.groupBy("chan", "v").agg(F.count("*").alias("n"))
-    by = Window.partitionBy("chan")
+    quarter, half, three quarters) a value exceeds. Quartiles come from the channel's histogram of distinct values;
+    ``keys``, such as a file, have quartiles of their own."""
+    counts = sums.groupBy(*keys, "chan", "v").agg(F.count("*").alias("n"))
+    by = Window.partitionBy(*keys, "chan")
     running = counts.withColumn("cdf", F.sum("n").over(by.orderBy("v"))).withColumn("total", F.sum("n").over(by))
     cut = lambda share, name: F.min(F.when(F.col("cdf") > F.col("total") * share, F.col("v"))).alias(name)
-    quartiles = running.groupBy("chan").agg(cut(0.25, "q1"), cut(0.5, "q2"), cut(0.75, "q3"))
+    quartiles = running.groupBy(*keys, "chan").agg(cut(0.25, "q1"), cut(0.5, "q2"), cut(0.75, "q3"))
+    quartiles = quartiles if keys else F.broadcast(quartiles)  # a row for each channel
     above = sum(((F.col("v") > F.col(q)).cast("int") for q in ("q1", "q2", "q3")), F.lit(0))
-    return sums.join(F.broadcast(quartiles), "chan").select("t", "chan", above.alias("level"))
+    return sums.join(quartiles, [*keys, "chan"]).select(*keys, "t", "chan", above.alias("level"))
 
 
 def pack_2bit(levels: DataFrame) -> DataFrame:
@@ -44,6 +46,15 @@ def pack_2bit(levels: DataFrame) -> DataFrame:
     return levels.groupBy(F.expr("t div 4").alias("slot"), "chan").agg(F.sum(place).cast("int").alias("byte"))
 
 
+def packed_rows(levels: DataFrame, nsblk: Column) -> DataFrame:
+    """Table rows ``(file, row, data)`` of ``(file, t, chan, level)``, ``nsblk`` samples each: four neighbouring channels to a
+    byte, the first in the upper bits. Channels must be a multiple of four and all cells there."""
+    place = F.expr("cast(level * case chan % 4 when 0 then 64 when 1 then 16 when 2 then 4 else 1 end as int)")
+    coded = levels.withColumn("_row", F.call_function("div", F.col("t"), nsblk).cast("int")).groupBy("file", "_row", "t", F.expr("chan div 4").alias("_slot")).agg(F.sum(place).alias("_byte"))
+    rows = coded.groupBy("file", F.col("_row").alias("row")).agg(F.array_sort(F.collect_list(F.struct("t", "_slot", "_byte"))).alias("_bytes"))  # the bytes of a table row
+    return rows.select("file", "row", F.unhex(F.array_join(F.transform("_bytes", lambda b: F.lpad(F.hex(b["_byte"]), 2, "0")), "")).alias("data"))
+
+
 def unpack_2bit(packed: DataFrame) -> DataFrame:
     """The four levels of each byte: ``(t, chan, level)``."""
     four = packed.withColumn("k", F.explode(F.array(*map(F.lit, range(4)))))

@@ -253,8 +253,9 @@ def inconsistent(headers: DataFrame) -> DataFrame:
     return counts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("n_values")) for k in keys])).alias("x")).select("x.*").where("n_values > 1")
 
 
-def encode(x: np.ndarray, nbits: int = 8, tbin_s: float = 49.152e-6, nsblk: int | None = None, obsfreq: float = 1250.0, obsbw: float = 500.0, imjd: int = 60000) -> bytes:
-    """A minimal search-mode file of (time, pol, chan) levels."""
+def encode(x: np.ndarray, nbits: int = 8, tbin_s: float = 49.152e-6, nsblk: int | None = None, obsfreq: float = 1250.0, obsbw: float = 500.0, imjd: int = 60000, axis: np.ndarray | None = None, scales: bool = False) -> bytes:
+    """A small search-mode file of (time, pol, chan) levels, with a frequency ``axis`` in each row and with offsets and
+    scales of each polarization and channel on demand."""
     nsblk = nsblk or len(x)
     rows = x.reshape(-1, nsblk * x.shape[1] * x.shape[2]).astype(np.uint8)
     if nbits == 2:
@@ -268,8 +269,17 @@ def encode(x: np.ndarray, nbits: int = 8, tbin_s: float = 49.152e-6, nsblk: int
         head = "".join(f"{k:<8}= {text(v):>20}".ljust(80) for k, v in cards.items()) + "END".ljust(80)
         return head.ljust(-(-len(head) // BLOCK) * BLOCK).encode()
 
+    def wide(values: np.ndarray, kind: str) -> np.ndarray:
+        return np.broadcast_to(np.frombuffer(np.asarray(values).astype(kind).tobytes(), np.uint8), (len(rows), len(values) * int(kind[-1])))
+
+    columns = [("OFFS_SUB", "1D", np.zeros((len(rows), 8), np.uint8))]
+    cells = x.shape[1] * x.shape[2]
+    columns += [("DAT_FREQ", f"{len(axis)}D", wide(axis, ">f8"))] if axis is not None else []
+    columns += [("DAT_OFFS", f"{cells}E", wide(np.arange(cells), ">f4")), ("DAT_SCL", f"{cells}E", wide(np.arange(cells) + 0.5, ">f4"))] if scales else []
+    columns.append(("DATA", f"{rows.shape[1]}B", rows))
+    names = {f"{k}{i}": v for i, (name, form, _) in enumerate(columns, 1) for k, v in (("TTYPE", name), ("TFORM", form))}
     first = unit({"SIMPLE": True, "BITPIX": 8, "NAXIS": 0, "OBSFREQ": obsfreq, "OBSBW": obsbw, "STT_IMJD": imjd, "STT_SMJD": 0, "STT_OFFS": 0.0})
-    table = unit({"XTENSION": "BINTABLE", "BITPIX": 8, "NAXIS": 2, "NAXIS1": rows.shape[1] + 8, "NAXIS2": len(rows), "PCOUNT": 0, "GCOUNT": 1, "TFIELDS": 2, "TTYPE1": "OFFS_SUB", "TFORM1": "1D", "TTYPE2": "DATA", "TFORM2": f"{rows.shape[1]}B",
+    table = unit({"XTENSION": "BINTABLE", "BITPIX": 8, "NAXIS": 2, "NAXIS1": sum(c.shape[1] for *_, c in columns), "NAXIS2": len(rows), "PCOUNT": 0, "GCOUNT": 1, "TFIELDS": len(columns), **names,
                   "EXTNAME": "SUBINT", "TBIN": tbin_s, "NCHAN": x.shape[2], "NPOL": x.shape[1], "NBITS": nbits, "NSBLK": nsblk})
-    body = np.concatenate([np.zeros((len(rows), 8), np.uint8), rows], axis=1).tobytes()
+    body = np.concatenate([c for *_, c in columns], axis=1).tobytes()
     return first + table + body.ljust(-(-len(body) // BLOCK) * BLOCK, b"\0")
