@@ -183,17 +183,22 @@ def cluster_bounded(rows: pd.DataFrame, time_tol: float, dm_tol: float) -> np.nd
     return out
 
 
+def events_of(rows: pd.DataFrame, time_tol: float, dm_tol: float) -> pd.DataFrame:
+    """``(cand_id, event, event_size)`` of the rows of an island; an event is named by the candidate that opened it."""
+    number = cluster_bounded(rows, time_tol, dm_tol)
+    order = np.lexsort((rows["cand_id"], rows["candidate_index"], -rows["det"], -rows["cls"]))
+    first = {}
+    for i in order:
+        first.setdefault(number[i], int(rows["cand_id"].iloc[i]))
+    size = np.bincount(number)
+    return pd.DataFrame({"cand_id": rows["cand_id"].to_numpy(), "event": [first[e] for e in number], "event_size": size[number]})
+
+
 def bounded_events(candidates: DataFrame, time_tol: int, dm_tol: float) -> DataFrame:
     """Events of bounded diameter: ``(cand_id, event, event_size)``; an event is named by the candidate that opened it."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        number = cluster_bounded(pdf, time_tol, dm_tol)
-        order = np.lexsort((pdf["cand_id"], pdf["candidate_index"], -pdf["det"], -pdf["cls"]))
-        first = {}
-        for i in order:
-            first.setdefault(number[i], int(pdf["cand_id"].iloc[i]))
-        size = np.bincount(number)
-        return pd.DataFrame({"cand_id": pdf["cand_id"].to_numpy(), "event": [first[e] for e in number], "event_size": size[number]})
+        return events_of(pdf, time_tol, dm_tol)
 
     return spread(time_islands(candidates, KEY, time_tol), *KEY, "island").applyInPandas(run, "cand_id long, event long, event_size long")
 

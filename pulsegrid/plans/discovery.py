@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalog as C
-from ..streaming import streams
-from .proxies import CANDIDATES, candidates, table
+from ..operators import matching
+from ..streaming import sessions, streams
+from .proxies import CANDIDATES, as_candidates, candidates, detections, table
 from . import sequential as Q
 from .registry import query
 
@@ -120,3 +121,29 @@ def stream_manifest_append(spark, sf_dir):
 def stream_event_clusters(spark, sf_dir):
     found = streams.whole_sessions(spark, f"{sf_dir}/events.parquet", "ts", ["event_type"], "5 minutes")
     return found.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in ("start", "end")})
+
+
+def _in_order(spark, sf_dir, parts=5):
+    """The events as files that each hold a stretch of time, written one after the other, as a telescope would."""
+    root, rows = streams.shared_folder(spark, "arrivals"), table(spark, sf_dir, "events")
+    low, high = rows.agg(F.min(F.unix_seconds(F.col("ts").cast("timestamp"))), F.max(F.unix_seconds(F.col("ts").cast("timestamp")))).first()
+    part = F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) - F.lit(low or 0)) * parts / F.lit((high or 0) - (low or 0) + 1))
+    for i in range(parts):
+        rows.where(part == i).coalesce(1).write.mode("append").parquet(root)  # an arrival is one file
+    return root
+
+
+@query("stream_timed_sessions", Q.SESSIONS)
+def stream_timed_sessions(spark, sf_dir):
+    """Sessions that timers close while files arrive, and those still open at the end."""
+    closed, left, _ = sessions.stream_sessions(spark, _in_order(spark, sf_dir), "ts", ["event_type"], "5 minutes", "1 second", 1)
+    return closed.unionByName(left).withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in ("start", "end")})
+
+
+@query("stream_bounded_events", Q.bounded_events(600, 60.0))
+def stream_bounded_events(spark, sf_dir):
+    """Events of bounded diameter, built when the watermark has passed their island (samples are whole seconds of the times)."""
+
+    build = lambda pdf: matching.events_of(pdf, 600, 60.0)
+    closed, left, _ = sessions.stream_islands(spark, _in_order(spark, sf_dir), lambda frame: as_candidates(detections(frame)), "ts", ["quant", "stem"], "601 seconds", "1 second", build, "cand_id long, event long, event_size long", 1)
+    return closed.unionByName(left)

@@ -26,12 +26,12 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 IMAGES = f"(SELECT t AS image, CAST(chan // 8 AS INT) AS py, CAST(chan % 8 AS INT) AS px, v FROM {SPEC})"
 
 
-def _detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+def detections(e: DataFrame) -> DataFrame:
+    """Events, of a table or a stream, as detections of a search, with their time."""
     day = F.date_format("ts", "yyyyMMdd")
     seconds = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
     return e.select(
-        "event_id", "event_type", F.when(F.col("user_id") % 2 == 0, "raw8").otherwise("packed2").alias("quant"), F.concat(F.lit("X-M01_"), F.lpad(F.dayofmonth("ts").cast("string"), 4, "0")).alias("stem"),
+        "ts", "event_id", "event_type", F.when(F.col("user_id") % 2 == 0, "raw8").otherwise("packed2").alias("quant"), F.concat(F.lit("X-M01_"), F.lpad(F.dayofmonth("ts").cast("string"), 4, "0")).alias("stem"),
         day.alias("day"), seconds.cast("long").alias("sample"), F.col("value").alias("dm"), F.get_json_object("props", "$.k").cast("long").alias("k"),
     )
 
@@ -42,7 +42,7 @@ _DETECTIONS = """(SELECT event_id, event_type, CASE WHEN user_id % 2 = 0 THEN 'r
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Injection truth: purchases."""
-    return _detections(spark, sf_dir).where("event_type = 'purchase'").select(F.col("event_id").alias("injection_id"), "quant", "stem", "sample", "dm", F.col("k").cast("double").alias("snr"))
+    return detections(table(spark, sf_dir, "events")).where("event_type = 'purchase'").select(F.col("event_id").alias("injection_id"), "quant", "stem", "sample", "dm", F.col("k").cast("double").alias("snr"))
 
 
 TRUTH = f"(SELECT event_id AS injection_id, quant, stem, sample, dm, CAST(k AS DOUBLE) AS snr FROM {_DETECTIONS} WHERE event_type = 'purchase')"
@@ -50,8 +50,12 @@ TRUTH = f"(SELECT event_id AS injection_id, quant, stem, sample, dm, CAST(k AS D
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search candidates: all other events."""
-    d = _detections(spark, sf_dir).where("event_type <> 'purchase'")
-    return d.select(F.col("event_id").alias("cand_id"), "quant", "stem", "sample", "dm", (F.col("k") / 10.0).alias("sigma"), (F.col("k") / 100.0).alias("cls"), ((F.col("k") * 7 % 100) / 100.0).alias("det"), (F.col("event_id") % 16).cast("int").alias("candidate_index"))
+    return as_candidates(detections(table(spark, sf_dir, "events"))).drop("ts")
+
+
+def as_candidates(detected: DataFrame) -> DataFrame:
+    d = detected.where("event_type <> 'purchase'")
+    return d.select("ts", F.col("event_id").alias("cand_id"), "quant", "stem", "sample", "dm", (F.col("k") / 10.0).alias("sigma"), (F.col("k") / 100.0).alias("cls"), ((F.col("k") * 7 % 100) / 100.0).alias("det"), (F.col("event_id") % 16).cast("int").alias("candidate_index"))
 
 
 CANDIDATES = f"(SELECT event_id AS cand_id, quant, stem, sample, dm, k / 10.0::DOUBLE AS sigma, k / 100.0::DOUBLE AS cls, (k * 7 % 100) / 100.0::DOUBLE AS det, CAST(event_id % 16 AS INT) AS candidate_index FROM {_DETECTIONS} WHERE event_type <> 'purchase')"

@@ -16,16 +16,19 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def source(spark: SparkSession, path: str, files_per_trigger: int) -> DataFrame:
+    """The Parquet files at ``path`` as a stream."""
+    path = path.rstrip("/")
+    # a glob that only the path itself fits lets the file source take a single file as well as a directory of files
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 def append_all(spark: SparkSession, path: str, transform: Callable[[DataFrame], DataFrame], files_per_trigger: int = 8) -> DataFrame:
     """Stream the Parquet files at ``path`` that are there now through ``transform`` into an append-only Parquet table, and read that.
 
     The stream's progress and the table are in the shared folder, so a restarted query goes on where it stopped."""
-    path = path.rstrip("/")
-    schema = spark.read.parquet(path).schema
-    # a glob that only the path itself fits lets the file source take a single file as well as a directory of files
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
     out = shared_folder(spark, "manifest")
-    flow = transform(source)
+    flow = transform(source(spark, path, files_per_trigger))
     flow.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}-progress").option("path", out).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(flow.schema).parquet(out)
 
