@@ -8,15 +8,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .dedisperse import INJECTION_CONSTANT
+from .quantiles import exact_quantiles
 
 
 def robust_channel_std(spec: DataFrame) -> DataFrame:
     """``(chan, robust)``: 1.4826 times the median absolute deviation of each channel; where that is 0.1 or less the
-    standard deviation; never below the median of the positive ones. Channels are few, so their statistics are broadcast."""
-    centre = spec.groupBy("chan").agg(F.expr("percentile(v, 0.5D)").alias("m"), F.stddev_pop("v").alias("std"))
-    spread = spec.join(F.broadcast(centre), "chan").groupBy("chan").agg((F.expr("percentile(abs(v - m), 0.5D)") * 1.4826).alias("mad"), F.first("std").alias("std"))
-    raw = spread.select("chan", F.when((F.col("mad") <= 0.1) | F.isnan("mad"), F.col("std")).otherwise(F.col("mad")).alias("robust"))
-    floor = raw.where("robust > 0").agg(F.expr("percentile(robust, 0.5D)").alias("floor"))
+    standard deviation; never below the median of the positive ones. Channels are few, so their statistics are broadcast;
+    medians are selected by histograms, as a channel has as many values as samples. Null samples are ignored."""
+    centre = exact_quantiles(spec, ["chan"], "v", [0.5], "m").select("chan", F.col("m")[0].alias("m"))
+    away = spec.join(F.broadcast(centre), "chan").select("chan", F.abs(F.col("v") - F.col("m")).alias("d"))
+    spread = exact_quantiles(away, ["chan"], "d", [0.5], "mad").select("chan", (F.col("mad")[0] * 1.4826).alias("mad"))
+    deviation = spec.groupBy("chan").agg(F.stddev_pop("v").alias("std"))
+    raw = deviation.join(spread, "chan").select("chan", F.when((F.col("mad") <= 0.1) | F.isnan("mad"), F.col("std")).otherwise(F.col("mad")).alias("robust"))
+    floor = raw.where("robust > 0").agg(F.expr("percentile(robust, 0.5D)").alias("floor"))  # a value for each channel
     return raw.crossJoin(F.broadcast(floor)).select("chan", F.when(F.col("robust") > 0, F.col("robust")).otherwise(F.col("floor")).alias("robust"))
 
 

@@ -104,10 +104,14 @@ _REAL = f"(SELECT * FROM (SELECT image, py, px, row_number() OVER (PARTITION BY
 CENTRE_MATCHES = Q.centre_matches(_TOP, _REAL, 2.0)
 
 
+def _real_centres(pixels):
+    return I.top_pixels(pixels.where("v > 0").withColumn("v", F.pmod("v", F.lit(1009))), 3)
+
+
 def _centre_matches(spark, sf_dir):
     pixels = images(spark, sf_dir)
     found = I.top_pixels(I.peaks(pixels, 100000), 4).select("image", F.lit(0).alias("side"), "rank", "px", "py")
-    real = I.top_pixels(pixels.where("v > 0").withColumn("v", F.pmod("v", F.lit(1009))), 3).select("image", F.lit(1).alias("side"), "rank", "px", "py")
+    real = _real_centres(pixels).select("image", F.lit(1).alias("side"), "rank", "px", "py")
 
     side = lambda n: F.sort_array(F.collect_list(F.when(F.col("side") == n, F.struct("rank", "px", "py"))))
     lists = found.union(real).groupBy("image").agg(side(0).alias("own"), side(1).alias("gt"))
@@ -229,6 +233,15 @@ def fp_cell_histograms(spark, sf_dir):
     return A.fp_cell_histogram(false_positives(spark, sf_dir), PARAMETERS)
 
 
+LEVELS = [0.5, 2.25, 4.0, 7.0, 50.0]
+
+
+@query("cells_by_threshold", f"""WITH h AS (SELECT parameter, quant, sigma_centi, snr_bin, param_bin FROM ({_long_sql(FALSE_POSITIVES, ', CAST(round_even(sigma * 100, 0) AS INT) AS sigma_centi')}))
+SELECT t AS threshold, g.parameter, g.quant, g.param_bin, g.snr_bin, count(h.quant) AS n_fp FROM {_GRID} g CROSS JOIN (VALUES {', '.join(f'({t}::DOUBLE)' for t in LEVELS)}) x(t) LEFT JOIN h ON h.parameter = g.parameter AND h.quant = g.quant AND h.param_bin = g.param_bin AND h.snr_bin = g.snr_bin AND sigma_centi >= ceil(t * 100 - 1e-9) GROUP BY ALL""")
+def cells_by_threshold(spark, sf_dir):
+    return A.cells_by_threshold(A.fp_cell_histogram(false_positives(spark, sf_dir), PARAMETERS), LEVELS, PARAMETERS)
+
+
 @query("threshold_rollup", f"SELECT t AS threshold, quant, CAST(coalesce(sum(n) FILTER (sigma_centi >= ceil(t * 100 - 1e-9)), 0) AS BIGINT) AS n_fp FROM (VALUES (3.0::DOUBLE), (5.5::DOUBLE), (7.0::DOUBLE), (50.0::DOUBLE)) x(t), {_HISTOGRAM} GROUP BY 1, 2")
 def threshold_rollup(spark, sf_dir):
     return A.threshold_rollup(A.fp_histogram(false_positives(spark, sf_dir)), [3.0, 5.5, 7.0, 50.0])
@@ -270,6 +283,25 @@ def operating_point(spark, sf_dir):
     return _rounded(A.operating_point(A.pr_curve(_scored(spark, sf_dir))), "precision", "recall", "f1")
 
 
+#: Detections are the matched centres of greedy_center_match; equal confidences go by image and rank.
+_FOUND = f"(SELECT image * 10 + \"rank\" AS id, v AS conf, CASE WHEN truth >= 0 THEN 1 ELSE 0 END AS tp, CASE WHEN truth >= 0 THEN distance END AS distance FROM {CENTRE_MATCHES} JOIN {_TOP} USING (image, \"rank\"))"
+
+
+@query("detector_score", f"""WITH n AS (SELECT count(*) AS n FROM {_REAL}), c AS (SELECT *, row_number() OVER (ORDER BY conf DESC, id) AS k, sum(tp) OVER (ORDER BY conf DESC, id ROWS UNBOUNDED PRECEDING) AS t FROM {_FOUND}), s AS (SELECT c.*, t / (k + 1e-8::DOUBLE) AS p, t / n::DOUBLE AS r FROM c, n),
+b AS (SELECT * FROM s ORDER BY round(r * 0.5 + p * 0.2, 12) DESC, k LIMIT 1), d AS (SELECT avg(s.distance) AS m, quantile_cont(s.distance, [0.5, 0.9, 0.95]) AS q FROM s, b WHERE s.k <= b.k AND s.tp = 1)
+SELECT round(2 * p * r / (p + r + 1e-8::DOUBLE), 6) AS f1, CAST(conf AS DOUBLE) AS f1_conf, round(p, 6) AS "precision", round(r, 6) AS recall, round(m, 6) AS mean_center_dist, round(q[1], 6) AS p50_center_dist, round(q[2], 6) AS p90_center_dist, round(q[3], 6) AS p95_center_dist,
+round(greatest(0.0, 1 - q[2] / 2.0::DOUBLE), 6) AS center_quality, round(0.5 * r + 0.2 * p + 0.3 * greatest(0.0, 1 - q[2] / 2.0::DOUBLE), 6) AS score FROM b, d""")
+def detector_score(spark, sf_dir):
+    """Operating point, centre distances and score of the detector over all images."""
+    pixels = images(spark, sf_dir)
+    conf = I.top_pixels(I.peaks(pixels, 100000), 4).select("image", "rank", F.col("v").alias("conf"))
+    n_truth = _real_centres(pixels).count()
+    found = _centre_matches(spark, sf_dir).join(conf, ["image", "rank"])
+    rows = found.select((F.col("image") * 10 + F.col("rank")).alias("id"), "conf", (F.col("truth") >= 0).cast("int").alias("tp"), F.when(F.col("truth") >= 0, F.col("distance")).alias("distance"))
+    out = A.detector_score(rows, n_truth, 2.0)
+    return _rounded(out, *(c for c in out.columns if c != "f1_conf"))
+
+
 @query("binary_metrics", """SELECT n, tp, fp, fn, tn, round((tp + tn) / n, 6) AS accuracy, round(tp / (tp + fp + 1e-8::DOUBLE), 6) AS "precision", round(tp / (tp + fn + 1e-8::DOUBLE), 6) AS recall FROM (SELECT count(*) AS n, count_if(quality = 1 AND p = 1)::BIGINT AS tp, count_if(quality = 0 AND p = 1)::BIGINT AS fp,
 count_if(quality = 1 AND p = 0)::BIGINT AS fn, count_if(quality = 0 AND p = 0)::BIGINT AS tn FROM (SELECT quality, (n_chars > 1500)::INT AS p FROM documents JOIN labels USING (doc_id)))""")
 def binary_metrics(spark, sf_dir):
