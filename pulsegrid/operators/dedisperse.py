@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Dispersion constants of the search and of the injection model (fixed values; they differ in the fourth digit).
@@ -65,29 +65,59 @@ def dedisperse(spec: DataFrame, shifts: DataFrame, split: int) -> DataFrame:
     return shifted.groupBy("dm", "y").agg(F.sum("v").alias("v_full"), F.sum(F.when(lower, F.col("v")).otherwise(0)).alias("v_lower"), F.sum(F.when(lower, 0).otherwise(F.col("v"))).alias("v_upper"))
 
 
-def dedisperse_blocks(spec: DataFrame, shifts: DataFrame, split: int, block: int = 256) -> DataFrame:
-    """The sums of ``dedisperse`` by a block kernel: each block of ``block`` output samples gathers its look-ahead and
-    adds shifted channel rows with numpy. A row goes to the few blocks that need it, instead of to every trial."""
+def _shared_sums(table: pd.DataFrame, split: int, band: int) -> tuple[list[tuple[np.ndarray, np.ndarray, bool]], list[tuple[int, list[tuple[int, int]]]]]:
+    """Partial sums that trials share, and how each trial is made of them.
+
+    Channels of one half are taken ``band`` at a time. Trials whose shifts within a band are the same but for a common one
+    need the same sum of its channels: (channels, relative shifts, in the lower half). A trial is a list of (sum, common shift)."""
+    sums: list[tuple[np.ndarray, np.ndarray, bool]] = []
+    known: dict[tuple, int] = {}
+    trials = []
+    for dm, g in table.sort_values(["dm", "idx"]).groupby("dm"):
+        parts = []
+        for low in (True, False):
+            half = g[(g["idx"] <= split) == low]
+            for i in range(0, len(half), band):
+                chans, shift = half["chan"].to_numpy()[i : i + band], half["shift"].to_numpy()[i : i + band]
+                least = int(shift.min())
+                key = (low, i, tuple(chans), tuple(shift - least))
+                if key not in known:
+                    known[key] = len(sums)
+                    sums.append((chans, shift - least, low))
+                parts.append((known[key], least))
+        trials.append((int(dm), parts))
+    return sums, trials
+
+
+def dedisperse_blocks(spec: DataFrame, shifts: DataFrame, split: int, block: int = 256, band: int = 8) -> DataFrame:
+    """The sums of ``dedisperse`` by a block kernel: each block of output samples gathers its look-ahead, and numpy adds
+    shifted channel rows, ``band`` neighbouring channels first, whose sums serve all trials with the same delays among them.
+    Blocks have ``block`` samples, or as many as the longest delay, so that a row goes to two blocks at most instead of to
+    every trial."""
     table = shifts.toPandas()  # trials x channels, a configuration's size
     reach = int(table["shift"].max()) if len(table) else 0
-    plan = [(int(dm), g["chan"].to_numpy(), g["shift"].to_numpy(), (g["idx"] <= split).to_numpy()) for dm, g in table.groupby("dm")]
+    block = max(block, reach, 1)
+    shared, trials = _shared_sums(table, split, band)
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         start = int(pdf["block"].iloc[0]) * block
-        chans = pdf["chan"].to_numpy()
-        cube = np.zeros((int(chans.max()) + 1, block + reach), np.int64)
-        seen = np.zeros(cube.shape, bool)
-        np.add.at(cube, (chans, pdf["t"].to_numpy() - start), pdf["v"].to_numpy())
-        seen[chans, pdf["t"].to_numpy() - start] = True
+        chans, at = pdf["chan"].to_numpy(), pdf["t"].to_numpy() - start
+        cube = np.zeros((2, int(max(chans.max(), table["chan"].max())) + 1, block + reach), np.int64)  # values, and whether there are any
+        np.add.at(cube[0], (chans, at), pdf["v"].to_numpy())
+        cube[1, chans, at] = 1
+        partial = []
+        for channel, shift, _ in shared:
+            total = np.zeros((2, block + reach), np.int64)
+            for c, s in zip(channel, shift):
+                total[:, : block + reach - s] += cube[:, c, s:]
+            partial.append(total)
         out = []
-        for dm, channel, shift, low in plan:
-            sums, any_ = np.zeros((2, block), np.int64), np.zeros(block, bool)
-            for c, s, is_low in zip(channel, shift, low):
-                if c < len(cube):
-                    sums[0 if is_low else 1] += cube[c, s : s + block]
-                    any_ |= seen[c, s : s + block]
-            y = np.flatnonzero(any_)
-            out.append(pd.DataFrame({"dm": dm, "y": y + start, "v_full": sums[:, y].sum(axis=0), "v_lower": sums[0, y], "v_upper": sums[1, y]}))
+        for dm, parts in trials:
+            sums = np.zeros((2, 2, block), np.int64)
+            for k, s in parts:
+                sums[0 if shared[k][2] else 1] += partial[k][:, s : s + block]
+            y = np.flatnonzero(sums[:, 1].any(axis=0))
+            out.append(pd.DataFrame({"dm": dm, "y": y + start, "v_full": sums[:, 0][:, y].sum(axis=0), "v_lower": sums[0, 0, y], "v_upper": sums[1, 0, y]}))
         return pd.concat(out)
 
     first = F.greatest(F.lit(0), F.floor((F.col("t") - reach) / block))
@@ -160,9 +190,17 @@ def multiscale_pool(series: DataFrame, spark: SparkSession, rates: list[int], ke
     return series.crossJoin(F.broadcast(dims)).groupBy(*keys, "rate", F.expr("y div rate").alias("slot")).agg(F.sum("v").alias("total"), F.count("*").alias("n"))
 
 
-def boxcar_search(cells: DataFrame, widths: list[int]) -> DataFrame:
+def boxcar_search(cells: DataFrame, widths: list[int], block: int = 4096) -> DataFrame:
     """Matched-filter search of this library: sums over ``width`` samples from each position of every trial:
-    ``(dm, y, width, total)``, full windows only. A row reaches only the windows that hold it, so no trial is sorted whole."""
-    reach = F.explode(F.array(*[F.struct(F.lit(w).alias("width"), F.lit(k).alias("back")) for w in widths for k in range(w)]))
-    spread = cells.select("dm", "y", "v_full", reach.alias("r")).select("dm", (F.col("y") - F.col("r.back")).alias("y"), F.col("r.width").alias("width"), "v_full")
-    return spread.groupBy("dm", "y", "width").agg(F.sum("v_full").alias("total"), F.count("*").alias("n")).where("n = width").drop("n")
+    ``(dm, y, width, total)``, full windows only.
+
+    A window is the difference of two running sums. They run within blocks of ``block`` samples that also hold the rows their
+    last windows reach into, so a row goes to its block and those just before that reach it, whatever the widths, and no trial
+    is sorted whole. Positions must be unique in a trial."""
+    first = F.floor((F.col("y") - (max(widths) - 1)) / block)
+    rows = cells.select("dm", "y", "v_full", F.explode(F.sequence(first, F.floor(F.col("y") / block))).alias("_block"))
+    order = Window.partitionBy("dm", "_block").orderBy("y")
+    running = rows.withColumn("_run", F.sum("v_full").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    sums = [F.struct(F.lit(w).alias("width"), F.when(F.lead("y", w - 1).over(order) == F.col("y") + (w - 1), F.lead("_run", w - 1).over(order) - F.col("_run") + F.col("v_full")).alias("total")) for w in widths]
+    found = running.withColumn("_sums", F.array(*sums)).where(F.floor(F.col("y") / block) == F.col("_block"))
+    return found.select("dm", "y", F.inline("_sums")).where("total is not null")

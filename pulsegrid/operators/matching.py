@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from itertools import groupby
 from operator import itemgetter
 
@@ -33,7 +33,7 @@ def align_to_files(rows: DataFrame, files: DataFrame, file_length: int) -> DataF
     ``files(stem, file_index)`` gives the known files; others are placed by their number minus the least
     (number - index); rows whose stem has neither are dropped."""
     base = files.withColumn("number", file_number("stem")).agg(F.min(F.col("number") - F.col("file_index")).alias("base"))
-    placed = rows.join(F.broadcast(files), "stem", "left").crossJoin(F.broadcast(base)).withColumn("file_index", F.coalesce("file_index", file_number("stem") - F.col("base")))
+    placed = rows.join(files, "stem", "left").crossJoin(F.broadcast(base)).withColumn("file_index", F.coalesce("file_index", file_number("stem") - F.col("base")))
     return placed.where("file_index is not null").withColumn("global_sample", F.col("file_index").cast("long") * file_length + F.col("sample")).drop("base")
 
 
@@ -66,20 +66,23 @@ def unexplained_events(members: DataFrame, truth: DataFrame, time_tol: int, dm_t
 WIDEN = 8
 
 
-def nearest_truth(rows: DataFrame, truth: DataFrame, time_unit: float, dm_unit: float) -> DataFrame:
-    """The truth with equal key that has the least ``|dt| / time_unit + |ddm| / dm_unit`` for each row; ties by injection_id.
+def nearest_truth(rows: DataFrame, truth: DataFrame, time_unit: float, dm_unit: float, copied: Sequence[str] = ("snr",)) -> DataFrame:
+    """The truth with equal key that has the least ``|dt| / time_unit + |ddm| / dm_unit`` for each row; ties by injection_id:
+    ``(cand_id, injection_id, assigned_<column> for each of copied, distance)``.
 
     A search in rounds: a row meets the truths within a reach of distance on a grid of time and DM buckets as wide as the
     reach, and is done if it finds one, as every truth outside lies further. Only the others go on with a wider reach, so
-    rows meet few truths however many a file holds. Rows of files without a truth are left out."""
+    rows meet few truths however many a file holds. Repeated and null ids have rows of their own in the result. Rows of files
+    without a truth are left out, as are rows and truths with a null quant, stem, sample or DM."""
     t, d = F.col("sample") / float(time_unit), F.col("dm") / float(dm_unit)
-    other = truth.where("sample is not null and dm is not null").select(*KEY, "injection_id", F.col("sample").alias("_ts"), F.col("dm").alias("_td"), t.alias("_t"), d.alias("_d"), F.col("snr").alias("assigned_snr"))
+    names = [f"assigned_{c}" for c in copied]
+    other = truth.where("sample is not null and dm is not null").select(*KEY, "injection_id", F.col("sample").alias("_ts"), F.col("dm").alias("_td"), t.alias("_t"), d.alias("_d"), *(F.col(c).alias(n) for c, n in zip(copied, names)))
     extent = other.agg(F.count("*").alias("n"), (F.max("_t") - F.min("_t") + F.max("_d") - F.min("_d")).alias("wide"), F.min("_t"), F.max("_t"), F.min("_d"), F.max("_d")).first()
     held = truth.select(*KEY).distinct()
     left = rows.where("sample is not null and dm is not null").join(held, KEY, "left_semi").select("cand_id", *KEY, "sample", "dm", t.alias("_x"), d.alias("_y"))
-    schema = "cand_id, m.injection_id, m.assigned_snr, m.distance"
     if not extent["n"]:
-        return left.crossJoin(other.limit(0).drop(*KEY)).select("cand_id", "injection_id", "assigned_snr", F.lit(0.0).alias("distance"))
+        return left.crossJoin(other.limit(0).drop(*KEY)).select("cand_id", "injection_id", *names, F.lit(0.0).alias("distance"))
+    left = checkpointed(left.withColumn("_row", F.monotonically_increasing_id()))
     span = left.agg(F.max(F.greatest(F.col("_x") - extent[2], extent[3] - F.col("_x")) + F.greatest(F.col("_y") - extent[4], extent[5] - F.col("_y")))).first()[0] or 0.0
     groups = held.count()
     # the first reach meets about one truth where they lie evenly over time and DM
@@ -92,14 +95,15 @@ def nearest_truth(rows: DataFrame, truth: DataFrame, time_unit: float, dm_unit:
         place = other.withColumns({"_b": F.floor(F.col("_t") / reach), "_c": F.floor(F.col("_d") / reach)})
         distance = F.abs(F.col("_ts") - F.col("sample")) / float(time_unit) + F.abs(F.col("_td") - F.col("dm")) / float(dm_unit)
         pairs = near.join(place, [*KEY, "_b", "_c"]).withColumn("distance", distance).where(F.col("distance") <= reach * (1 - 1e-9))
-        best = pairs.groupBy("cand_id").agg(F.min(F.struct("distance", "injection_id", "assigned_snr")).alias("m")).selectExpr(*schema.split(", "))
+        best = pairs.groupBy("_row", "cand_id").agg(F.min(F.struct("distance", "injection_id", *names)).alias("m")).select("_row", "cand_id", "m.injection_id", *(f"m.{n}" for n in names), "m.distance")
         if last:
-            return best if found is None else found.unionByName(best)
+            found = best if found is None else found.unionByName(best)
+            return found.drop("_row")
         best = checkpointed(best)
         found = best if found is None else found.unionByName(best)
-        left = checkpointed(left.join(best, "cand_id", "left_anti"))
+        left = checkpointed(left.join(best, "_row", "left_anti"))
         if left.isEmpty():
-            return found
+            return found.drop("_row")
         reach *= WIDEN
 
 
@@ -107,7 +111,8 @@ def time_islands(rows: DataFrame, keys: list[str], tol: int, together: int = 100
     """Add ``island``: rows of different islands (of equal keys) are more than ``tol`` samples apart.
 
     Islands are runs of occupied buckets of a sixteenth of ``tol``, found on the distinct buckets alone; islands in a row
-    share a number while they hold up to ``together`` rows, as very small groups would cost more than their work."""
+    share a number while they hold up to ``together`` rows, as very small groups would cost more than their work. Null keys
+    are keys; rows without a sample are an island of their own, which may share a number with the first one."""
     width = max(1, tol // 16)
     bucketed = rows.withColumn("_b", F.floor(F.col("sample") / width))
     order = Window.partitionBy(*keys).orderBy("_b")
@@ -115,8 +120,8 @@ def time_islands(rows: DataFrame, keys: list[str], tol: int, together: int = 100
         "_s": ((F.col("_b") - F.lag("_b").over(order) - 1) * width >= tol).cast("int"), "_before": F.sum("_n").over(order) - F.col("_n"),
     })
     runs = held.withColumn("_i", F.coalesce(F.sum("_s").over(order), F.lit(0)))
-    named = runs.withColumn("island", F.floor(F.min("_before").over(Window.partitionBy(*keys, "_i")) / together)).select(*keys, "_b", "island")
-    return bucketed.join(named, [*keys, "_b"]).drop("_b")
+    named = runs.withColumn("island", F.floor(F.min("_before").over(Window.partitionBy(*keys, "_i")) / together)).select(F.struct(*keys, "_b").alias("_k"), "island")
+    return bucketed.withColumn("_k", F.struct(*keys, "_b")).join(named, "_k").drop("_b", "_k")  # equal structs may hold nulls
 
 
 def components(pairs: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
@@ -183,6 +188,12 @@ def cluster_bounded(rows: pd.DataFrame, time_tol: float, dm_tol: float) -> np.nd
     return out
 
 
+def _placed(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that have a place in time and DM and an id, and the others."""
+    whole = F.col("sample").isNotNull() & F.col("dm").isNotNull() & ~F.isnan(F.col("dm").cast("double")) & F.col("cand_id").isNotNull()
+    return candidates.where(whole), candidates.where(~whole)
+
+
 def events_of(rows: pd.DataFrame, time_tol: float, dm_tol: float) -> pd.DataFrame:
     """``(cand_id, event, event_size)`` of the rows of an island; an event is named by the candidate that opened it."""
     number = cluster_bounded(rows, time_tol, dm_tol)
@@ -195,12 +206,16 @@ def events_of(rows: pd.DataFrame, time_tol: float, dm_tol: float) -> pd.DataFram
 
 
 def bounded_events(candidates: DataFrame, time_tol: int, dm_tol: float) -> DataFrame:
-    """Events of bounded diameter: ``(cand_id, event, event_size)``; an event is named by the candidate that opened it."""
+    """Events of bounded diameter: ``(cand_id, event, event_size)``; an event is named by the candidate that opened it.
+
+    Null keys are keys, and a null cls or det is the weakest. A row without a sample, a DM or an id is an event of its own."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return events_of(pdf, time_tol, dm_tol)
 
-    return spread(time_islands(candidates, KEY, time_tol), *KEY, "island").applyInPandas(run, "cand_id long, event long, event_size long")
+    whole, odd = _placed(candidates)
+    found = spread(time_islands(whole, KEY, time_tol), *KEY, "island").applyInPandas(run, "cand_id long, event long, event_size long")
+    return found.unionByName(odd.select("cand_id", F.col("cand_id").alias("event"), F.lit(1).cast("long").alias("event_size")))
 
 
 def cluster_grid(rows: pd.DataFrame, time_tol: float, dm_tol: float) -> pd.DataFrame:
@@ -239,7 +254,7 @@ def grid_events(candidates: DataFrame, time_tol: int, dm_tol: float) -> DataFram
     file's events in the order in which they open.
 
     Rows of different time islands share no event, so islands are worked out apart and their events numbered by the row
-    that opened them."""
+    that opened them. Null keys are keys; a row without a sample, a DM or an id is an event of its own."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         found = cluster_grid(pdf, time_tol, dm_tol)
@@ -248,7 +263,10 @@ def grid_events(candidates: DataFrame, time_tol: int, dm_tol: float) -> DataFram
         return found.drop(columns="event_number")
 
     schema = "quant string, stem string, opened_by long, cand_id long, sigma double, event_size long, dm_min double, dm_max double, sample_min long, sample_max long"
-    found = spread(time_islands(candidates, KEY, time_tol), *KEY, "island").applyInPandas(run, schema)
+    whole, odd = _placed(candidates)
+    found = spread(time_islands(whole, KEY, time_tol), *KEY, "island").applyInPandas(run, schema)
+    own = {"opened_by": "cand_id", "event_size": F.lit(1).cast("long")} | {f"{c}_{m}": c for c in ("dm", "sample") for m in ("min", "max")}
+    found = found.unionByName(odd.select(*((F.col(x) if isinstance(x, str) else x).alias(c) for c in found.columns for x in [own.get(c, c)])))
     number = F.row_number().over(Window.partitionBy(*KEY).orderBy("opened_by")) - 1
     return found.withColumn("event_number", number.cast("long")).select("quant", "stem", "event_number", *found.columns[3:])
 
@@ -271,14 +289,51 @@ def suppress(rows: pd.DataFrame, time_tol: float, dm_tol: float) -> np.ndarray:
     return keep
 
 
-def physical_dedup(candidates: DataFrame, time_tol: int, dm_tol: float) -> DataFrame:
-    """Candidates that greedy time-DM suppression keeps. Rows of different time islands can't suppress each other."""
+#: Rounds of suppression over cells; what is undecided then lies in chains, and is worked out by islands.
+ROUNDS = 12
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf[suppress(pdf, time_tol, dm_tol)]
 
-    islands = time_islands(candidates, KEY, max(time_tol, 1))
-    return spread(islands, *KEY, "island").applyInPandas(run, islands.schema).drop("island")
+def physical_dedup(candidates: DataFrame, time_tol: int, dm_tol: float, rounds: int = ROUNDS) -> DataFrame:
+    """Candidates that greedy time-DM suppression keeps: those in tolerance of a stronger kept one (det, then cls, then lower
+    cand_id) go; a tolerance of 0 keeps all.
+
+    In rounds over cells as wide as the tolerances: the strongest undecided row of a cell stays if no neighbouring cell has a
+    stronger one, and all rows in its reach go. Every row meets the few rows that stayed around it and never its whole
+    file, so a crowded cell is no burden. After ``rounds`` rounds the rows left, far from all kept ones, are few; their time
+    islands are worked out one by one.
+
+    Null keys are keys; a null det or cls is the weakest; equal rows are one candidate's, of which one stays. Rows without a
+    sample, a DM or an id can't be in reach of others and stay."""
+    if time_tol <= 0 or dm_tol <= 0:
+        return candidates
+    columns = candidates.columns
+    whole, odd = _placed(candidates)
+    wide = lambda c, tol: F.floor(F.col(c) / (float(tol) * (1 + 1e-9)))
+    value = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    rows = whole.select(F.struct(*columns).alias("row"), *KEY, "sample", "dm", wide("sample", time_tol).alias("x"), wide("dm", dm_tol).alias("y"), F.struct(value("det").alias("det"), value("cls").alias("cls"), (-F.col("cand_id")).alias("id")).alias("rank"))
+    left = checkpointed(rows.withColumn("rank", F.struct("rank", F.monotonically_increasing_id())))
+    kept = []
+    around = F.explode(F.array(*[F.struct(*KEY, (F.col("x") + i).alias("x"), (F.col("y") + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("cell")
+    own = F.struct(*KEY, F.col("x").alias("x"), F.col("y").alias("y")).alias("cell")
+    for _ in range(rounds):
+        leaders = left.groupBy(own).agg(F.max("rank").alias("rank"), F.max_by(F.struct("row", "sample", "dm"), "rank").alias("at"))
+        best = leaders.select(*(F.col("cell")[k].alias(k) for k in (*KEY, "x", "y")), "rank").select(around, "rank").groupBy("cell").agg(F.max("rank").alias("best"))
+        stays = checkpointed(leaders.join(best, "cell").where("rank = best").select(*(F.col("cell")[k].alias(k) for k in (*KEY, "x", "y")), "at.*"))
+        kept.append(stays.select("row.*"))
+        near = stays.select(around, F.col("sample").alias("_s"), F.col("dm").alias("_d"))
+        inside = (F.abs(F.col("sample") - F.col("_s")) <= time_tol) & (F.abs(F.col("dm") - F.col("_d")) <= dm_tol)
+        placed = left.withColumn("cell", own)
+        left = checkpointed(placed.join(near, (placed["cell"] == near["cell"]) & inside, "left_anti").drop("cell"))
+        if left.isEmpty():
+            break
+    else:
+        islands = time_islands(left.select("row.*"), KEY, time_tol)
+        chains = spread(islands, *KEY, "island").applyInPandas(lambda pdf: pdf[suppress(pdf, time_tol, dm_tol)], islands.schema)
+        kept.append(chains.select(*columns))
+    out = odd.select(*columns)
+    for part in kept:
+        out = out.unionByName(part)
+    return out
 
 
 def assign(edges: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
@@ -393,11 +448,19 @@ def greedy_centres(found: np.ndarray, truth: np.ndarray, reach: float) -> list[t
 
 
 def tolerant_matches(a: list[int], b: list[int], reach: int = 1) -> int:
-    """Pairs of block numbers at most ``reach`` apart, greedy in order of ``a``, the nearest free of ``b`` first (then the lower)."""
-    free, n = sorted(b), 0
-    for x in sorted(a):
-        near = [y for y in free if abs(y - x) <= reach]
-        if near:
-            free.remove(min(near, key=lambda y: (abs(y - x), y)))
+    """Pairs of block numbers at most ``reach`` apart, greedy in order of ``a``, the nearest free of ``b`` first (then the lower).
+
+    Both lists are walked once; the free blocks in reach stand in a short window."""
+    a, b = sorted(a), sorted(b)
+    window: deque[int] = deque()
+    n = at = 0
+    for x in a:
+        while at < len(b) and b[at] <= x + reach:
+            window.append(b[at])
+            at += 1
+        while window and window[0] < x - reach:
+            window.popleft()
+        if window:
+            window.remove(min(window, key=lambda y: (abs(y - x), y)))
             n += 1
     return n

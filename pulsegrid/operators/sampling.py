@@ -11,17 +11,20 @@ from pyspark.sql import functions as F
 def ranked_by_hash(rows: DataFrame, strata: list[str], key: Column) -> DataFrame:
     """Add ``rank`` (from 1) and ``n`` of each row within its stratum, in order of the MD5 of ``key`` (unique in the stratum).
 
-    Rows are ranked within hash prefixes, whose counts are then added up; no stratum meets in one task."""
+    Rows are ranked within hash prefixes, whose counts are then added up; no stratum meets in one task. Null strata are
+    strata; rows with a null key come first in theirs, in any order, as do rows with equal keys among each other."""
     hashed = rows.withColumn("_h", F.md5(key.cast("string").cast("binary"))).withColumn("_p", F.substring("_h", 1, 3))
     counts = hashed.groupBy(*strata, "_p").agg(F.count("*").alias("_n"))
     by = Window.partitionBy(*strata)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(by.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("_n").over(by)).drop("_n")
     local = hashed.withColumn("_r", F.row_number().over(Window.partitionBy(*strata, "_p").orderBy("_h")))
-    return local.join(offsets, [*strata, "_p"]).withColumn("rank", F.col("_r") + F.col("_before")).drop("_h", "_p", "_r", "_before")
+    at = F.struct(*strata, "_p").alias("_at")  # equal structs may hold nulls
+    placed = local.withColumn("_at", at).join(offsets.select(at, "_before", "n"), "_at")
+    return placed.withColumn("rank", F.col("_r") + F.col("_before")).drop("_at", "_h", "_p", "_r", "_before")
 
 
 def stratified_split(rows: DataFrame, label: str, key: str, train_share: float) -> DataFrame:
-    """Add ``split``: of each label the first ``train_share`` by hash train, the rest validate."""
+    """Add ``split``: of each label (null is one) the first ``train_share`` by hash of the key train, the rest validate."""
     ranked = ranked_by_hash(rows, [label], F.col(key))
     return ranked.withColumn("split", F.when(F.col("rank") <= F.round(F.col("n") * train_share), "train").otherwise("val")).drop("rank", "n")
 
@@ -42,12 +45,14 @@ def oversample(rows: DataFrame, repeats: Column) -> DataFrame:
 
 def latin_hypercube(rows: DataFrame, key: str, dims: int) -> DataFrame:
     """Unit coordinates ``u0 .. u<dims-1>`` for each row: each dimension is cut into n strata and every stratum is used once,
-    in an order of its own given by a hash of the key. Deterministic; no generator state."""
+    in an order of its own given by a hash of the key, which must be unique (one row may have none). Deterministic; no
+    generator state."""
     out = rows
     for d in range(dims):
         ranked = ranked_by_hash(rows.select(key).withColumn("_all", F.lit(0)), ["_all"], F.concat_ws(":", F.lit(str(d)), F.col(key)))
         jitter = F.pmod(F.xxhash64(F.lit(d), F.col(key)), F.lit(1 << 20)) / float(1 << 20)
-        out = out.join(ranked.select(key, ((F.col("rank") - 1 + jitter) / F.col("n")).alias(f"u{d}")), key)
+        units = ranked.select(F.struct(key).alias("_key"), ((F.col("rank") - 1 + jitter) / F.col("n")).alias(f"u{d}"))
+        out = out.withColumn("_key", F.struct(key)).join(units, "_key").drop("_key")
     return out
 
 

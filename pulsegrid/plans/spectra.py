@@ -19,7 +19,7 @@ CELLS = f"(SELECT dm, t - shift AS y, CAST(sum(v) AS BIGINT) AS v_full, CAST(sum
 
 
 def cells(spark, sf_dir):
-    return D.dedisperse(spec(spark, sf_dir), OBS.shifts(spark), SPLIT)
+    return D.dedisperse_blocks(spec(spark, sf_dir), OBS.shifts(spark), SPLIT)
 
 
 @query("dedisperse_full_split", f"SELECT dm, y, v_full, v_lower, v_upper FROM {CELLS}")
@@ -39,7 +39,7 @@ def dedisperse_fixed_dm(spark, sf_dir):
 
 @query("dedisperse_block_kernel", f"SELECT dm, y, v_full, v_lower, v_upper FROM {CELLS}")
 def dedisperse_block_kernel(spark, sf_dir):
-    return D.dedisperse_blocks(spec(spark, sf_dir), OBS.shifts(spark), SPLIT)
+    return D.dedisperse_blocks(spec(spark, sf_dir), OBS.shifts(spark), SPLIT, block=512, band=4)
 
 
 @query("time_pool", f"SELECT t // 8 AS y, chan, CAST(sum(v) AS BIGINT) AS total, count(*) AS n FROM {SPEC} GROUP BY ALL")

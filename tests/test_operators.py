@@ -105,3 +105,29 @@ def test_sections_and_flags(spark):
     files = spark.createDataFrame([("s", f"f{i}") for i in range(3)], "source string, path string")
     got = C.file_sections(files, ["source"], "path", 8, 5).collect()
     assert {r.section for r in got if r.searched} == {0, 1, 2} and len([r for r in got if r.section == 0]) == 3
+
+
+def test_boxcar_sums_over_blocks_and_gaps(spark):
+    rnd = np.random.default_rng(1)
+    cells = {(dm, y): int(rnd.integers(-9, 9)) for dm in range(2) for y in range(-5, 60) if rnd.random() < 0.9}
+    df = spark.createDataFrame([(d, y, v) for (d, y), v in cells.items()], "dm int, y long, v_full long")
+    want = {(d, y, w): sum(cells[d, y + k] for k in range(w)) for d, y in cells for w in (1, 3, 9) if all((d, y + k) in cells for k in range(w))}
+    for block in (4, 16, 4096):
+        assert {(r.dm, r.y, r.width): r.total for r in D.boxcar_search(df, [1, 3, 9], block).collect()} == want
+
+
+def test_shared_partial_sums_change_nothing(spark):
+    rnd = np.random.default_rng(4)
+    spec = spark.createDataFrame([(t, c, int(rnd.integers(-50, 50))) for t in range(90) for c in range(12) if rnd.random() < 0.95], "t long, chan int, v long")
+    shifts = spark.createDataFrame([(dm, c, i, int(dm * (11 - c) * 0.7)) for dm in range(6) for i, c in enumerate(c for c in range(12) if c != 5)], "dm int, chan int, idx int, shift int")
+    want = sorted(map(tuple, D.dedisperse(spec, shifts, 4).collect()))
+    for block, band in ((8, 1), (64, 4), (500, 8)):
+        assert sorted(map(tuple, D.dedisperse_blocks(spec, shifts, 4, block, band).collect())) == want
+
+
+def test_strata_and_keys_may_be_null(spark):
+    rows = [(k, label) for label in ("a", None, "b") for k in (*range(9), None)]
+    out = P.stratified_split(spark.createDataFrame(rows, "k long, label string"), "label", "k", 0.5).collect()
+    assert sorted(map(str, ((r.k, r.label) for r in out))) == sorted(map(str, rows)) and all(sum(r.split == "train" for r in out if r.label == x) == 5 for x in ("a", None, "b"))
+    units = P.latin_hypercube(spark.createDataFrame([(1,), (2,), (None,)], "k long"), "k", 2).collect()
+    assert len(units) == 3 and all(sorted(int(3 * r[f"u{d}"]) for r in units) == [0, 1, 2] for d in range(2))
