@@ -30,7 +30,7 @@ def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, shares: Se
     at = F.array(*[F.struct(F.lit(i).alias("share"), (F.lit(float(s)) * (F.col("n") - 1)).alias("position")) for i, s in enumerate(shares)])
     wanted = whole.withColumn("w", F.explode(at)).select("_key", "n", "w.*", "lo", "hi")
     ranks = wanted.select("*", F.explode(F.array_distinct(F.array(F.floor("position"), F.ceil("position")))).alias("rank")).select("_key", "rank", "lo", "hi", F.lit(0).cast("long").alias("below")).distinct()
-    found, left = ranks.where("lo = hi"), checkpointed(ranks.where("lo < hi"))
+    found, left = ranks.where("lo = hi"), ranks.where("lo < hi")
     # half the distance is finite where the whole isn't
     place = (F.col("_v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
     while not left.isEmpty():
@@ -40,7 +40,7 @@ def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, shares: Se
         upto = F.sum("m").over(Window.partitionBy("_key", "rank").orderBy("bucket"))
         placed = counts.withColumn("upto", F.col("below") + upto).withColumn("before", F.col("upto") - F.col("m"))
         hit = checkpointed(placed.where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("upto"))).select("_key", "rank", "lo", "hi", F.col("before").alias("below")))
-        found, left = found.unionByName(hit.where("lo = hi")), checkpointed(hit.where("lo < hi"))
+        found, left = found.unionByName(hit.where("lo = hi")), hit.where("lo < hi")
     values = found.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("rank", "lo"))).alias("at"))
     low, high = F.element_at("at", F.floor("position")), F.element_at("at", F.ceil("position"))
     between = F.when(low == high, low).otherwise(low + (high - low) * (F.col("position") - F.floor("position")))

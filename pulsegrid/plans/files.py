@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions import scalars as X
 from ..operators import metrics as A
 from ..operators import training as R
-from ..sources import psrfits, tables
+from ..sources import logs, psrfits, tables
 from ..streaming.streams import shared_folder
 from .discovery import _FILES, _files, _tasks
 from .proxies import CANDIDATES, FALSE_POSITIVES, IMAGES, MATCHES, SPEC, TRUTH, candidates, false_positives, images, matches, spec, table, truth
@@ -212,3 +212,37 @@ def sample_fetch(spark, sf_dir):
     catalogue = table(spark, sf_dir, "embeddings").where("label % 2 = 0").select(F.col("vec_id").alias("image"), "label")
     found = R.gather_images(images(spark, sf_dir), 8).join(catalogue, "image")
     return found.select("image", "label", F.size("img").cast("long").alias("n"), F.col("img")[0].alias("first"), F.aggregate("img", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+#: A log for each of three sections, two backends and the kinds of events, with a record of several lines for each event.
+_LOGGED = "(SELECT *, user_id % 3 AS section, CASE WHEN user_id % 2 = 0 THEN 'cupy' ELSE 'numba' END AS backend, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"
+_LOGS = f"""(SELECT section, backend, event_type AS model, count(*) AS n, sum(k) AS ks, NOT (section = 2 AND backend = 'numba') AS good, section = 2 AND event_type = 'click' AS broken FROM {_LOGGED} GROUP BY ALL)"""
+
+
+def _log_files(spark, sf_dir):
+    root = shared_folder(spark, "logs")
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("user_id") % 3).alias("section"), F.when(F.col("user_id") % 2 == 0, "cupy").otherwise("numba").alias("backend"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+    k = F.col("k")
+    line = F.format_string("[Time] block %d load=%.2fs queued\n  freq_ds+norm=%.2fs dedisp=%.2fs\n  detect+save=%.2fs total=%.2fs wrote files, bursts=%d", "event_id", k / 100.0, k / 50.0, k / 20.0, k / 10.0, k / 4.0, k % 7)
+    grouped = events.groupBy("section", "backend", "event_type").agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("lines"), F.sum("k").alias("ks"), F.count("*").alias("n"))
+    done = F.when((F.col("section") == 2) & (F.col("backend") == "numba"), F.when(F.col("event_type") == "click", "[Fail] no memory\nTraceback (most recent call last)").otherwise("[Info] stopped"))
+    done = F.coalesce(done, F.format_string("[Done] total_bursts=0 total_time=1.0s avg_per_block=1.0s\n[Info] going on\n[Done] total_bursts=%d total_time=%.1fs avg_per_block=%.2fs", "n", F.col("ks") / 2.0, F.round(F.col("ks") / F.col("n"), 2)))
+    text = F.concat(F.lit("search of a section\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("\n"), done, F.lit("\n"))
+    path = F.concat(F.lit(f"{root}/s"), F.col("section").cast("string"), F.lit("_"), F.col("backend"), F.lit("_"), F.col("event_type"), F.lit(".log"))
+    psrfits.write_files(grouped.select(path.alias("path"), F.encode(text, "UTF-8").alias("content"))).agg(F.sum("bytes")).first()
+    return root
+
+
+@query("log_sections", f"""SELECT CAST(section AS INT) AS section, backend, model, CASE WHEN good THEN 'ok' WHEN broken THEN 'failed' ELSE 'missing_done' END AS status, n AS blocks, CASE WHEN good THEN round(ks / 2.0::DOUBLE, 1) END AS total_time, CASE WHEN good THEN n END AS total_bursts, b AS block_bursts, round(l, 4) AS load_avg, round(d, 4) AS dedisp_avg
+FROM {_LOGS} JOIN (SELECT section, backend, event_type AS model, CAST(sum(k % 7) AS BIGINT) AS b, avg(round(k / 100.0::DOUBLE, 2)) AS l, avg(round(k / 20.0::DOUBLE, 2)) AS d FROM {_LOGGED} GROUP BY ALL) USING (section, backend, model)""")
+def log_sections(spark, sf_dir):
+    """Logs of a search matrix with records of several lines, one row for each log."""
+    found = logs.summarise(logs.read_records(spark, _log_files(spark, sf_dir)))
+    return found.select("section", "backend", "model", "status", "blocks", "total_time", "total_bursts", "block_bursts", F.round("load_avg", 4).alias("load_avg"), F.round("dedisp_avg", 4).alias("dedisp_avg"))
+
+
+@query("log_matrix", f"SELECT backend, model, count_if(good)::BIGINT AS sections, max(round(ks / 2.0::DOUBLE, 1)) FILTER (good) AS wall_est, round(avg(round(ks / n, 2)) FILTER (good), 4) AS avg_block FROM {_LOGS} GROUP BY backend, model")
+def log_matrix(spark, sf_dir):
+    """Longest total and mean time of a block for each backend and model, over the sections that ended well."""
+    found = logs.matrix(logs.summarise(logs.read_records(spark, _log_files(spark, sf_dir))))
+    return found.select("backend", "model", "sections", "wall_est", F.round("avg_block", 4).alias("avg_block"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import detector as N
 from ..operators import labelling as L
-from .proxies import table
+from .proxies import spec, table
 from .registry import query
+from .spectra import _CENTRES
 from .training import _BOXES, _boxes
 
 #: Images of 64 channels by 64 samples; six signals each, two thirds of them near to each other.
@@ -95,3 +97,20 @@ JOIN range(64) y(i) ON abs(y.i - cell // 64) <= radius JOIN range(64) x(i) ON ab
 def adaptive_heatmap(spark, sf_dir):
     maps = L.stamped(_targets(spark, sf_dir), 64)
     return maps.groupBy("image", "py").agg(F.count("*").alias("cells"), F.round(F.max("target"), 6).alias("largest"), F.round(F.sum("target"), 6).alias("total"))
+
+
+#: Boxes of 9 pixels around the centres, strongest first; one goes if it overlaps a kept one by more than a fifth.
+@query("detector_boxes", f"""WITH RECURSIVE b AS (SELECT image, "rank", score, cx - 4.5::DOUBLE AS x, cy - 4.5::DOUBLE AS y FROM {_CENTRES}), k AS (SELECT image, 0 AS step, []::STRUCT(score BIGINT, x DOUBLE, y DOUBLE)[] AS kept FROM (SELECT DISTINCT image FROM b)
+UNION ALL SELECT k.image, step + 1, CASE WHEN len(list_filter(kept, lambda o: greatest(0, 9 - abs(o.x - b.x)) * greatest(0, 9 - abs(o.y - b.y)) / (162 - greatest(0, 9 - abs(o.x - b.x)) * greatest(0, 9 - abs(o.y - b.y))) > 0.2::DOUBLE)) = 0 THEN list_append(kept, {{'score': b.score, 'x': b.x, 'y': b.y}}) ELSE kept END FROM k JOIN b ON b.image = k.image AND b."rank" = step + 1),
+e AS (SELECT image, arg_max(kept, step) AS kept FROM k GROUP BY image), u AS (SELECT image, unnest(kept) AS o, unnest(range(1, len(kept) + 1)) AS n FROM e)
+SELECT image, CAST(n AS INT) AS "rank", CAST(o.score AS DOUBLE) AS score, round(o.x, 6) + 0.0 AS "left", round(o.y, 6) + 0.0 AS top, 9.0::DOUBLE AS width, 9.0::DOUBLE AS height FROM u""")
+def detector_boxes(spark, sf_dir):
+    """A peak detector behind the detector interface."""
+    rows = spec(spark, sf_dir).groupBy(F.col("t").alias("image")).agg(F.array_sort(F.collect_list(F.struct("chan", F.col("v").cast("double").alias("v")))).alias("cells"))  # an image's pixels
+    images = rows.select("image", F.lit(8).alias("width"), F.lit(8).alias("height"), F.transform("cells", lambda c: c["v"]).alias("pixels"))
+
+    def load():
+        return N.PeakDetector(4, 4.0, 9.0, lambda v: (v % 1000 / 1000, v // 1000 % 1000 / 1000))
+
+    found = N.detect(images, "peaks of four, boxes of nine", load, 100000, 0.2)
+    return found.withColumns({c: F.round(c, 6) + 0.0 for c in ("left", "top")})
