@@ -11,6 +11,7 @@ a time, and each task builds the block's q-gram index.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -31,8 +32,8 @@ PIECE = 120
 SHORT, STEP, SHORT_EDITS = 48, 12, 3
 #: Least length of a partial quote, in characters of the item (shorter items count as a whole).
 LEAST = 60
-#: Benchmark characters in one block of the index: each block takes one scan of the documents.
-BLOCK_CHARS = 1_000_000
+#: Benchmark characters in one block of the index, which takes some 64 bytes for each in a worker; each block takes one scan of the documents.
+BLOCK_CHARS = 4_000_000
 #: Q-grams with more places in a block than this are not counted for a piece, whose bound falls by as many (half of it at most).
 FREQUENT = 256
 #: Characters of a stretch of text in which shared q-grams are counted, and of its overlap with the next one.
@@ -233,18 +234,15 @@ def _bands(codes: np.ndarray, first: np.ndarray, index: Index) -> Iterator[np.nd
 
 
 def _apart(rows: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """Of (text, piece, start, end, edits) that overlap in one text and piece, the one with the fewest edits (the first of equals)."""
-    kept: list[tuple[int, int, int, int, int]] = []
-    reach = -1
-    for row in sorted(set(rows)):
-        if kept and kept[-1][:2] == row[:2] and row[2] < reach:
-            if row[4] < kept[-1][4]:
-                kept[-1] = row
-            reach = max(reach, row[3])
-        else:
-            kept.append(row)
-            reach = row[3]
-    return kept
+    """Of (text, piece, start, end, edits) those that stay when, in one text and piece, places are taken by fewest edits (then
+    by start) and each takes away only the places that overlap it itself."""
+    kept: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    for o, p, start, end, edits in sorted(set(rows), key=lambda r: (r[4], *r)):
+        own = kept.setdefault((o, p), [])  # apart from each other, in order
+        at = bisect_left(own, (start, end, edits))
+        if (at == 0 or own[at - 1][1] <= start) and (at == len(own) or own[at][0] >= end):
+            own.insert(at, (start, end, edits))
+    return [(*key, *place) for key in sorted(kept) for place in kept[key]]
 
 
 def _piece_matches(texts: list[str], codes: np.ndarray, first: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int]]:
@@ -351,7 +349,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     ``PIECE`` characters on the grid of long pieces, or a whole item of up to ``PIECE`` characters, within the edits
     allowed. Items under 8 characters are found where they stand as they are between characters that are no letters or
     digits. Positions are code points of the normalised text (lower case, white space runs as one space). All repeats of
-    a piece are reported; of places that overlap only the one with the fewest edits, or the first of equals.
+    a piece are reported; of places that overlap the one with the fewest edits, or the first of equals, is taken first and
+    takes away those that overlap it itself.
 
     Null and empty texts match nothing; null ids of documents stay null; repeated rows give repeated results; other
     columns are ignored; an empty table on either side gives an empty result. If the benchmark takes several blocks,

@@ -158,6 +158,18 @@ def media_from_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: s
     return vectors.select(F.col(id_col).cast("long").alias("media_id"), F.col(vector_col)).mapInArrow(_voiced, "media_id long, media binary")
 
 
+def tracks_from_vectors(vectors: DataFrame, segments: int = 4, notes: int = 16, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """``(vec_id, embedding)``: for each row the first ``notes`` components of the vectors of its id and the next ``segments`` - 1
+    ids, one after the other, so that recordings of neighbouring ids share sound at known offsets.
+
+    Missing, null and empty vectors leave their part out; of repeated ids one vector sounds; null ids give no track."""
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.slice(F.col(vector_col), 1, notes).alias("part")).where("id is not null").groupBy("id").agg(F.min("part").alias("part"))
+    parts = rows.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(segments - 1)), lambda k: F.col("id") - k)).alias("at", "track"), "part")
+    gathered = parts.where("part is not null").groupBy("track").agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("parts"))  # a few for each track
+    tracks = rows.select("id").join(gathered, F.col("id") == F.col("track"), "left")
+    return tracks.select(F.col("id").alias("vec_id"), F.flatten(F.transform("parts", lambda p: p["part"])).alias("embedding"))
+
+
 def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):

@@ -65,7 +65,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op4_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recordings = media.media_from_vectors(_table(spark, sf_dir, "embeddings"))
+    recordings = media.media_from_vectors(media.tracks_from_vectors(_table(spark, sf_dir, "embeddings")))
     return media.align_recordings(recordings, F.col("media_id") % 20 == 0)
 
 

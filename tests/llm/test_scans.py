@@ -349,6 +349,16 @@ def test_fullest_combination_is_feasible_and_fullest(lengths):
     assert sum(times * k * n for c, _, times in plan for n, k in c) == sum(lengths)
 
 
+def test_repeats_that_touch_over_others_are_all_reported():
+    periodic = D.normalised(("abcde fghij klm " * 8)[:117])
+    plain = D.normalised("the quick brown fox jumps over a lazy dog while seven wizards make toxic brew for the evil queen of spades")
+    for item in (periodic, plain):
+        index = D.build_index([(1, item)])
+        assert D.passages([item * 4], index) == [(0, 1, k * len(item), (k + 1) * len(item), 0) for k in range(4)]
+    rows = [(0, 0, 0, 10, 2), (0, 0, 8, 20, 1), (0, 0, 19, 30, 2), (0, 0, 25, 36, 1), (0, 1, 0, 5, 3), (0, 0, 40, 41, 9)]
+    assert D._apart(rows) == [(0, 0, 8, 20, 1), (0, 0, 25, 36, 1), (0, 0, 40, 41, 9), (0, 1, 0, 5, 3)]
+
+
 def test_recordings_align(spark):
     random = np.random.default_rng(8)
     vectors = [random.normal(0, 0.125, 64).astype(float) for _ in range(12)]
@@ -435,6 +445,35 @@ def test_disturbed_recordings_are_found(spark):
     assert np.mean([song_of.get(a, a) != song_of.get(b, b) for a, b in found]) < 0.1
 
 
+def test_tracks_share_sound(spark):
+    rows = [(1, [1.0, 2.0, 3.0], 0), (2, [4.0, 5.0], 0), (2, [4.0, 5.0], 0), (3, None, 0), (4, [], 0), (5, [6.0, 7.0], 0), (None, [8.0], 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, part int")
+    got = {r.vec_id: r.embedding for r in media.tracks_from_vectors(frame, 3, 2).collect()}
+    assert got == {1: [1.0, 2.0, 4.0, 5.0], 2: [4.0, 5.0], 3: [6.0, 7.0], 4: [6.0, 7.0], 5: [6.0, 7.0]}
+    assert media.tracks_from_vectors(frame.limit(0)).count() == 0
+
+
+def test_the_query_finds_what_an_exhaustive_search_finds(spark):
+    """Every offset with at least 32 shared frames, by bit error alone: nine in ten of its pairs at least, and no other."""
+    from pulsegrid.llm.queries import QUERIES
+
+    path = "/root/testdata/sf0.01"
+    found = {(r.class_id, r.match_class) for r in QUERIES["op4_media_fingerprints"](spark, path).collect() if r.match_class is not None}
+    tracks = media.media_from_vectors(media.tracks_from_vectors(spark.read.parquet(f"{path}/embeddings.parquet")))
+    prints = {r.media_id: np.frombuffer(r["print"], "<u4") for r in media.fingerprints(tracks).collect()}
+
+    def alike(p, q):
+        for o in range(32 - len(p), len(q) - 31):
+            x, y = p[max(0, -o) :], q[max(0, o) :]
+            n = min(len(x), len(y))
+            if n >= 32 and np.bitwise_count(x[:n] ^ y[:n]).sum() <= media.MAX_BIT_ERROR * 32 * n:
+                return True
+        return False
+
+    want = {(a, b) for a in prints if a % 20 == 0 for b in prints if a != b and alike(prints[a], prints[b])}
+    assert len(want) > 90 and len(want & found) >= 0.9 * len(want) and found <= want
+
+
 def test_steady_sounds_do_not_vote(spark):
     tone = np.sin(np.arange(24_000) * 2 * np.pi * 16 / media.HOP) * 0.5
     assert len(media.told(media.fingerprint(media.chroma(tone)))) == len(media.told(media.fingerprint(media.chroma(np.zeros(24_000))))) == 0
