@@ -54,29 +54,34 @@ def test_records_survive_small_splits(spark, tmp_path):
     assert (row.blocks, row.block_bursts, row.total_time) == (400, 800, 6.0)
 
 
-class Corners:
-    """A detector that gives a box in the corner of each image whose mean exceeds the threshold."""
+@pytest.fixture
+def corners():
+    class Corners:
+        """A detector that gives boxes in the corner of each image whose mean exceeds the threshold."""
 
-    def __call__(self, images):
-        assert len(images) <= 2
-        return images.mean((1, 2))
+        def __call__(self, images):
+            assert len(images) <= 2
+            return images.mean((1, 2))
 
-    def decode(self, raw, conf, iou):
-        return [(np.array([m] * 2), np.array([[0.0, 0, 4, 4], [0, 0, 4, 3]])[: 1 if iou < 0.7 else 2]) if m > conf else (np.zeros(0), np.zeros((0, 4))) for m in raw]
+        def decode(self, raw, conf, iou):
+            two = np.array([[0.0, 0, 4, 4], [0, 0, 4, 3]])
+            return [(np.array([m] * 2)[: 1 if iou < 0.7 else 2], two[: 1 if iou < 0.7 else 2]) if m > conf else (np.zeros(0), np.zeros((0, 4))) for m in raw]
 
+    return Corners  # a class of its own here goes to the workers as it is
 
-def test_any_detector_can_stand_behind_the_table(spark):
+
+def test_any_detector_can_stand_behind_the_table(spark, corners):
     rows = [(i, 4, 4, [float(i)] * 16) for i in range(5)] + [(9, 2, 3, [7.0] * 6), (10, 4, 4, None), (None, 4, 4, [3.0] * 16)]
     images = spark.createDataFrame(rows, "image long, width int, height int, pixels array<double>").coalesce(1)
-    found = N.detect(images, "corners", Corners, 2.0, 0.5, batch=2).collect()
+    found = N.detect(images, "corners", corners, 2.0, 0.5, batch=2).collect()
     assert sorted((str(r.image), r["rank"], r.score) for r in found) == [("3", 1, 3.0), ("4", 1, 4.0), ("9", 1, 7.0), ("None", 1, 3.0)]
-    assert N.detect(images, "corners", Corners, 2.0, 0.9, batch=2).count() == 8 and N.detect(images.limit(0), "corners", Corners, 2.0, 0.5).count() == 0
+    assert N.detect(images, "corners", corners, 2.0, 0.9, batch=2).count() == 8 and N.detect(images.limit(0), "corners", corners, 2.0, 0.5).count() == 0
 
 
-def test_a_detector_is_loaded_once():
+def test_a_detector_is_loaded_once(corners):
     made = []
     for _ in range(3):
-        N.loaded("one of its own", lambda: made.append(1) or Corners())
+        N.loaded("one of its own", lambda: made.append(1) or corners())
     assert made == [1]
 
 
