@@ -159,6 +159,19 @@ def halo_blocks(spec: DataFrame, block: int, halo: int) -> DataFrame:
     return spec.select("t", "chan", "v", F.explode(ids).alias("block_id")).select("block_id", (F.col("t") - F.col("block_id") * block).alias("offset"), "chan", "v")
 
 
+def pad_blocks(blocks: DataFrame, length: int, n_chan: int) -> DataFrame:
+    """``(block_id, offset, chan, v double, padded)``: ``halo_blocks`` with the missing end of each block filled up to
+    ``length`` samples of all channels: the mean of the block's own samples plus a share of their standard deviation, a
+    hash of block, offset and channel between 0 and 1."""
+    held = blocks.groupBy("block_id").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), (F.max("offset") + 1).alias("have"))
+    short = held.where(F.col("have") < length)
+    cells = short.select("block_id", "m", "s", F.explode(F.sequence(F.col("have"), F.lit(length - 1).cast("long"))).alias("offset"))
+    cells = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_chan - 1))).alias("chan"))
+    share = F.pmod(F.xxhash64("block_id", "offset", "chan"), F.lit(1 << 24)) / float(1 << 24)
+    filled = cells.select("block_id", "offset", "chan", (F.col("m") + share * F.col("s")).alias("v"), F.lit(True).alias("padded"))
+    return blocks.select("block_id", "offset", "chan", F.col("v").cast("double").alias("v"), F.lit(False).alias("padded")).unionByName(filled)
+
+
 def window_starts(n_dm: int, span: int, stride: int) -> list[int]:
     """Starts of DM windows: every ``stride``, and a last one that ends with the range."""
     starts = list(range(0, max(1, n_dm - span + 1), stride))

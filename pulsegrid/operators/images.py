@@ -79,6 +79,28 @@ def mosaic_pool(images: DataFrame) -> DataFrame:
     return images.groupBy(F.expr("image div 4").alias("mosaic"), py.cast("int").alias("py"), px.cast("int").alias("px")).agg(F.sum("v").alias("total"), F.count("*").alias("n"))
 
 
+def _tile(rows: int, cols: int) -> tuple[Column, Column, Column]:
+    """Mosaic of an image number, and the row and column of its tile there."""
+    tile = F.col("image") % (rows * cols)
+    return F.call_function("div", F.col("image"), F.lit(rows * cols)).alias("mosaic"), F.call_function("div", tile, F.lit(cols)), tile % cols
+
+
+def mosaic_grid(images: DataFrame, rows: int, cols: int, size: int) -> DataFrame:
+    """Mosaics of ``rows`` x ``cols`` neighbouring images of ``size`` pixels, whole ones side by side, mean-pooled back to ``size``
+    pixels: ``(mosaic, py, px, v)``. Missing images are zeros."""
+    mosaic, r, c = _tile(rows, cols)
+    py, px = F.call_function("div", r * size + F.col("py"), F.lit(rows)), F.call_function("div", c * size + F.col("px"), F.lit(cols))
+    return images.groupBy(mosaic, py.cast("int").alias("py"), px.cast("int").alias("px")).agg((F.sum("v") / (rows * cols)).alias("v"))
+
+
+def mosaic_boxes(boxes: DataFrame, rows: int, cols: int, size: int) -> DataFrame:
+    """``boxes(image, left, top, width, height, ...)`` in the mosaics of ``mosaic_grid``: moved to their tile and shrunk with it,
+    not cut where they reach out of it. Other columns stay; ``image`` gives way to ``mosaic``."""
+    mosaic, r, c = _tile(rows, cols)
+    moved = {"left": (F.col("left") + c * size) / cols, "top": (F.col("top") + r * size) / rows, "width": F.col("width") / cols, "height": F.col("height") / rows}
+    return boxes.select(mosaic, *(moved.get(x, F.col(x)).alias(x) for x in boxes.columns if x != "image"))
+
+
 def area_resample(images: DataFrame, source: int, target: int) -> DataFrame:
     """Area resampling of square images from ``source`` to ``target`` pixels: each target pixel sums the source pixels
     from floor(i * source / target) to ceil((i + 1) * source / target): ``(image, py, px, total, n)``."""

@@ -77,6 +77,22 @@ def nearest_truth_baseline(spark, sf_dir):
     return M.nearest_truth(candidates(spark, sf_dir), truth(spark, sf_dir), 1.0, 2.0).withColumn("distance", F.round("distance", 6))
 
 
+#: Nine parameters of an injection, of its signal-to-noise ratio and DM alone.
+_PARAMETERS = {
+    "snr": "snr", "dm_pc_cm3": "dm", "width_ms_fwhm": "snr / 5 + 1", "bandwidth_mhz_fwhm": "100 + dm", "scattering_ms_at_1ghz": "snr * dm / 997", "scattering_ms_at_highest_freq": "snr * dm / 3989",
+    "center_freq_mhz": "1000 + snr * 5", "effective_channels_fwhm": "64 + dm * 2", "per_channel_peak_snr": "snr / 8",
+}
+
+
+@query("assigned_parameters", f"SELECT cand_id, injection_id, {', '.join(f'round(assigned_{c}, 6) AS assigned_{c}' for c in _PARAMETERS)} FROM (SELECT c.cand_id, t.injection_id, {', '.join(f'({e.replace('snr', 't.snr').replace('dm', 't.dm')})::DOUBLE AS assigned_{c}' for c, e in _PARAMETERS.items())}, row_number() OVER (PARTITION BY c.cand_id ORDER BY abs(t.sample - c.sample) / 1000.0::DOUBLE + abs(t.dm - c.dm) / 100.0::DOUBLE, t.injection_id) AS k FROM {CANDIDATES} c JOIN {TRUTH} t USING (quant, stem)) WHERE k = 1")
+def assigned_parameters(spark, sf_dir):
+    """All parameters of the nearest injection beside each candidate."""
+    known = truth(spark, sf_dir)
+    known = known.select("injection_id", "quant", "stem", "sample", "dm", *(F.expr(e).cast("double").alias(c) for c, e in _PARAMETERS.items()))
+    found = M.nearest_truth(candidates(spark, sf_dir), known, 1000.0, 100.0, tuple(_PARAMETERS)).drop("distance")
+    return found.withColumns({f"assigned_{c}": F.round(f"assigned_{c}", 6) for c in _PARAMETERS})
+
+
 @query("cluster_bounded_events", Q.bounded_events(600, DM_TOL))
 def cluster_bounded_events(spark, sf_dir):
     return M.bounded_events(candidates(spark, sf_dir), 600, DM_TOL)

@@ -246,3 +246,58 @@ def log_matrix(spark, sf_dir):
     """Longest total and mean time of a block for each backend and model, over the sections that ended well."""
     found = logs.matrix(logs.summarise(logs.read_records(spark, _log_files(spark, sf_dir))))
     return found.select("backend", "model", "sections", "wall_est", F.round("avg_block", 4).alias("avg_block"))
+
+
+_BACKGROUND = "(SELECT s_suppkey AS n, 'obs' || CASE s_suppkey % 7 WHEN 3 THEN '_N_' WHEN 5 THEN '_W_' ELSE '' END || '-M0' || CAST(1 + s_suppkey % 2 AS VARCHAR) || '_' || lpad(CAST(s_suppkey AS VARCHAR), 4, '0') AS name FROM supplier)"
+
+
+@query("background_files", f"SELECT CAST(n AS INT) AS number, n % 5 AS bytes FROM {_BACKGROUND} WHERE n % 7 NOT IN (3, 5) AND n % 2 = 0 AND n % 5 > 0 AND n < 10000")
+def background_files(spark, sf_dir):
+    """Numbers and sizes of one beam's files in a folder that holds other beams' and tagged ones, too (empty files aren't listed)."""
+    root, n = shared_folder(spark, "background"), F.col("s_suppkey")
+    name = F.concat(F.lit(f"{root}/obs"), F.when(n % 7 == 3, "_N_").when(n % 7 == 5, "_W_").otherwise(""), F.lit("-M0"), (1 + n % 2).cast("string"), F.lit("_"), F.lpad(n.cast("string"), 4, "0"), F.lit(".fits"))
+    files = table(spark, sf_dir, "supplier").select(name.alias("path"), F.encode(F.repeat(F.lit("x"), (n % 5).cast("int")), "UTF-8").alias("content"))
+    psrfits.write_files(files).agg(F.sum("bytes")).first()
+    return tables.read_background_files(spark, root).select("number", "bytes")
+
+
+@query("artefact_counts", "SELECT 'r' || CAST(s_nationkey % 4 AS VARCHAR) AS rate, count(*) AS n, count(DISTINCT s_suppkey % 5) AS n_files, CAST(max(s_suppkey) AS INT) AS last_block FROM supplier WHERE s_suppkey % 9 <> 0 GROUP BY 1")
+def artefact_counts(spark, sf_dir):
+    """Artefacts ``<file>-<block>`` in folders by rate; names of another form are left out."""
+    root, n = shared_folder(spark, "artefacts"), F.col("s_suppkey")
+    name = F.concat(F.lit(f"{root}/r"), (F.col("s_nationkey") % 4).cast("string"), F.lit("/a-b_"), (n % 5).cast("string"), F.when(n % 9 == 0, "_").otherwise("-"), n.cast("string"), F.lit(".npy"))
+    psrfits.write_files(table(spark, sf_dir, "supplier").select(name.alias("path"), F.encode(F.lit("x"), "UTF-8").alias("content"))).agg(F.sum("bytes")).first()
+    return tables.read_artefact_keys(spark, root).groupBy("rate").agg(F.count("*").alias("n"), F.count_distinct("file").alias("n_files"), F.max("block").alias("last_block"))
+
+
+_SETS = ("True_LPT", "True_FRB", "True_RFI", "False_RFI", "False_LPT")
+_SET = "CASE user_id % 5 WHEN 0 THEN 'True_LPT' WHEN 1 THEN 'True_FRB' WHEN 3 THEN 'False_RFI' ELSE 'False_LPT' END"
+_SAMPLE_NAME = "strftime(ts, '%Y%m%d') || '-' || lpad(CAST(user_id % 12 AS VARCHAR), 2, '0')"
+
+
+@query("sample_catalogue", f"""WITH s AS (SELECT {_SET} AS set, event_id // 2 AS idx, {_SAMPLE_NAME} AS name, user_id % 2 AS label, CASE WHEN user_id % 5 = 0 THEN CASE WHEN event_type = 'click' THEN 'True_LPT_Old' ELSE event_type END ELSE '' END AS source FROM events WHERE user_id % 5 <> 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY set, idx ORDER BY name, label, source) AS k FROM s)
+SELECT set, idx, name, label, source, CASE WHEN set = 'True_LPT' AND regexp_matches(name, '^[0-9]{{8}}-(02|05|10)') AND source <> 'True_LPT_Old' THEN 6 WHEN set LIKE 'False%' THEN 2 ELSE 1 END AS repeat, set || ':' || idx AS sample_key FROM o WHERE k = 1""")
+def sample_catalogue(spark, sf_dir):
+    """The catalogue over four sample sets of five; one has sources, samples may be there twice."""
+    root, events = shared_folder(spark, "samples"), table(spark, sf_dir, "events")
+    name = F.concat(F.date_format("ts", "yyyyMMdd"), F.lit("-"), F.lpad((F.col("user_id") % 12).cast("string"), 2, "0"))
+    source = F.when(F.col("event_type") == "click", "True_LPT_Old").otherwise(F.col("event_type"))
+    rows = events.select(F.expr("event_id div 2").alias("idx"), name.alias("names"), (F.col("user_id") % 2).alias("labels"), source.alias("sources"), (F.col("user_id") % 5).alias("of"))
+    for of, kind in ((0, "True_LPT"), (1, "True_FRB"), (3, "False_RFI"), (4, "False_LPT")):
+        rows.where(F.col("of") == of).drop(*(["of"] if of == 0 else ["of", "sources"])).write.parquet(f"{root}/{kind}.parquet")
+    return tables.read_sample_sets(spark, root, _SETS[:3], _SETS[3:])
+
+
+@query("frame_catalogue", """WITH b AS (SELECT l_orderkey AS frame, l_quantity AS w, l_discount * 300 AS h FROM lineitem), g AS (SELECT frame, count(*) FILTER (w >= 1 AND h >= 1) AS n, min(sqrt(w * h)) FILTER (w >= 1 AND h >= 1) AS m FROM b GROUP BY frame)
+SELECT 'frames_' || CAST(o_orderkey % 3 AS VARCHAR) AS set, o_orderkey AS frame, CAST(coalesce(n, 0) AS INT) AS n_boxes, coalesce(n, 0) > 0 AS has_annotation, round(least(coalesce(m, 1e6), 1e6), 6) AS min_box_size FROM orders LEFT JOIN g ON frame = o_orderkey""")
+def frame_catalogue(spark, sf_dir):
+    """Frames of three sets (a fourth is missing) with their boxes."""
+    root = shared_folder(spark, "frames")
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("frame"), F.struct((F.col("l_quantity") - 5).alias("left"), (F.col("l_tax") * 200).alias("top"), F.col("l_quantity").alias("width"), (F.col("l_discount") * 300).alias("height")).alias("box"))
+    boxes = line.groupBy("frame").agg(F.collect_list("box").alias("boxes"))  # the boxes of an image
+    frames = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("frame")).join(boxes, "frame", "left")
+    for of in range(3):
+        frames.where(F.col("frame") % 3 == of).write.parquet(f"{root}/frames_{of}.parquet")
+    found = tables.read_frame_sets(spark, root, [f"frames_{of}" for of in range(4)])
+    return found.withColumn("min_box_size", F.round(F.least("min_box_size", F.lit(1e6)), 6))

@@ -62,6 +62,17 @@ def halo_blocks(spark, sf_dir):
     return D.halo_blocks(spec(spark, sf_dir), 128, 32)
 
 
+#: The last block's tail is filled: how many cells, and whether they lie between the mean and one deviation above it.
+@query("padded_blocks", f"""WITH n AS (SELECT max(vec_id) + 1 AS n FROM embeddings), b AS (SELECT b AS block_id, least(n - b * 128, 160) AS have FROM n, range(0, (n + 127) // 128) r(b))
+SELECT block_id, CAST(160 * 64 AS BIGINT) AS cells, CAST((160 - have) * 64 AS BIGINT) AS n_padded, true AS in_range FROM b""")
+def padded_blocks(spark, sf_dir):
+    blocks = D.halo_blocks(spec(spark, sf_dir), 128, 32)
+    padded = D.pad_blocks(blocks, 160, 64)
+    stats = blocks.groupBy("block_id").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    inside = ~F.col("padded") | ((F.col("v") >= F.col("m")) & (F.col("v") <= F.col("m") + F.col("s")))
+    return padded.join(stats, "block_id").groupBy("block_id").agg(F.count("*").alias("cells"), F.count_if("padded").alias("n_padded"), F.every(inside).alias("in_range"))
+
+
 def _pool_sql(starts):
     dims = ", ".join(f"({i}, {s})" for i, s in enumerate(starts))
     return f"SELECT CAST(i AS INT) AS dm_chunk, CAST(s AS INT) AS dm_start, CAST((dm - s) // 2 AS INT) AS py, y // 16 AS px, CAST(sum(v_full) AS BIGINT) AS total, count(*) AS n FROM {CELLS} JOIN (VALUES {dims}) w(i, s) ON dm >= s AND dm < s + 16 GROUP BY ALL"
@@ -169,3 +180,17 @@ def mosaic_pool(spark, sf_dir):
 JOIN (SELECT unnest(range(3)) AS i) x ON p.px >= floor(x.i * 8 / 3) AND p.px < ceil((x.i + 1) * 8 / 3) GROUP BY ALL""")
 def area_resample(spark, sf_dir):
     return I.area_resample(images(spark, sf_dir), 8, 3)
+
+
+@query("mosaic_strip", f"SELECT image // 3 AS mosaic, py, CAST((image % 3 * 8 + px) // 3 AS INT) AS px, round(sum(v) / 3.0::DOUBLE, 4) AS v FROM {IMAGES} GROUP BY ALL")
+def mosaic_strip(spark, sf_dir):
+    """Three images side by side, pooled to the size of one."""
+    return I.mosaic_grid(images(spark, sf_dir), 1, 3, 8).withColumn("v", F.round("v", 4))
+
+
+@query("mosaic_boxes", f"SELECT image // 4 AS mosaic, \"rank\", (px - 1 + image % 2 * 8) / 2.0::DOUBLE AS \"left\", (py - 2 + image % 4 // 2 * 8) / 2.0::DOUBLE AS top, 1.5::DOUBLE AS width, 2.0::DOUBLE AS height FROM {_TOP}")
+def mosaic_boxes(spark, sf_dir):
+    """Boxes around the peaks of four images in their mosaic of two by two."""
+    tops = I.top_pixels(I.peaks(images(spark, sf_dir), 100000), 4)
+    boxes = tops.select("image", "rank", (F.col("px") - 1.0).alias("left"), (F.col("py") - 2.0).alias("top"), F.lit(3.0).alias("width"), F.lit(4.0).alias("height"))
+    return I.mosaic_boxes(boxes, 2, 2, 8)

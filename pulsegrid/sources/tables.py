@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -84,10 +85,59 @@ def read_background_files(spark: SparkSession, path: str, beam: str = "M01") ->
 def read_artefact_keys(spark: SparkSession, path: str, glob: str = "*.npy") -> DataFrame:
     """Keys ``(rate, file, block)`` of artefacts named ``<file>-<block>`` in folders named by rate."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path")
-    parts = [F.regexp_extract("path", r"/([^/]+)/(.+)-(\d+)\.[a-z]+$", i) for i in (1, 2, 3)]
+    parts = [F.regexp_extract("path", r"([^/]+)/([^/]+)-(\d+)\.[a-z]+$", i) for i in (1, 2, 3)]
     return files.select(parts[0].alias("rate"), parts[1].alias("file"), parts[2].try_cast("int").alias("block")).where("block is not null")
 
 
+def _existing(spark: SparkSession, root: str, names: Sequence[str]) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    found = []
+    for name in names:
+        at = path(root, f"{name}.parquet")
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            found.append(name)
+    return found
+
+
+def read_sample_sets(spark: SparkSession, root: str, positive: Sequence[str], negative: Sequence[str], renewed: str = "True_LPT") -> DataFrame:
+    """The classifier's catalogue: ``(set, idx, name, label, source, repeat, sample_key)`` of the sample sets ``<root>/<set>.parquet``
+    (``names, labels, idx`` and, not in all sets, ``sources``). Sets that are missing are skipped; without any it is an error.
+
+    A sample is named by its set and index; of equal names the first by name, label and source stays. ``repeat`` is 6 for samples of the set
+    ``renewed`` whose name begins with a date and a beam of 02, 05 or 10 and whose source is not its old one, 2 for negative sets, else 1."""
+    found = _existing(spark, root, [*positive, *negative])
+    if not found:
+        raise FileNotFoundError(f"no sample set in {root}")
+    sets = []
+    for name in found:
+        rows = spark.read.parquet(f"{root}/{name}.parquet")
+        source = F.col("sources") if "sources" in rows.columns else F.lit("")
+        sets.append(rows.select(F.lit(name).alias("set"), F.col("idx").cast("long").alias("idx"), F.col("names").cast("string").alias("name"), F.col("labels").cast("long").alias("label"), F.coalesce(source.cast("string"), F.lit("")).alias("source")))
+    whole = sets[0]
+    for rows in sets[1:]:
+        whole = whole.unionByName(rows)
+    new = F.col("name").rlike(r"^\d{8}-(02|05|10)") & (F.col("source") != f"{renewed}_Old")
+    repeat = F.when((F.col("set") == renewed) & F.coalesce(new, F.lit(False)), 6).when(F.col("set").isin(*negative) if negative else F.lit(False), 2).otherwise(1)
+    one = whole.groupBy("set", "idx").agg(F.min(F.struct("name", "label", "source")).alias("s")).select("set", "idx", "s.*")
+    return one.select("set", "idx", "name", "label", "source", repeat.alias("repeat"), F.concat_ws(":", "set", "idx").alias("sample_key"))
+
+
+def read_frame_sets(spark: SparkSession, root: str, names: Sequence[str]) -> DataFrame:
+    """The detector's catalogue: ``(set, frame, n_boxes, has_annotation, min_box_size)`` of ``<root>/<set>.parquet`` with
+    ``frame`` and ``boxes array<struct<left, top, width, height>>``. Boxes with a null or a side under a pixel don't count;
+    ``min_box_size`` is the least square root of a box's area, infinite without boxes. Missing sets are skipped."""
+    found = _existing(spark, root, names)
+    if not found:
+        raise FileNotFoundError(f"no frame set in {root}")
+    whole = None
+    for name in found:
+        rows = spark.read.parquet(f"{root}/{name}.parquet").select(F.lit(name).alias("set"), "frame", "boxes")
+        whole = rows if whole is None else whole.unionByName(rows)
+    good = F.filter(F.coalesce("boxes", F.expr("cast(array() as array<struct<left:double,top:double,width:double,height:double>>)")), lambda b: b["left"].isNotNull() & b["top"].isNotNull() & (b["width"] >= 1) & (b["height"] >= 1))
+    size = F.coalesce(F.array_min(F.transform(good, lambda b: F.sqrt(b["width"] * b["height"]))), F.lit(float("inf")))
+    return whole.select("set", "frame", F.size(good).alias("n_boxes"), (F.size(good) > 0).alias("has_annotation"), size.alias("min_box_size"))
+
+
 def write_jsonl(rows: DataFrame, path: str, mode: str = "append") -> None:
     """Append rows as JSON lines, keys in order of name."""
     rows.select(*sorted(rows.columns)).write.mode(mode).json(path)

@@ -131,3 +131,21 @@ def test_strata_and_keys_may_be_null(spark):
     assert sorted(map(str, ((r.k, r.label) for r in out))) == sorted(map(str, rows)) and all(sum(r.split == "train" for r in out if r.label == x) == 5 for x in ("a", None, "b"))
     units = P.latin_hypercube(spark.createDataFrame([(1,), (2,), (None,)], "k long"), "k", 2).collect()
     assert len(units) == 3 and all(sorted(int(3 * r[f"u{d}"]) for r in units) == [0, 1, 2] for d in range(2))
+
+
+def test_mosaics_keep_boxes_on_their_pixels(spark):
+    pixels = spark.createDataFrame([(i, y, x, 100 if (y, x) == (2, 4) else 0) for i in range(3) for y in range(6) for x in range(6)], "image long, py int, px int, v long")
+    boxes = spark.createDataFrame([(i, 7, 4.0, 2.0, 1.0, 1.0) for i in range(3)] + [(1, 8, -3.0, 0.0, 12.0, 6.0)], "image long, box int, left double, top double, width double, height double")
+    for rows, cols in ((1, 3), (3, 1), (2, 2)):
+        mosaic = {(r.py, r.px): r.v for r in I.mosaic_grid(pixels, rows, cols, 6).collect() if r.v}
+        moved = [r for r in I.mosaic_boxes(boxes, rows, cols, 6).collect() if r.box == 7]
+        assert {(int(r.top), int(r.left)) for r in moved} == set(mosaic) and set(mosaic.values()) == {100 / (rows * cols)}
+    strip = [r for r in I.mosaic_boxes(boxes, 1, 3, 6).collect() if r.box == 8]
+    assert [(r.left, r.width, r.height) for r in strip] == [(1.0, 4.0, 6.0)]
+
+
+def test_short_blocks_are_filled_up(spark):
+    spec = spark.createDataFrame([(t, c, 10 * c) for t in range(7) for c in range(2)], "t long, chan int, v long")
+    rows = D.pad_blocks(D.halo_blocks(spec, 4, 2), 6, 2).collect()
+    assert {(r.block_id, r.offset, r.chan) for r in rows} == {(b, o, c) for b in range(2) for o in range(6) for c in range(2)} and len(rows) == 24
+    assert {(r.block_id, r.offset) for r in rows if r.padded} == {(1, o) for o in (3, 4, 5)} and all(5 <= r.v <= 10 for r in rows if r.padded)

@@ -141,3 +141,23 @@ def test_published_files_have_their_names(spark, tmp_path):
     tables.publish(rows, str(tmp_path / "p"), "table", ".csv.gz")
     assert sorted(r.a for r in tables.read_csv(spark, str(tmp_path / "p"), "table*").collect()) == ["x", "y"]
     assert spark.range(1).select(scalars.decoded(F.lit(b"a\xffb\xc3"))).first()[0] == "ab"
+
+
+def test_catalogues_of_sample_and_frame_sets(spark, tmp_path):
+    root = str(tmp_path)
+    spark.createDataFrame([(1, "20240101-02x", 1, "New"), (1, "20240101-03", 1, None), (2, "20240101-10", 1, "True_LPT_Old"), (3, None, 1, None)], "idx long, names string, labels long, sources string").write.parquet(f"{root}/True_LPT.parquet")
+    spark.createDataFrame([(1, "20240101-02", 0)], "idx long, names string, labels long").write.parquet(f"{root}/Bad.parquet")
+    rows = {r.sample_key: (r.name, r.label, r.source, r.repeat) for r in tables.read_sample_sets(spark, root, ["True_LPT", "Gone"], ["Bad"]).collect()}
+    assert rows == {"True_LPT:1": ("20240101-02x", 1, "New", 6), "True_LPT:2": ("20240101-10", 1, "True_LPT_Old", 1), "True_LPT:3": (None, 1, "", 1), "Bad:1": ("20240101-02", 0, "", 2)}
+    with pytest.raises(FileNotFoundError):
+        tables.read_sample_sets(spark, root, ["Gone"], [])
+    spark.createDataFrame([(1, [(0.0, 0.0, 4.0, 9.0), (0.0, 0.0, 0.5, 9.0), (None, 0.0, 1.0, 1.0), (-5.0, -5.0, 2.0, 8.0)]), (2, []), (3, None)], "frame long, boxes array<struct<left:double,top:double,width:double,height:double>>").write.parquet(f"{root}/f.parquet")
+    frames = {r.frame: (r.n_boxes, r.has_annotation, r.min_box_size) for r in tables.read_frame_sets(spark, root, ["f", "g"]).collect()}
+    assert frames == {1: (2, True, 4.0), 2: (0, False, float("inf")), 3: (0, False, float("inf"))}
+
+
+def test_artefacts_in_nested_folders(spark, tmp_path):
+    for name in ("a/r8/x-1_2-17.npy", "a/r8/x-1_2-18.npy", "r16/y-3.npy", "r16/y_3.npy", "r16/z-3.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    assert sorted(tuple(r) for r in tables.read_artefact_keys(spark, str(tmp_path)).collect()) == [("r16", "y", 3), ("r8", "x-1_2", 17), ("r8", "x-1_2", 18)]
