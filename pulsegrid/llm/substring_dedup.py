@@ -4,9 +4,10 @@ A window (``window`` words of one document) is the depth to which suffixes are c
 are split into groups by a prefix of variable length: usually the 12 words at the suffix's anchor (the least 12-word
 hash of its window, so that neighbouring suffixes share a group and travel with one copy of their words), or the whole
 window where the anchor alone would hold more suffixes than a task should take. Equal windows have equal anchors, so
-they always meet in one group. Each group's suffixes are sorted by their words: runs that agree to the window's depth
-are the leaves below a deep internal node of the group's tree, and every one of them starts a window that also starts
-elsewhere. Neighbouring leaves of a document join to the maximal repeats that are removed.
+they always meet in one group. Each group's suffixes are sorted by their words, with the words that neighbours share
+(a suffix array and its common prefixes, which is the group's tree): those below an internal node of the window's depth or
+more start a window that also starts elsewhere. Neighbouring leaves of a document join to the spans that are removed;
+``maximal_repeats`` lists the deep nodes themselves.
 
 Hashes only choose groups and leave out suffixes that can't repeat; what is removed is decided by the words themselves.
 """
@@ -14,6 +15,7 @@ Hashes only choose groups and leave out suffixes that can't repeat; what is remo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import compress
 
 import numpy as np
@@ -225,36 +227,64 @@ def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def window_ranks(codes: np.ndarray, window: int) -> np.ndarray:
-    """The place of each run of ``window`` codes in their lexicographic order, equal for equal runs, by doubling the compared length."""
-    rank, have = codes.astype(np.int64), 1
-    while have < window:
-        step = min(have, window - have)
-        rank = np.unique(rank[:-step] * (int(rank.max()) + 1) + rank[step:], return_inverse=True)[1]
-        have += step
-    return rank
-
-
-def subtree(leaves: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The suffixes of some leaves in the order of their words: (leaf, place in it, deep node).
-
-    Suffixes with one node number lie below one internal node of the suffix tree at depth ``window`` or deeper; -1
-    marks those that branch off above. Words are compared as bytes, by their rank among the words of the leaves."""
-    split = [x.split() for x in leaves]
-    lengths = np.fromiter(map(len, split), np.int64, len(split))
-    flat = [w for x in split for w in x]
+@dataclass
+class SuffixTree:
+    """The suffixes of some leaves in the order of their words, as (leaf, place in it), and the words that each shares with
+    the one before it. Runs with shared words of some depth or more are the suffixes below an internal node there."""
+
+    leaf: np.ndarray
+    place: np.ndarray
+    shared: np.ndarray
+
+    def deep(self, depth: int) -> np.ndarray:
+        """Suffixes below an internal node of at least this depth."""
+        near = self.shared >= depth
+        return near | np.r_[near[1:], False][: len(near)]
+
+    def nodes(self, least: int) -> Iterator[tuple[int, int, int]]:
+        """(depth, begin, end) of all internal nodes of at least this depth, inner ones before those around them."""
+        stack: list[tuple[int, int]] = []  # depth and begin of the nodes that are open
+        for i, d in enumerate([*self.shared.tolist(), -1]):
+            begin = i - 1
+            while stack and stack[-1][0] > d:
+                depth, begin = stack.pop()
+                if depth >= least:
+                    yield depth, begin, i
+            if i < len(self.shared) and i and (not stack or stack[-1][0] < d):
+                stack.append((d, begin))
+
+
+def suffix_tree(leaves: list[list[bytes]], least: int) -> SuffixTree:
+    """The tree of the leaves' suffixes of at least ``least`` words. No suffix goes on beyond its leaf.
+
+    Suffixes are ranked by doubling the compared length; the ranks at all lengths then tell how many words neighbours share.
+    Words are compared as bytes, by their rank among the words of the leaves."""
+    lengths = np.fromiter(map(len, leaves), np.int64, len(leaves))
+    flat = [w for x in leaves for w in x]
     names = {w: i for i, w in enumerate(sorted(set(flat)))}
-    n = np.maximum(lengths - window + 1, 0)
+    first = np.cumsum(lengths + 1) - (lengths + 1)  # an end of its own behind each leaf
+    codes = np.empty(len(flat) + len(leaves), np.int64)
+    codes[first + lengths] = np.arange(len(leaves))
+    codes[_runs(first, lengths)] = np.fromiter(map(names.__getitem__, flat), np.int64, len(flat)) + len(leaves)
+    ranks, have = [codes], 1
+    while have <= int(lengths.max(initial=0)):
+        last = ranks[-1]
+        later = np.zeros(len(last), np.int64)
+        later[: max(0, len(last) - have)] = last[have:] + 1
+        ranks.append(np.unique(last * (int(last.max()) + 2) + later, return_inverse=True)[1])
+        have *= 2
+    n = np.maximum(lengths - least + 1, 0)
     leaf, place = np.repeat(np.arange(len(leaves)), n), _runs(np.zeros(len(leaves), np.int64), n)
-    if not len(leaf):
-        return leaf, place, leaf
-    rank = window_ranks(np.fromiter(map(names.__getitem__, flat), np.int64, len(flat)), window)
-    rank = rank[(np.cumsum(lengths) - lengths)[leaf] + place]
-    order = np.argsort(rank, kind="stable")
-    rank = rank[order]
-    same = rank[1:] == rank[:-1]
-    node = np.cumsum(np.r_[True, ~same]) - 1
-    return leaf[order], place[order], np.where(np.r_[False, same] | np.r_[same, False], node, -1)
+    at = first[leaf] + place
+    order = np.argsort(ranks[-1][at], kind="stable")
+    leaf, place, at = leaf[order], place[order], at[order]
+    shared = np.zeros(len(at), np.int64)
+    if len(at) > 1:
+        a, b, both = at[:-1], at[1:], np.zeros(len(at) - 1, np.int64)
+        for k in range(len(ranks) - 1, -1, -1):
+            both += np.where(ranks[k][a + both] == ranks[k][b + both], 1 << k, 0)
+        shared[1:] = both
+    return SuffixTree(leaf, place, shared)
 
 
 def _repeats(window: int, parts: int):
@@ -264,11 +294,11 @@ def _repeats(window: int, parts: int):
     def settle(keys: np.ndarray, at: np.ndarray, leaves: list[bytes]) -> pa.RecordBatch:
         first = {x: i for i, x in enumerate(dict.fromkeys(leaves))}
         kind = np.fromiter(map(first.__getitem__, leaves), np.int64, len(leaves))
-        leaf, place, node = subtree(list(first), window)
-        n = np.bincount(leaf, minlength=len(first))
+        tree = suffix_tree([x.split() for x in first], window)
+        n = np.bincount(tree.leaf, minlength=len(first))
         begin = np.cumsum(n) - n
-        deep = np.zeros(len(leaf), bool)
-        deep[begin[leaf] + place] = node >= 0
+        deep = np.zeros(len(tree.leaf), bool)
+        deep[begin[tree.leaf] + tree.place] = tree.deep(window)
         deep |= np.repeat(np.bincount(kind, minlength=len(first)) > 1, n)  # the leaf as a whole is there more than once
         mark = deep[_runs(begin[kind], n[kind])]
         own, places = np.repeat(keys, n[kind])[mark], _runs(at.astype(np.int64), n[kind])[mark]
@@ -287,16 +317,98 @@ def _repeats(window: int, parts: int):
                 ends = np.cumsum(sizes).tolist()
                 leaves += [words[b:e] for b, e in zip([0, *ends], ends)]
         keys, at, hashes = np.concatenate(keys), np.concatenate(at), np.concatenate(hashes)
-        order = np.argsort(hashes, kind="stable")
-        begin = np.flatnonzero(np.r_[True, hashes[order][1:] != hashes[order][:-1]]) if len(order) else order
-        size = np.cumsum(np.fromiter((len(leaves[i]) for i in order.tolist()), np.int64, len(order)))
-        low = 0
-        while low < len(begin):  # whole groups together
-            base = size[begin[low] - 1] if begin[low] else 0
-            high = max(low + 1, int(np.searchsorted(size[np.r_[begin[1:], len(order)] - 1], base + SORT_BYTES, side="right")))
-            rows = order[begin[low] : begin[high] if high < len(begin) else len(order)]
+        for rows in _together(hashes, leaves):
             yield settle(keys[rows], at[rows], [leaves[i] for i in rows.tolist()])
-            low = high
+
+    return run
+
+
+def _together(hashes: np.ndarray, leaves: list[bytes]) -> Iterator[np.ndarray]:
+    """Rows of whole groups (of equal hashes), some groups together."""
+    order = np.argsort(hashes, kind="stable")
+    begin = np.flatnonzero(np.r_[True, hashes[order][1:] != hashes[order][:-1]]) if len(order) else order
+    size = np.cumsum(np.fromiter((len(leaves[i]) for i in order.tolist()), np.int64, len(order)))
+    low = 0
+    while low < len(begin):
+        base = size[begin[low] - 1] if begin[low] else 0
+        high = max(low + 1, int(np.searchsorted(size[np.r_[begin[1:], len(order)] - 1], base + SORT_BYTES, side="right")))
+        yield order[begin[low] : begin[high] if high < len(begin) else len(order)]
+        low = high
+
+
+_LEAF = "bucket int, hash long, before binary, words binary, n long"
+
+
+def _counted_leaves(window: int, k: int, overfull: np.ndarray, buckets: int):
+    """Each different leaf of a partition with the word before it (null at the begin of a document), once with its number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple, int] = {}
+        for part, texts in _texts(batches):
+            words = Words(texts)
+            starts, anchor = _anchors(words, window, k)
+            again = _marked(part.column("found"), words)[anchor]
+            starts, anchor = starts[again], anchor[again]
+            if not len(starts):
+                continue
+            full = _among(words.grams(anchor, k), overfull)
+            head = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | full[1:]])
+            first, last = starts[head], starts[np.r_[head[1:], len(starts)] - 1]
+            hashes = np.where(full[head], words.grams(first, window), words.grams(anchor[head], k)).view(np.int64)
+            inner = first > words.first[words.doc[first]]
+            for h, f, b, e, i in zip(hashes.tolist(), first.tolist(), words.begin[first].tolist(), words.end[last + window - 1].tolist(), inner.tolist()):
+                key = (h, words.data[words.begin[f - 1] : words.end[f - 1]] if i else None, words.data[b:e])
+                seen[key] = seen.get(key, 0) + 1
+        rows = list(seen.items())
+        for at in range(0, len(rows), 20_000):
+            some = rows[at : at + 20_000]
+            hashes = np.array([key[0] for key, _ in some], np.int64)
+            yield pa.record_batch([pa.array(_bucket(hashes, buckets)), pa.array(hashes), pa.array([key[1] for key, _ in some], pa.binary()), pa.array([key[2] for key, _ in some], pa.binary()), pa.array([n for _, n in some], pa.int64())], names=["bucket", "hash", "before", "words", "n"])
+
+    return run
+
+
+def repeat_nodes(leaves: dict[tuple[bytes, ...], dict[bytes | None, int]], least: int) -> dict[tuple[bytes, ...], int]:
+    """The maximal repeats of at least ``least`` words in a group and their numbers of places.
+
+    ``leaves`` counts each leaf by the word before it. A repeat is what the suffixes below an internal node, or copies of one
+    suffix, share; it is maximal if no word before it is common to all its places (the begin of a text is none)."""
+    names = list(leaves)
+    tree = suffix_tree([list(x) for x in names], least)
+    out: dict[tuple[bytes, ...], int] = {}
+
+    def before(i: int) -> set:
+        leaf, place = names[tree.leaf[i]], int(tree.place[i])
+        return set(leaves[leaf]) if place == 0 else {leaf[place - 1]}
+
+    def told(depth: int, begin: int, end: int) -> None:
+        places = sum(sum(leaves[names[k]].values()) for k in tree.leaf[begin:end].tolist())
+        marks = set().union(*(before(i) for i in range(begin, end)))
+        if places > 1 and (None in marks or len(marks) > 1):
+            at = int(tree.place[begin])
+            out[names[tree.leaf[begin]][at : at + depth]] = places
+
+    for node in tree.nodes(least):
+        told(*node)
+    length = np.array([len(x) for x in names])[tree.leaf] - tree.place if names else tree.leaf
+    following = np.r_[tree.shared[1:], 0][: len(length)]
+    for i in np.flatnonzero((tree.shared < length) & (following < length)).tolist():  # what no node ends with
+        told(int(length[i]), i, i + 1)
+    return out
+
+
+def _group_repeats(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("hash", "before", "words", "n")))]
+        for some in _together(np.array([r[0] for r in rows], np.int64), [r[2] for r in rows]):
+            groups: dict[int, dict] = {}
+            for i in some.tolist():
+                h, before, words, n = rows[i]
+                own = groups.setdefault(h, {}).setdefault(tuple(words.split()), {})
+                own[before] = own.get(before, 0) + n
+            found = [(b" ".join(x).decode(), len(x), n) for leaves in groups.values() for x, n in repeat_nodes(leaves, window).items()]
+            columns = list(zip(*found)) or [()] * 3
+            yield pa.record_batch([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64())], names=["words", "n_words", "places"])
 
     return run
 
@@ -347,20 +459,24 @@ def _kept(window: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_words, n_removed, kept, spans)``: each document without the words covered by a run of ``window``
-    words that also starts anywhere else in the input, in the same document or another one. ``kept`` is the words left,
-    joined by one space; ``spans`` lists the removed stretches (numbers of words, end exclusive).
+@dataclass
+class _Plan:
+    """What the trees of a corpus start from: the documents with the places of their repeated anchors."""
 
-    Words are runs of characters other than space and U+0009-U+000D, unchanged; all copies of a repeat go, as windows
-    are judged on the input. Null and empty texts have no words (``kept`` is empty). Null ids and repeated rows are
-    documents of their own, and repeated rows therefore lose all words in windows. Other columns are ignored. An empty
-    table gives an empty result.
+    keyed: DataFrame
+    suffixes: DataFrame
+    overfull: np.ndarray
+    parts: int
+    entry_parts: int
 
-    A task holds the suffixes of some groups. A group has at most one leaf of each content for each partition of
-    documents, and groups of anchors that are overfull (found by a count over all documents; at most ``OVERFULL_LIST``
-    anchors, which is all that reaches the driver) are split by whole windows.
-    """
+    def found(self, entries: DataFrame, settle) -> DataFrame:
+        """The documents with the positions that ``settle`` reports for them."""
+        marks = entries.repartition(self.entry_parts, "bucket").mapInArrow(settle, ENTRIES)
+        places = marks.repartition(self.parts, "bucket").mapInArrow(_gathered, "one long, two int, found binary")
+        return self.keyed.join(places.hint("shuffle_hash"), ["one", "two"], "left")
+
+
+def _planned(docs: DataFrame, window: int, anchor: int, id_col: str, text_col: str) -> _Plan:
     spark = docs.sparkSession
     base = shuffle_partitions(spark)
     parts = max(base, text_bytes(docs, text_col) // TASK_BYTES)
@@ -376,12 +492,38 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     # One shuffle of the texts, which the three uses below share.
     keyed = source.withColumns({"one": F.xxhash64("doc_id", "text"), "two": F.hash("text", "doc_id")}).repartition(parts, "one", "two")
 
-    def found(entries: DataFrame, settle) -> DataFrame:
-        marks = entries.repartition(entry_parts, "bucket").mapInArrow(settle, ENTRIES)
-        places = marks.repartition(parts, "bucket").mapInArrow(_gathered, "one long, two int, found binary")
-        return keyed.join(places.hint("shuffle_hash"), ["one", "two"], "left")
-
+    plan = _Plan(keyed, keyed, overfull, parts, entry_parts)
     entries = keyed.mapInArrow(_anchor_entries(window, anchor, overfull, entry_parts), ENTRIES)
-    suffixes = found(entries, _repeated_anchors(parts)).where("found is not null")
-    entries = suffixes.mapInArrow(_suffix_entries(window, anchor, overfull, entry_parts), ENTRIES)
-    return found(entries, _repeats(window, parts)).select("doc_id", "text", "found").mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:long,end:long>>")
+    plan.suffixes = plan.found(entries, _repeated_anchors(parts)).where("found is not null")
+    return plan
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, n_words, n_removed, kept, spans)``: each document without the words covered by a run of ``window``
+    words that also starts anywhere else in the input, in the same document or another one. ``kept`` is the words left,
+    joined by one space; ``spans`` lists the removed stretches (numbers of words, end exclusive).
+
+    Words are runs of characters other than space and U+0009-U+000D, unchanged; all copies of a repeat go, as windows
+    are judged on the input. Null and empty texts have no words (``kept`` is empty). Null ids and repeated rows are
+    documents of their own, and repeated rows therefore lose all words in windows. Other columns are ignored. An empty
+    table gives an empty result.
+
+    A task holds the suffixes of some groups. A group has at most one leaf of each content for each partition of
+    documents, and groups of anchors that are overfull (found by a count over all documents; at most ``OVERFULL_LIST``
+    anchors, which is all that reaches the driver) are split by whole windows.
+    """
+    plan = _planned(docs, window, anchor, id_col, text_col)
+    entries = plan.suffixes.mapInArrow(_suffix_entries(window, anchor, plan.overfull, plan.entry_parts), ENTRIES)
+    return plan.found(entries, _repeats(window, plan.parts)).select("doc_id", "text", "found").mapInArrow(_kept(window), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:long,end:long>>")
+
+
+def maximal_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(words, n_words, places)``: the deep internal nodes of the groups' trees: every run of ``window`` words or more that
+    starts at several places of the documents and is maximal to both sides, with its number of places.
+
+    A tree sees the words of neighbouring windows of one anchor, ``2 * window - anchor`` at most: of a longer repeat it gives the stretches
+    that these windows cover. Null and empty texts have no words; repeated rows are places of their own; an empty table gives
+    an empty result. Each partition sends each different leaf once, with its number."""
+    plan = _planned(docs, window, anchor, id_col, text_col)
+    leaves = plan.suffixes.mapInArrow(_counted_leaves(window, anchor, plan.overfull, plan.entry_parts), _LEAF)
+    return leaves.repartition(plan.entry_parts, "bucket").mapInArrow(_group_repeats(window), "words string, n_words int, places long")

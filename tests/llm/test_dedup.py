@@ -159,18 +159,70 @@ def test_equal_hashes_of_different_words_change_nothing(spark):
     assert [r.n_removed for r in substring_dedup.remove_repeats(frame).collect()] == [0, 0, 0]
 
 
-def test_subtrees_order_suffixes_by_their_words():
-    """Suffixes below one deep node are those whose windows are equal."""
+def test_trees_order_suffixes_by_their_words():
+    """Neighbours share what the tree says; suffixes below a node of some depth are those whose first words are equal."""
     random = np.random.default_rng(3)
-    texts = [" ".join(random.choice(["aa", "bb", "cc"], int(n))).encode() for n in random.integers(5, 40, 30)]
-    leaf, place, node = substring_dedup.subtree(texts, 6)
-    assert len(leaf) == sum(max(0, len(t.split()) - 5) for t in texts)
-    runs = [tuple(texts[a].split()[b : b + 6]) for a, b in zip(leaf.tolist(), place.tolist())]
-    assert runs == sorted(runs)
-    seen = Counter(runs)
-    assert [n >= 0 for n in node.tolist()] == [seen[r] > 1 for r in runs]
-    for a, b, x, y in zip(node.tolist(), node.tolist()[1:], runs, runs[1:]):
-        assert (a == b and a >= 0) == (x == y)
+    texts = [random.choice([b"aa", b"bb", b"cc"], int(n)).tolist() for n in random.integers(5, 40, 30)]
+    tree = substring_dedup.suffix_tree(texts, 6)
+    suffixes = [tuple(texts[a][b:]) for a, b in zip(tree.leaf.tolist(), tree.place.tolist())]
+    assert len(suffixes) == sum(max(0, len(t) - 5) for t in texts)
+    common = lambda x, y: next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+    assert tree.shared.tolist() == [0, *(common(x, y) for x, y in zip(suffixes, suffixes[1:]))]
+    seen = Counter(s[:6] for s in suffixes)
+    assert tree.deep(6).tolist() == [seen[s[:6]] > 1 for s in suffixes] and [s[:6] for s in suffixes] == sorted(s[:6] for s in suffixes)
+    nodes = set(tree.nodes(7))
+    for depth, begin, end in nodes:
+        below = {s[:depth] for s in suffixes[begin:end]}
+        assert len(below) == 1 and end - begin > 1 and len({s[: depth + 1] for s in suffixes[begin:end]}) > 1
+        assert all(common(suffixes[i], suffixes[begin]) < depth for i in (begin - 1, end) if 0 <= i < len(suffixes))
+    want = {s[:d] for s in suffixes for d in range(7, len(s) + 1) if len({t[: d + 1] for t in suffixes if t[:d] == s[:d]}) > 1}
+    assert {suffixes[b][:d] for d, b, _ in nodes} == want
+
+
+def plain_maximal(texts, least):
+    """Runs of words with several places that no place can be lengthened by a common word, by looking at every run."""
+    places = {}
+    for t in texts:
+        for i in range(len(t)):
+            for j in range(i + least, len(t) + 1):
+                places.setdefault(tuple(t[i:j]), []).append((t[i - 1] if i else None, t[j] if j < len(t) else None))
+    maximal = lambda marks: None in marks or len(marks) > 1
+    return {x: len(p) for x, p in places.items() if len(p) > 1 and maximal({a for a, _ in p}) and maximal({b for _, b in p})}
+
+
+def test_nodes_and_repeats_of_a_small_text():
+    texts = ["a b c d e a b c d f a b c".split(), "x b c d e".split(), "x b c d e".split()]
+    leaves = {}
+    for t in texts:
+        own = leaves.setdefault(tuple(w.encode() for w in t), {})
+        own[None] = own.get(None, 0) + 1
+    got = {" ".join(w.decode() for w in x): n for x, n in substring_dedup.repeat_nodes(leaves, 3).items()}
+    assert got == {"a b c": 3, "a b c d": 2, "b c d": 4, "b c d e": 3, "x b c d e": 2}
+    assert got == {" ".join(x): n for x, n in plain_maximal(texts, 3).items()}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=12), max_size=5))
+def test_repeats_of_any_texts(texts):
+    leaves = {}
+    for t in texts:
+        own = leaves.setdefault(tuple(w.encode() for w in t), {})
+        own[None] = own.get(None, 0) + 1
+    got = {tuple(w.decode() for w in x): n for x, n in substring_dedup.repeat_nodes(leaves, 2).items()}
+    assert got == plain_maximal(texts, 2)
+
+
+def test_maximal_repeats_of_documents(spark):
+    """Repeats no longer than what one anchor's windows cover are found as they are."""
+    random = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(4000)]
+    shared = [random.choice(words, n).tolist() for n in (8, 9, 8, 10)]
+    texts = [" ".join(w for k in random.permutation(4)[:3] for w in [*random.choice(words, 5), *shared[k]]) for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(90, None), (91, "")]
+    found = {(r.words, r.places) for r in substring_dedup.maximal_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=8, anchor=3).collect()}
+    want = {(" ".join(x), n) for x, n in plain_maximal([t.split() for t in texts], 8).items()}
+    assert {w for w in want if len(w[0].split()) == 8} <= found and all(sum(x[0] in " " + t + " " for t in texts) for x in found)
+    assert substring_dedup.maximal_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 def test_odd_documents_lose_repeats(odd_docs, no_docs):
