@@ -103,3 +103,31 @@ def count_audit(objects: DataFrame, image: str, most: int) -> DataFrame:
 
 #: Task manifest: an object with ``tasks``, or a bare list of tasks.
 TASK = T.StructType([T.StructField("identifier", T.StringType()), T.StructField("files", T.ArrayType(T.StringType())), T.StructField("info", T.MapType(T.StringType(), T.StringType()))])
+
+
+#: States of a campaign's task and the steps between them; a task may fail from any of the others and start again (fixed values).
+STEPS = ("pending>running", "running>ready", "ready>active", "active>done", "running>failed", "ready>failed", "active>failed", "failed>pending")
+
+
+def task_states(events: DataFrame, task: str, order: str, state: str, steps: tuple[str, ...] = STEPS) -> DataFrame:
+    """``(task, state, n_events, n_rejected)``: where each task stands after its events, which count in order if they are a
+    step from where it stood (it begins as ``pending``); others are rejected. Events without a task, an order or a state are
+    left out; of equal orders the first by state counts first. A task's events are one row."""
+    known = events.where(F.col(task).isNotNull() & F.col(order).isNotNull() & F.col(state).isNotNull())
+    listed = known.groupBy(F.col(task).alias("task")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(state).alias("to")))).alias("events"))
+    allowed = F.array(*map(F.lit, steps))
+    start = F.struct(F.lit("pending").alias("state"), F.lit(0).alias("bad"))
+
+    def step(now: Column, event: Column) -> Column:
+        good = F.array_contains(allowed, F.concat(now["state"], F.lit(">"), event["to"]))
+        return F.struct(F.when(good, event["to"]).otherwise(now["state"]).alias("state"), (now["bad"] + F.when(good, 0).otherwise(1)).alias("bad"))
+
+    end = F.aggregate("events", start, step)
+    return listed.withColumn("end", end).select("task", F.col("end.state").alias("state"), F.size("events").alias("n_events"), F.col("end.bad").alias("n_rejected"))
+
+
+def startable(states: DataFrame, ahead: int) -> DataFrame:
+    """The pending tasks that may start, first ones first, so that no more than ``ahead`` are running or ready at a time."""
+    busy = states.agg(F.count_if(F.col("state").isin("running", "ready")).alias("busy"))
+    first = states.where("state = 'pending'").orderBy("task").limit(ahead).withColumn("place", F.row_number().over(Window.orderBy("task")))  # ``ahead`` rows
+    return first.crossJoin(F.broadcast(busy)).where(F.col("place") <= ahead - F.col("busy")).select("task")

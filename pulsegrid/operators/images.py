@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,21 +13,54 @@ def order_index(n: Column, share: float) -> Column:
     return F.greatest(F.lit(1), F.bround(n * share).cast("int"))
 
 
+def by_rows(images: DataFrame, scaled: Column) -> DataFrame:
+    """Long pixels ``(image, py, px, v)`` as one row an image, and back with ``scaled``, an expression over their values ``pixels``:
+    ``(image, py, px, scaled)``. An image is a row of its pixels (a detector's has 512 x 512)."""
+    cells = images.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("py", "px", "v"))).alias("cells")).withColumn("pixels", F.transform("cells", lambda c: c["v"]))
+    out = cells.select("image", F.inline(F.arrays_zip(F.transform("cells", lambda c: c["py"]).alias("py"), F.transform("cells", lambda c: c["px"]).alias("px"), scaled.alias("scaled"))))
+    return out.toDF("image", "py", "px", "scaled")
+
+
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, also where ``use`` takes it for every element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _clipped(pixels: Column, bounds: Callable[[Column], tuple[Column, Column]]) -> Column:
+    """Pixels cut at two values that ``bounds`` takes from them in order, which lie among or between them and so are the least
+    and the largest then, scaled to 0..1."""
+
+    def cut(pixels: Column) -> Column:
+        pair = named(F.array_sort(pixels), lambda ordered: F.struct(*(x.alias(n) for x, n in zip(bounds(ordered), ("lo", "hi")))))
+        return named(pair, lambda b: F.transform(pixels, lambda v: (F.least(F.greatest(v, b["lo"]), b["hi"]) - b["lo"]) / (b["hi"] - b["lo"] + 1e-8)))
+
+    return named(pixels, cut)
+
+
+def kth_clipped(pixels: Column, low: float = 0.010, high: float = 0.995) -> Column:
+    """An array of pixels clipped at its k-th smallest values, then scaled to 0..1 with 1e-8 added to the range."""
+    return _clipped(pixels, lambda ordered: tuple(F.get(ordered, order_index(F.size(ordered), share) - 1) for share in (low, high)))
+
+
+def percentile_clipped(pixels: Column, low: float = 0.05, high: float = 0.95) -> Column:
+    """As ``kth_clipped`` with linearly interpolated percentiles."""
+
+    def at(ordered: Column, share: float) -> Column:
+        place = (F.size(ordered) - 1) * F.lit(share)
+        a, b = F.get(ordered, F.floor(place).cast("int")), F.get(ordered, F.ceil(place).cast("int"))
+        return a + (b - a) * (place - F.floor(place))
+
+    return _clipped(F.transform(pixels, lambda v: v.cast("double")), lambda ordered: (at(ordered, low), at(ordered, high)))
+
+
 def kth_clip_minmax(images: DataFrame, low: float = 0.010, high: float = 0.995) -> DataFrame:
-    """Clip each image at its k-th smallest values, then scale to 0..1 with 1e-8 added to the range: ``(image, py, px, scaled)``."""
-    by = Window.partitionBy("image")
-    ranked = images.withColumn("rank", F.row_number().over(by.orderBy("v"))).withColumn("n", F.count("*").over(by))
-    bound = lambda share: F.max(F.when(F.col("rank") == order_index(F.col("n"), share), F.col("v"))).over(by)
-    clipped = ranked.withColumn("lo", bound(low)).withColumn("hi", bound(high)).withColumn("c", F.least(F.greatest("v", "lo"), "hi"))
-    return clipped.select("image", "py", "px", ((F.col("c") - F.min("c").over(by)) / (F.max("c").over(by) - F.min("c").over(by) + 1e-8)).alias("scaled"))
+    """``kth_clipped`` of long pixels: ``(image, py, px, scaled)``."""
+    return by_rows(images, kth_clipped(F.col("pixels"), low, high))
 
 
 def percentile_clip_minmax(images: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """As ``kth_clip_minmax`` with linearly interpolated percentiles."""
-    bounds = images.groupBy("image").agg(F.expr(f"percentile(v, array({low}D, {high}D))").alias("b"))
-    by = Window.partitionBy("image")
-    c = images.join(bounds, "image").withColumn("c", F.least(F.greatest(F.col("v").cast("double"), F.col("b")[0]), F.col("b")[1]))
-    return c.select("image", "py", "px", ((F.col("c") - F.min("c").over(by)) / (F.max("c").over(by) - F.min("c").over(by) + 1e-8)).alias("scaled"))
+    """``percentile_clipped`` of long pixels: ``(image, py, px, scaled)``."""
+    return by_rows(images, percentile_clipped(F.col("pixels"), low, high))
 
 
 def peaks(images: DataFrame, least: int) -> DataFrame:

@@ -83,13 +83,24 @@ def inject(base: DataFrame, truths: DataFrame, channels: DataFrame, last_inv2: f
     return base.join(added, ["t", "chan"], "left").select("t", "chan", F.least(F.greatest(out, F.lit(0.0)), F.lit(255.0)).cast("int").alias("v"))
 
 
-def merge_intervals(rows: DataFrame, keys: list[str], slack: float = 0) -> DataFrame:
-    """Union of the intervals ``(lo, hi)`` of each key; intervals that touch or are ``slack`` apart merge: ``(keys, lo, hi, n)``."""
-    order = Window.partitionBy(*keys).orderBy("lo", "hi")
-    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opened = rows.withColumn("opens", F.coalesce((F.col("lo") > reach + slack).cast("int"), F.lit(1)))
-    numbered = opened.withColumn("part", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n")).drop("part")
+def merge_intervals(rows: DataFrame, keys: list[str], slack: float = 0, block: float = 4096) -> DataFrame:
+    """Union of the intervals ``(lo, hi)`` of each key; intervals that touch or are ``slack`` apart merge: ``(keys, lo, hi, n)``.
+
+    Runs are found within blocks of ``block`` units of ``lo``; what reaches over from earlier blocks, and how many runs these
+    opened, comes from sums of a row for each block, so no key is sorted whole. Null keys are keys; intervals with a null end
+    are left out."""
+    placed = rows.where("lo is not null and hi is not null").withColumn("_block", F.floor(F.col("lo") / block))
+    order = Window.partitionBy(*keys, "_block").orderBy("lo", "hi")
+    at = F.struct(*keys, "_block").alias("_at")  # equal structs may hold nulls
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    reach = placed.groupBy(*keys, "_block").agg(F.max("hi").alias("_hi")).select(at, F.max("_hi").over(earlier).alias("_over"))
+    inner = placed.withColumn("_at", at).join(reach, "_at").withColumn("_before", F.greatest("_over", F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))))
+    opened = inner.withColumn("_opens", F.when(F.col("_before").isNull() | (F.col("lo") > F.col("_before") + slack), 1).otherwise(0))
+    numbered = opened.withColumn("_run", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = numbered.groupBy(*keys, "_block", "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n"))
+    runs = parts.groupBy(*keys, "_block").agg(F.max("_run").alias("_runs")).select(at, F.coalesce(F.sum("_runs").over(earlier), F.lit(0)).alias("_first"))
+    whole = parts.withColumn("_at", at).join(runs, "_at").groupBy(*keys, (F.col("_first") + F.col("_run")).alias("_part"))
+    return whole.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).drop("_part")
 
 
 def erfcx(x: np.ndarray) -> np.ndarray:

@@ -7,9 +7,12 @@ from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .images import kth_clipped, named
+
 
 @dataclass(frozen=True)
 class SearchConfig:
@@ -114,15 +117,18 @@ def ragged_pool(series: DataFrame, rate: int, keys: list[str]) -> DataFrame:
     return filled.groupBy(*keys, F.expr(f"t div {rate}").alias("y")).agg(F.avg("v").alias("v"))
 
 
-def column_normalise(images: DataFrame) -> DataFrame:
-    """Classifier normalisation: add 1, divide by each column's mean, clip at the 5 % and 95 % order statistics, scale to 0..1."""
-    by = Window.partitionBy("image")
-    lifted = images.withColumn("a", F.col("v") + 1)
-    scaled = lifted.withColumn("b", F.col("a") / F.avg("a").over(Window.partitionBy("image", "px")))
-    ranked = scaled.withColumn("k", F.row_number().over(by.orderBy("b"))).withColumn("n", F.count("*").over(by))
-    bound = lambda share: F.max(F.when(F.col("k") == F.greatest(F.lit(1), F.bround(F.col("n") * share).cast("int")), F.col("b"))).over(by)
-    cut = ranked.withColumn("lo", bound(0.05)).withColumn("hi", bound(0.95)).withColumn("c", F.least(F.greatest("b", "lo"), "hi"))
-    return cut.select("image", "py", "px", ((F.col("c") - F.min("c").over(by)) / (F.max("c").over(by) - F.min("c").over(by) + 1e-8)).alias("scaled"))
+def column_normalised(pixels: Column, width: int) -> Column:
+    """Classifier normalisation of an array of pixels, row by row: add 1, divide by each column's mean, clip at the 5 % and 95 % order
+    statistics, scale to 0..1."""
+
+    def lifted(pixels: Column) -> Column:
+        """Each pixel and 1, over the mean of these in its column."""
+        rows = F.call_function("div", F.size(pixels), F.lit(width)).cast("int")
+        total = lambda j: F.aggregate(F.sequence(F.lit(0), rows - 1), F.lit(0.0), lambda a, i: a + F.get(pixels, i * width + j) + 1)
+        means = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: total(j) / rows)
+        return named(means, lambda m: F.transform(pixels, lambda v, i: (v + 1) / F.get(m, i % width)))
+
+    return kth_clipped(named(pixels, lifted), 0.05, 0.95)
 
 
 def affine_boxes(boxes: DataFrame, matrix: tuple[float, float, float, float], shift: tuple[float, float], size: int) -> DataFrame:
@@ -212,3 +218,19 @@ def gather_images(pixels: DataFrame, size: int) -> DataFrame:
     """Long pixels to one row per image with its values in row order."""
     cells = F.array_sort(F.collect_list(F.struct((F.col("py") * size + F.col("px")).alias("i"), F.col("v").cast("double").alias("v"))))
     return pixels.groupBy("image").agg(F.transform(cells, lambda c: c["v"]).alias("img"))
+
+
+def config_violations(settings: DataFrame) -> DataFrame:
+    """``settings`` with ``violations array<string>``: all that is wrong with each row's search settings. Columns that are fields
+    of ``SearchConfig`` set them; others, and nulls, leave the default."""
+    kinds = {f.name: type(f.default) for f in fields(SearchConfig)}
+    names = [c for c in settings.columns if c in kinds]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in names)) if names else [()] * batch.num_rows
+            found = [SearchConfig(**{n: kinds[n](v) for n, v in zip(names, row) if v is not None}).violations() for row in rows]
+            yield pa.record_batch([*batch.columns, pa.array(found, pa.list_(pa.string()))], names=[*batch.schema.names, "violations"])
+
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in settings.schema)
+    return settings.mapInArrow(run, f"{columns}, violations array<string>")

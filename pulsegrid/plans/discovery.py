@@ -147,3 +147,17 @@ def stream_bounded_events(spark, sf_dir):
     build = lambda pdf: matching.events_of(pdf, 600, 60.0)
     closed, left, _ = sessions.stream_islands(spark, _in_order(spark, sf_dir), lambda frame: as_candidates(detections(frame)), "ts", ["quant", "stem"], "601 seconds", "1 second", build, "cand_id long, event long, event_size long", 1)
     return closed.unionByName(left)
+
+
+_STATE = "['running', 'ready', 'active', 'done', 'failed', 'pending'][CAST(json_extract_string(props, '$.k') AS BIGINT) % 6 + 1]"
+_ALLOWED = ", ".join(f"'{s}'" for s in C.STEPS)
+
+
+@query("task_states", f"""WITH RECURSIVE e AS (SELECT user_id AS task, {_STATE} AS state, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), s AS (SELECT DISTINCT task, 0::BIGINT AS i, 'pending' AS state, 0 AS bad FROM e
+UNION ALL SELECT s.task, e.i, CASE WHEN s.state || '>' || e.state IN ({_ALLOWED}) THEN e.state ELSE s.state END, s.bad + CASE WHEN s.state || '>' || e.state IN ({_ALLOWED}) THEN 0 ELSE 1 END FROM s JOIN e ON e.task = s.task AND e.i = s.i + 1)
+SELECT task, arg_max(state, i) AS state, CAST(max(i) AS INT) AS n_events, CAST(max(bad) AS INT) AS n_rejected FROM s GROUP BY task""")
+def task_states(spark, sf_dir):
+    """Where the tasks of a campaign stand after their status events."""
+    k = F.get_json_object("props", "$.k").cast("int") % 6
+    state = F.element_at(F.array(*map(F.lit, ("running", "ready", "active", "done", "failed", "pending"))), k + 1)
+    return C.task_states(table(spark, sf_dir, "events").select("user_id", "event_id", state.alias("state")), "user_id", "event_id", "state")

@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as X
+from ..operators import images as I
 from ..operators import metrics as A
 from ..operators import training as R
 from ..sources import logs, psrfits, tables
 from ..streaming.streams import shared_folder
 from .discovery import _FILES, _files, _tasks
-from .proxies import CANDIDATES, FALSE_POSITIVES, IMAGES, MATCHES, SPEC, TRUTH, candidates, false_positives, images, matches, spec, table, truth
+from .proxies import CANDIDATES, FALSE_POSITIVES, IMAGES, MATCHES, SPEC, TRUTH, candidates, false_positives, images, matches, pixel_rows, spec, table, truth
 from .registry import query
+from .spectra import _TOP
 
 _CANDIDATE = "cand_id long, quant string, stem string, sample long, dm double, sigma double, cls double, det double, candidate_index int"
 
@@ -210,8 +212,8 @@ def decoded_names(spark, sf_dir):
 def sample_fetch(spark, sf_dir):
     """Images of the catalogue's rows."""
     catalogue = table(spark, sf_dir, "embeddings").where("label % 2 = 0").select(F.col("vec_id").alias("image"), "label")
-    found = R.gather_images(images(spark, sf_dir), 8).join(catalogue, "image")
-    return found.select("image", "label", F.size("img").cast("long").alias("n"), F.col("img")[0].alias("first"), F.aggregate("img", F.lit(0.0), lambda a, x: a + x).alias("total"))
+    found = pixel_rows(spark, sf_dir).join(catalogue, "image")
+    return found.select("image", "label", F.size("pixels").cast("long").alias("n"), F.col("pixels")[0].cast("double").alias("first"), F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
 #: A log for each of three sections, two backends and the kinds of events, with a record of several lines for each event.
@@ -301,3 +303,25 @@ def frame_catalogue(spark, sf_dir):
         frames.where(F.col("frame") % 3 == of).write.parquet(f"{root}/frames_{of}.parquet")
     found = tables.read_frame_sets(spark, root, [f"frames_{of}" for of in range(4)])
     return found.withColumn("min_box_size", F.round(F.least("min_box_size", F.lit(1e6)), 6))
+
+
+@query("run_manifests", f"SELECT q AS quantization, CASE WHEN q = 'packed2' THEN 'raw8' END AS derived_from, 7 AS seed, count(*) AS n_truth FROM {TRUTH}, (VALUES ('raw8'), ('packed2')) x(q) GROUP BY q")
+def run_manifests(spark, sf_dir):
+    """Truth and configuration of a run, written for both quantizations and read back."""
+    root = shared_folder(spark, "run")
+    tables.write_run(truth(spark, sf_dir).drop("quant"), {"seed": 7, "source": "X"}, root, ["raw8", "packed2"], "raw8")
+    found, config = tables.read_run(spark, root, "seed int, source string")
+    return config.join(found.groupBy("quantization").agg(F.count("*").alias("n_truth")), "quantization").select("quantization", "derived_from", "seed", "n_truth")
+
+
+@query("frame_set_round_trip", f"""WITH b AS (SELECT image, count(*) AS n, round(sum("rank" * 10 + px), 3)::DOUBLE AS total FROM {_TOP} GROUP BY image) SELECT vec_id AS frame, 64 AS n_pixels, CAST(coalesce(n, 0) AS INT) AS n_boxes, coalesce(total, -1.0::DOUBLE) AS total FROM embeddings LEFT JOIN b ON image = vec_id""")
+def frame_set_round_trip(spark, sf_dir):
+    """A training set with its side-car of annotations, written and read back; frames without a box have a placeholder."""
+    root = shared_folder(spark, "frames")
+    tops = I.top_pixels(I.peaks(images(spark, sf_dir), 100000), 4)
+    boxes = tops.select(F.col("image").alias("frame"), F.col("rank").alias("box"), (F.col("rank") * 10 + F.col("px")).alias("left"), F.col("py").alias("top"), F.lit(1).alias("width"), F.lit(1).alias("height"))
+    tables.write_frame_set(pixel_rows(spark, sf_dir).withColumnRenamed("image", "frame"), boxes, f"{root}/set.parquet")
+    side = tables.read_jsonl(spark, f"{root}/set.parquet.json", "frame long, annotations array<array<double>>", strict=True)
+    totals = side.select("frame", F.aggregate("annotations", F.lit(0.0), lambda a, x: a + x[0]).alias("total"))
+    frames = spark.read.parquet(f"{root}/set.parquet").select("frame", F.size("pixels").alias("n_pixels"), F.greatest(F.size("boxes"), F.lit(0)).alias("n_boxes"))
+    return frames.join(totals, "frame").select("frame", "n_pixels", "n_boxes", "total")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,6 +23,17 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spec(spark, sf_dir).select(F.col("t").alias("image"), F.expr("chan div 8").cast("int").alias("py"), F.expr("chan % 8").cast("int").alias("px"), "v")
 
 
+def pixel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same images as rows of arrays ``(image, pixels)``."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), F.transform("embedding", lambda x: F.round(x.cast("double") * 1000000).cast("long")).alias("pixels"))
+
+
+def unrolled(rows: DataFrame, scaled: Column) -> DataFrame:
+    """``(image, py, px, scaled)`` of an expression over the ``pixels`` of rows of 8 x 8."""
+    cells = rows.select("image", F.posexplode(scaled).alias("i", "scaled"))
+    return cells.select("image", F.expr("i div 8").cast("int").alias("py"), (F.col("i") % 8).alias("px"), "scaled")
+
+
 IMAGES = f"(SELECT t AS image, CAST(chan // 8 AS INT) AS py, CAST(chan % 8 AS INT) AS px, v FROM {SPEC})"
 
 

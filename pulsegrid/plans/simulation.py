@@ -104,6 +104,14 @@ def oversample(spark, sf_dir):
     return P.oversample(table(spark, sf_dir, "labels"), repeats).select("doc_id", "toxic", "copy")
 
 
+@query("oversample_shuffled", "SELECT doc_id, CAST(k AS INT) AS \"copy\", row_number() OVER (ORDER BY md5(doc_id || ':' || k)) AS position FROM labels JOIN range(1, 7) r(k) ON k <= CASE WHEN toxic = 1 THEN 6 WHEN quality = 0 THEN 2 ELSE 1 END")
+def oversample_shuffled(spark, sf_dir):
+    """Repeated rows in an order of their own."""
+    repeats = F.when(F.col("toxic") == 1, 6).when(F.col("quality") == 0, 2).otherwise(1)
+    rows = P.oversample(table(spark, sf_dir, "labels"), repeats).withColumn("all", F.lit(0))
+    return P.ranked_by_hash(rows, ["all"], F.concat_ws(":", "doc_id", "copy")).select("doc_id", "copy", F.col("rank").cast("long").alias("position"))
+
+
 @query("lhs_sample")
 def lhs_sample(spark, sf_dir):
     units = P.latin_hypercube(truth(spark, sf_dir).select("injection_id"), "injection_id", 4)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dedisperse as D
 from ..operators import images as I
-from .proxies import IMAGES, SPEC, images, spec
+from .proxies import IMAGES, SPEC, images, pixel_rows, spec, unrolled
 from .registry import query
 
 OBS = D.Observation()
@@ -112,14 +112,14 @@ b AS (SELECT image, max(v) FILTER (k = greatest(1, CAST(round_even(n * 0.010, 0)
 c AS (SELECT image, py, px, least(greatest(v, lo), hi) AS c FROM r JOIN b USING (image))
 SELECT image, py, px, round((c - min(c) OVER w) / (max(c) OVER w - min(c) OVER w + 1e-8::DOUBLE), 6) AS scaled FROM c WINDOW w AS (PARTITION BY image)""")
 def kth_clip_minmax(spark, sf_dir):
-    return I.kth_clip_minmax(images(spark, sf_dir)).withColumn("scaled", F.round("scaled", 6))
+    return unrolled(pixel_rows(spark, sf_dir), I.kth_clipped(F.col("pixels"))).withColumn("scaled", F.round("scaled", 6))
 
 
 @query("percentile_clip_minmax", f"""WITH b AS (SELECT image, quantile_cont(v::DOUBLE, 0.05) AS lo, quantile_cont(v::DOUBLE, 0.95) AS hi FROM {IMAGES} GROUP BY image),
 c AS (SELECT image, py, px, least(greatest(v::DOUBLE, lo), hi) AS c FROM {IMAGES} JOIN b USING (image))
 SELECT image, py, px, round((c - min(c) OVER w) / (max(c) OVER w - min(c) OVER w + 1e-8::DOUBLE), 6) AS scaled FROM c WINDOW w AS (PARTITION BY image)""")
 def percentile_clip_minmax(spark, sf_dir):
-    return I.percentile_clip_minmax(images(spark, sf_dir)).withColumn("scaled", F.round("scaled", 6))
+    return unrolled(pixel_rows(spark, sf_dir), I.percentile_clipped(F.col("pixels"))).withColumn("scaled", F.round("scaled", 6))
 
 
 _PEAKS = f"(SELECT a.image, a.py, a.px, a.v FROM {IMAGES} a JOIN {IMAGES} b ON a.image = b.image AND abs(a.py - b.py) <= 1 AND abs(a.px - b.px) <= 1 GROUP BY ALL HAVING a.v = max(b.v) AND a.v > 100000)"

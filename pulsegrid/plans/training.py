@@ -10,7 +10,7 @@ from ..operators import matching as M
 from ..operators import metrics as A
 from ..operators import training as R
 from ..operators.sampling import ranked_by_hash
-from .proxies import CANDIDATES, FALSE_POSITIVES, IMAGES, MATCHES, SPEC, TRUTH, candidates, false_positives, images, matches, spec, table, truth
+from .proxies import CANDIDATES, FALSE_POSITIVES, IMAGES, MATCHES, SPEC, TRUTH, candidates, false_positives, images, matches, pixel_rows, spec, table, truth, unrolled
 from . import sequential as Q
 from .registry import query
 from .spectra import OBS
@@ -90,7 +90,8 @@ def fold_clipped(spark, sf_dir):
 q AS (SELECT image, max(b) FILTER (k = greatest(1, CAST(round_even(n * 0.05, 0) AS INT))) AS lo, max(b) FILTER (k = greatest(1, CAST(round_even(n * 0.95, 0) AS INT))) AS hi FROM r GROUP BY image), c AS (SELECT image, py, px, least(greatest(b, lo), hi) AS c FROM r JOIN q USING (image))
 SELECT image, py, px, round((c - min(c) OVER w) / (max(c) OVER w - min(c) OVER w + 1e-8::DOUBLE), 6) + 0.0 AS scaled FROM c WINDOW w AS (PARTITION BY image)""")
 def classifier_normalise(spark, sf_dir):
-    return R.column_normalise(images(spark, sf_dir).withColumn("v", F.abs("v") % 1000)).withColumn("scaled", F.round("scaled", 6) + 0.0)
+    rows = pixel_rows(spark, sf_dir).withColumn("pixels", F.transform("pixels", lambda v: F.abs(v) % 1000))
+    return unrolled(rows, R.column_normalised(F.col("pixels"), 8)).withColumn("scaled", F.round("scaled", 6) + 0.0)
 
 
 @query("proposal_flags", f"""{Q.greedy_kept(f"(SELECT * FROM {CANDIDATES} WHERE cls > 0.5)", 600, 60.0)} SELECT c.*, cls > 0.5 AS passed_classifier_threshold, kept.cand_id IS NOT NULL AS kept_after_dedup,
@@ -128,8 +129,7 @@ def strided_samples(spark, sf_dir):
 
 @query("hash_sample", "SELECT o_orderkey, o_custkey FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR)) LIMIT 200")
 def hash_sample(spark, sf_dir):
-    ranked = ranked_by_hash(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.lit(0).alias("whole")), ["whole"], F.col("o_orderkey"))
-    return ranked.where("rank <= 200").select("o_orderkey", "o_custkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").orderBy(F.md5(F.col("o_orderkey").cast("string").cast("binary"))).limit(200)
 
 
 @query("key_set_operations", "SELECT 'both' AS part, * FROM (SELECT l_suppkey AS file, l_orderkey // 64 AS block FROM lineitem WHERE l_linestatus = 'F' INTERSECT SELECT l_suppkey, l_orderkey // 64 FROM lineitem WHERE l_linestatus = 'O') UNION ALL SELECT 'left', * FROM (SELECT l_suppkey AS file, l_orderkey // 64 AS block FROM lineitem WHERE l_linestatus = 'F' EXCEPT SELECT l_suppkey, l_orderkey // 64 FROM lineitem WHERE l_linestatus = 'O')")
@@ -146,8 +146,9 @@ def rate_counts(spark, sf_dir):
 
 @query("window_read", f"SELECT t // 128 AS file_idx, t % 128 AS sample, chan, v FROM {SPEC} WHERE t >= 100 AND t < 300")
 def window_read(spark, sf_dir):
-    stored = spec(spark, sf_dir).select(F.expr("t div 128").alias("file_idx"), (F.col("t") % 128).alias("sample"), "chan", "v")
-    return stored.where((F.col("file_idx").between(100 // 128, 299 // 128)) & (F.col("file_idx") * 128 + F.col("sample")).between(100, 299))
+    """A window over two files; the bounds reach the scan."""
+    inside = spec(spark, sf_dir).where(F.col("t").between(100, 299))
+    return inside.select(F.expr("t div 128").alias("file_idx"), (F.col("t") % 128).alias("sample"), "chan", "v")
 
 
 @query("scene_plan")
@@ -179,3 +180,16 @@ def union_roots(spark, sf_dir):
     a = table(spark, sf_dir, "orders").select(F.concat_ws("_", F.lit("a"), "o_orderstatus").alias("root"))
     b = table(spark, sf_dir, "lineitem").select(F.concat_ws("_", F.lit("b"), "l_linestatus").alias("root"))
     return C.union_all_columns(a, b).groupBy("root").agg(F.count("*").alias("n"))
+
+
+_SETTING = {"dm_span": "p_size * 256", "block_size": "p_partkey % 5 * 512", "det_prob": "p_retailprice / 1500", "class_block_size": "1000 + p_partkey % 3 * 8", "class_time_downsample": "p_partkey % 7"}
+
+
+@query("config_violations", f"""WITH c AS (SELECT p_partkey, {', '.join(f'{e} AS {n}' for n, e in _SETTING.items())} FROM part)
+SELECT p_partkey, concat_ws('; ', CASE WHEN dm_span <= 0 THEN 'dm_span must be positive' END, CASE WHEN block_size <= 0 THEN 'block_size must be positive' END, CASE WHEN class_time_downsample <= 0 THEN 'class_time_downsample must be positive' END, CASE WHEN det_prob <= 0 THEN 'det_prob must be positive' END,
+CASE WHEN dm_span > 0 AND dm_span % 512 <> 0 THEN 'dm_span must be a multiple of 512' END, CASE WHEN dm_span > 4096 THEN 'dm_span must not exceed dm_range' END, CASE WHEN 1024 > dm_span THEN 'dm_stride must not exceed dm_span' END, CASE WHEN block_size % 512 <> 0 THEN 'block_size must be a multiple of 512' END,
+CASE WHEN class_time_downsample > 0 AND class_block_size % class_time_downsample <> 0 THEN 'class_time_downsample must divide class_block_size' END, CASE WHEN det_prob >= 1 THEN 'det_prob must be below 1' END) AS violations FROM c""")
+def config_violations(spark, sf_dir):
+    """All that is wrong with the settings of a table of searches."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", *(F.expr(e).alias(n) for n, e in _SETTING.items()))
+    return R.config_violations(rows).select("p_partkey", F.array_join("violations", "; ").alias("violations"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -190,3 +191,32 @@ def write_for_quantizations(truth: DataFrame, path: str, quantizations: list[str
 def merge_feeds(*feeds: DataFrame) -> DataFrame:
     """Union of feeds with different columns."""
     return union_all_columns(*feeds)
+
+
+def write_run(truth: DataFrame, settings: Mapping[str, object], path: str, quantizations: Sequence[str], derived: str | None = None) -> None:
+    """A run's manifests for each quantization: its truth, and a document ``run_config`` of the settings that also names the
+    quantization and, for the others, the one its data are ``derived`` from."""
+    write_for_quantizations(truth, f"{path}/truth", list(quantizations), mode="errorifexists")
+    documents = [(json.dumps(dict(settings) | {"quantization": q} | ({"derived_from": derived} if derived not in (None, q) else {}), sort_keys=True),) for q in quantizations]
+    publish(truth.sparkSession.createDataFrame(documents, "value string").coalesce(1), f"{path}/config", "run_config", ".json")
+
+
+def read_run(spark: SparkSession, path: str, settings: str) -> tuple[DataFrame, DataFrame]:
+    """(truth, run configurations) as ``write_run`` left them; ``settings`` is the schema of the settings."""
+    config = read_jsonl(spark, f"{path}/config/run_config-*.json", f"{settings}, quantization string, derived_from string", strict=True)
+    return spark.read.parquet(f"{path}/truth"), config
+
+
+def write_frame_set(images: DataFrame, boxes: DataFrame, path: str) -> None:
+    """A training set ``<path>`` of ``frame``, ``pixels`` and ``boxes``, and beside it ``<path>.json``, the boxes of each frame as a
+    document (``[[-1, -1, -1, -1]]`` where there is none).
+
+    ``images(frame, pixels)`` and ``boxes(frame, box, left, top, width, height)``; boxes in order of ``box``. Pixels are not
+    shuffled with the boxes if these are small: Spark decides by their size."""
+    cells = ("left", "top", "width", "height")
+    listed = boxes.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("box", *(F.col(c).cast("double").alias(c) for c in cells)))).alias("b"))
+    listed = listed.select("frame", F.transform("b", lambda b: F.struct(*(b[c].alias(c) for c in cells))).alias("boxes"))
+    images.join(listed, "frame", "left").write.mode("errorifexists").parquet(path)
+    held = images.select("frame").join(listed, "frame", "left")
+    numbers = F.coalesce(F.transform("boxes", lambda b: F.array(*(b[c] for c in cells))), F.array(F.array(*[F.lit(-1.0)] * 4)))
+    held.select(F.to_json(F.struct("frame", numbers.alias("annotations"))).alias("value")).write.mode("errorifexists").text(f"{path}.json")

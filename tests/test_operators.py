@@ -10,6 +10,7 @@ from pulsegrid.operators import images as I
 from pulsegrid.operators import metrics as A
 from pulsegrid.operators import sampling as P
 from pulsegrid.operators import signals as S
+from pulsegrid.operators import training as T
 
 
 @pytest.fixture
@@ -149,3 +150,60 @@ def test_short_blocks_are_filled_up(spark):
     rows = D.pad_blocks(D.halo_blocks(spec, 4, 2), 6, 2).collect()
     assert {(r.block_id, r.offset, r.chan) for r in rows} == {(b, o, c) for b in range(2) for o in range(6) for c in range(2)} and len(rows) == 24
     assert {(r.block_id, r.offset) for r in rows if r.padded} == {(1, o) for o in (3, 4, 5)} and all(5 <= r.v <= 10 for r in rows if r.padded)
+
+
+def test_pixel_arrays_are_scaled_like_sorted_ones(spark):
+    rnd = np.random.default_rng(7)
+    images = [rnd.integers(0, 1000, n).tolist() for n in (1, 2, 16, 400)] + [[5] * 16, [], None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(images)], "i int, pixels array<long>")
+    rows = {r.i: r for r in df.select("i", I.kth_clipped(F.col("pixels"), 0.1, 0.9).alias("k"), I.percentile_clipped(F.col("pixels"), 0.1, 0.9).alias("p"), T.column_normalised(F.col("pixels"), 4).alias("c")).collect()}
+    for i, x in enumerate(images):
+        if not x:
+            assert not rows[i].k and not rows[i].p
+            continue
+        v = np.array(x, float)
+
+        def scaled(v, lo, hi):
+            c = np.clip(v, lo, hi)
+            return (c - c.min()) / (c.max() - c.min() + 1e-8)
+
+        at = lambda v, s: np.sort(v)[max(1, int(np.round(len(v) * s))) - 1]
+        assert rows[i].k == pytest.approx(scaled(v, at(v, 0.1), at(v, 0.9)).tolist())
+        assert rows[i].p == pytest.approx(scaled(v, *np.percentile(v, (10, 90))).tolist())
+        if len(v) % 4 == 0:
+            b = (v + 1).reshape(-1, 4)
+            b = (b / b.mean(0)).ravel()
+            assert rows[i].c == pytest.approx(scaled(b, at(b, 0.05), at(b, 0.95)).tolist())
+
+
+def test_intervals_merge_over_blocks(spark):
+    rnd = np.random.default_rng(3)
+    rows = [(k, int(a), int(a + rnd.choice([0, 3, 40, 900]))) for k in ("a", None) for a in rnd.integers(-2000, 9000, 60)] + [("a", None, 5), ("a", 5, None)]
+    df = spark.createDataFrame(rows, "k string, lo long, hi long")
+    for slack in (0, 7):
+        want = []
+        for key in ("a", None):
+            last = None
+            for lo, hi in sorted((lo, hi) for k, lo, hi in rows if k == key and lo is not None and hi is not None):
+                if last is None or lo > last[2] + slack:
+                    last = [key, lo, hi, 0]
+                    want.append(last)
+                last[2], last[3] = max(last[2], hi), last[3] + 1
+        for block in (1, 64, 100_000):
+            got = S.merge_intervals(df, ["k"], slack, block).collect()
+            assert sorted(map(str, ([r.k, r.lo, r.hi, r.n] for r in got))) == sorted(map(str, want))
+
+
+def test_task_states_follow_allowed_steps(spark):
+    events = [("t1", i, s) for i, s in enumerate(["running", "ready", "done", "active", "done"])] + [("t2", 5, "ready"), ("t2", 6, None), (None, 1, "running"), ("t3", None, "running"), ("t4", 2, "failed"), ("t4", 1, "running"), ("t4", 3, "pending")]
+    df = spark.createDataFrame(events, "task string, at int, state string")
+    states = C.task_states(df, "task", "at", "state")
+    assert {r.task: (r.state, r.n_events, r.n_rejected) for r in states.collect()} == {"t1": ("done", 5, 1), "t2": ("pending", 1, 1), "t4": ("pending", 3, 0)}
+    table = spark.createDataFrame([("a", "pending"), ("b", "running"), ("c", "pending"), ("d", "ready"), ("e", "pending")], "task string, state string")
+    assert [r.task for r in C.startable(table, 3).collect()] == ["a"] and [r.task for r in C.startable(table, 9).collect()] == ["a", "c", "e"] and C.startable(table, 2).count() == 0
+
+
+def test_settings_of_a_table_are_checked(spark):
+    rows = spark.createDataFrame([(1, 1024, 0.4), (2, 0, 1.5), (3, None, None)], "run int, dm_span int, det_prob double")
+    found = {r.run: r.violations for r in T.config_violations(rows).collect()}
+    assert found[1] == found[3] == [] and found[2] == ["dm_span must be positive", "dm_stride must not exceed dm_span", "det_prob must be below 1"]

@@ -161,3 +161,19 @@ def test_artefacts_in_nested_folders(spark, tmp_path):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(b"x")
     assert sorted(tuple(r) for r in tables.read_artefact_keys(spark, str(tmp_path)).collect()) == [("r16", "y", 3), ("r8", "x-1_2", 17), ("r8", "x-1_2", 18)]
+
+
+def test_run_manifests_and_frame_sets(spark, tmp_path):
+    truth = spark.createDataFrame([(1, 2.0), (2, 3.0)], "injection_id int, dm double")
+    tables.write_run(truth, {"seed": 1}, f"{tmp_path}/run", ["raw8", "packed2"], "raw8")
+    found, config = tables.read_run(spark, f"{tmp_path}/run", "seed int")
+    assert {(r.quantization, r.seed, r.derived_from) for r in config.collect()} == {("raw8", 1, None), ("packed2", 1, "raw8")}
+    assert sorted((r.quantization, r.injection_id) for r in found.collect()) == [("packed2", 1), ("packed2", 2), ("raw8", 1), ("raw8", 2)]
+    with pytest.raises(Exception):
+        tables.write_run(truth, {}, f"{tmp_path}/run", ["raw8"])
+    images = spark.createDataFrame([(1, [0.5]), (2, [1.5])], "frame int, pixels array<double>")
+    boxes = spark.createDataFrame([(1, 2, 3.0, 4.0, 5.0, 6.0), (1, 1, 7.0, 8.0, 9.0, 1.0)], "frame int, box int, left double, top double, width double, height double")
+    tables.write_frame_set(images, boxes, f"{tmp_path}/f.parquet")
+    side = {json.loads(r.value)["frame"]: json.loads(r.value)["annotations"] for r in spark.read.text(f"{tmp_path}/f.parquet.json").collect()}
+    assert side == {1: [[7.0, 8.0, 9.0, 1.0], [3.0, 4.0, 5.0, 6.0]], 2: [[-1.0] * 4]}
+    assert {r.frame: r.n_boxes for r in tables.read_frame_sets(spark, str(tmp_path), ["f"]).collect()} == {1: 2, 2: 0}
