@@ -38,6 +38,8 @@ PAIRWISE = 64
 PARTS = ((46, 4), (50, 4), (54, 5), (59, 5))
 #: Replicas that one reducing task is meant to hold (12 bytes each).
 TASK_ENTRIES = 4_000_000
+#: A fingerprint with more than one in this many of all rows is joined by broadcast (24 bytes each).
+HOT = 10_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -216,14 +218,14 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rooted(rows: DataFrame) -> DataFrame:
-    """``(fp, least, root)`` for every distinct fingerprint of ``rows(doc_id, fp)``: its smallest doc_id, and the fingerprint that names its component."""
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    """``(fp, least, n, root)`` for every distinct fingerprint of ``rows(doc_id, fp)``: its smallest doc_id, its rows, and the fingerprint that names its component."""
+    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     distinct = classes.count()
     buckets = max(shuffle_partitions(rows.sparkSession), distinct * 61 // TASK_ENTRIES)
     packed = classes.select("fp").mapInArrow(_replicas(buckets), "bucket int, anchors binary, fps binary")
     found = packed.repartition(buckets, "bucket").mapInArrow(_linked, "a long, b long")
     roots = checkpointed(connected_components(found))
-    return classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,10 +241,15 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = checkpointed(source.mapInArrow(_fingerprints, "doc_id long, fp long"))
-    rooted = _rooted(rows)
+    rooted = checkpointed(_rooted(rows))
     components = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    mapped = rooted.join(components, "root").select("fp", "component_id")
-    return rows.join(mapped, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    mapped = checkpointed(rooted.join(components, "root").select("fp", "n", "component_id"))
+    # fingerprints with more than one in HOT of all rows are fewer than HOT: they go to all tasks, so their rows stay where they are
+    many = F.col("n") > F.lit((mapped.agg(F.sum("n")).first()[0] or 0) // HOT)
+    hot = rows.join(F.broadcast(mapped.where(many).select(F.col("fp").alias("hot"), "component_id")), F.col("fp") == F.col("hot"), "left")
+    rare = hot.where("hot is null").select("doc_id", "fp").join(mapped.where(~many).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = hot.where("hot is not null").select("doc_id", "fp", "component_id").unionByName(rare)
+    return named.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, unnamed: bool = False) -> DataFrame:
@@ -256,6 +263,8 @@ def keep_one_of_each(docs: DataFrame, unnamed: bool = False) -> DataFrame:
     one, two = fresh(docs, "one"), fresh(docs, "two")
     source = docs.select(id_.alias("doc_id"), text, keys[0].alias("h1"), keys[1].alias("h2"))
     rows = checkpointed(source.mapInArrow(_fingerprints, "doc_id long, h1 long, h2 int, fp long"))
-    first = rows.join(_rooted(rows).select("fp", "root"), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2")).alias("r"))
+    # the first row of each fingerprint, then of each group: no copies meet
+    first = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2")).alias("r"))
+    first = first.join(_rooted(rows).select("fp", "root"), "fp").groupBy("root").agg(F.min("r").alias("r"))
     kept = first.where(F.lit(unnamed) | ~F.col("r.no_id")).select(F.col("r.h1").alias(one), F.col("r.h2").alias(two))
     return docs.withColumns({one: keys[0], two: keys[1]}).join(kept, [one, two], "left_semi").dropDuplicates([one, two]).select(*docs.columns)

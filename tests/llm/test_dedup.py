@@ -44,6 +44,14 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+@pytest.mark.parametrize("hot", [3, 40])
+def test_hot_and_rare_fingerprints_give_the_same_rows(spark, docs, monkeypatch, hot):
+    many = docs.select("doc_id", "text").union(spark.createDataFrame([(1000 + i, "copied text of some words") for i in range(90)] + [(None, "copied text of some words"), (None, None), (7, "")], "doc_id long, text string"))
+    want = sorted(map(str, simhash.simhash_components(many).collect()))
+    monkeypatch.setattr(simhash, "HOT", hot)  # a third of the rows, or more than seven
+    assert sorted(map(str, simhash.simhash_components(many).collect())) == want and len(want) == many.count()
+
+
 def test_components_equal_brute_force(spark, docs):
     got = simhash.simhash_components(docs).collect()
     texts = {r.doc_id: r.text for r in docs.collect()}
