@@ -119,7 +119,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, max_toxic: int = MA
     order = F.xxhash64("doc_id")
 
     def featured(rows: DataFrame, kind: int, most: int) -> list[np.ndarray]:
-        found = rows.select(order.alias("order"), F.lit(kind).alias("toxic"), "text").mapInArrow(_featured, "order long, toxic int, x binary").orderBy("order").limit(most).collect()
+        found = rows.select(order.alias("order"), F.lit(kind).alias("toxic"), "text").mapInArrow(_featured, "order long, toxic int, x binary").orderBy("order", "x").limit(most).collect()  # rows with one id stand by their features
         return [np.frombuffer(r["x"], np.int32) for r in found]
 
     chosen = known.where("toxic = 1").orderBy(order).limit(max_toxic).select("doc_id")  # a bounded number of ids

@@ -2,6 +2,7 @@
 
 import html
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -261,3 +262,34 @@ def test_training_runs():
     assert sum(len(b.text) for b in H.training_run("<article><p>" + "x" * 5000 + "</p></article>", 1000, 3)[0]) <= 1000
     with pytest.raises(ValueError):
         H.fit([[]])
+
+
+def test_language_query_equals_each_text_by_itself(spark):
+    path = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    model = language_id.learn(docs, language_id.remainder("doc_id", 5) != 0)
+    rows = {r.doc_id: r for r in QUERIES["op1_language_id"](spark, path).collect()}
+    for d in docs.collect():
+        assert rows[d.doc_id].held_out == (zlib.crc32(str(d.doc_id).encode()) % 5 == 0)
+        margin = np.clip(language_id.features([d.text]) @ model.linear + model.bias, -8, 8)[0]
+        loss = [sum(w * np.log1p(np.exp(-m * c)) for m, c, w in zip(margin, code, weight)) for code, weight in zip(model.code, model.weight)]
+        assert rows[d.doc_id].lang_pred == model.languages[int(np.argmin(loss))]
+        assert rows[d.doc_id].score == pytest.approx(1 / sum(np.exp(-4 * (x - min(loss))) for x in loss), rel=1e-3)
+
+
+def test_toxicity_query_equals_each_text_by_itself(spark):
+    path = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.learn(docs, labels, language_id.remainder("doc_id", 4) != 2)
+    alone = {r.doc_id: r for r in toxicity.score(docs.repartition(40), model).collect()}
+    for r in QUERIES["op3_toxicity"](spark, path).collect():
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        assert r.score == pytest.approx(alone[r.doc_id].score, abs=1e-9) and r.predicted == int(r.score >= 0.3)
+
+
+def test_toxicity_does_not_depend_on_the_order_of_repeated_ids(spark):
+    texts = [f"plain words number {i} of a text" for i in range(40)] + [f"vile nasty insult {i} here" for i in range(40)]
+    rows = [(i % 8, t) for i, t in enumerate(texts)]
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(4)], "doc_id long, toxic int")
+    models = [toxicity.learn(spark.createDataFrame(some, "doc_id long, text string"), labels, F.lit(True), 5, 7) for some in (rows, rows[::-1])]
+    assert np.array_equal(models[0].weight, models[1].weight) and models[0].bias == models[1].bias
