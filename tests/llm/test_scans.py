@@ -285,6 +285,18 @@ def test_texts_get_the_ids_of_the_file():
         assert coder.encode(text) == plain_ids(text)
 
 
+def test_every_code_point_gets_the_ids_of_the_file():
+    """Between letters, digits and spaces; 256 code points to a text."""
+    coder, whole = packing.encoder(BPE), Tokenizer.from_file(BPE)
+    whole.encode_special_tokens = True
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{chr(c)}b1{chr(c)}2 {chr(c)}." for c in points[i : i + 256]) for i in range(0, len(points), 256)]
+    for at in range(0, len(texts), 256):
+        some = texts[at : at + 256]
+        for text, want in zip(some, whole.encode_batch(some, add_special_tokens=False)):
+            assert coder.encode(text) == np.asarray(want.ids, "<u4").tobytes()
+
+
 def test_all_documents_get_the_ids_of_the_file(docs):
     coder, whole = packing.encoder(BPE), Tokenizer.from_file(BPE)
     whole.encode_special_tokens = True
