@@ -257,7 +257,7 @@ _BACKGROUND = "(SELECT s_suppkey AS n, 'obs' || CASE s_suppkey % 7 WHEN 3 THEN '
 def background_files(spark, sf_dir):
     """Numbers and sizes of one beam's files in a folder that holds other beams' and tagged ones, too (empty files aren't listed)."""
     root, n = shared_folder(spark, "background"), F.col("s_suppkey")
-    name = F.concat(F.lit(f"{root}/obs"), F.when(n % 7 == 3, "_N_").when(n % 7 == 5, "_W_").otherwise(""), F.lit("-M0"), (1 + n % 2).cast("string"), F.lit("_"), F.lpad(n.cast("string"), 4, "0"), F.lit(".fits"))
+    name = F.concat(F.lit(f"{root}/obs"), F.when(n % 7 == 3, "_N_").when(n % 7 == 5, "_W_").otherwise(""), F.lit("-M0"), (1 + n % 2).cast("string"), F.lit("_"), F.format_string("%04d", n), F.lit(".fits"))  # a longer number stays whole
     files = table(spark, sf_dir, "supplier").select(name.alias("path"), F.encode(F.repeat(F.lit("x"), (n % 5).cast("int")), "UTF-8").alias("content"))
     psrfits.write_files(files).agg(F.sum("bytes")).first()
     return tables.read_background_files(spark, root).select("number", "bytes")
