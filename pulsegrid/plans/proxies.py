@@ -84,10 +84,11 @@ MATCHES = "(SELECT CASE WHEN l_returnflag = 'R' THEN 'packed2' ELSE 'raw8' END A
 
 
 def false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """False positives with the parameters of their nearest injection."""
+    """False positives with the parameters of their nearest injection. Sigma is rounded as SQL engines round doubles, by scaling;
+    Spark's own rounding of the decimal text gives another hundredth where the scaled value falls just short of a half."""
     price = F.col("o_totalprice")
     return table(spark, sf_dir, "orders").select(
-        F.when(F.col("o_orderstatus") == "F", "packed2").otherwise("raw8").alias("quant"), (price % 100).alias("snr"), (price / 250).alias("dm"), (F.col("o_orderkey") % 21).cast("double").alias("width"), F.round(price / 40000, 2).alias("sigma"),
+        F.when(F.col("o_orderstatus") == "F", "packed2").otherwise("raw8").alias("quant"), (price % 100).alias("snr"), (price / 250).alias("dm"), (F.col("o_orderkey") % 21).cast("double").alias("width"), (F.round(price / 40000 * 100) / 100).alias("sigma"),
     )
 
 

@@ -1,6 +1,7 @@
 """Queries on small tables of the kinds that larger ones hold."""
 
 import duckdb
+import numpy as np
 
 from pulsegrid.plans import catalog, registry  # noqa: F401
 
@@ -22,3 +23,8 @@ def both(spark, folder, name, **tables):
 def test_names_of_background_files_hold_long_numbers(spark, tmp_path):
     got, want = both(spark, tmp_path, "background_files", supplier="SELECT n AS s_suppkey FROM (VALUES (1234::BIGINT), (12340), (12346), (8), (80002)) x(n)")
     assert got == want and len(got) == 2
+
+
+def test_sigma_at_half_a_hundredth_is_rounded_by_scaling(spark, tmp_path):
+    got, want = both(spark, tmp_path, "fp_histograms", orders="SELECT n AS o_orderkey, 'F' AS o_orderstatus, (200 + 400 * n)::DOUBLE AS o_totalprice FROM range(1250) r(n)")
+    assert got == want and np.sum([int(x.split(", ")[0][1:]) for x in got]) == 1250
