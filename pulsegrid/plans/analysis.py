@@ -269,9 +269,7 @@ SWEPT = [1.0, 3.0, 5.0, 8.0]
 @query("threshold_sweep", Q.threshold_sweep(SWEPT, TIME_TOL, DM_TOL))
 def threshold_sweep(spark, sf_dir):
     thresholds = spark.createDataFrame([(t,) for t in SWEPT], "threshold double")
-    pairs = M.band_join(truth(spark, sf_dir), candidates(spark, sf_dir), M.KEY, TIME_TOL, DM_TOL)
-    cost = F.abs("dt") / float(TIME_TOL) + F.abs("ddm") / DM_TOL - F.col("r_sigma") * 0.001
-    found = M.sweep_thresholds(pairs.select(*M.KEY, "injection_id", F.col("r_cand_id").alias("cand_id"), cost.alias("cost"), F.col("r_sigma").alias("sigma")), M.KEY, SWEPT)
+    found = M.sweep_near(truth(spark, sf_dir), candidates(spark, sf_dir), TIME_TOL, DM_TOL, SWEPT, 0.001)
     total = truth(spark, sf_dir).agg(F.count("*").alias("n_total"))
     return thresholds.join(found.groupBy("threshold").agg(F.count("*").alias("n_detected")), "threshold", "left").fillna(0).crossJoin(total)
 

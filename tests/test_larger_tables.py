@@ -2,7 +2,9 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 
+from pulsegrid.operators import matching as M
 from pulsegrid.plans import catalog, registry  # noqa: F401
 
 
@@ -28,3 +30,41 @@ def test_names_of_background_files_hold_long_numbers(spark, tmp_path):
 def test_sigma_at_half_a_hundredth_is_rounded_by_scaling(spark, tmp_path):
     got, want = both(spark, tmp_path, "fp_histograms", orders="SELECT n AS o_orderkey, 'F' AS o_orderstatus, (200 + 400 * n)::DOUBLE AS o_totalprice FROM range(1250) r(n)")
     assert got == want and np.sum([int(x.split(", ")[0][1:]) for x in got]) == 1250
+
+
+def placed(rng, n, m, spread=60, copies=1):
+    """Truths and candidates of one file as pandas, each place ``copies`` times."""
+    truth = pd.DataFrame({"quant": "raw8", "stem": "f", "injection_id": range(n * copies), "sample": np.tile(rng.integers(0, spread, n), copies), "dm": np.tile(rng.integers(0, 8, n) / 2, copies)})
+    found = pd.DataFrame({"quant": "raw8", "stem": "f", "cand_id": range(m * copies), "sample": np.tile(rng.integers(0, spread, m), copies), "dm": np.tile(rng.integers(0, 8, m) / 2, copies), "sigma": np.tile(rng.integers(0, 10, m) / 1.0, copies)})
+    return truth, found
+
+
+def tolerated(truth, found, time_tol, dm_tol, weight):
+    pairs = truth.merge(found, on=["quant", "stem"], suffixes=("", "_c"))
+    dt, ddm = abs(pairs["sample_c"] - pairs["sample"]), abs(pairs["dm_c"] - pairs["dm"])
+    return pairs.assign(cost=dt / time_tol + ddm / dm_tol - pairs["sigma"] * weight)[(dt <= time_tol) & (ddm <= dm_tol)]
+
+
+def test_assignment_from_rows(spark):
+    """As many pairs at as little cost as the plain assignment, also where places are there many times."""
+    for seed, n, m, copies in ((1, 40, 60, 1), (2, 60, 40, 1), (3, 12, 14, 6)):
+        truth, found = placed(np.random.default_rng(seed), n, m, 60, copies)
+        pairs = tolerated(truth, found, 4, 1.0, 0.05)
+        want = M.assign(list(pairs[["injection_id", "cand_id", "cost"]].itertuples(index=False, name=None)))
+        got = M.assign_near(spark.createDataFrame(truth), spark.createDataFrame(found), 4, 1.0, "sigma", 0.05).toPandas()
+        assert len(got) == len(want) and abs(got["cost"].sum() - sum(c for *_, c in want)) < 1e-9
+        assert got["injection_id"].is_unique and got["cand_id"].is_unique
+        assert len(got.merge(pairs, on=["injection_id", "cand_id"]).query("abs(cost_x - cost_y) < 1e-12")) == len(got)
+    # few stored ways, and a vertex whose ways are all taken
+    near = [(np.array([0, 1, 2]), np.array([0.0, 0.1, 0.2])), (np.array([0, 1]), np.array([0.0, 0.3])), (np.array([0]), np.array([0.5]))]
+    assert sorted(M.transport(near.__getitem__, np.array([1, 1, 1]), np.array([1, 1, 1]), 1)) == [(0, 2, 1), (1, 1, 1), (2, 0, 1)]
+    assert sum(n for *_, n in M.transport(near.__getitem__, np.array([2, 3, 4]), np.array([5, 0, 1]), 2)) == 6
+
+
+def test_sweep_from_rows(spark):
+    truth, found = placed(np.random.default_rng(4), 50, 60, 60, 3)
+    pairs = tolerated(truth, found, 4, 1.0, 0.001)
+    got = M.sweep_near(spark.createDataFrame(truth), spark.createDataFrame(found), 4, 1.0, [0.0, 4.0, 20.0], 0.001).toPandas()
+    for t in (0.0, 4.0, 20.0):
+        want = M.greedy_in_truth_order(pairs[pairs["sigma"] >= t])
+        assert sorted(got[got["threshold"] == t][["injection_id", "cand_id"]].itertuples(index=False, name=None)) == sorted(want[["injection_id", "cand_id"]].itertuples(index=False, name=None))
