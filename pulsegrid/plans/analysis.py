@@ -110,9 +110,7 @@ def physical_dedup(spark, sf_dir):
 
 @query("optimal_assignment", Q.assignment(TIME_TOL, DM_TOL))
 def optimal_assignment(spark, sf_dir):
-    cost = F.abs("dt") / float(TIME_TOL) + F.abs("ddm") / DM_TOL - F.col("cls") * 0.05
-    pairs = _edges(spark, sf_dir).select(*M.KEY, F.col("injection_id").alias("left_id"), F.col("cand_id").alias("right_id"), cost.alias("cost"))
-    found = M.optimal_assignment(pairs, M.KEY).withColumnsRenamed({"left_id": "injection_id", "right_id": "cand_id"})
+    found = M.assign_near(truth(spark, sf_dir), candidates(spark, sf_dir), TIME_TOL, DM_TOL, "cls", 0.05)
     return truth(spark, sf_dir).select("injection_id", "snr", "dm").join(found, "injection_id", "left").withColumns({"cost": F.round("cost", 6), "detected": F.col("cand_id").isNotNull()})
 
 
