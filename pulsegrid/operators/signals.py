@@ -139,19 +139,23 @@ def scattered_pulse(t: np.ndarray, sigma: float, tau: float) -> np.ndarray:
 def inject_scattered(base: DataFrame, truths: DataFrame, sigma_t: float, block: int = 512, reach: int = 64) -> DataFrame:
     """Add scattered pulses ``truths(t0, tau, amplitude)`` to all channels of ``base(t, chan, v)``: ``(t, chan, v double)``.
 
-    Each pulse goes to the one or two blocks of samples that it can touch; blocks are independent groups."""
+    Pulses of one place and tail are one with the sum of their amplitudes. Each goes to the one or two blocks of samples that it
+    can touch; blocks are independent groups. In a block, a tail's shape is worked out once for each distance that occurs."""
 
     def run(key: tuple, samples: pd.DataFrame, pulses: pd.DataFrame) -> pd.DataFrame:
         times, own = np.unique(samples["t"].to_numpy(), return_inverse=True)
-        t = times.astype(float)
-        add = np.zeros(len(t))
-        for p in pulses.sort_values("t0").itertuples():
-            x = t - p.t0
-            add += np.where((x >= -reach) & (x <= reach), p.amplitude * scattered_pulse(x, sigma_t, p.tau), 0)
+        add = np.zeros(len(times))
+        for tau, same in pulses.groupby("tau", dropna=False):
+            t0 = same["t0"].to_numpy(float)
+            x = times.astype(float)[:, None] - t0
+            at, pulse = np.nonzero((x >= -reach) & (x <= reach))
+            away, of = np.unique(x[at, pulse], return_inverse=True)
+            add += np.bincount(at, same["amplitude"].to_numpy(float)[pulse] * scattered_pulse(away, sigma_t, tau)[of], len(times))
         return pd.DataFrame({"t": samples["t"], "chan": samples["chan"], "v": samples["v"] + add[own]})
 
+    summed = truths.groupBy("t0", "tau").agg(F.sum("amplitude").alias("amplitude"))
     blocks = F.sequence(F.floor((F.col("t0") - reach) / block), F.floor((F.col("t0") + reach) / block))
-    near = truths.withColumn("block", F.explode(blocks))
+    near = summed.withColumn("block", F.explode(blocks))
     return base.withColumn("block", F.floor(F.col("t") / block)).groupBy("block").cogroup(near.groupBy("block")).applyInPandas(run, "t long, chan int, v double")
 
 

@@ -4,8 +4,12 @@ import duckdb
 import numpy as np
 import pandas as pd
 
+from pulsegrid.operators import dedisperse as D
+from pulsegrid.operators import labelling as L
 from pulsegrid.operators import matching as M
+from pulsegrid.operators import signals as S
 from pulsegrid.plans import catalog, registry  # noqa: F401
+from pulsegrid.sources import tables
 
 
 def both(spark, folder, name, **tables):
@@ -68,3 +72,59 @@ def test_sweep_from_rows(spark):
     for t in (0.0, 4.0, 20.0):
         want = M.greedy_in_truth_order(pairs[pairs["sigma"] >= t])
         assert sorted(got[got["threshold"] == t][["injection_id", "cand_id"]].itertuples(index=False, name=None)) == sorted(want[["injection_id", "cand_id"]].itertuples(index=False, name=None))
+
+
+def test_many_pulses_of_few_places_are_few(spark):
+    """Two million pulses at 40 places and tails, against a sum over the places."""
+    pulses = spark.range(2_000_000).selectExpr("id % 20 * 30 - 10 as t0", "cast(id % 2 as double) * 3 as tau", "0.001D as amplitude")
+    base = spark.range(600).selectExpr("id as t", "0 as chan", "1D as v")
+    got = {r.t: r.v for r in S.inject_scattered(base, pulses, 2.0).collect()}
+    want = np.ones(600)
+    for n in range(20):
+        x = np.arange(600.0) - (n * 30 - 10)
+        want += np.where(abs(x) <= 64, 100 * S.scattered_pulse(x, 2.0, n % 2 * 3.0), 0)
+    assert np.allclose([got[t] for t in range(600)], want)
+
+
+def test_cut_outs_move_samples_and_no_cells(spark):
+    """Against single cells, over the edges of blocks."""
+    rng = np.random.default_rng(5)
+    v = rng.integers(-9, 9, (900, 4))
+    spec = spark.createDataFrame([(t, c, int(v[t, c])) for t in range(900) for c in range(4) if (t + c) % 7], "t long, chan int, v long")
+    shifts = spark.createDataFrame([(d, c, d * (3 - c) * 9) for d in range(3) for c in range(4)], "dm int, chan int, shift int")
+    asked = [(i, i % 4, int(t)) for i, t in enumerate(rng.integers(0, 920, 40))]
+    out = D.cut_out(spark.createDataFrame(asked, "cand_id long, dm int, toa long"), spec, shifts, 8, 2, 16)
+    want = {(i, k, b): 0 for i, d, _ in asked if d < 3 for k in range(8) for b in range(2)}
+    for i, d, toa in asked:
+        for k in range(8):
+            for c in range(4 if d < 3 else 0):
+                t = max(0, toa - 4) + d * (3 - c) * 9 + k
+                want[i, k, c // 2] += int(v[t, c]) if t < 900 and (t + c) % 7 else 0
+    rows = out.collect()
+    assert {(r.cand_id, r.i, r.band): r.total for r in rows} == want and len(rows) == len(want)
+
+
+def test_a_large_folder_is_several_tasks_work(spark, tmp_path):
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100000")
+    try:
+        tables.write_partitioned(spark.range(200_000).selectExpr("id", "uuid() as name", "'all' as kind"), str(tmp_path / "out"), "kind")
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert len(list((tmp_path / "out" / "kind=all").glob("*.parquet"))) > 1 and spark.read.parquet(str(tmp_path / "out")).count() == 200_000
+
+
+def test_stamps_of_an_image_come_together(spark):
+    """The cells' maxima against numpy; only targets are shuffled, once."""
+    rng = np.random.default_rng(6)
+    targets = [(i, int(rng.integers(0, 256)), int(rng.integers(1, 5))) for i in range(6) for _ in range(3)]
+    out = L.stamped(spark.createDataFrame(targets, "image long, cell int, radius int"), 16)
+    want = {}
+    for i, cell, r in targets:
+        for y in range(max(0, cell // 16 - r), min(15, cell // 16 + r) + 1):
+            for x in range(max(0, cell % 16 - r), min(15, cell % 16 + r) + 1):
+                h = np.exp(-((x - cell % 16) ** 2 + (y - cell // 16) ** 2) / (2 * ((2 * r + 1) / 6) ** 2))
+                want[i, y, x] = max(h, want.get((i, y, x), 0))
+    got = {(r.image, r.py, r.px): r.target for r in out.collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert out.groupBy("image", "py").count()._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
