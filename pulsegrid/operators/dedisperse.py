@@ -187,14 +187,45 @@ def dm_window_pool(cells: DataFrame, spark: SparkSession, n_dm: int, span: int,
     return placed.groupBy("dm_chunk", "dm_start", F.expr(f"(dm - dm_start) div {dm_pool}").cast("int").alias("py"), F.expr(f"y div {y_pool}").alias("px")).agg(F.sum("v_full").alias("total"), F.count("*").alias("n"))
 
 
-def cut_out(candidates: DataFrame, spec: DataFrame, shifts: DataFrame, width: int, pool: int) -> DataFrame:
+def cut_out(candidates: DataFrame, spec: DataFrame, shifts: DataFrame, width: int, pool: int, block: int = 256) -> DataFrame:
     """De-dispersed cut-outs around candidates ``(cand_id, dm, toa)``: from ``max(0, toa - width / 2)``, along the
-    trial's delays, zero beyond the data, channels pooled by ``pool``: ``(cand_id, i, band, total)``."""
+    trial's delays, zero beyond the data, channels pooled by ``pool``: ``(cand_id, i, band, total)``.
+
+    A candidate goes to the block of samples in which its cut-out begins, and a sample to its block and those just before that
+    reach it (two in all where blocks are as long as the reach), so no cell of a cut-out is shuffled. Candidates without a
+    trial of ``shifts`` are left out; rows of one candidate add up where they begin in one block."""
+    table = shifts.toPandas()  # trials x channels, a configuration's size
+    delays = {dm: (own["chan"].to_numpy(), own["shift"].to_numpy()) for dm, own in table.groupby("dm")}
+    reach = width + (int(table["shift"].max()) if len(table) else 0)
+    block = max(block, reach)
+    chans = int(table["chan"].max()) + 1 if len(table) else 1
+
+    def run(key: tuple, found: pd.DataFrame, samples: pd.DataFrame) -> pd.DataFrame:
+        if not len(found):
+            return pd.DataFrame(columns=["cand_id", "i", "band", "total"])
+        first = int(key[0]) * block
+        cube = np.zeros((chans, block + reach), np.int64)
+        held = samples[(samples["chan"] < chans) & samples["v"].notna()]
+        np.add.at(cube, (held["chan"].to_numpy(int), held["t"].to_numpy(int) - first), held["v"].to_numpy(np.int64))
+        names, number = np.unique(found["cand_id"].to_numpy(), return_inverse=True)
+        bands = np.unique(table["chan"] // pool)
+        totals, known = np.zeros((len(names), width, len(bands)), np.int64), np.zeros((len(names), len(bands)), bool)
+        for at, start, dm in zip(number, found["start"].to_numpy(int) - first, found["dm"]):
+            chan, shift = delays[dm]
+            cells = cube[chan[:, None], start + shift[:, None] + np.arange(width)]
+            band = np.searchsorted(bands, chan // pool)
+            np.add.at(totals[at].T, band, cells)
+            known[at, band] = True
+        at, band = np.nonzero(known)
+        n = len(at)
+        return pd.DataFrame({"cand_id": np.repeat(names[at], width), "i": np.tile(np.arange(width), n), "band": np.repeat(bands[band], width), "total": totals[at, :, band].reshape(-1)})
+
     start = F.greatest(F.lit(0), F.col("toa") - width // 2)
-    wanted = candidates.withColumn("start", start).join(F.broadcast(shifts), "dm").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-    wanted = wanted.select("cand_id", "i", "chan", (F.col("start") + F.col("shift") + F.col("i")).alias("t"))
-    found = wanted.join(spec, ["chan", "t"], "left")
-    return found.groupBy("cand_id", "i", F.expr(f"chan div {pool}").cast("int").alias("band")).agg(F.coalesce(F.sum("v"), F.lit(0)).alias("total"))
+    wanted = candidates.withColumn("start", start).join(F.broadcast(shifts.select("dm").distinct()), "dm", "left_semi").select("cand_id", "dm", "start", F.floor(F.col("start") / block).alias("block"))
+    at = F.col("t") - F.col("block") * block
+    copies = F.sequence(F.greatest(F.lit(0), F.floor((F.col("t") - reach) / block)), F.floor(F.col("t") / block))
+    near = spec.where("t >= 0 and chan >= 0").select("t", "chan", "v", F.explode(copies).alias("block")).where(at < block + reach)
+    return wanted.groupBy("block").cogroup(near.groupBy("block")).applyInPandas(run, "cand_id long, i int, band int, total long")
 
 
 def multiscale_pool(series: DataFrame, spark: SparkSession, rates: list[int], keys: list[str]) -> DataFrame:
