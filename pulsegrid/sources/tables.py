@@ -178,8 +178,9 @@ def write_task_manifests(tasks: DataFrame, path: str, *by: str) -> None:
 
 
 def write_partitioned(rows: DataFrame, path: str, *by: str, mode: str = "errorifexists") -> None:
-    """Parquet by the values of some columns (source, date and beam, or a threshold), rows of a folder brought together first."""
-    rows.repartition(*[F.col(c) for c in by]).write.mode(mode).partitionBy(*by).parquet(path)
+    """Parquet by the values of some columns (source, date and beam, or a threshold), rows of a folder brought together first;
+    adaptive execution gives a large folder to several tasks, a file each."""
+    rows.hint("rebalance", *by).write.mode(mode).partitionBy(*by).parquet(path)
 
 
 def write_for_quantizations(truth: DataFrame, path: str, quantizations: list[str], mode: str = "errorifexists") -> None:
