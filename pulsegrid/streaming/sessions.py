@@ -5,9 +5,10 @@ belong to it any more; when the watermark passes it, the session or island is cl
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,6 +86,19 @@ class SessionTotals(_Timed):
         yield pd.DataFrame({f"k{i}": [k] * len(done) for i, k in enumerate(key)} | dict(zip(("first_us", "last_us", "size", "strongest"), columns)))
 
 
+def packed(rows: pd.DataFrame) -> bytes:
+    """Rows as an Arrow stream."""
+    table, sink = pa.Table.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(batches: Iterable[bytes]) -> pd.DataFrame:
+    """The rows of one or more Arrow streams."""
+    return pd.concat([pa.ipc.open_stream(b).read_pandas() for b in batches], ignore_index=True)
+
+
 class IslandRows(_Timed):
     """Rows of open islands; when an island closes, ``build`` makes its result from its rows."""
 
@@ -94,14 +108,13 @@ class IslandRows(_Timed):
 
     def init(self, handle) -> None:
         super().init(handle)
-        fields = [x.split(" ", 1) for x in self.row_schema.split(", ")]
-        self.names = [n for n, _ in fields]
-        self.rows = handle.getListState("rows", ", ".join(f"c{i} {kind}" for i, (_, kind) in enumerate(fields)))  # no name clashes with those of rows
+        self.names = [x.split(" ", 1)[0] for x in self.row_schema.split(", ")]
+        self.rows = handle.getListState("rows", "batch binary")  # a batch of rows is one element, as each is a call of its own
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         spans = self._held()
         for pdf in rows:
-            self.rows.appendList(list(pdf[self.names].astype(object).itertuples(index=False, name=None)))
+            self.rows.appendList([(packed(pdf[self.names]),)])
             spans = merged(spans + [(int(t), int(t), 1, None) for t in pdf["time_us"]], self.gap_us)
         self._hold(spans)
         return iter(())
@@ -109,15 +122,14 @@ class IslandRows(_Timed):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now, spans = timerValues.getCurrentWatermarkInMs(), self._held()
         done = [s for s in spans if _closes_ms(s[1], self.gap_us) <= now]
-        rows = pd.DataFrame([tuple(r) for r in self.rows.get()], columns=self.names)
+        rows = unpacked(bytes(r[0]) for r in self.rows.get())
         closed = pd.Series(False, index=rows.index)
         for first, last, *_ in done:
             inside = rows["time_us"].between(first, last)
             closed |= inside
             yield self.build(rows[inside])
-        left = list(rows[~closed].itertuples(index=False, name=None))
-        if left:
-            self.rows.put(left)
+        if len(left := rows[~closed]):
+            self.rows.put([(packed(left),)])
         else:
             self.rows.clear()
         self._hold([s for s in spans if _closes_ms(s[1], self.gap_us) > now])
@@ -182,11 +194,11 @@ def stream_islands(spark: SparkSession, path: str, select: Callable[[DataFrame],
     rows = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flow.schema if f.name != "_t")
     islands = flow.groupBy(*keys).transformWithStateInPandas(IslandRows(gap_us, rows, build), schema, "Append", "EventTime")
     out, progress, late_rows = _run(spark, islands)
-    names = [x.split()[0] for x in rows.split(", ")]
 
     def rest(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = unpacked(pdf["batch"])
         spans = merged([(int(t), int(t), 1, None) for t in pdf["time_us"]], gap_us)
         return pd.concat([build(pdf[pdf["time_us"].between(first, last)]) for first, last, *_ in spans])
 
-    left = _state(spark, progress, "rows").select("list_element.*").toDF(*names).groupBy(*keys).applyInPandas(rest, schema)
+    left = _state(spark, progress, "rows").select("key.*", "list_element.batch").groupBy(*keys).applyInPandas(rest, schema)
     return spark.read.schema(T._parse_datatype_string(schema)).parquet(out), left, late_rows
