@@ -293,13 +293,21 @@ def centre_targets(boxes: DataFrame, size: int, stride: int = 4, max_objects: in
 def stamped(targets: DataFrame, size: int) -> DataFrame:
     """``(image, py, px, target)``: the non-zero cells of the target maps of ``targets(image, cell, radius)``.
 
-    A target stamps a Gaussian of a sixth of its diameter over its own neighbourhood only; cells keep the largest stamp."""
+    A target stamps a Gaussian of a sixth of its diameter over its own neighbourhood only; cells keep the largest stamp.
+    The targets of an image come together in one row, from which its cells are made, so that cells are not shuffled."""
     x, y = F.col("cell") % size, F.call_function("div", F.col("cell"), F.lit(size)).cast("int")
-    stamps = targets.select("image", "radius", x.alias("x"), y.alias("y"))
-    for axis, name in (("y", "py"), ("x", "px")):
-        reach = F.sequence(F.greatest(F.lit(0), F.col(axis) - F.col("radius")), F.least(F.lit(size - 1), F.col(axis) + F.col("radius")))
-        stamps = stamps.withColumn(name, F.explode(reach))
-    sigma = (2 * F.col("radius") + 1) / 6.0
-    height = F.exp(-(F.pow(F.col("px") - F.col("x"), 2) + F.pow(F.col("py") - F.col("y"), 2)) / (2 * sigma * sigma))
+    images = targets.select("image", F.struct("radius", x.alias("x"), y.alias("y")).alias("s")).dropna(subset=["s.radius", "s.x", "s.y"]).groupBy("image").agg(F.collect_list("s").alias("stamps"))
+
+    def reach(axis: str):
+        return lambda s: F.sequence(F.greatest(F.lit(0), s[axis] - s["radius"]), F.least(F.lit(size - 1), s[axis] + s["radius"]))
+
+    rows = images.withColumn("py", F.explode(F.array_distinct(F.flatten(F.transform("stamps", reach("y"))))))
+    rows = rows.withColumn("stamps", F.filter("stamps", lambda s: F.abs(F.col("py") - s["y"]) <= s["radius"]))
+    cells = rows.withColumn("px", F.explode(F.array_distinct(F.flatten(F.transform("stamps", reach("x"))))))
+
+    def height(s: Column) -> Column:
+        sigma = (2 * s["radius"] + 1) / 6.0
+        return F.when(F.abs(F.col("px") - s["x"]) <= s["radius"], F.exp(-(F.pow(F.col("px") - s["x"], 2) + F.pow(F.col("py") - s["y"], 2)) / (2 * sigma * sigma)))
+
     tiny = float(np.finfo(np.float64).eps)
-    return stamps.withColumn("target", height).where(F.col("target") >= tiny).groupBy("image", "py", "px").agg(F.max("target").alias("target"))
+    return cells.select("image", "py", "px", F.array_max(F.transform("stamps", height)).alias("target")).where(F.col("target") >= tiny)
