@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from pulsegrid.operators import dedisperse as D
 from pulsegrid.operators import labelling as L
@@ -10,6 +11,7 @@ from pulsegrid.operators import matching as M
 from pulsegrid.operators import signals as S
 from pulsegrid.plans import catalog, registry  # noqa: F401
 from pulsegrid.sources import tables
+from pulsegrid.streaming import sessions
 
 
 def both(spark, folder, name, **tables):
@@ -128,3 +130,26 @@ def test_stamps_of_an_image_come_together(spark):
     got = {(r.image, r.py, r.px): r.target for r in out.collect()}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want)
     assert out.groupBy("image", "py").count()._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_best_members_put_those_without_class_last(spark):
+    """A null class made a null cost, which came first."""
+    truth = spark.createDataFrame([(1, "a", "f", 100, 5.0)], "injection_id long, quant string, stem string, sample long, dm double")
+    rows = [(7, "a", "f", 100, 5.0, None, "e"), (8, "a", "f", 104, 5.0, 0.5, "e"), (9, "a", "f", 104, 5.0, 0.5, "e"), (6, "a", "f", 99, 5.0, None, "g")]
+    found = spark.createDataFrame(rows, "cand_id long, quant string, stem string, sample long, dm double, cls double, event string")
+    for at_once in (1, 100):
+        got = sorted(tuple(r) for r in M.best_members(truth, found, 10, 2.0, at_once).select("event", "cand_id", F.round("cost", 6)).collect())
+        assert got == [("e", 8, 0.375), ("g", 6, None)]
+
+
+def test_copies_share_their_nearest_truth(spark):
+    truth = spark.createDataFrame([(i, "a", "f", 50 * (i % 3), 1.0, float(i)) for i in range(60)], "injection_id long, quant string, stem string, sample long, dm double, snr double")
+    found = spark.createDataFrame([(i, "a", "f", 10 + 50 * (i % 3), 1.0) for i in range(90)], "cand_id long, quant string, stem string, sample long, dm double")
+    got = M.nearest_truth(found, truth, 10.0, 1.0)
+    assert sorted((r.cand_id, r.injection_id, r.assigned_snr, r.distance) for r in got.collect()) == [(i, i % 3, float(i % 3), 1.0) for i in range(90)]
+
+
+def test_state_of_a_stream_packs_batches():
+    rows = pd.DataFrame({"time_us": [1, 2, 3], "k": ["a", None, "b"], "x": [0.5, np.nan, 2.0]})
+    back = sessions.unpacked([sessions.packed(rows[:2]), sessions.packed(rows[2:])])
+    assert back["time_us"].tolist() == [1, 2, 3] and back["k"].tolist() == ["a", None, "b"] and np.allclose(back["x"], rows["x"], equal_nan=True)
